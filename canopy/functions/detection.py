@@ -84,35 +84,47 @@ def _rotate(ray: tuple[Column, Column, Column], yaw: Column, pitch: Column, roll
     return x, y, z
 
 
-def project_to_ground(
-    u, v, width: int, height: int, lat, lon, alt, yaw, pitch, roll, hfov: Column | float | None = None,
-    vfov: Column | float | None = None, ground_alt: float = 0.0,
-) -> Column:
-    """Ground position of a pixel as ``struct(lat, lon)``; NULL when the ray misses the ground.
+def focal_pixels(width: int, focal_mm, zoom, hfov: float | None = None) -> Column:
+    """Focal length in pixels from a horizontal angle or a full-frame equivalent focal length."""
+    if hfov is not None:
+        return F.lit(width / 2 / math.tan(math.radians(hfov) / 2))
+    z = F.when(_c(zoom) > 0, _c(zoom)).otherwise(1.0)
+    # tan(hfov / 2) is 36 / (2 f), so the angle itself is not needed.
+    return F.when(_c(focal_mm) > 0, _c(focal_mm) * z * (width / FULL_FRAME_WIDTH_MM))
+
+
+def ground_ray(u, v, width: int, height: int, fx, yaw, pitch, roll) -> tuple[Column, Column, Column]:
+    """World direction of a pixel, unnormalised: its camera depth is 1.
 
     Camera looks along +z, x right, y down; pitch is offset by 90 and roll by 180
     degrees so that pitch -90 points straight down.
     """
-    if hfov is None and vfov is None:
-        raise ValueError("give hfov or vfov")
-    u, v, lat, lon, alt = map(_c, (u, v, lat, lon, alt))
-    as_col = lambda a: a if isinstance(a, Column) else F.lit(float(a))
-    if hfov is not None:
-        fx = F.try_divide(F.lit(width / 2.0), F.tan(F.radians(as_col(hfov)) / 2))
-        fy = fx * (height / width)
-    else:
-        fy = F.try_divide(F.lit(height / 2.0), F.tan(F.radians(as_col(vfov)) / 2))
-        fx = fy * (width / height)
-    x, y = F.try_divide(u - width / 2.0, fx), F.try_divide(v - height / 2.0, fy)
-    norm = F.sqrt(x * x + y * y + 1)
-    wx, wy, wz = _rotate(
-        (x / norm, y / norm, 1 / norm), F.radians(_c(yaw)), F.radians(_c(pitch) + 90), F.radians(_c(roll) + 180)
-    )
-    t = F.try_divide(F.lit(float(ground_alt)) - alt, wz)
+    fx = _c(fx)
+    x, y = F.try_divide(_c(u) - width / 2.0, fx), F.try_divide(_c(v) - height / 2.0, fx * (height / width))
+    return _rotate((x, y, F.lit(1.0)), F.radians(_c(yaw)), F.radians(_c(pitch) + 90), F.radians(_c(roll) + 180))
+
+
+def ground_point(lat, lon, wx, wy, wz, t) -> tuple[Column, Column, Column]:
+    """Latitude, longitude and whether the ray reaches the ground at ``t`` along it."""
+    lat, lon, wx, wy, wz, t = map(_c, (lat, lon, wx, wy, wz, t))
+    length = F.sqrt(wx * wx + wy * wy + wz * wz)
+    hit = (F.abs(wz) >= 1e-6 * length) & (t > 0) & lat.isNotNull() & lon.isNotNull()
     to_deg = 180.0 / math.pi
     glat = lat + t * wy / EARTH_EQUATOR_M * to_deg
     glon = lon + t * wx / (EARTH_EQUATOR_M * F.cos(F.radians(lat))) * to_deg
-    hit = (F.abs(wz) >= 1e-6) & (t > 0) & glat.isNotNull() & glon.isNotNull()
+    return F.when(hit, glat), F.when(hit, glon), hit
+
+
+def project_to_ground(
+    u, v, width: int, height: int, lat, lon, alt, yaw, pitch, roll, fx, ground_alt: float = 0.0
+) -> Column:
+    """Ground position of a pixel as ``struct(lat, lon)``; NULL when the ray misses the ground.
+
+    ``fx`` is the focal length in pixels. Over a table prefer ``locate_detections``,
+    which keeps the steps as columns.
+    """
+    wx, wy, wz = ground_ray(u, v, width, height, fx, yaw, pitch, roll)
+    glat, glon, hit = ground_point(lat, lon, wx, wy, wz, F.try_divide(F.lit(float(ground_alt)) - _c(alt), wz))
     return F.when(hit, F.struct(glat.alias("lat"), glon.alias("lon")))
 
 
@@ -124,12 +136,11 @@ def project_to_ground_guarded(
     that do not point down or reach implausibly far, wraps longitude."""
     u, v, lat, lon, h = map(_c, (u, v, lat, lon, height_m))
     bias = pitch_bias if isinstance(pitch_bias, Column) else F.lit(float(pitch_bias))
-    cam = camera_fov(focal_mm, zoom, width, height)
-    x = F.try_divide(u - width / 2.0, cam["fx"])
-    y = -F.try_divide(v - height / 2.0, cam["fy"])
-    norm = F.sqrt(x * x + y * y + 1)
+    fx = focal_pixels(width, focal_mm, zoom)
+    fy = fx * (height / FULL_FRAME_HEIGHT_MM) / (width / FULL_FRAME_WIDTH_MM)
+    x, y = F.try_divide(u - width / 2.0, fx), -F.try_divide(v - height / 2.0, fy)
     dx, dy, dz = _rotate(
-        (x / norm, y / norm, -1 / norm), F.radians(_c(yaw)), F.radians(_c(pitch) - bias + 90), F.radians(_c(roll))
+        (x, y, F.lit(-1.0)), F.radians(_c(yaw)), F.radians(_c(pitch) - bias + 90), F.radians(_c(roll))
     )
     t = F.try_divide(h, -dz)
     east, north = dx * t, dy * t
@@ -138,7 +149,8 @@ def project_to_ground_guarded(
         limit = F.greatest(limit, _c(max_distance))
     glat = lat + north / METERS_PER_DEGREE
     glon = lon + F.try_divide(east, METERS_PER_DEGREE * F.cos(F.radians(lat)))
-    ok = (dz < -1e-3) & (F.sqrt(east * east + north * north) <= limit) & glat.between(-90, 90)
+    length = F.sqrt(x * x + y * y + 1)
+    ok = (dz < -1e-3 * length) & (F.sqrt(east * east + north * north) <= limit) & glat.between(-90, 90)
     wrapped = F.pmod(glon + 180, F.lit(360.0)) - 180
     return F.when(ok, F.struct(glat.alias("lat"), wrapped.alias("lon")))
 

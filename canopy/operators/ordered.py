@@ -5,12 +5,13 @@ are first cut into order-consistent buckets: the window runs inside
 ``(keys, bucket)``, and only one summary row per bucket is ordered per key.
 The bucket must not decrease along the first order column; when none is given,
 splitters come from a quantile sketch of that column. Sketch error only moves
-rows between buckets, results stay exact.
+rows between buckets, results stay exact. Keys and buckets must not be NULL: the
+way back to the rows is a plain equi-join, which reuses the window's partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -33,16 +34,6 @@ def _bucketed(df: DataFrame, order: Sequence[str], bucket: Column | None) -> Dat
     return df.withColumn(BUCKET, bucket)
 
 
-def _join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on null-safe keys, keeping the left key columns."""
-    renamed = other
-    cond = F.lit(True)
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"__r_{k}")
-        cond = cond & df[k].eqNullSafe(renamed[f"__r_{k}"])
-    return df.join(renamed, cond, "left").drop(*[f"__r_{k}" for k in keys])
-
-
 def _order(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -63,7 +54,7 @@ def row_numbers(
     inner = W.partitionBy(*keys, BUCKET).orderBy(*_order(order))
     numbered = b.withColumn("__place", F.row_number().over(inner))
     return (
-        _join_keys(numbered, starts, [*keys, BUCKET])
+        numbered.join(starts, [*keys, BUCKET])
         .withColumn(out, F.col("__start") + F.col("__place"))
         .drop("__start", "__place", BUCKET)
     )
@@ -86,7 +77,7 @@ def running_sum(
     inner = W.partitionBy(*keys, BUCKET).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, 0)
     summed = b.withColumn("__cum", F.sum("__v").over(inner))
     return (
-        _join_keys(summed, starts, [*keys, BUCKET])
+        summed.join(starts, [*keys, BUCKET])
         .withColumn(out, F.coalesce(F.col("__start"), F.lit(0)) + F.col("__cum"))
         .drop("__start", "__cum", "__v", BUCKET)
     )
@@ -96,64 +87,41 @@ def fill(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    value: Column,
-    before: str | None = None,
-    after: str | None = None,
+    before: Mapping[str, Column] | None = None,
+    after: Mapping[str, Column] | None = None,
     inclusive: bool = True,
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Nearest non-null ``value`` at or before (``before``) and at or after
-    (``after``) each row; ``inclusive=False`` leaves the row itself out."""
-    keys = list(keys)
-    b = _bucketed(df, order, bucket).withColumn("__v", value)
-    inner = W.partitionBy(*keys, BUCKET).orderBy(*_order(order))
+    """Nearest non-null value at or before each row (``before``) and at or after it
+    (``after``), all in one pass; ``inclusive=False`` leaves the row itself out."""
+    keys, before, after = list(keys), dict(before or {}), dict(after or {})
+    b = _bucketed(df, order, bucket)
+    for n, v in (before | after).items():
+        b = b.withColumn(f"__v_{n}", v)
     edge = 0 if inclusive else 1
-    at = F.struct(*[F.col(c) for c in order])
-    has = F.when(F.col("__v").isNotNull(), at)
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    here = lambda n: F.when(F.col(f"__v_{n}").isNotNull(), at)
     summary = b.groupBy(*keys, BUCKET).agg(
-        F.max_by("__v", has).alias("__last"), F.min_by("__v", has).alias("__first")
+        *[F.max_by(f"__v_{n}", here(n)).alias(f"__e_{n}") for n in before],
+        *[F.min_by(f"__v_{n}", here(n)).alias(f"__e_{n}") for n in after],
     )
     across = W.partitionBy(*keys).orderBy(BUCKET)
+    past, future = across.rowsBetween(W.unboundedPreceding, -1), across.rowsBetween(1, W.unboundedFollowing)
     summary = summary.select(
-        *keys,
-        BUCKET,
-        F.last("__last", True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias("__carry_l"),
-        F.first("__first", True).over(across.rowsBetween(1, W.unboundedFollowing)).alias("__carry_f"),
+        *keys, BUCKET,
+        *[F.last(f"__e_{n}", True).over(past).alias(f"__c_{n}") for n in before],
+        *[F.first(f"__e_{n}", True).over(future).alias(f"__c_{n}") for n in after],
     )
-    res = b
-    if before:
-        res = res.withColumn("__l", F.last("__v", True).over(inner.rowsBetween(W.unboundedPreceding, -edge)))
-    if after:
-        # Reading the order backwards keeps the frame growing one row at a time.
-        rev = W.partitionBy(*keys, BUCKET).orderBy(*[F.col(c).desc() for c in order])
-        res = res.withColumn("__f", F.last("__v", True).over(rev.rowsBetween(W.unboundedPreceding, -edge)))
-    res = _join_keys(res, summary, [*keys, BUCKET])
-    if before:
-        res = res.withColumn(before, F.coalesce("__l", "__carry_l"))
-    if after:
-        res = res.withColumn(after, F.coalesce("__f", "__carry_f"))
-    return res.drop("__l", "__f", "__carry_l", "__carry_f", "__v", BUCKET)
-
-
-def split_at_gaps(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: str,
-    gap: float,
-    out: str,
-) -> DataFrame:
-    """Number the stretches of ``position`` that lie more than ``gap`` apart.
-
-    Positions are reduced to one min/max pair per ``gap``-wide cell before any
-    ordering, so the ordered part holds cells, not rows.
-    """
-    keys = list(keys)
-    cell = F.floor(F.col(position) / F.lit(float(gap))).cast("long")
-    b = df.withColumn(BUCKET, cell)
-    cells = b.groupBy(*keys, BUCKET).agg(F.min(position).alias("__lo"), F.max(position).alias("__hi"))
-    w = W.partitionBy(*keys).orderBy(BUCKET)
-    cells = cells.withColumn("__prev", F.lag("__hi").over(w)).withColumn(
-        "__cut", F.when(F.col("__lo") - F.col("__prev") > F.lit(float(gap)), 1).otherwise(0)
+    up = W.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(W.unboundedPreceding, -edge)
+    # Reading the order backwards keeps the frame growing one row at a time.
+    down = W.partitionBy(*keys, BUCKET).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(
+        W.unboundedPreceding, -edge
     )
-    cells = cells.select(*keys, BUCKET, F.sum("__cut").over(w).cast("long").alias(out))
-    return _join_keys(b, cells, [*keys, BUCKET]).drop(BUCKET)
+    for names, w in ((before, up), (after, down)):
+        for n in names:
+            b = b.withColumn(f"__i_{n}", F.last(f"__v_{n}", True).over(w))
+    res = b.join(summary, [*keys, BUCKET])
+    names = [*before, *after]
+    for n in names:
+        res = res.withColumn(n, F.coalesce(f"__i_{n}", f"__c_{n}"))
+    return res.drop(BUCKET, *[f"__{p}_{n}" for p in "vic" for n in names])

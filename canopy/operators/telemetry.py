@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from canopy.functions import detection as D
-from canopy.operators.ordered import bucket_by_splits, fill, row_numbers
+from canopy.operators.ordered import fill, row_numbers
 from canopy.operators.quantiles import exact_quantiles
 
+# Frames per bucket where rows are ordered by frame.
+FRAMES_PER_CELL = 1024
+
+
+def frame_cell(order: str = "frame") -> Column:
+    return F.floor(F.col(order) / FRAMES_PER_CELL)
+
+
 GEO_FIELDS = [
     "lat", "lon", "alt", "lat_drone", "lon_drone", "rel_alt", "abs_alt", "focal_len", "dzoom_ratio",
     "gb_yaw", "gb_pitch", "gb_roll",
@@ -74,7 +83,7 @@ def nearest_telemetry(
     ts: str = "ts",
     values: Sequence[str] = ("lat", "lon", "alt"),
     keys: Sequence[str] = ("video_id",),
-    bucket: Column | None = None,
+    bucket_seconds: float = 3600.0,
 ) -> DataFrame:
     """Telemetry row nearest in time, either side; the earlier one on a tie.
 
@@ -89,7 +98,8 @@ def nearest_telemetry(
                        F.lit(0).alias("__side"), F.struct(*left.columns).alias("__row"))
     both = marks.unionByName(asks)
     # Questions sort before marks of the same time, so an exact hit is always "after".
-    filled = fill(both, keys, ["__t", "__side", "__m"], F.col("__m"), before="__b", after="__a", bucket=bucket)
+    m = F.col("__m")
+    filled = fill(both, keys, ["__t", "__side", "__m"], {"__b": m}, {"__a": m}, bucket=F.floor(F.col("__t") / bucket_seconds))
     closer_before = F.col("__a").isNull() | (
         F.col("__b").isNotNull() & (F.col("__t") - F.col("__b.at") <= F.col("__a.at") - F.col("__t"))
     )
@@ -102,19 +112,18 @@ def nearest_telemetry(
 
 def nearest_by_frame(
     left: DataFrame, telemetry: DataFrame, fps: float, values: Sequence[str] = ("lat", "lon", "alt"),
-    bucket: Column | None = None,
 ) -> DataFrame:
     """Frames matched to the telemetry nearest to their rounded second."""
     # Half to even, as the rounding of the counter this follows.
     asked = left.withColumn("ts", F.rint(F.col("frame") / fps))
-    return nearest_telemetry(asked, telemetry, "ts", values, bucket=bucket)
+    return nearest_telemetry(asked, telemetry, "ts", values)
 
 
 def heading(telemetry: DataFrame, bucket: Column | None = None) -> DataFrame:
     """Viewing direction in radians: gimbal yaw, else the course minus a quarter turn;
     the last position takes the mean of the two before it."""
-    here = F.struct("lat", "lon")
-    nxt = fill(telemetry, ["video_id"], ["frame"], here, after="__n", inclusive=False, bucket=bucket)
+    cell = frame_cell() if bucket is None else bucket
+    nxt = fill(telemetry, ["video_id"], ["frame"], after={"__n": F.struct("lat", "lon")}, inclusive=False, bucket=cell)
     course = F.atan2(F.col("__n.lat") - F.col("lat"), F.col("__n.lon") - F.col("lon")) - F.pi() / 2
     c = nxt.withColumn("__course", F.when(F.col("__n").isNotNull(), course))
     # The last two known courses per video, as a bounded aggregate.
@@ -169,25 +178,22 @@ def locate_detections(
     u, v = (F.col("x1") + F.col("x2")) * 0.5, (F.col("y1") + F.col("y2")) * 0.5
     nonzero = lambda c: F.when(F.col(c) != 0, F.col(c))
     alt = F.coalesce(nonzero("rel_alt"), nonzero("alt"), F.col("abs_alt"))
-    h, _ = D.fov_degrees("focal_len", "dzoom_ratio", hfov, vfov)
     flown = det.withColumn("lat_drone", F.col("lat")).withColumn("lon_drone", F.col("lon"))
-    # Without a focal length a given vertical angle still fixes the camera.
-    ground = D.project_to_ground(
-        u, v, width, height, "lat_drone", "lon_drone", alt, "gb_yaw", "gb_pitch", "gb_roll", hfov=h,
-        ground_alt=ground_alt,
-    )
+    fx = D.focal_pixels(width, "focal_len", "dzoom_ratio", hfov)
     if hfov is None and vfov is not None:
-        by_v = D.project_to_ground(
-            u, v, width, height, "lat_drone", "lon_drone", alt, "gb_yaw", "gb_pitch", "gb_roll", vfov=vfov,
-            ground_alt=ground_alt,
-        )
-        ground = F.when(F.col("focal_len") > 0, ground).otherwise(by_v)
+        # Without a focal length a given vertical angle still fixes the camera.
+        fx = F.coalesce(fx, F.lit(height / 2 / math.tan(math.radians(vfov) / 2) * width / height))
+    # Each step is its own column: later steps use it several times.
+    wx, wy, wz = D.ground_ray(u, v, width, height, F.col("__fx"), "gb_yaw", "gb_pitch", "gb_roll")
+    rays = flown.withColumn("__fx", fx).withColumn("__h", alt).select(
+        *flown.columns, "__h", wx.alias("__wx"), wy.alias("__wy"), wz.alias("__wz")
+    )
+    t = F.try_divide(F.lit(float(ground_alt)) - F.col("__h"), F.col("__wz"))
+    reached = rays.withColumn("__t", t)
+    lat, lon, hit = D.ground_point("lat_drone", "lon_drone", "__wx", "__wy", "__wz", "__t")
     return (
-        flown.withColumn("__g", ground)
-        .withColumn("grounded", F.col("__g").isNotNull())
-        .withColumn("lat", F.col("__g.lat"))
-        .withColumn("lon", F.col("__g.lon"))
-        .drop("__g")
+        reached.withColumn("grounded", F.coalesce(hit, F.lit(False)))
+        .withColumn("lat", lat).withColumn("lon", lon).drop("__h", "__wx", "__wy", "__wz", "__t")
     )
 
 
@@ -202,64 +208,50 @@ def chain_timestamps(telemetry: DataFrame, file_order: str = "file_no", gap: flo
     )
 
 
-def turning_points(track: DataFrame, keys: Sequence[str] = ("video_id",), order: str = "frame") -> DataFrame:
+def turning_points(
+    track: DataFrame, keys: Sequence[str] = ("video_id",), order: str = "frame", bucket: Column | None = None
+) -> DataFrame:
     """Direction changes per axis, forward and reversed, coded 1, 2, 4, 8 and summed.
 
     Equal neighbours are collapsed before looking at directions. A forward change
     sits at the run's last row, a reversed one at its first.
     """
-    keys = list(keys)
-    t = bucket_by_splits(track, order).withColumnRenamed("__bucket", "__tb")
-    bucket = F.col("__tb")
-    parts = []
-    for axis, code_f, code_r in (("lat", 1, 2), ("lon", 4, 8)):
-        parts.append(_axis_turns(t, keys, order, axis, code_f, code_r, bucket))
-    out = t
-    for p, c in zip(parts, ("__lat", "__lon")):
-        out = out.join(p.withColumnRenamed("__code", c), [*keys, order], "left")
-    code = F.coalesce("__lat", F.lit(0)) + F.coalesce("__lon", F.lit(0))
-    return out.withColumn("turn", code.cast("int")).drop("__lat", "__lon", "__tb")
-
-
-def _axis_turns(t, keys, order, axis, code_f, code_r, bucket) -> DataFrame:
-    v = F.col(axis)
-    mine = t.select(*keys, order, axis, "__tb")
-    n = fill(mine, keys, [order], v, before="__p", after="__n", inclusive=False, bucket=bucket)
-    run_start = F.col("__p").isNull() | (F.col("__p") != v)
-    run_end = F.col("__n").isNull() | (F.col("__n") != v)
-    marked = n.withColumn("__s", run_start).withColumn("__e", run_end)
-
-    # A turn at a run: its neighbours in the collapsed series lie on the same side.
-    # At a run's last row the next value is the next run's; the previous run's value
-    # is the row before the run's first row, carried along the run.
-    start = F.when(F.col("__s"), F.struct(F.col("__p").alias("v")))
-    end = F.when(F.col("__e"), F.struct(F.col("__n").alias("v")))
-    f = fill(marked.select(*keys, order, axis, "__tb", "__s", "__e", start.alias("__st"), end.alias("__en")),
-             keys, [order], F.col("__st"), before="__prev", bucket=bucket)
-    f = fill(f, keys, [order], F.col("__en"), after="__next", bucket=bucket)
-    before, after = F.col("__prev.v"), F.col("__next.v")
-    turn = F.when((before < v) & (after < v), -1).when((before > v) & (after > v), 1).otherwise(0)
-    forward = F.when(F.col("__e"), turn * code_f).otherwise(0)
-    backward = F.when(F.col("__s"), turn * code_r).otherwise(0)
-    return f.select(*keys, order, (forward + backward).alias("__code"))
-
-
-def interpolate_positions(telemetry: DataFrame, keys: Sequence[str] = ("video_id",), order: str = "frame") -> DataFrame:
+    cell = frame_cell(order) if bucket is None else bucket
+    both = F.struct("lat", "lon")
+    n = fill(track, keys, [order], {"__p": both}, {"__n": both}, inclusive=False, bucket=cell)
+    starts, ends = {}, {}
+    for axis in ("lat", "lon"):
+        v, p, q = F.col(axis), F.col(f"__p.{axis}"), F.col(f"__n.{axis}")
+        n = n.withColumn(f"__s_{axis}", F.col("__p").isNull() | (p != v))
+        n = n.withColumn(f"__e_{axis}", F.col("__n").isNull() | (q != v))
+        # Value of the run before, known at a run's first row; of the run after, at its last.
+        starts[f"__before_{axis}"] = F.when(F.col(f"__s_{axis}"), F.struct(p.alias("v")))
+        ends[f"__after_{axis}"] = F.when(F.col(f"__e_{axis}"), F.struct(q.alias("v")))
+    n = fill(n, keys, [order], starts, ends, bucket=cell)
+    code = F.lit(0)
+    for axis, forward, backward in (("lat", 1, 2), ("lon", 4, 8)):
+        v, before, after = F.col(axis), F.col(f"__before_{axis}.v"), F.col(f"__after_{axis}.v")
+        turn = F.when((before < v) & (after < v), -1).when((before > v) & (after > v), 1).otherwise(0)
+        places = F.when(F.col(f"__e_{axis}"), forward).otherwise(0) + F.when(F.col(f"__s_{axis}"), backward).otherwise(0)
+        code = code + turn * places
+    return n.withColumn("turn", code.cast("int")).select(*track.columns, "turn")
+
+
+def interpolate_positions(
+    telemetry: DataFrame, keys: Sequence[str] = ("video_id",), order: str = "frame", bucket: Column | None = None
+) -> DataFrame:
     """Positions between consecutive turning points replaced by a straight line over the
     row index; the first and last rows are anchors too, adjacent anchors change nothing."""
     keys = list(keys)
-    turned = row_numbers(turning_points(telemetry, keys, order), keys, [order], "__i")
+    cell = frame_cell(order) if bucket is None else bucket
+    turned = row_numbers(turning_points(telemetry, keys, order, cell), keys, [order], "__i", cell)
     sizes = turned.groupBy(*keys).agg(F.max("__i").alias("__size"))
     t = turned.join(sizes, keys)
     anchor = (F.col("turn") != 0) | (F.col("__i") == 1) | (F.col("__i") == F.col("__size"))
     mark = F.when(anchor, F.struct(F.col("__i").alias("i"), "lat", "lon"))
-    t = fill(t, keys, ["__i"], mark, before="__a", after="__b")
+    t = fill(t, keys, ["__i"], {"__a": mark}, {"__b": mark}, bucket=frame_cell("__i"))
     span = F.col("__b.i") - F.col("__a.i")
     line = lambda c: F.when(
         span > 0, F.col(f"__a.{c}") + (F.col(f"__b.{c}") - F.col(f"__a.{c}")) * (F.col("__i") - F.col("__a.i")) / span
     ).otherwise(F.col(c))
-    return (
-        t.withColumn("__lat", line("lat")).withColumn("__lon", line("lon"))
-        .withColumn("lat", F.col("__lat")).withColumn("lon", F.col("__lon"))
-        .drop("__lat", "__lon", "__a", "__b", "__i", "__size", "turn")
-    )
+    return t.select(*[line(c).alias(c) if c in ("lat", "lon") else F.col(c) for c in telemetry.columns])
