@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ["scenes", "projections", "joins", "geometry", "vegetation", "stats", "wildlife"]
+SECTIONS = ["scenes", "projections", "joins", "geometry", "vegetation", "stats", "wildlife", "sources"]
 
 
 def load():
