@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from canopy.functions import geometry as G
-from canopy.operators.folds import map_groups
+from canopy.operators.folds import fold_sorted, independent_parts, map_groups
 from canopy.session import cut_lineage
 
 VIDEO = "video_id"
@@ -90,53 +90,113 @@ def fragment_candidates(
         .withColumn("allowed_m", allowed)
         .filter(F.col("distance_m") <= F.col("allowed_m"))
         .withColumn("score", F.col("distance_m") / F.greatest(F.col("allowed_m"), F.lit(1e-6)))
-        .select(VIDEO, "src", "dst", "distance_m", "allowed_m", "score")
+        .select(VIDEO, "src", "dst", "end_frame", "start_frame", "distance_m", "allowed_m", "score")
     )
 
 
-def greedy_links(candidates: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _link_step():
+    followed, preceded = set(), set()
+
+    def step(src, dst) -> tuple[bool]:
+        if src in followed or dst in preceded:
+            return (False,)
+        followed.add(src)
+        preceded.add(dst)
+        return (True,)
+
+    return step
+
+
+def greedy_links(candidates: DataFrame, part_limit: int = 200_000) -> DataFrame:
     """One successor and one predecessor per fragment, best scores first.
 
-    An edge that is the best of both its ends is taken by the greedy order whatever
-    happens elsewhere. Each round takes all such edges at once and drops those they
-    block, so rounds follow the longest chain of competing edges, not the edge count.
+    Edges compete only when they share a source or a target, and then their time
+    spans touch; pauses between spans cut the edges into parts. Parts within
+    ``part_limit`` edges are matched by one ordered pass each, larger ones in
+    parallel rounds with the same outcome.
     """
+    axes = [("end_frame", "start_frame", 0.0, 256.0)]
+    parts = cut_lineage(independent_parts(candidates, [VIDEO], axes, "__part"))
+    sizes = parts.groupBy(VIDEO, "__part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part_limit)
+    large = sizes.select(VIDEO, "__part")
+    order = [F.col(c) for c in ("score", "distance_m", "src", "dst")]
+    folded = fold_sorted(
+        parts.join(large, [VIDEO, "__part"], "left_anti"), [VIDEO, "__part"], order, ["src", "dst"], "__won boolean", _link_step
+    )
+    links = folded.filter("__won").select(VIDEO, "src", "dst", "end_frame")
+    if large.isEmpty():
+        return links
+    rest = parts.join(large, [VIDEO, "__part"], "left_semi")
+    return links.unionByName(_link_rounds(rest))
+
+
+def _link_rounds(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """An edge that is the best of both its ends is taken by the greedy order whatever
+    happens elsewhere. Each round takes all such edges and drops those they block."""
     rank = F.struct("score", "distance_m", "src", "dst")
-    open_edges = cut_lineage(candidates.select(VIDEO, "src", "dst", rank.alias("rank")))
-    taken = None
+    left = cut_lineage(edges.select(VIDEO, "src", "dst", "end_frame", rank.alias("rank")))
+    taken = []
     for _ in range(max_rounds):
-        best_out = open_edges.groupBy(VIDEO, "src").agg(F.min("rank").alias("bo"))
-        best_in = open_edges.groupBy(VIDEO, "dst").agg(F.min("rank").alias("bi"))
-        won = (
-            open_edges.join(best_out, [VIDEO, "src"]).join(best_in, [VIDEO, "dst"])
+        best_out = left.groupBy(VIDEO, "src").agg(F.min("rank").alias("bo"))
+        best_in = left.groupBy(VIDEO, "dst").agg(F.min("rank").alias("bi"))
+        won = cut_lineage(
+            left.join(best_out, [VIDEO, "src"]).join(best_in, [VIDEO, "dst"])
             .filter((F.col("rank") == F.col("bo")) & (F.col("rank") == F.col("bi")))
-            .select(VIDEO, "src", "dst")
+            .select(VIDEO, "src", "dst", "end_frame")
         )
-        won = cut_lineage(won)
         if won.isEmpty():
             break
-        taken = won if taken is None else taken.unionByName(won)
-        open_edges = cut_lineage(
-            open_edges.join(won.select(VIDEO, "src"), [VIDEO, "src"], "left_anti")
+        taken.append(won)
+        left = cut_lineage(
+            left.join(won.select(VIDEO, "src"), [VIDEO, "src"], "left_anti")
             .join(won.select(VIDEO, "dst"), [VIDEO, "dst"], "left_anti")
         )
     else:
         raise RuntimeError("greedy matching did not settle")
-    return taken if taken is not None else open_edges.select(VIDEO, "src", "dst").limit(0)
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _head_step():
+    """Links in time order: a fragment's own link into it comes before the one out of it."""
+    heads: dict[int, int] = {}
+
+    def step(src, dst) -> tuple[int]:
+        heads[dst] = heads.pop(src, src)
+        return (heads[dst],)
+
+    return step
+
+
+def chain_heads(links: DataFrame, video_limit: int = 500_000) -> DataFrame:
+    """``entity_id -> merged_id``, the earliest fragment of its chain, for linked fragments.
+
+    Videos within ``video_limit`` links are followed in one ordered pass, larger
+    ones by pointer doubling.
+    """
+    links = cut_lineage(links)
+    large = links.groupBy(VIDEO).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > video_limit).select(VIDEO)
+    folded = fold_sorted(
+        links.join(large, VIDEO, "left_anti"), [VIDEO], [F.col("end_frame"), F.col("src")], ["src", "dst"],
+        "merged_id long", _head_step,
+    )
+    heads = folded.select(VIDEO, F.col("dst").alias("entity_id"), "merged_id")
+    if large.isEmpty():
+        return heads
+    return heads.unionByName(_double_pointers(links.join(large, VIDEO, "left_semi")))
 
 
-def chain_heads(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Earliest fragment of each chain, by pointer doubling; ``fragment -> head`` for linked ones."""
-    up = links.select(VIDEO, F.col("dst").alias("node"), F.col("src").alias("parent"))
-    up = cut_lineage(up)
+def _double_pointers(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+    up = cut_lineage(links.select(VIDEO, F.col("dst").alias("node"), F.col("src").alias("parent")))
     for _ in range(max_rounds):
         grand = up.select(VIDEO, F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        stepped = up.join(grand, [VIDEO, "parent"], "left")
-        nxt = cut_lineage(stepped.select(
+        stepped = cut_lineage(up.join(grand, [VIDEO, "parent"], "left").select(
             VIDEO, "node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")
         ))
-        up = nxt.drop("moved")
-        if nxt.filter("moved").isEmpty():
+        up = stepped.drop("moved")
+        if stepped.filter("moved").isEmpty():
             return up.select(VIDEO, F.col("node").alias("entity_id"), F.col("parent").alias("merged_id"))
     raise RuntimeError("chains did not settle")
 

@@ -21,26 +21,27 @@ def value_bounds(
     percentiles: tuple[float, float] | None = None,
     forced_min: float | None = None,
     forced_max: float | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row ``lo, hi`` over all values of all columns; NaN counts as 0."""
+    """``lo, hi`` over all values of all columns (per ``by`` key); NaN counts as 0."""
     is_array = {c: df.schema[c].dataType.typeName() == "array" for c in cols}
     clean = lambda v: F.when(F.isnan(v), 0.0).otherwise(v)
     if percentiles is not None:
         parts = F.concat(*[
             F.transform(c, clean) if is_array[c] else F.array(clean(F.col(c))) for c in cols
         ])
-        long = df.select(F.explode(parts).alias("v"))
-        q = exact_quantiles(long, [], "v", {"lo": percentiles[0] / 100, "hi": percentiles[1] / 100})
+        long = df.select(*by, F.explode(parts).alias("v"))
+        q = exact_quantiles(long, by, "v", {"lo": percentiles[0] / 100, "hi": percentiles[1] / 100})
     else:
         low = [F.array_min(F.transform(c, clean)) if is_array[c] else clean(F.col(c)) for c in cols]
         high = [F.array_max(F.transform(c, clean)) if is_array[c] else clean(F.col(c)) for c in cols]
-        q = df.agg(
+        q = df.groupBy(*by).agg(
             F.least(*[F.min(v) for v in low], F.min(low[0])).alias("lo"),
             F.greatest(*[F.max(v) for v in high], F.max(high[0])).alias("hi"),
         )
     lo = F.lit(float(forced_min)) if forced_min is not None else F.col("lo")
     hi = F.lit(float(forced_max)) if forced_max is not None else F.col("hi")
-    return q.select(lo.alias("lo"), hi.alias("hi"))
+    return q.select(*by, lo.alias("lo"), hi.alias("hi"))
 
 
 def global_minmax(
@@ -50,15 +51,18 @@ def global_minmax(
     percentiles: tuple[float, float] | None = None,
     forced_min: float | None = None,
     forced_max: float | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Columns (numbers or arrays) scaled by one common minimum and maximum."""
+    """Columns (numbers or arrays) scaled by one common minimum and maximum (per ``by`` key)."""
     a, b = feature_range
     if a >= b:
         raise ValueError("feature_range must rise")
-    bounds = value_bounds(df, cols, percentiles, forced_min, forced_max)
-    s = bounds.select(F.struct("lo", "hi").alias("s")).scalar()
+    bounds = value_bounds(df, cols, percentiles, forced_min, forced_max, by)
+    if by:
+        df = df.join(bounds.select(*by, F.struct("lo", "hi").alias("__bounds")), list(by))
+    else:
+        df = df.withColumn("__bounds", bounds.select(F.struct("lo", "hi").alias("s")).scalar())
     lo, hi = F.col("__bounds.lo"), F.col("__bounds.hi")
-    df = df.withColumn("__bounds", s)
     for c in cols:
         array = df.schema[c].dataType.typeName() == "array"
 

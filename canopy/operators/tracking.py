@@ -137,6 +137,7 @@ def spatial_clusters(
     video spreads over many tasks; each part then streams through the matcher.
     """
     rules = ClusterRules(radius_m, max_idle_frames, min_hits, freeze_after or None, reassoc_m)
+    det = cut_lineage(det)
     has = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     placed, missing = det.filter(has), det.filter(~has)
     origin = placed.groupBy(VIDEO).agg(F.min_by(F.struct("lat", "lon"), _first_key()).alias("__o"))
@@ -151,7 +152,7 @@ def spatial_clusters(
         ("__x", "__x", rules.reach, rules.reach),
         ("__y", "__y", rules.reach, rules.reach),
     ]
-    parts = independent_parts(cut_lineage(metric), [VIDEO], axes, "__part")
+    parts = independent_parts(metric, [VIDEO], axes, "__part")
     fields = "__local long, cluster_hits long, __cx double, __cy double"
     folded = cut_lineage(
         fold_sorted(
@@ -197,7 +198,7 @@ def resolve_entities(
     rules = EntityRules(gap_frames, radius_m, fps, max_speed_mps)
     given = det if "cluster_id" in det.columns else det.withColumn("cluster_id", F.lit(None).cast("long"))
     axes = [("frame", "frame", float(gap_frames), float(max(gap_frames, 1)))]
-    parts = independent_parts(cut_lineage(given), [VIDEO], axes, "__part")
+    parts = independent_parts(given, [VIDEO], axes, "__part")
     folded = cut_lineage(
         fold_sorted(
             parts, [VIDEO, "__part"], frame_order(),

@@ -2,7 +2,10 @@
 
 import importlib
 
-SECTIONS = ["scenes", "projections", "joins", "geometry", "vegetation", "stats", "wildlife", "sources"]
+SECTIONS = [
+    "scenes", "projections", "joins", "geometry", "vegetation", "stats", "wildlife", "sources", "signal", "learning",
+    "products", "streams",
+]
 
 
 def load():
