@@ -11,9 +11,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from canopy.functions import geometry as G
+from canopy.operators.folds import map_groups
+from canopy.operators.ordered import row_numbers
 
 CELL = ["row", "col"]
 
@@ -198,8 +200,6 @@ def combine_regions(regions: DataFrame, by: str, order: str) -> tuple[DataFrame,
     good = (F.col("n_epsg") == 1) & (F.col("not_polygon") == 0)
     ok = tagged.join(info.filter(good).select("__g", "__first"), "__g")
     members = ok.select("__g", F.col(order).alias("__o"), "region_id", "part").distinct()
-    from canopy.operators.ordered import row_numbers
-
     parts = row_numbers(members, ["__g"], ["__o", "region_id", "part"], "__p")
     first_props = (
         ok.filter(F.col("region_id") == F.col("__first.region_id")).groupBy("__g").agg(F.first("props").alias("__props"))
@@ -252,16 +252,19 @@ def footprint(pixels: DataFrame, key: str = "cube_id", block: int = 1024) -> Dat
     )
     key_type = pixels.schema[key].dataType.simpleString()
 
-    def block_hull(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def block_hull(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = _hull(pdf[["x", "y"]].to_numpy())
         return pd.DataFrame({key: k[0], "x": h[:, 0], "y": h[:, 1]})
 
-    def scene_hull(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def scene_hull(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = _hull(pdf[["x", "y"]].to_numpy())
         return pd.DataFrame({key: k[0], "vertex": np.arange(len(h), dtype="int32"), "x": h[:, 0], "y": h[:, 1]})
 
-    blocks = corners.groupBy(key, "__block").applyInPandas(block_hull, f"{key} {key_type}, x double, y double")
-    return blocks.groupBy(key).applyInPandas(scene_hull, f"{key} {key_type}, vertex int, x double, y double")
+    blocks = map_groups(
+        corners, [key, "__block"], [], T.StructType.fromDDL(f"{key} {key_type}, x double, y double"), block_hull
+    )
+    schema = T.StructType.fromDDL(f"{key} {key_type}, vertex int, x double, y double")
+    return map_groups(blocks, [key], [], schema, scene_hull)
 
 
 def footprint_regions(hull: DataFrame, key: str, transform: Sequence[float], epsg: int) -> DataFrame:

@@ -93,13 +93,13 @@ def test_spectrum_to_xyz(spark):
     got = df.select(C.spectrum_to_xyz(axis).alias("c")).select("c.*").first()
     want = C.color_matching([560.0])[:, 0] * 10
     assert (got.x, got.y, got.z) == pytest.approx(tuple(want))
-    assert C.xyz_weights(axis)[:, 0].tolist() == [0, 0, 0] and C.xyz_weights(axis)[1, 1] > 0
+    assert C.xyz_weights(axis)[:, 0].tolist() == [0, 0, 0] and C.xyz_weights(axis)[1, 2] > 0
 
 
 def test_colorize(spark):
     df = _points(spark, [(0, 0), (0.5, 0), (1, 0), (2, 0), (-1, 0), (0.25, 0)])
     got = [(r.r, r.g, r.b) for r in df.select(C.colorize(F.col("x"), ["#FF0000", "#00FF00", "#0000FF"]).alias("c")).select("c.*").collect()]
-    assert got == pytest.approx([(1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 1), (1, 0, 0), (0.5, 0.5, 0)])
+    assert np.allclose(got, [(1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 1), (1, 0, 0), (0.5, 0.5, 0)])
 
 
 def test_quadratic_calibration(spark):
