@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from canopy.functions.spectral import to_uint8
 
@@ -66,31 +66,57 @@ def s2_msi(b08="b08", b11="b11", scaled: bool = False) -> Column:
     return F.floor(v * (255 / 3)).cast("int") if scaled else v
 
 
-def s2_lai(zenith="zenith", azimuth="azimuth", scaled: bool = False, **bands) -> Column:
-    """Leaf area index / 3, clipped to 0..3; NULL where b03 is 0 or missing.
-
-    The two angle inputs are used as the reference uses them: zenith in the
-    view-zenith slot and azimuth in the sun-zenith slot.
-    """
-    zen, azi = _col(zenith), _col(azimuth)
+def _lai_inputs(zenith, azimuth, bands: dict) -> tuple[dict[str, Column], Column]:
+    """The eleven network inputs, never NULL, and whether the row has them all."""
+    inputs = {b: _col(bands.get(b, b)) for b in list(LAI_INPUTS)[:8]} | {"zenith": _col(zenith), "azimuth": _col(azimuth)}
+    known = {k: F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in inputs.items()}
     rad = math.pi / 180
-    raw = {b: _col(bands.get(b, b)) / 10000 for b in list(LAI_INPUTS)[:8]}
+    zen, azi = known["zenith"], known["azimuth"]
+    raw = {b: known[b] / 10000 for b in list(LAI_INPUTS)[:8]}
     raw["view_zenith"] = F.cos(zen * rad)
     raw["sun_zenith"] = F.cos(azi * rad)
     raw["relative_azimuth"] = F.cos((zen - azi) * rad)
-    inputs = F.array(*[2 * (raw[k] - lo) / (hi - lo) - 1 for k, (lo, hi, _) in LAI_INPUTS.items()])
-    # Normalised inputs are bound once, so the five neurons do not repeat their expressions.
-    def net(x: Column) -> Column:
-        out = F.lit(LAI_OUTPUT_BIAS)
-        for j in range(5):
-            s = F.lit(LAI_BIAS[j])
-            for i, (_, _, weights) in enumerate(LAI_INPUTS.values()):
-                s = s + weights[j] * x[i]
-            out = out + LAI_OUTPUT_WEIGHTS[j] * (2 / (1 + F.exp(-2 * s)) - 1)
-        lo, hi = LAI_RANGE
-        return (0.5 * (out + 1) * (hi - lo) + lo) / 3
-
-    value = clip(F.get(F.transform(F.array(inputs), net), 0), 0, 3)
-    b03 = _col(bands.get("b03", "b03"))
-    value = F.when(b03 != 0, value)
+    present = inputs["b03"] != 0
+    for c in list(inputs.values())[1:]:
+        present = present & c.isNotNull()
+    return raw, present
+
+
+def _lai_network(raw: dict[str, Column]) -> Column:
+    out = F.lit(LAI_OUTPUT_BIAS)
+    for j in range(5):
+        # Scaling to -1..1 is linear, so it folds into the neuron's weights and bias.
+        neuron = F.lit(LAI_BIAS[j] - sum(w[j] * (2 * lo / (hi - lo) + 1) for lo, hi, w in LAI_INPUTS.values()))
+        for k, (lo, hi, w) in LAI_INPUTS.items():
+            neuron = neuron + raw[k] * (2 * w[j] / (hi - lo))
+        out = out + F.tanh(neuron) * LAI_OUTPUT_WEIGHTS[j]
+    lo, hi = LAI_RANGE
+    return F.least(F.greatest((0.5 * (out + 1) * (hi - lo) + lo) / 3, F.lit(0.0)), F.lit(3.0))
+
+
+def _lai_scaled(value: Column, scaled: bool) -> Column:
     return F.floor(value * (255 / 3)).cast("int") if scaled else value
+
+
+def s2_lai(zenith="zenith", azimuth="azimuth", scaled: bool = False, **bands) -> Column:
+    """Leaf area index / 3, clipped to 0..3; NULL where b03 is 0 or an input is missing.
+
+    The two angle inputs are used as the reference uses them: zenith in the
+    view-zenith slot and azimuth in the sun-zenith slot.
+    """
+    raw, present = _lai_inputs(zenith, azimuth, bands)
+    return _lai_scaled(F.when(present, _lai_network(raw)), scaled)
+
+
+def with_lai(
+    pixels: DataFrame, out: str = "lai", zenith="zenith", azimuth="azimuth", scaled: bool = False, **bands
+) -> DataFrame:
+    """The same as a column ``out``, in two steps: inputs, then the network.
+
+    As one expression next to many other columns the generated method grows past
+    what the JVM compiles; two projections give two short methods.
+    """
+    raw, present = _lai_inputs(zenith, azimuth, bands)
+    fed = pixels.select("*", *[c.alias(f"__{k}") for k, c in raw.items()], present.alias("__present"))
+    value = F.when(F.col("__present"), _lai_network({k: F.col(f"__{k}") for k in raw}))
+    return fed.withColumn(out, _lai_scaled(value, scaled)).drop(*[f"__{k}" for k in raw], "__present")

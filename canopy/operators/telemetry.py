@@ -191,10 +191,11 @@ def locate_detections(
     t = F.try_divide(F.lit(float(ground_alt)) - F.col("__h"), F.col("__wz"))
     reached = rays.withColumn("__t", t)
     lat, lon, hit = D.ground_point("lat_drone", "lon_drone", "__wx", "__wy", "__wz", "__t")
-    return (
-        reached.withColumn("grounded", F.coalesce(hit, F.lit(False)))
-        .withColumn("lat", lat).withColumn("lon", lon).drop("__h", "__wx", "__wy", "__wz", "__t")
-    )
+    # Emitted as a one-row inline: a later filter on the position then tests the value
+    # instead of being pushed down with a copy of all the ray arithmetic.
+    found = F.struct(lat.alias("lat"), lon.alias("lon"), F.coalesce(hit, F.lit(False)).alias("grounded"))
+    rest = [c for c in flown.columns if c not in ("lat", "lon", "grounded")]
+    return reached.select(*rest, F.inline(F.array(found)))
 
 
 def chain_timestamps(telemetry: DataFrame, file_order: str = "file_no", gap: float = 20.0) -> DataFrame:

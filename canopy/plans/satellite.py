@@ -12,7 +12,7 @@ from canopy.operators import catalog as C, raster as R
 
 _FORMULA = {
     "NDVI": lambda scaled: V.s2_ndvi(scaled=scaled), "NBR": lambda scaled: V.s2_nbr(scaled=scaled),
-    "MSI": lambda scaled: V.s2_msi(scaled=scaled), "LAI": lambda scaled: V.s2_lai(scaled=scaled),
+    "MSI": lambda scaled: V.s2_msi(scaled=scaled),
 }
 
 
@@ -38,6 +38,8 @@ def s2_composite(
         kept = kept.join(cells.select("row", "col").distinct(), ["row", "col"], "left_semi")
     stacked = R.stack_bands(kept, bands, keys=["acq_date", "row", "col"])
     best = R.best_pixel_composite(stacked, keys=["row", "col"], bands=bands)
+    if "LAI" in indices:
+        best = V.with_lai(best, scaled=scaled)
     return best.select("*", *[_FORMULA[i](scaled).alias(i.lower()) for i in indices if i in _FORMULA])
 
 

@@ -83,8 +83,8 @@ NDVI = """SELECT scene_order, "row", col, greatest(0, least(1, (b08 - b04) / nul
 @query("colorize", "scene_order:i row:i col:i r:d g:d b:d",
        f"""SELECT scene_order, "row", col, {_ramp_sql('v', 0)} AS r, {_ramp_sql('v', 1)} AS g, {_ramp_sql('v', 2)} AS b FROM ({NDVI})""")
 def _(t):
-    c = C.colorize(V.s2_ndvi(), NDVI_COLORS, NDVI_STOPS)
-    return t.pixels.select("scene_order", "row", "col", c.alias("c")).select("scene_order", "row", "col", "c.*")
+    c = C.colorize(F.col("v"), NDVI_COLORS, NDVI_STOPS)
+    return t.pixels.withColumn("v", V.s2_ndvi()).select("scene_order", "row", "col", c.alias("c")).select("scene_order", "row", "col", "c.*")
 
 
 def _gauss_sql(channel, at):
@@ -115,5 +115,5 @@ def _(t):
        f"""SELECT scene_order, "row", col, lut[i + 1][1] AS r, lut[i + 1][2] AS g, lut[i + 1][3] AS b FROM (
              SELECT scene_order, "row", col, CAST(floor(v * 255) AS INT) AS i, {C.ramp_lut(NDVI_COLORS)} AS lut FROM ({NDVI}))""")
 def _(t):
-    c = C.colorize_lut(V.s2_ndvi(), C.ramp_lut(NDVI_COLORS))
-    return t.pixels.select("scene_order", "row", "col", c.alias("c")).select("scene_order", "row", "col", "c.*")
+    c = C.colorize_lut(F.col("v"), C.ramp_lut(NDVI_COLORS))
+    return t.pixels.withColumn("v", V.s2_ndvi()).select("scene_order", "row", "col", c.alias("c")).select("scene_order", "row", "col", "c.*")

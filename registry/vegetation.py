@@ -114,4 +114,4 @@ def _lai_sql():
 
 @query("s2_lai", f"{P} lai:d", _lai_sql())
 def _(t):
-    return t.pixels.withColumn("lai", V.s2_lai())
+    return V.with_lai(t.pixels)
