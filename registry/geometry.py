@@ -69,9 +69,21 @@ def _(t):
     return reproject(_lonlat(t), "x", "y", 4326, 3857)
 
 
-@query("reproject_utm", "event_id:i x:d y:d")
+# The classic transverse Mercator series of the printed manuals, zone 35.
+UTM_SERIES = f"""SELECT event_id,
+     round(500000 + 0.9996::DOUBLE * nu * (A + (1 - T + C) * pow(A, 3) / 6 + (5 - 18 * T + T * T + 72 * C - 58 * ep) * pow(A, 5) / 120), 0) AS x,
+     round(0.9996::DOUBLE * (M + nu * tan(p) * (A * A / 2 + (5 - T + 9 * C + 4 * C * C) * pow(A, 4) / 24
+       + (61 - 58 * T + T * T + 600 * C - 330 * ep) * pow(A, 6) / 720)), 0) AS y
+   FROM (SELECT *, 6378137.0::DOUBLE / sqrt(1 - e2 * pow(sin(p), 2)) AS nu, pow(tan(p), 2) AS T, ep * pow(cos(p), 2) AS C, radians(x - 27) * cos(p) AS A,
+       6378137.0::DOUBLE * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * pow(e2, 3) / 256) * p - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * p)
+         + (15 * e2 * e2 / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * p) - (35 * pow(e2, 3) / 3072) * sin(6 * p)) AS M
+     FROM (SELECT event_id, x, radians(y) AS p, 0.0066943799901413165::DOUBLE AS e2, 0.006739496742276434::DOUBLE AS ep FROM ({ROUND_TRIP})))"""
+
+
+@query("reproject_utm", "event_id:i x:d y:d", UTM_SERIES)
 def _(t):
-    return reproject(_lonlat(t), "x", "y", 4326, 32635)
+    out = reproject(_lonlat(t), "x", "y", 4326, 32635)
+    return out.select("event_id", F.round("x", 0).alias("x"), F.round("y", 0).alias("y"))
 
 
 @query("bbox", "region_id:s minx:d miny:d maxx:d maxy:d",

@@ -1,6 +1,8 @@
 """Signal filters and colour over spectra."""
 
-import numpy as np
+import math
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from canopy.adapters import WAVELENGTHS
@@ -12,11 +14,27 @@ from registry.core import query
 KEY = "cube_id:s row:i col:i"
 
 
-@query("fft_filter", KEY + " band:i value:d")
+def _matrix_sql(m):
+    """Product of each spectrum with a literal matrix, given as rows of numbers."""
+    cells = ", ".join(f"({i}, {j}, {v!r}::DOUBLE)" for i, row in enumerate(m) for j, v in enumerate(row) if abs(v) > 1e-15)
+    return f"""SELECT cube_id, "row", col, i AS band, sum(value * w) AS value FROM long_spectra JOIN (VALUES {cells}) k(i, j, w) ON band = j GROUP BY ALL"""
+
+
+def _response(f):
+    return 0.5 if f < 0.05 else 0.0 if f > 0.3 else 1.0
+
+
+def _convolution(n=64):
+    """The filter as a circular convolution with its impulse response."""
+    full = [_response(min(k, n - k) / n) for k in range(n)]
+    h = [sum(full[k] * math.cos(2 * math.pi * k * d / n) for k in range(n)) / n for d in range(n)]
+    return [[h[(i - j) % n] for j in range(n)] for i in range(n)]
+
+
+@query("fft_filter", KEY + " band:i value:d", _matrix_sql(_convolution()))
 def _(t):
-    freq = G.fft_frequencies(64)
-    response = np.where(freq < 0.05, 0.5, np.where(freq > 0.3, 0.0, 1.0))
-    return explode_spectrum(t.spectra.withColumn("spectrum", G.fft_filter("spectrum", response.tolist())))
+    response = [_response(f) for f in G.fft_frequencies(64)]
+    return explode_spectrum(t.spectra.withColumn("spectrum", G.fft_filter("spectrum", response)))
 
 
 @query("fft_filter_pass", KEY + " band:i value:d", """SELECT cube_id, "row", col, band, CASE WHEN band < 50 THEN value ELSE 0 END AS value
@@ -27,18 +45,43 @@ def _(t):
     return explode_spectrum(cut.withColumn("spectrum", G.fft_filter("spectrum", [1.0] * 33)))
 
 
-def _savgol_sql():
-    m = G.savgol_matrix(64, 15, 3)
-    rows = ", ".join(f"({i}, {j}, {m[i, j]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::") for i in range(64) for j in range(64) if abs(m[i, j]) > 1e-15)
-    return f"""SELECT cube_id, "row", col, i AS band, sum(value * w) AS value FROM long_spectra JOIN (VALUES {rows}) k(i, j, w) ON band = j GROUP BY ALL"""
-
-
-@query("savgol", KEY + " band:i value:d", _savgol_sql())
+def _solve(a, rhs):
+    """Exact Gauss elimination over fractions."""
+    n = len(a)
+    rows = [[Fraction(v) for v in r] + [Fraction(x)] for r, x in zip(a, rhs)]
+    for i in range(n):
+        p = next(k for k in range(i, n) if rows[k][i] != 0)
+        rows[i], rows[p] = rows[p], rows[i]
+        rows[i] = [v / rows[i][i] for v in rows[i]]
+        for k in range(n):
+            if k != i:
+                rows[k] = [x - rows[k][i] * y for x, y in zip(rows[k], rows[i])]
+    return [r[n] for r in rows]
+
+
+def _polynomial_matrix(n, window, order, deriv=0):
+    """Least-squares polynomial of each window from exact normal equations."""
+    half, out, weights = window // 2, [], {}
+    for i in range(n):
+        start = min(max(i - half, 0), n - window)
+        at = i - start
+        if at not in weights:
+            gram = [[sum(Fraction(t) ** (p + q) for t in range(window)) for q in range(order + 1)] for p in range(order + 1)]
+            powers = [Fraction(math.perm(p, deriv)) * Fraction(at) ** (p - deriv) if p >= deriv else Fraction(0) for p in range(order + 1)]
+            c = _solve(gram, powers)
+            weights[at] = [float(sum(c[p] * Fraction(t) ** p for p in range(order + 1))) for t in range(window)]
+        row = [0.0] * n
+        row[start : start + window] = weights[at]
+        out.append(row)
+    return out
+
+
+@query("savgol", KEY + " band:i value:d", _matrix_sql(_polynomial_matrix(64, 15, 3)))
 def _(t):
     return explode_spectrum(t.spectra.withColumn("spectrum", G.savgol("spectrum", 64, 15, 3)))
 
 
-@query("savgol_derivative", KEY + " band:i value:d")
+@query("savgol_derivative", KEY + " band:i value:d", _matrix_sql(_polynomial_matrix(64, 9, 2, 1)))
 def _(t):
     return explode_spectrum(t.spectra.withColumn("spectrum", G.savgol("spectrum", 64, 9, 2, deriv=1)))
 

@@ -193,17 +193,90 @@ def _(t):
 
 # --- identity ----------------------------------------------------------------
 
-@query("spatial_clusters", "det_id:i cluster_id:n cluster_hits:n cluster_confirmed:b cluster_lat:d cluster_lon:d")
+# One detection per step and video; the clusters so far travel as a list of structs.
+CLUSTERS = f"""
+    WITH RECURSIVE d0 AS MATERIALIZED (SELECT det_id, video_id, frame, conf, track_id, lat, lon, row_number() OVER w AS k,
+                     first_value(lat) OVER w AS olat, first_value(lon) OVER w AS olon FROM ({GROUND}) WHERE lat IS NOT NULL
+                     WINDOW w AS (PARTITION BY video_id ORDER BY frame, conf DESC, x1, y1, det_id)),
+    d AS MATERIALIZED (SELECT *, (lon - olon) * 111320 * cos(radians(olat)) AS x, (lat - olat) * 111320 AS y FROM d0),
+    s AS (SELECT video_id, 0::BIGINT AS k, 0::BIGINT AS det_id, 0::BIGINT AS chosen, 0::BIGINT AS hits, 0.0::DOUBLE AS cx, 0.0::DOUBLE AS cy,
+                 [{{'i': 0::BIGINT, 'n': 0::BIGINT, 'w': 0.0::DOUBLE, 'sx': 0.0::DOUBLE, 'sy': 0.0::DOUBLE, 'f': -1000000::BIGINT, 't': [-1::BIGINT]}}] AS state
+          FROM (SELECT DISTINCT video_id FROM d)
+          UNION ALL
+          SELECT video_id, k, det_id, chosen, list_filter(nstate, lambda c: c.i = chosen)[1].n AS hits,
+                 list_filter(nstate, lambda c: c.i = chosen)[1].sx / list_filter(nstate, lambda c: c.i = chosen)[1].w AS cx,
+                 list_filter(nstate, lambda c: c.i = chosen)[1].sy / list_filter(nstate, lambda c: c.i = chosen)[1].w AS cy, nstate AS state
+          FROM (SELECT *, CASE WHEN old IS NOT NULL THEN list_transform(state, lambda c: CASE WHEN c.i <> old THEN c ELSE
+                    {{'i': c.i, 'n': c.n + 1, 'w': c.w + CASE WHEN move AND c.n < 30 THEN greatest(conf, 0.001) ELSE 0 END,
+                      'sx': c.sx + CASE WHEN move AND c.n < 30 THEN x * greatest(conf, 0.001) ELSE 0 END,
+                      'sy': c.sy + CASE WHEN move AND c.n < 30 THEN y * greatest(conf, 0.001) ELSE 0 END,
+                      'f': frame::BIGINT, 't': CASE WHEN list_contains(c.t, track_id::BIGINT) THEN c.t ELSE list_append(c.t, track_id::BIGINT) END}} END)
+                  ELSE list_append(state, {{'i': len(state)::BIGINT, 'n': 1::BIGINT, 'w': greatest(conf, 0.001)::DOUBLE, 'sx': (x * greatest(conf, 0.001))::DOUBLE,
+                      'sy': (y * greatest(conf, 0.001))::DOUBLE, 'f': frame::BIGINT, 't': [track_id::BIGINT]}}) END AS nstate, coalesce(old, len(state)) AS chosen
+            FROM (SELECT *, coalesce(own, near, frozen) AS old, own IS NOT NULL OR near IS NOT NULL AS move FROM (
+              SELECT *, list_sort(list_transform(list_filter(live, lambda c: c.mine AND c.d <= 12), lambda c: {{'d': c.d, 'i': c.i}}))[1].i AS own,
+                list_sort(list_transform(list_filter(live, lambda c: c.d <= 5 AND (c.mine OR c.d <= 2.25)), lambda c: {{'d': c.d, 'i': c.i}}))[1].i AS near,
+                list_sort(list_transform(list_filter(live, lambda c: c.n >= 30 AND c.mine AND c.d <= 25), lambda c: {{'d': c.d, 'i': c.i}}))[1].i AS frozen
+              FROM (SELECT d.*, s.state, list_transform(list_filter(s.state, lambda c: c.i > 0 AND d.frame - c.f <= 120), lambda c:
+                      {{'i': c.i, 'n': c.n, 'mine': list_contains(c.t, d.track_id::BIGINT), 'd': sqrt(pow(d.x - c.sx / c.w, 2) + pow(d.y - c.sy / c.w, 2))}}) AS live
+                    FROM s JOIN d ON d.video_id = s.video_id AND d.k = s.k + 1)))))
+    SELECT s.det_id, chosen AS cluster_id, hits AS cluster_hits, hits >= 3 AS cluster_confirmed, olat + cy / 111320 AS cluster_lat,
+           olon + cx / (111320 * cos(radians(olat))) AS cluster_lon FROM s JOIN d ON d.det_id = s.det_id WHERE s.k > 0"""
+
+
+@query("spatial_clusters", "det_id:i cluster_id:n cluster_hits:n cluster_confirmed:b cluster_lat:d cluster_lon:d", CLUSTERS)
 def _(t):
     return Tr.spatial_clusters(_located(t))
 
 
-@query("resolve_entities", "det_id:i entity_id:i")
+# Every detection has a track here, and the gap exceeds every video, so a track keeps
+# its entity for good and only a track's first detection looks for one.
+ENTITIES = f"""
+    WITH RECURSIVE d AS MATERIALIZED (SELECT det_id, video_id, frame, conf, track_id, lat, lon, dlat, dlon, row_number() OVER w AS k,
+                     row_number() OVER (PARTITION BY video_id, frame ORDER BY conf DESC, x1, y1, det_id) AS place FROM ({GROUND})
+                     WINDOW w AS (PARTITION BY video_id ORDER BY frame, conf DESC, x1, y1, det_id)),
+    s AS (SELECT video_id, 0::BIGINT AS k, 0::BIGINT AS det_id, 0::BIGINT AS chosen, [0::BIGINT] AS used, [{{'t': -1::BIGINT, 'e': 0::BIGINT}}] AS owner,
+                 [{{'e': 0::BIGINT, 'f': 0::BIGINT, 'lat': 0.0::DOUBLE, 'lon': 0.0::DOUBLE, 'dlat': 0.0::DOUBLE, 'dlon': 0.0::DOUBLE}}] AS state
+          FROM (SELECT DISTINCT video_id FROM d)
+          UNION ALL
+          SELECT video_id, k, det_id, e AS chosen, list_append(CASE WHEN place = 1 THEN [0::BIGINT] ELSE used END, e) AS used,
+                 CASE WHEN mine IS NULL THEN list_append(owner, {{'t': track_id::BIGINT, 'e': e}}) ELSE owner END AS owner,
+                 list_append(list_filter(state, lambda c: c.e <> e), {{'e': e, 'f': frame::BIGINT, 'lat': lat, 'lon': lon, 'dlat': dlat, 'dlon': dlon}}) AS state
+          FROM (SELECT *, coalesce(mine, list_sort(list_transform(list_filter(cand, lambda c: c.m <= c.reach), lambda c: {{'m': c.m, 'e': c.e}}))[1].e,
+                                   len(state))::BIGINT AS e
+            FROM (SELECT *, list_transform(list_filter(state, lambda c: c.e > 0 AND NOT list_contains(CASE WHEN place = 1 THEN [0::BIGINT] ELSE used END, c.e)), lambda c: {{
+                    'e': c.e, 'reach': least(25, least(25, greatest(6, greatest(1, frame - c.f) / 30.0::DOUBLE * 8 + 6)) + 0.9::DOUBLE * 2 * 6371000 *
+                       asin(sqrt(pow(sin(radians(c.dlat - dlat) / 2), 2) + cos(radians(dlat)) * cos(radians(c.dlat)) * pow(sin(radians(c.dlon - dlon) / 2), 2)))),
+                    'm': least(2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians(c.lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - lon) / 2), 2))),
+                       1.15::DOUBLE * sqrt(pow((lon - dlon) * 111320 * cos(radians((lat + dlat) / 2)) - (c.lon - c.dlon) * 111320 * cos(radians((c.lat + c.dlat) / 2)), 2)
+                         + pow((lat - dlat) * 111320 - (c.lat - c.dlat) * 111320, 2)))}}) AS cand
+              FROM (SELECT d.*, s.state, s.used, s.owner, list_filter(s.owner, lambda o: o.t = d.track_id)[1].e AS mine
+                    FROM s JOIN d ON d.video_id = s.video_id AND d.k = s.k + 1))))
+    SELECT det_id, chosen AS entity_id FROM s WHERE k > 0"""
+
+
+@query("resolve_entities", "det_id:i entity_id:i", ENTITIES)
 def _(t):
     return Tr.resolve_entities(_located(t))
 
 
-@query("smooth_class_track", "det_id:i cls:i cls_original:n")
+# Scores and order of first appearance per class travel as lists.
+VOTES = """
+    WITH RECURSIVE d AS MATERIALIZED (SELECT det_id, video_id, track_id, cls, conf,
+                     row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame, conf DESC, x1, y1, det_id) AS k FROM detections),
+    s AS (SELECT video_id, track_id, 0::BIGINT AS k, 0::BIGINT AS det_id, -1 AS stable, [0.0::DOUBLE, 0.0, 0.0, 0.0, 0.0] AS score, [999999::BIGINT, 999999, 999999, 999999, 999999] AS seen
+          FROM (SELECT DISTINCT video_id, track_id FROM d)
+          UNION ALL
+          SELECT video_id, track_id, k, det_id, CASE WHEN stable < 0 THEN lead WHEN lead <> stable AND score[lead + 1] >= score[stable + 1] + 0.5 THEN lead ELSE stable END AS stable, score, seen
+          FROM (SELECT *, list_sort(list_transform([0, 1, 2, 3, 4], lambda c: {'a': -score[c + 1], 'b': seen[c + 1], 'c': c}))[1].c AS lead FROM (
+            SELECT d.video_id, d.track_id, d.k, d.det_id, s.stable,
+                   list_transform([0, 1, 2, 3, 4], lambda c: s.score[c + 1] + CASE WHEN c = d.cls THEN d.conf ELSE 0 END) AS score,
+                   list_transform([0, 1, 2, 3, 4], lambda c: CASE WHEN c = d.cls THEN least(s.seen[c + 1], d.k) ELSE s.seen[c + 1] END) AS seen
+            FROM s JOIN d ON d.video_id = s.video_id AND d.track_id = s.track_id AND d.k = s.k + 1)))
+    SELECT s.det_id, stable AS cls, CASE WHEN stable <> d.cls THEN d.cls END AS cls_original FROM s JOIN d ON d.det_id = s.det_id WHERE s.k > 0"""
+
+
+@query("smooth_class_track", "det_id:i cls:i cls_original:n", VOTES)
 def _(t):
     return Tr.smooth_class(t.detections, "track_id", 0.5, class_names=CLASS_NAMES)
 
@@ -292,7 +365,21 @@ def _(t):
     return _candidates(t)
 
 
-@query("merge_fragments", "det_id:i entity_id:i track_id:i")
+MERGED = f"""
+    WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score, distance_m, src, dst) AS k FROM ({CAND})),
+    s AS (SELECT video_id, 0::BIGINT AS k, [-1::BIGINT] AS a, [-1::BIGINT] AS b FROM (SELECT DISTINCT video_id FROM c)
+          UNION ALL
+          SELECT c.video_id, c.k, CASE WHEN free THEN list_append(a, src::BIGINT) ELSE a END AS a, CASE WHEN free THEN list_append(b, dst::BIGINT) ELSE b END AS b
+          FROM (SELECT c.*, s.a, s.b, NOT list_contains(s.a, c.src::BIGINT) AND NOT list_contains(s.b, c.dst::BIGINT) AS free
+                FROM s JOIN c ON c.video_id = s.video_id AND c.k = s.k + 1) c),
+    l AS (SELECT video_id, unnest(a) AS src, unnest(b) AS dst FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY k DESC) = 1)),
+    h AS (SELECT video_id, src AS head, dst AS node FROM l WHERE src >= 0 AND (video_id, src) NOT IN (SELECT (video_id, dst) FROM l)
+          UNION ALL SELECT h.video_id, h.head, l.dst FROM h JOIN l ON l.video_id = h.video_id AND l.src = h.node)
+    SELECT det_id, coalesce(head, e) AS entity_id, coalesce(head, e) AS track_id FROM (SELECT det_id, video_id, track_id * 1000 + frame // 4 AS e FROM detections) d
+    LEFT JOIN h ON h.video_id = d.video_id AND h.node = d.e"""
+
+
+@query("merge_fragments", "det_id:i entity_id:i track_id:i", MERGED)
 def _(t):
     return Fr.merge_fragments(_fragments(t), _candidates(t))
 
