@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from canopy.adapters import CLASS_NAMES, WAVELENGTHS
-from canopy.operators import stats as St
+from canopy.functions.color import SRGB_MATRIX
 from canopy.operators.spectra import explode_spectrum
 from canopy.plans import drone, satellite, wildlife as W
 from registry.core import query
+
+from registry.signal import _enc, _ramp_sql, _xyz_sql
 from registry.stats import FIT, SCORE
 
 SCENE_LIST = """SELECT DISTINCT tile, acq_date FROM (SELECT tile, acq_date, sum(scene_order) % 100 AS cloud FROM pixels GROUP BY ALL)
@@ -48,7 +50,22 @@ def _(t):
     return satellite.roi_health(t.indices, t.landcover, 1998, range(20, 30))[1].filter("std > 1e-12")
 
 
-@query("drone_products", "cube_id:s row:i col:i valid:b rgb_r:n rect_rgb_g:n ndvi:n rect_ndvi:d ndvi_rgb_r:n rect_ndvi_rgb_b:n")
+def _products_sql():
+    ramp = lambda c: _ramp_sql("u", c)
+    return f"""WITH x AS ({_xyz_sql()}), c AS (SELECT cube_id, "row", col, {_enc(SRGB_MATRIX[0])} AS r, {_enc(SRGB_MATRIX[1])} AS g, {_enc(SRGB_MATRIX[2])} AS b FROM x),
+               m AS (SELECT cube_id, greatest(max(r), max(g), max(b)) AS top FROM c GROUP BY cube_id),
+               q AS (SELECT cube_id, "row", col, spectrum[29] AS re, spectrum[43] AS ni, list_sum(spectrum) AS s FROM spectra),
+               k AS (SELECT cube_id, least(min(re), min(ni)) AS lo FROM q GROUP BY cube_id),
+               v AS (SELECT cube_id, "row", col, s, greatest(0, coalesce((ni - re) / nullif(ni + re - 2 * lo, 0), 0)) AS v FROM q JOIN k USING (cube_id)),
+               e AS (SELECT cube_id, min(v) AS a, max(v) AS z FROM v GROUP BY cube_id),
+               u AS (SELECT *, (v - a) / (z - a) AS u FROM v JOIN e USING (cube_id))
+          SELECT cube_id, "row", col, s > 0 AS valid, floor(greatest(0, least(1, r / top)) * 255) AS rgb_r,
+                 CASE WHEN s > 0 THEN floor(greatest(0, least(1, g / top)) * 255) END AS rect_rgb_g, floor(u * 255) AS ndvi, CASE WHEN s > 0 THEN v END AS rect_ndvi,
+                 floor({ramp(0)} * 255) AS ndvi_rgb_r, CASE WHEN s > 0 THEN floor({ramp(2)} * 255) END AS rect_ndvi_rgb_b
+          FROM u JOIN c USING (cube_id, "row", col) JOIN m USING (cube_id)"""
+
+
+@query("drone_products", "cube_id:s row:i col:i valid:b rgb_r:n rect_rgb_g:n ndvi:n rect_ndvi:d ndvi_rgb_r:n rect_ndvi_rgb_b:n", _products_sql())
 def _(t):
     return drone.drone_products(t.spectra, WAVELENGTHS)
 

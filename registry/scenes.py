@@ -80,3 +80,15 @@ def _(t):
           WHERE s >= lo AND s < hi""")
 def _(t):
     return C.season_slices(t.scenes, "datetime", 4, 9, 4)
+
+
+@query("search_scenes_inclusive", "scene_id:s cloud_cover:d item_no:i",
+       """SELECT scene_id, cloud_cover, item_no FROM scenes WHERE collection = 'sentinel-1-grd' AND datetime <= TIMESTAMP '1999-06-30'
+            AND cloud_cover <= 50.5 AND item_no % 3 = 0""")
+def _(t):
+    """Rules of the second catalogue service: limit included, every polarisation present."""
+    from pyspark.sql import functions as F
+
+    both = F.when(F.col("item_no") % 3 == 0, F.array(F.lit("VV"), F.lit("VH"))).otherwise(F.array(F.lit("VV")))
+    s = t.scenes.withColumn("polarisations", both)
+    return C.search_scenes(s, "sentinel-1-grd", end="1999-06-30", max_cloud=50.5, cloud_inclusive=True, polarisations=["VV", "VH"])

@@ -6,7 +6,7 @@ from canopy.operators.matching import ClusterRules
 from canopy.session import scratch_path
 from canopy.streaming import indices as I, tracking as S
 from registry.core import query
-from registry.wildlife import GROUND, _located
+from registry.wildlife import GROUND, _located, clusters_sql
 
 FPS = 1.0
 # Any whole number of windows after the epoch, where a watermark starts.
@@ -74,7 +74,10 @@ def _(t):
     return I.index_stats(t.spark, out)
 
 
-@query("stream_clusters", "video_id:s cluster_id:i frames:i first_frame:i last_frame:i mean_conf:d max_conf:d lat:d lon:d track_ids:j")
+@query("stream_clusters", "video_id:s cluster_id:i frames:i first_frame:i last_frame:i mean_conf:d max_conf:d lat:d lon:d track_ids:j",
+       f"""SELECT video_id, cluster_id, count(*) AS frames, min(frame) AS first_frame, max(frame) AS last_frame, avg(conf) AS mean_conf, max(conf) AS max_conf,
+             arg_max(cluster_lat, cluster_hits) AS lat, arg_max(cluster_lon, cluster_hits) AS lon, list_sort(list_distinct(list(track_id))) AS track_ids
+           FROM ({clusters_sql(10)}) JOIN (SELECT det_id, video_id, frame, conf, track_id FROM detections) USING (det_id) GROUP BY video_id, cluster_id""")
 def _(t):
     d = _stamped(_located(t).select("video_id", "frame", "det_id", "x1", "y1", "conf", "track_id", "lat", "lon"))
     stream = _as_stream(t, d, "cluster-stream", HALVES)

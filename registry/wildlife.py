@@ -194,7 +194,8 @@ def _(t):
 # --- identity ----------------------------------------------------------------
 
 # One detection per step and video; the clusters so far travel as a list of structs.
-CLUSTERS = f"""
+def clusters_sql(idle: int = 120) -> str:
+    return f"""
     WITH RECURSIVE d0 AS MATERIALIZED (SELECT det_id, video_id, frame, conf, track_id, lat, lon, row_number() OVER w AS k,
                      first_value(lat) OVER w AS olat, first_value(lon) OVER w AS olon FROM ({GROUND}) WHERE lat IS NOT NULL
                      WINDOW w AS (PARTITION BY video_id ORDER BY frame, conf DESC, x1, y1, det_id)),
@@ -217,14 +218,14 @@ CLUSTERS = f"""
               SELECT *, list_sort(list_transform(list_filter(live, lambda c: c.mine AND c.d <= 12), lambda c: {{'d': c.d, 'i': c.i}}))[1].i AS own,
                 list_sort(list_transform(list_filter(live, lambda c: c.d <= 5 AND (c.mine OR c.d <= 2.25)), lambda c: {{'d': c.d, 'i': c.i}}))[1].i AS near,
                 list_sort(list_transform(list_filter(live, lambda c: c.n >= 30 AND c.mine AND c.d <= 25), lambda c: {{'d': c.d, 'i': c.i}}))[1].i AS frozen
-              FROM (SELECT d.*, s.state, list_transform(list_filter(s.state, lambda c: c.i > 0 AND d.frame - c.f <= 120), lambda c:
+              FROM (SELECT d.*, s.state, list_transform(list_filter(s.state, lambda c: c.i > 0 AND d.frame - c.f <= {idle}), lambda c:
                       {{'i': c.i, 'n': c.n, 'mine': list_contains(c.t, d.track_id::BIGINT), 'd': sqrt(pow(d.x - c.sx / c.w, 2) + pow(d.y - c.sy / c.w, 2))}}) AS live
                     FROM s JOIN d ON d.video_id = s.video_id AND d.k = s.k + 1)))))
     SELECT s.det_id, chosen AS cluster_id, hits AS cluster_hits, hits >= 3 AS cluster_confirmed, olat + cy / 111320 AS cluster_lat,
            olon + cx / (111320 * cos(radians(olat))) AS cluster_lon FROM s JOIN d ON d.det_id = s.det_id WHERE s.k > 0"""
 
 
-@query("spatial_clusters", "det_id:i cluster_id:n cluster_hits:n cluster_confirmed:b cluster_lat:d cluster_lon:d", CLUSTERS)
+@query("spatial_clusters", "det_id:i cluster_id:n cluster_hits:n cluster_confirmed:b cluster_lat:d cluster_lon:d", clusters_sql())
 def _(t):
     return Tr.spatial_clusters(_located(t))
 
@@ -476,7 +477,23 @@ def _(t):
     return P.smooth_path(P.track_paths(_located(t)), slab=8)
 
 
-@query("simplify_path", "video_id:s track_id:i seq:i")
+# Stretches split at their farthest point; ends of all stretches stay.
+SIMPLE = f"""
+    WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM ({PATHS}) WHERE points >= 2),
+    s AS (SELECT video_id, track_id, min(seq) AS lo, max(seq) AS hi FROM p GROUP BY ALL
+          UNION ALL
+          SELECT video_id, track_id, unnest([lo, mid]) AS lo, unnest([mid, hi]) AS hi FROM (
+            SELECT s.video_id, s.track_id, s.lo, s.hi, max(dist) AS far, arg_min(seq, (-dist, seq)) AS mid FROM (
+              SELECT s.video_id, s.track_id, s.lo, s.hi, c.seq, CASE WHEN a.lat = b.lat AND a.lon = b.lon THEN sqrt(pow(c.lat - a.lat, 2) + pow(c.lon - a.lon, 2))
+                  ELSE abs((b.lon - a.lon) * c.lat - (b.lat - a.lat) * c.lon + b.lat * a.lon - b.lon * a.lat) / sqrt(pow(b.lon - a.lon, 2) + pow(b.lat - a.lat, 2)) END AS dist
+              FROM s JOIN p a ON a.video_id = s.video_id AND a.track_id = s.track_id AND a.seq = s.lo
+                JOIN p b ON b.video_id = s.video_id AND b.track_id = s.track_id AND b.seq = s.hi
+                JOIN p c ON c.video_id = s.video_id AND c.track_id = s.track_id AND c.seq > s.lo AND c.seq < s.hi) s
+            GROUP BY s.video_id, s.track_id, s.lo, s.hi) WHERE far > 2e-5)
+    SELECT DISTINCT video_id, track_id, unnest([lo, hi]) AS seq FROM s"""
+
+
+@query("simplify_path", "video_id:s track_id:i seq:i", SIMPLE)
 def _(t):
     return P.simplify_path(P.track_paths(_located(t)), 2e-5)
 
