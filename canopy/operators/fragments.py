@@ -41,6 +41,7 @@ def fragment_candidates(
     Joined on video, a frame bucket and a ground cell as wide as the largest allowed
     distance, so only neighbours in time and place ever meet.
     """
+    ends = cut_lineage(ends)  # one row per fragment, met from four sides below
     rate = fps if fps > 0 else 1.0
     reach = base_radius_m + max_speed_mps * max_gap_frames / rate
     meters = lambda p: F.struct(

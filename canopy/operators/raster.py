@@ -26,18 +26,17 @@ def upsample(obs: DataFrame, factor: int) -> DataFrame:
 
 def crop_to_smallest(obs: DataFrame, keys: Sequence[str] = ("tile", "acq_date")) -> DataFrame:
     """Shift and cut each band's grid at its low end to the smallest band of the scene."""
-    obs, keys = obs.withColumn("__all", F.lit(0)), ["__all", *keys]
     size = obs.groupBy(*keys, "band").agg((F.max("row") + 1).alias("__h"), (F.max("col") + 1).alias("__w"))
-    least = size.groupBy(*keys).agg(F.min("__h").alias("__mh"), F.min("__w").alias("__mw"))
-    off = size.join(least, keys).select(
-        *keys, "band", (F.col("__h") - F.col("__mh")).alias("__dr"), (F.col("__w") - F.col("__mw")).alias("__dc")
+    w = W.partitionBy(*keys)  # one row per band
+    off = size.select(
+        *keys, "band", (F.col("__h") - F.min("__h").over(w)).alias("__dr"), (F.col("__w") - F.min("__w").over(w)).alias("__dc")
     )
     return (
         obs.join(off, [*keys, "band"])
         .filter((F.col("row") >= F.col("__dr")) & (F.col("col") >= F.col("__dc")))
         .withColumn("row", F.col("row") - F.col("__dr"))
         .withColumn("col", F.col("col") - F.col("__dc"))
-        .drop("__dr", "__dc", "__all")
+        .drop("__dr", "__dc")
     )
 
 

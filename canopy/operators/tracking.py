@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -102,9 +104,12 @@ def suppress_overlaps(
 # --- clusters ----------------------------------------------------------------
 
 def _cluster_step(rules: ClusterRules):
-    book = ClusterBook(rules)
+    book = None
 
-    def step(frame, x, y, conf, track) -> tuple:
+    def step(frame, x, y, conf, track, freeze, reassoc) -> tuple:
+        nonlocal book
+        if book is None:
+            book = ClusterBook(replace(rules, freeze_after=freeze, reassoc_m=reassoc))
         book.retire(frame)
         c = book.place(frame, x, y, conf, track)
         return c.number, c.hits, c.x, c.y
@@ -126,17 +131,20 @@ def spatial_clusters(
     radius_m: float = 5.0,
     max_idle_frames: int = 120,
     min_hits: int = 3,
-    freeze_after: int | None = 30,
-    reassoc_m: float = 30.0,
+    freeze_after: int | str | None = 30,
+    reassoc_m: float | str = 30.0,
 ) -> DataFrame:
     """Detections with ``cluster_id, cluster_hits, cluster_confirmed, cluster_lat, cluster_lon``
     as they stand right after each detection; NULL without a position.
 
+    ``freeze_after`` and ``reassoc_m`` may name columns that hold them per video.
+
     Stretches that are idle for longer than the limit, or farther apart than any
     matching radius, cannot share a cluster. They are cut apart first, so one long
     video spreads over many tasks; each part then streams through the matcher.
     """
-    rules = ClusterRules(radius_m, max_idle_frames, min_hits, freeze_after or None, reassoc_m)
+    rules = ClusterRules(radius_m, max_idle_frames, min_hits, reassoc_m=math.inf if isinstance(reassoc_m, str) else reassoc_m)
+    limit = lambda v, kind: F.col(v).cast(kind) if isinstance(v, str) else F.lit(v).cast(kind)
     det = cut_lineage(det)
     has = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     placed, missing = det.filter(has), det.filter(~has)
@@ -146,6 +154,7 @@ def spatial_clusters(
     metric = (
         placed.join(origin, VIDEO).withColumn("__m", local)
         .withColumn("__x", F.col("__m.east")).withColumn("__y", F.col("__m.north")).drop("__m")
+        .withColumn("__freeze", limit(freeze_after, "long")).withColumn("__reassoc", limit(reassoc_m, "double"))
     )
     axes = [
         ("frame", "frame", float(max_idle_frames), float(max(max_idle_frames, 1))),
@@ -156,7 +165,7 @@ def spatial_clusters(
     fields = "__local long, cluster_hits long, __cx double, __cy double"
     folded = cut_lineage(
         fold_sorted(
-            parts, [VIDEO, "__part"], frame_order(), ["frame", "__x", "__y", "conf", "track_id"], fields,
+            parts, [VIDEO, "__part"], frame_order(), ["frame", "__x", "__y", "conf", "track_id", "__freeze", "__reassoc"], fields,
             lambda: _cluster_step(rules),
         )
     )

@@ -48,6 +48,24 @@ def drone_products(spectra: DataFrame, axis: Sequence[float], variants: Sequence
     return painted.select(*keys, "valid", *out)
 
 
+def xyz_image(
+    spectra: DataFrame, axis: Sequence[float], normalize: bool = False, y_gain: float = 1.0
+) -> DataFrame:
+    """X, Y, Z per pixel; ``normalize`` stretches each channel of a cube to 0..1 on its own."""
+    xyz = spectra.select("cube_id", "row", "col", C.spectrum_to_xyz(axis, y_gain=y_gain).alias("c"))
+    out = xyz.select("cube_id", "row", "col", "c.*")
+    for channel in ("x", "y", "z") if normalize else ():
+        out = St.global_minmax(out, [channel], by=["cube_id"])
+    return out
+
+
+def rgb_image(spectra: DataFrame, axis: Sequence[float], normalize: bool = False, y_gain: float = 1.0) -> DataFrame:
+    """sRGB per pixel from the integrated channels."""
+    xyz = xyz_image(spectra, axis, normalize, y_gain)
+    rgb = C.xyz_to_srgb(F.col("x"), F.col("y"), F.col("z"))
+    return xyz.select("cube_id", "row", "col", rgb.alias("c")).select("cube_id", "row", "col", "c.*")
+
+
 def reflectance(
     cubes: DataFrame, plate_cube: DataFrame, class_map: DataFrame, dark: DataFrame | None = None, degree: int = 1
 ) -> DataFrame:

@@ -50,6 +50,19 @@ def _(t):
     return satellite.roi_health(t.indices, t.landcover, 1998, range(20, 30))[1].filter("std > 1e-12")
 
 
+@query("xyz_image_normalized", "cube_id:s row:i col:i x:d y:d z:d",
+       f"""SELECT cube_id, "row", col, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) AS x, (y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) AS y,
+             (z - min(z) OVER w) / (max(z) OVER w - min(z) OVER w) AS z FROM ({_xyz_sql(1.2)}) WINDOW w AS (PARTITION BY cube_id)""")
+def _(t):
+    return drone.xyz_image(t.spectra, WAVELENGTHS, normalize=True, y_gain=1.2)
+
+
+@query("rgb_image", "cube_id:s row:i col:i r:d g:d b:d",
+       f"""SELECT cube_id, "row", col, {_enc(SRGB_MATRIX[0])} AS r, {_enc(SRGB_MATRIX[1])} AS g, {_enc(SRGB_MATRIX[2])} AS b FROM ({_xyz_sql()})""")
+def _(t):
+    return drone.rgb_image(t.spectra, WAVELENGTHS)
+
+
 def _products_sql():
     ramp = lambda c: _ramp_sql("u", c)
     return f"""WITH x AS ({_xyz_sql()}), c AS (SELECT cube_id, "row", col, {_enc(SRGB_MATRIX[0])} AS r, {_enc(SRGB_MATRIX[1])} AS g, {_enc(SRGB_MATRIX[2])} AS b FROM x),

@@ -30,6 +30,19 @@ def _finish(t, stream, label: str, mode: str = "append"):
     """Run to the end of the input and return what was written."""
     out, mark = scratch_path(t.spark, label), scratch_path(t.spark, f"{label}-state")
     schema = stream.schema
+    # The state of a query keeps the partition count it started with; few suit these tables.
+    usual = t.spark.conf.get("spark.sql.shuffle.partitions")
+    t.spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        _run(stream, out, mark, mode)
+    finally:
+        t.spark.conf.set("spark.sql.shuffle.partitions", usual)
+    if mode == "append":
+        return t.spark.read.schema(schema).parquet(out)
+    return t.spark.read.option("recursiveFileLookup", "true").parquet(out)
+
+
+def _run(stream, out: str, mark: str, mode: str) -> None:
     writer = stream.writeStream.option("checkpointLocation", mark).trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").outputMode("append").start(out)
@@ -37,9 +50,6 @@ def _finish(t, stream, label: str, mode: str = "append"):
         save = lambda batch, n: batch.withColumn("batch_id", F.lit(n)).write.mode("overwrite").parquet(f"{out}/part={n}")
         q = writer.foreachBatch(save).outputMode(mode).start()
     q.awaitTermination()
-    if mode == "append":
-        return t.spark.read.schema(schema).parquet(out)
-    return t.spark.read.option("recursiveFileLookup", "true").parquet(out)
 
 
 HALVES = ["frame < 12", "frame >= 12 AND frame < 30", "frame >= 30"]

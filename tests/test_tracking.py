@@ -293,3 +293,43 @@ def test_simplify_path(spark, limit):
     df = spark.createDataFrame(rows, "video_id string, track_id int, seq long, lat double, lon double")
     got = P.simplify_path(df, 2.0, limit=limit).collect()
     assert {(r.track_id, r.seq) for r in got} == want
+
+
+def test_clusters_with_limits_per_video(spark):
+    """Freeze and reach given per video equal two runs with fixed values."""
+    rows = _scene(31) + [(r[0] + 1000, "w", *r[2:]) for r in _scene(32)]
+    det = spark.createDataFrame(rows, COLS)
+    given = det.withColumn("fz", F.when(F.col("video_id") == "v", 3)).withColumn("ra", F.when(F.col("video_id") == "v", 9.0).otherwise(30.0))
+    got = {r.det_id: (r.cluster_id, r.cluster_hits) for r in Tr.spatial_clusters(given, 2.0, 15, 3, "fz", "ra").collect()}
+    for video, freeze, reach in (("v", 3, 9.0), ("w", None, 30.0)):
+        want = _clusters([r for r in rows if r[1] == video], 2.0, 15, freeze, reach)
+        assert all(got[k] == (v or (None, None)) for k, v in want.items())
+
+
+def test_wildlife(spark):
+    """Two animals, one lost and found again: counted twice, not three times."""
+    from canopy.plans.wildlife import WildlifeParams, wildlife
+
+    det, tel, i = [], [], 0
+    for frame in range(60):
+        tel.append(("v", frame, frame / 10, LAT0, LON0, 60.0, 60.0, 160.0, 40.0, 1.0, 0.0, -90.0, 0.0, "t"))
+        for animal, x in ((0, 100.0), (1, 500.0)):
+            if animal == 1 and 20 <= frame < 30:
+                continue
+            track = animal if animal == 0 or frame < 20 else 7
+            det.append((i, "v", frame, x, 200.0, x + 40, 240.0, 0.9, 1 if frame % 10 == 5 else 0, "deer", track))
+            i += 1
+        if frame == 40:
+            det.append((i, "v", frame, 102.0, 201.0, 142.0, 241.0, 0.5, 0, "deer", 9))
+            i += 1
+    d = spark.createDataFrame(det, ", ".join(COLS.split(", ")[:11]))
+    t = spark.createDataFrame(
+        tel, "video_id string, frame int, ts double, lat double, lon double, alt double, rel_alt double, abs_alt double, "
+             "focal_len double, dzoom_ratio double, gb_yaw double, gb_pitch double, gb_roll double, utc string")
+    out = wildlife(d, t, WildlifeParams(fps=10.0), ["deer", "boar"])
+    assert out["entities"].first().animals == 2
+    rows = out["detections"].collect()
+    # The doubled box is gone, flickering classes are held, everything stands.
+    assert len(rows) == 110 and {r.name for r in rows} == {"deer"} and {r.status for r in rows} == {"confirmed"}
+    assert {r.frames for r in out["tracks"].collect()} == {60, 50}
+    assert sum(r.frames for r in out["clusters"].collect()) == 110
