@@ -109,7 +109,9 @@ def independent_parts(
     cells = [f"__c{i}" for i in range(len(axes))]
     tagged = df
     for c, (low, _, _, width) in zip(cells, axes):
-        tagged = tagged.withColumn(c, F.floor(F.col(low) / F.lit(float(width))).cast("long"))
+        cell = F.floor(F.col(low) / F.lit(float(width))).cast("long")
+        # A missing position must not drop its row in the join below.
+        tagged = tagged.withColumn(c, F.coalesce(cell, F.lit(-(1 << 62))))
     bounds = [
         f(F.col(col)).alias(f"{n}{i}")
         for i, (low, high, _, _) in enumerate(axes)

@@ -5,8 +5,8 @@ are first cut into order-consistent buckets: the window runs inside
 ``(keys, bucket)``, and only one summary row per bucket is ordered per key.
 The bucket must not decrease along the first order column; when none is given,
 splitters come from a quantile sketch of that column. Sketch error only moves
-rows between buckets, results stay exact. Keys and buckets must not be NULL: the
-way back to the rows is a plain equi-join, which reuses the window's partitioning.
+rows between buckets, results stay exact. Keys must not be NULL: the way back to the
+rows is a plain equi-join, which reuses the window's partitioning.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ def bucket_by_splits(df: DataFrame, col: str, parts: int = 64) -> DataFrame:
 def _bucketed(df: DataFrame, order: Sequence[str], bucket: Column | None) -> DataFrame:
     if bucket is None:
         return bucket_by_splits(df, order[0])
-    return df.withColumn(BUCKET, bucket)
+    # Rows without an order value come first, so their bucket lies below all others.
+    return df.withColumn(BUCKET, F.coalesce(bucket.cast("long"), F.lit(-(1 << 62))))
 
 
 def _order(cols: Sequence[str | Column]) -> list[Column]:

@@ -95,3 +95,12 @@ def test_fold_keeps_order_across_batches(spark):
 
     out = fold_sorted(df, ["k"], [F.col("t")], ["t"], "ok boolean", start)
     assert out.filter("NOT ok").count() == 0 and out.count() == 30000
+
+
+def test_missing_order_values_keep_their_rows(spark):
+    df = spark.createDataFrame([("k", i, None if i < 3 else i) for i in range(10)], "k string, id int, t int")
+    for bucket in (None, F.floor(F.col("t") / 4)):
+        got = {r.id: r.rn for r in row_numbers(df, ["k"], ["t", "id"], "rn", bucket).collect()}
+        assert got == {i: i + 1 for i in range(10)}
+    parts = independent_parts(df, ["k"], [("t", "t", 2.0, 2.0)])
+    assert parts.count() == 10
