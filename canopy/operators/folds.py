@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from canopy.session import cut_lineage
+
 
 def plain(values: pd.Series) -> list:
     """A batch column as Python values, missing ones as None."""
@@ -117,7 +119,8 @@ def independent_parts(
         for i, (low, high, _, _) in enumerate(axes)
         for f, col, n in ((F.min, low, "__lo"), (F.max, high, "__hi"))
     ]
-    table = tagged.groupBy(*keys, *cells).agg(*bounds)
+    # Each axis reads the cells twice; written once, they are not built again and again.
+    table = cut_lineage(tagged.groupBy(*keys, *cells).agg(*bounds))
     parts: list[str] = []
     for i, (_, _, gap, _) in enumerate(axes):
         scope = [*keys, *parts]
@@ -130,6 +133,8 @@ def independent_parts(
             .drop("lo", "hi", "cut")
         )
         table = table.join(lanes, [*scope, cells[i]])
+        if i + 1 < len(axes):
+            table = cut_lineage(table)
         parts.append(f"__p{i}")
     label = F.concat_ws(".", *[F.col(p).cast("string") for p in parts])
     labels = table.select(*keys, *cells, label.alias(out))
