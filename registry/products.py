@@ -7,7 +7,6 @@ from canopy.functions.color import SRGB_MATRIX
 from canopy.operators.spectra import explode_spectrum
 from canopy.plans import drone, satellite, wildlife as W
 from registry.core import query
-
 from registry.signal import _enc, _ramp_sql, _xyz_sql
 from registry.stats import FIT, SCORE
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.adapters import WAVELENGTHS
 from canopy.constants import NDVI_COLORS, NDVI_STOPS
-from canopy.functions import color as C, signal as G, spectral as S, vegetation as V
+from canopy.functions import color as C, signal as G, vegetation as V
 from canopy.operators.spectra import explode_spectrum
 from registry.core import query
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from canopy.adapters import WAVELENGTHS
 from canopy.operators import raster as R, stats as St
 from canopy.operators.spectra import explode_spectrum
 from registry.core import query

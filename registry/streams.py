@@ -6,7 +6,7 @@ from canopy.operators.matching import ClusterRules
 from canopy.session import scratch_path
 from canopy.streaming import indices as I, tracking as S
 from registry.core import query
-from registry.wildlife import GROUND, _located, clusters_sql
+from registry.wildlife import _located, clusters_sql
 
 FPS = 1.0
 # Any whole number of windows after the epoch, where a watermark starts.

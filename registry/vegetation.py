@@ -1,7 +1,5 @@
 """Spectral and vegetation indices."""
 
-from pyspark.sql import functions as F
-
 from canopy.adapters import WAVELENGTHS
 from canopy.functions import spectral as S, vegetation as V
 from canopy.operators import spectra as X
