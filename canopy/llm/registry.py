@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import bpe, quality_rules, secret_scan, simhash
+from canopy.llm import bpe, legacy_archive, mixing, quality_rules, secret_scan, simhash
 from canopy.llm.common import read
 
 
@@ -28,10 +28,30 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(read(spark, sf_dir, "documents"))
 
 
+def op7_warc_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return legacy_archive.archive_pages(read(spark, sf_dir, "pages")).select(*columns)
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op7_warc_legacy": op7_warc_legacy,
+    "op9_source_mixing": op9_source_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op7_warc_legacy": """
+        WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM r""",
 }
-ORACLES: dict[str, str] = {}
