@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import bpe, legacy_archive, mixing, quality_rules, secret_scan, simhash
+from canopy.llm import bpe, legacy_archive, mixing, quality_rules, run_index, secret_scan, simhash
 from canopy.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(read(spark, sf_dir, "documents"))
 
 
+def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.repeat_report(read(spark, sf_dir, "documents"))
+
+
 def op7_warc_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return legacy_archive.archive_pages(read(spark, sf_dir, "pages")).select(*columns)
@@ -42,10 +46,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op6_run_length_index": op6_run_length_index,
     "op7_warc_legacy": op7_warc_legacy,
     "op9_source_mixing": op9_source_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op6_run_length_index": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, unnest(range(octet_length(b) - 199)) AS p, h FROM d WHERE octet_length(b) >= 200),
+        k AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 400)) AS m FROM w),
+        r AS (SELECT doc_id, p FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
+        g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+        n AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+        s AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS e FROM n GROUP BY ALL),
+        t AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+        c AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(e) AS last,
+                     sum(e - a) AS gone, count(*) AS runs FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+               CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+        FROM d LEFT JOIN c USING (doc_id)""",
     "op7_warc_legacy": """
         WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
