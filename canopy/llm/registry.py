@@ -53,8 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op6_run_length_index": """
         WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        w AS (SELECT doc_id, unnest(range(octet_length(b) - 199)) AS p, h FROM d WHERE octet_length(b) >= 200),
-        k AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 400)) AS m FROM w),
+        w AS (SELECT doc_id, unnest(range(octet_length(b) - 199)) AS p, b FROM d WHERE octet_length(b) >= 200),
+        k AS (SELECT doc_id, p, md5_number(b[p + 1 : p + 200]) AS m FROM w),
         r AS (SELECT doc_id, p FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
         g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM r),
         n AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
