@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import bpe, legacy_archive, mixing, quality_rules, run_index, secret_scan, simhash
+from canopy.llm import bpe, legacy_archive, mixing, posting_lists, quality_rules, run_index, secret_scan, simhash, toxicity
 from canopy.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(read(spark, sf_dir, "documents"))
 
 
+def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.search(read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.repeat_report(read(spark, sf_dir, "documents"))
 
@@ -41,14 +45,20 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_posting_lists": op5_posting_lists,
     "op6_run_length_index": op6_run_length_index,
     "op7_warc_legacy": op7_warc_legacy,
     "op9_source_mixing": op9_source_mixing,
+    "op10_toxicity_chain": op10_toxicity_chain,
 }
 ORACLES: dict[str, str] = {
     "op6_run_length_index": """
