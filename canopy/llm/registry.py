@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import bpe, legacy_archive, mixing, posting_lists, quality_rules, run_index, secret_scan, simhash, toxicity
+from canopy.llm import bpe, legacy_archive, lm_scoring, mixing, posting_lists, quality_rules, run_index, secret_scan, simhash, toxicity
 from canopy.llm.common import read
 
 
@@ -41,6 +41,10 @@ def op7_warc_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy_archive.archive_pages(read(spark, sf_dir, "pages")).select(*columns)
 
 
+def op8_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_posting_lists": op5_posting_lists,
     "op6_run_length_index": op6_run_length_index,
     "op7_warc_legacy": op7_warc_legacy,
+    "op8_log_bilinear_lm": op8_log_bilinear_lm,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity_chain": op10_toxicity_chain,
 }
