@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from canopy.llm.common import LOWER, id_text, raw, written
 from canopy.llm.components import components
@@ -206,6 +207,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kept = groups(written(fingerprints(df, id_col, text_col), "simhash-prints"))
     kept = kept.where("fp = keep_fp").select(F.col("keep_id").alias("__id"), F.col("fp").alias("__keep"))
-    rows = df.mapInArrow(hashed, df.schema.add("__fp", "long"))
+    rows = df.mapInArrow(hashed, StructType([*df.schema.fields, StructField("__fp", LongType())]))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__keep"))
     return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__fp"]).select(*[f"`{c}`" for c in columns])
