@@ -224,6 +224,8 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each query, a vector once, ties to the smaller id."""
     order = np.lexsort((vec, -score, query))
+    if not len(order):
+        return order
     a, b = query[order], vec[order]
     again = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])  # copies of one vector score alike
     order = order[~again]
