@@ -23,6 +23,8 @@ from canopy.llm.common import id_text, written
 
 #: What parts words: everything in ASCII but letters and digits.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_CAPITALS = bytes(range(65, 91))
+_MARKS = bytes(c for c in range(33, 128) if not chr(c).isalnum())
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,9 @@ class Chain:
     categories: tuple[str, ...] = ("low_quality", "toxic")
     sample: int = 20_000
     features: int = 2048
-    least_rows: int = 4
+    least_rows: int = 3
+    #: Chi-square below which a column tells no more than chance would, over so many columns.
+    least_score: float = 8.0
     folds: int = 3
     rounds: int = 120
     ridge: float = 2e-4
@@ -40,9 +44,18 @@ class Chain:
 
 
 def tokens(text: str, prefixes: Sequence[int]) -> set[bytes]:
-    """Distinct lower-case words, and their first bytes (marked) where a word is longer."""
-    words = set(text.lower().encode().translate(_PARTS).split())
-    return words.union(*({b"^" + w[:n] for w in words if len(w) > n} for n in prefixes)) if words else words
+    """Distinct lower-case words, their first bytes (marked) where a word is longer, and shares in tenths."""
+    raw = text.encode()
+    every = text.lower().encode().translate(_PARTS).split()
+    if not every:
+        return set()
+    words = set(every)
+    out = words.union(*({b"^" + w[:n] for w in words if len(w) > n} for n in prefixes))
+    tenths = lambda part, whole: b"%d" % (10 * part // whole)
+    out.add(b"#capitals " + tenths(len(raw) - len(raw.translate(None, _CAPITALS)), len(raw)))
+    out.add(b"#marks " + tenths(len(raw) - len(raw.translate(None, _MARKS)), len(raw)))
+    out.add(b"#distinct " + tenths(len(words), len(every)))
+    return out
 
 
 @dataclass
@@ -152,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, chain: Chain = Chain()) -> Fitted:
         # Signed chi-square against the share of positives, both signs.
         share = min(max(count[c] / count.n, 1e-6), 1 - 1e-6)
         score = F.pow(F.col(c) - F.lit(share) * F.col("n"), F.lit(2)) / (F.col("n") * F.lit(share * (1 - share)))
-        for r in words.select("word", score.alias("s")).orderBy(F.desc("s"), "word").limit(chain.features).collect():
+        top = words.select("word", score.alias("s")).where(F.col("s") >= chain.least_score)
+        for r in top.orderBy(F.desc("s"), "word").limit(chain.features).collect():
             vocabulary.setdefault(bytes(r.word), len(vocabulary))
     sent = spark.sparkContext.broadcast(vocabulary)
 
