@@ -129,6 +129,13 @@ def fit_chain(columns: np.ndarray, starts: np.ndarray, labels: np.ndarray, fold:
     return weights, bias
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose distinct words fit easily in a task."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, chain: Chain = Chain()) -> Fitted:
     """Fit on ``labels (doc_id, <categories> 0/1)``; rows without a label or text are left out.
 
@@ -145,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: Chain = Chain()) -> Fitted:
     prefixes = chain.prefixes
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             found = [list(tokens(x, prefixes)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.binary())), *batch.columns[2:]], ["doc_id", "words", *names]
@@ -172,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: Chain = Chain()) -> Fitted:
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = sent.value.get
-        for batch in batches:
+        for batch in _small(batches):
             found = [sorted(i for i in map(get, x) if i is not None) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], ["doc_id", "columns", *names]
