@@ -41,7 +41,7 @@ class Lbl:
     """``known`` bounds the counts sent to every task, ``longest`` the bytes of a word among them."""
 
     words: int = 2047
-    known: int = 1 << 19
+    known: int = 1 << 17
     longest: int = 64
     dim: int = 16
     noise: int = 32
@@ -260,11 +260,28 @@ def _averaged(texts: DataFrame, scorer: Scorer, lbl: Lbl, number: int) -> Model:
     )
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` (word, c), the largest counts first; words of equal frequency class come all or none.
+
+    Classes are steps of one percent, so their histogram is small and only words that stay travel.
+    """
+    step = F.floor(F.log2("c") * 64).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
+    least, room = None, most
+    for r in sizes:
+        if r.n > room:
+            break
+        least, room = r.step, room - r.n
+    if least is None:
+        return []
+    table = counts.where(step >= least).select("word", "c").toArrow()
+    return sorted(zip(table.column(0).to_pylist(), table.column(1).to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
 def fit(docs: DataFrame, counts: DataFrame, lbl: Lbl) -> Scorer:
     """Counts of the known words and a model trained on all tokens of ``docs (text)``."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where((F.length("word") <= lbl.longest) & (F.col("word") != F.lit(END)))
-    top = [(bytes(r.word), r.c) for r in top.orderBy(F.desc("c"), "word").limit(lbl.known).collect()]
+    top = _most_frequent(counts.where((F.length("word") <= lbl.longest) & (F.col("word") != F.lit(END))), lbl.known)
     ends = counts.where(F.col("word") == F.lit(END)).first()
     known = [(END, ends.c if ends else 0), *top]
     numbers = {w: i for i, (w, _) in enumerate(known)}
