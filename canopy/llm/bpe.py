@@ -29,8 +29,9 @@ from canopy.llm.common import id_text, written
 CHUNK = 32768
 OVERLAP = 1024
 MARGIN = 4  # a contraction's two letters, and the character after a run
-CACHE = 400_000
+CACHE = 1_000_000
 LONG_PIECE = 64
+NO_RANK = 1 << 40
 
 
 @lru_cache(maxsize=4)
@@ -56,22 +57,18 @@ class Codec:
             return (whole,)
         if len(piece) > LONG_PIECE:
             return self._merge_long(piece)
-        ranks = self.ranks
+        get = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            best, at = None, -1
-            for i, rank in enumerate(pairs):
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                return tuple(ranks[p] for p in parts)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [get(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) != NO_RANK:
+            at = pairs.index(best)
+            parts[at] += parts.pop(at + 1)
             del pairs[at]
             if at:
-                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                pairs[at - 1] = get(parts[at - 1] + parts[at], NO_RANK)
             if at < len(pairs):
-                pairs[at] = ranks.get(parts[at] + parts[at + 1])
+                pairs[at] = get(parts[at] + parts[at + 1], NO_RANK)
+        return tuple(map(self.ranks.__getitem__, parts))
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same merges from a heap, so that a run of any length takes n log n steps."""
@@ -96,17 +93,17 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         known, pieces = self.known, self.pattern.findall(text)
-        out = list(map(known.get, pieces))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    piece = pieces[i]
-                    out[i] = ids = known.get(piece) or self.merge(piece.encode())
-                    if len(piece) <= LONG_PIECE:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        known[piece] = ids
-        return list(chain.from_iterable(out))
+        new = set(pieces).difference(known)
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = set(pieces)
+        long = {p: self.merge(p.encode()) for p in new if len(p) > LONG_PIECE}  # not kept
+        for p in new:
+            if p not in long:
+                known[p] = self.merge(p.encode())
+        if long:
+            return list(chain.from_iterable(long.get(p) or known[p] for p in pieces))
+        return list(chain.from_iterable(map(known.__getitem__, pieces)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
