@@ -164,7 +164,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
                 begun = True
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
 
-    _save(pages.repartition(archives).mapInArrow(packed, "record binary"), path, "\n")
+    _save(pages.repartition(archives, "page_id", "url").mapInArrow(packed, "record binary"), path, "\n")
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
