@@ -24,12 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from canopy.llm.common import id_text, written
+from canopy.llm.common import id_text, sliced, written
 
 CHUNK = 32768
 OVERLAP = 1024
 MARGIN = 4  # a contraction's two letters, and the character after a run
-CACHE = 1_000_000
+CACHE = 400_000
 LONG_PIECE = 64
 NO_RANK = 1 << 40
 
@@ -121,7 +121,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _slices(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def _slices(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Batches of (row, number, ..., text), closed when their texts reach ``most`` characters."""
     held, size = [], 0
     for row in rows:
@@ -157,7 +157,7 @@ def _pieces(long: DataFrame, path: str, pattern: str, chunk: int, overlap: int)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches, 64):
             heads, tails = [], []
             for k, last, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 found = c.boundaries(text)
@@ -197,7 +197,7 @@ def _ids_of(texts: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = pa.array([c.encode(x) for x in batch.column(len(names)).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*names, "ids"])
 
@@ -241,7 +241,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, "")
-        for batch in batches:
+        for batch in sliced(batches):
             found = [c.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "bytes"])
 
@@ -268,7 +268,7 @@ def round_trip(
     def digests(of) -> object:
         def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = codec(path, pattern)
-            for batch in batches:
+            for batch in sliced(batches):
                 rows = [_digest(c, of(c, x)) for x in batch.column(1).to_pylist()]
                 n, ids, text = zip(*rows) if rows else ((), (), ())
                 arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]

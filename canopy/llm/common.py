@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,11 +36,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what Python makes of a batch stays small beside it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; nulls are empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
-
-
-def first_existing(*paths: str) -> str:
-    """The first of the paths that exists here; the last one if none does."""
-    return next((p for p in paths if os.path.exists(p)), paths[-1])

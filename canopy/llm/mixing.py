@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from canopy.llm.common import WORD_CLASS, raw, written
+from canopy.llm.common import WORD_CLASS, raw, sliced, written
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, row: Colu
     )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n = pa.array([len(x.split()) for x in raw(batch.column(4))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], n], ["doc_id", "source", "key", "row", "size"])
 
@@ -247,8 +247,10 @@ def mixed_documents(
     chosen = slots(sources, mix).select("sid", "block", "turn")
     taken = segments(sizes, sources, mix).join(chosen, ["sid", "block"])
     # A group is a row's own segments; a row is taken ceil(target / size) times at most.
-    taken = taken.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("parts"))
-    joined = numbered.join(taken, numbered["__row"] == taken["row"]).select(*numbered.columns[:-1], F.col("parts").alias("__parts"))
+    taken = taken.groupBy(F.col("row").alias("__row"), "turn").agg(
+        F.sort_array(F.collect_list(F.struct("word", "words"))).alias("__parts")
+    )
+    joined = numbered.join(taken.select("__row", "__parts"), "__row").select(*[f"`{c}`" for c in df.columns], "__parts")
     names, index = df.columns, df.columns.index(text_col)
     word = re.compile(WORD_CLASS)
 
@@ -265,7 +267,7 @@ def mixed_documents(
         return "\n".join(text[places[a][0] : places[b - 1][1]] for a, b in runs)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [cut(x, y) for x, y in zip(batch.column(index).to_pylist(), batch.column(len(names)).to_pylist())]
             columns = batch.columns[:-1]
             columns[index] = pa.array(found, batch.schema.field(index).type)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from canopy.llm.common import id_text
+from canopy.llm.common import id_text, sliced
 
 CHUNK = 4096
 CHUNK_SHARE = 0.3
@@ -134,7 +134,7 @@ def judge_quality(df: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id",
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(bands)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [judge(x) for x in batch.column(1).to_pylist()]
             columns = zip(*rows) if rows else [()] * len(FIELDS)
             arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, FIELDS)]
@@ -149,7 +149,7 @@ def keep_quality(df: DataFrame, bands: Bands = Bands(), text_col: str = "text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(bands)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([judge(x or "")[6] for x in batch.column(index).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(kept, df.schema)

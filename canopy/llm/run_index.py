@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from canopy.llm.common import id_text, raw, written
+from canopy.llm.common import id_text, raw, sliced, written
 
 LENGTH = 200
 GRAM = 32
@@ -93,7 +93,7 @@ def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _recorded(docs: DataFrame, length: int) -> DataFrame:
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [records(x, length) for x in raw(batch.column(2))]
             owner = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
             if not len(owner):
@@ -253,7 +253,7 @@ def _contexts(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     names = ["anchor", "whole", "doc_id", "print", "start", "bytes"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, mark, text, wanted_ in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), batch.column(3).to_pylist()
@@ -315,7 +315,7 @@ def _counted(crowd: DataFrame, length: int) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             data = batch.column(3).to_pylist()
             counts = [len(x) - length + 1 for x in data]
             both = b"".join(digest(x[i : i + length]) for x, n in zip(data, counts) for i in range(n))
@@ -382,7 +382,7 @@ def remove_repeats(
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = raw(batch.column(1))
             spans = [_removed(x, len(t), length) for x, t in zip(batch.column(2).to_pylist(), texts)]
             kept = []

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from canopy.llm.common import id_text, raw
+from canopy.llm.common import id_text, raw, sliced
 
 SEPARATOR = 0xFF  # in no UTF-8 text, so in no rule
 BLOCK_LANES, BLOCK_STEPS = 1024, 1024
@@ -367,7 +367,7 @@ def find_secrets(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(rules)
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             found = machine.spans(raw(batch.column(1)))
             spans = [[{"kind": kinds[r], "start": a, "end": b} for a, r, b in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
@@ -386,7 +386,7 @@ def redact_secrets(df: DataFrame, rules: Sequence[Rule] = RULES, text_col: str =
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(rules)
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             texts = batch.column(index).to_pylist()
             found = machine.spans([(x or "").encode() for x in texts])
             for i, spans in enumerate(found):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from canopy.llm.common import LOWER, id_text, raw, written
+from canopy.llm.common import LOWER, id_text, raw, sliced, written
 from canopy.llm.components import components
 
 CELL = 64
@@ -54,7 +54,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id, fp``: the fingerprint's 64 bits as a signed long, one row for each row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             prints = b"".join(map(fingerprint, raw(batch.column(1))))
             signed = np.frombuffer(prints, dtype=">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], ["doc_id", "fp"])
@@ -200,7 +200,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     index = columns.index(text_col)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             prints = b"".join(map(fingerprint, raw(batch.column(index))))
             signed = pa.array(np.frombuffer(prints, dtype=">i8").astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, signed], [*columns, "__fp"])

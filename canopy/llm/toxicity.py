@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from canopy.llm.common import id_text, written
+from canopy.llm.common import id_text, sliced, written
 
 #: What parts words: everything in ASCII but letters and digits.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -129,13 +129,6 @@ def fit_chain(columns: np.ndarray, starts: np.ndarray, labels: np.ndarray, fold:
     return weights, bias
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose distinct words fit easily in a task."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def train(docs: DataFrame, labels: DataFrame, chain: Chain = Chain()) -> Fitted:
     """Fit on ``labels (doc_id, <categories> 0/1)``; rows without a label or text are left out.
 
@@ -152,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: Chain = Chain()) -> Fitted:
     prefixes = chain.prefixes
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
+        for batch in sliced(batches, 256):
             found = [list(tokens(x, prefixes)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.binary())), *batch.columns[2:]], ["doc_id", "words", *names]
@@ -179,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: Chain = Chain()) -> Fitted:
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = sent.value.get
-        for batch in _small(batches):
+        for batch in sliced(batches, 256):
             found = [sorted(i for i in map(get, x) if i is not None) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], ["doc_id", "columns", *names]
@@ -207,7 +200,7 @@ def score(df: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str =
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             p = [model.probabilities(x) for x in batch.column(1).to_pylist()]
             columns = list(zip(*p)) if p else [()] * len(names)
             yield pa.RecordBatch.from_arrays(
