@@ -105,6 +105,25 @@ def _(t):
     return _video(subtitles.parse_srt(text.read_lines(t.spark, _srt(t, False))))
 
 
+@query("srt_telemetry", "video_id:s frame:i ts:d lat:d lon:d rel_alt:d gb_yaw:d",
+       """SELECT video_id, frame, CAST(split_part(utc, ':', 1) AS DOUBLE) * 3600 + CAST(split_part(utc, ':', 2) AS DOUBLE) * 60
+                 + CAST(split_part(utc, ':', 3) AS DOUBLE) AS ts, lat, lon, rel_alt, gb_yaw FROM telemetry""")
+def _(t):
+    video = F.regexp_extract("file", r"video_id=([^/]*)/", 1)
+    return subtitles.as_telemetry(subtitles.parse_srt(text.read_lines(t.spark, _srt(t, True))), video)
+
+
+@query("srt_attach_telemetry", "det_id:i video_id:s frame:i lat_drone:d lon_drone:d",
+       """SELECT d.det_id, d.video_id, d.frame, f.lat AS lat_drone, f.lon AS lon_drone FROM detections d
+          LEFT JOIN (SELECT video_id, frame, arg_min(lat, ts) AS lat, arg_min(lon, ts) AS lon FROM telemetry GROUP BY ALL) f USING (video_id, frame)""")
+def _(t):
+    from canopy.operators.telemetry import attach_telemetry
+
+    video = F.regexp_extract("file", r"video_id=([^/]*)/", 1)
+    telemetry = subtitles.as_telemetry(subtitles.parse_srt(text.read_lines(t.spark, _srt(t, True))), video)
+    return attach_telemetry(t.detections, telemetry).withColumnRenamed("lat", "lat_drone").withColumnRenamed("lon", "lon_drone")
+
+
 def _legacy(t) -> str:
     s = lambda c, f="%.5f": F.format_string(f, c)
     sec = F.col("frame") * 2
