@@ -1,7 +1,9 @@
-"""Session helpers: settings, the shared scratch folder, lineage cuts."""
+"""Session helpers: settings, the shared scratch folder, tables written to cut lineage."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,17 +34,19 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, name: str = "cano
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only for a local master, where driver and
-    executors share one disk.
+    Each application has its own folder there, so that it can be removed when the application
+    has ended. Without the setting a folder is made for a local master only, where driver and
+    executors share one disk; it goes when the interpreter exits.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return f"{named.rstrip('/')}/canopy-{spark.sparkContext.applicationId}"
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if sc.applicationId not in _local_roots:
         _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="canopy-")
+        atexit.register(shutil.rmtree, _local_roots[sc.applicationId], ignore_errors=True)
     return _local_roots[sc.applicationId]
 
 
@@ -52,9 +56,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so iterative jobs survive a lost executor."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(scratch_root(spark))
-    return df.checkpoint(eager=True)
+    """The same rows from a table in the shared folder: computed once, and safe from lost executors.
+
+    Parquet keeps columns apart, so what reads the table reads only what it needs.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
