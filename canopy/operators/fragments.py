@@ -108,90 +108,29 @@ def _link_step():
     return step
 
 
-def greedy_links(candidates: DataFrame, part_limit: int = 200_000) -> DataFrame:
+def greedy_links(candidates: DataFrame) -> DataFrame:
     """One successor and one predecessor per fragment, best scores first.
 
     Edges compete only when they share a source or a target, and then their time
-    spans touch; pauses between spans cut the edges into parts. Parts within
-    ``part_limit`` edges are matched by one ordered pass each, larger ones in
-    parallel rounds with the same outcome.
+    spans touch; pauses between spans cut the edges into parts. Each part is one ordered
+    pass that holds the fragments linked so far.
     """
     axes = [("end_frame", "start_frame", 0.0, 256.0)]
-    parts = cut_lineage(independent_parts(candidates, [VIDEO], axes, "__part"))
-    sizes = parts.groupBy(VIDEO, "__part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part_limit)
-    large = sizes.select(VIDEO, "__part")
+    parts = independent_parts(candidates, [VIDEO], axes, "__part")
     order = [F.col(c) for c in ("score", "distance_m", "src", "dst")]
-    folded = fold_sorted(
-        parts.join(large, [VIDEO, "__part"], "left_anti"), [VIDEO, "__part"], order, ["src", "dst"], "__won boolean", _link_step
-    )
-    links = folded.filter("__won").select(VIDEO, "src", "dst", "end_frame")
-    if large.isEmpty():
-        return links
-    rest = parts.join(large, [VIDEO, "__part"], "left_semi")
-    return links.unionByName(_link_rounds(rest))
-
-
-def _link_rounds(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """An edge that is the best of both its ends is taken by the greedy order whatever
-    happens elsewhere. Each round takes all such edges and drops those they block."""
-    rank = F.struct("score", "distance_m", "src", "dst")
-    left = cut_lineage(edges.select(VIDEO, "src", "dst", "end_frame", rank.alias("rank")))
-    taken = []
-    for _ in range(max_rounds):
-        best_out = left.groupBy(VIDEO, "src").agg(F.min("rank").alias("bo"))
-        best_in = left.groupBy(VIDEO, "dst").agg(F.min("rank").alias("bi"))
-        won = cut_lineage(
-            left.join(best_out, [VIDEO, "src"]).join(best_in, [VIDEO, "dst"])
-            .filter((F.col("rank") == F.col("bo")) & (F.col("rank") == F.col("bi")))
-            .select(VIDEO, "src", "dst", "end_frame")
-        )
-        if won.isEmpty():
-            break
-        taken.append(won)
-        left = cut_lineage(
-            left.join(won.select(VIDEO, "src"), [VIDEO, "src"], "left_anti")
-            .join(won.select(VIDEO, "dst"), [VIDEO, "dst"], "left_anti")
-        )
-    else:
-        raise RuntimeError("greedy matching did not settle")
-    out = taken[0]
-    for t in taken[1:]:
-        out = out.unionByName(t)
-    return out
-
-
-def _head_step():
-    """Links in time order: a fragment's own link into it comes before the one out of it."""
-    heads: dict[int, int] = {}
-
-    def step(src, dst) -> tuple[int]:
-        heads[dst] = heads.pop(src, src)
-        return (heads[dst],)
-
-    return step
+    folded = fold_sorted(parts, [VIDEO, "__part"], order, ["src", "dst"], "__won boolean", _link_step)
+    return folded.filter("__won").select(VIDEO, "src", "dst", "end_frame")
 
 
-def chain_heads(links: DataFrame, video_limit: int = 500_000) -> DataFrame:
+def chain_heads(links: DataFrame) -> DataFrame:
     """``entity_id -> merged_id``, the earliest fragment of its chain, for linked fragments.
 
-    Videos within ``video_limit`` links are followed in one ordered pass, larger
-    ones by pointer doubling.
+    Each round, every fragment points twice as far back, so rounds follow the logarithm of the
+    longest chain. A fragment has one link into it at most, and time runs along links, so no
+    chain closes.
     """
-    links = cut_lineage(links)
-    large = links.groupBy(VIDEO).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > video_limit).select(VIDEO)
-    folded = fold_sorted(
-        links.join(large, VIDEO, "left_anti"), [VIDEO], [F.col("end_frame"), F.col("src")], ["src", "dst"],
-        "merged_id long", _head_step,
-    )
-    heads = folded.select(VIDEO, F.col("dst").alias("entity_id"), "merged_id")
-    if large.isEmpty():
-        return heads
-    return heads.unionByName(_double_pointers(links.join(large, VIDEO, "left_semi")))
-
-
-def _double_pointers(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     up = cut_lineage(links.select(VIDEO, F.col("dst").alias("node"), F.col("src").alias("parent")))
-    for _ in range(max_rounds):
+    while True:
         grand = up.select(VIDEO, F.col("node").alias("parent"), F.col("parent").alias("grand"))
         stepped = cut_lineage(up.join(grand, [VIDEO, "parent"], "left").select(
             VIDEO, "node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")
@@ -199,7 +138,6 @@ def _double_pointers(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         up = stepped.drop("moved")
         if stepped.filter("moved").isEmpty():
             return up.select(VIDEO, F.col("node").alias("entity_id"), F.col("parent").alias("merged_id"))
-    raise RuntimeError("chains did not settle")
 
 
 def _compat_merges(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -23,82 +23,60 @@ VIDEO = "video_id"
 RANK = ["x1", "y1", "det_id"]
 
 
+def confidence() -> Column:
+    """Confidence to rank by; a missing one ranks as 0, wherever rows are put in order."""
+    c = F.col("conf").cast("double")
+    return F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+
+
 def frame_order() -> list[Column]:
-    return [F.col("frame"), F.col("conf").desc(), *[F.col(c) for c in RANK]]
+    return [F.col("frame"), confidence().desc(), *[F.col(c) for c in RANK]]
 
 
 def _first_key(prefix: Sequence[str] = ()) -> Column:
     """The same order as one comparable struct."""
-    return F.struct(*[F.col(c) for c in prefix], "frame", (-F.col("conf")).alias("neg_conf"), *RANK)
+    return F.struct(*[F.col(c) for c in prefix], "frame", (-confidence()).alias("neg_conf"), *RANK)
 
 
 # --- boxes of one frame ------------------------------------------------------
 
-def _suppresses(a: Column, b: Column, iou_limit: float, center_px: float) -> Column:
-    box = lambda s: [s[c] for c in ("x1", "y1", "x2", "y2")]
-    over = D.iou(box(a), box(b))
-    mid = lambda s, p, q: (s[p] + s[q]) * 0.5
-    dx, dy = mid(a, "x1", "x2") - mid(b, "x1", "x2"), mid(a, "y1", "y2") - mid(b, "y1", "y2")
-    close = (a["cls"] == b["cls"]) & (F.sqrt(dx * dx + dy * dy) <= center_px) & (over >= 0.35)
-    return (over >= iou_limit) | close
-
-
 def _box_step(iou_limit: float, center_px: float):
-    """Greedy suppression over a stream of boxes, most confident first."""
-    kept = np.empty((0, 5))
+    """Greedy suppression over a stream of boxes, most confident first; holds the boxes kept."""
+    room, count = np.empty((64, 5)), 0
 
     def step(x1, y1, x2, y2, cls) -> tuple[bool]:
-        nonlocal kept
+        nonlocal room, count
         r = np.array([x1, y1, x2, y2, cls], dtype=float)
-        if len(kept):
-            w = np.clip(np.minimum(kept[:, 2], x2) - np.maximum(kept[:, 0], x1), 0, None)
-            h = np.clip(np.minimum(kept[:, 3], y2) - np.maximum(kept[:, 1], y1), 0, None)
-            inter = w * h
-            area = lambda b: np.clip((b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1]), 0, None)
-            union = area(kept) + area(r) - inter
-            over = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
-            apart = np.hypot((kept[:, 0] + kept[:, 2] - x1 - x2) / 2, (kept[:, 1] + kept[:, 3] - y1 - y2) / 2)
-            close = (kept[:, 4] == cls) & (apart <= center_px) & (over >= 0.35)
-            if bool(((over >= iou_limit) | close).any()):
-                return (False,)
-        kept = np.vstack([kept, r])
+        kept = room[:count]
+        w = np.clip(np.minimum(kept[:, 2], r[2]) - np.maximum(kept[:, 0], r[0]), 0, None)
+        h = np.clip(np.minimum(kept[:, 3], r[3]) - np.maximum(kept[:, 1], r[1]), 0, None)
+        inter = w * h
+        area = lambda b: np.clip((b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1]), 0, None)
+        union = area(kept) + area(r) - inter
+        over = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
+        apart = np.hypot((kept[:, 0] + kept[:, 2] - r[0] - r[2]) / 2, (kept[:, 1] + kept[:, 3] - r[1] - r[3]) / 2)
+        close = (kept[:, 4] == r[4]) & (apart <= center_px) & (over >= 0.35)
+        if bool(((over >= iou_limit) | close).any()):
+            return (False,)
+        if count == len(room):
+            room = np.concatenate([room, np.empty_like(room)])
+        room[count] = r
+        count += 1
         return (True,)
 
     return step
 
 
-def suppress_overlaps(
-    det: DataFrame, iou: float = 0.65, center_px: float = 28.0, frame_limit: int = 512
-) -> DataFrame:
+def suppress_overlaps(det: DataFrame, iou: float = 0.65, center_px: float = 28.0) -> DataFrame:
     """Greedy per frame: a box goes when a kept one overlaps it too much.
 
-    Frames up to ``frame_limit`` boxes fold as one native array. Larger frames are
-    cut into stretches without overlap and streamed in order; the rule is the same.
+    One ordered pass over each frame for all frames; a task holds the boxes kept of one frame.
     """
-    keys = [VIDEO, "frame"]
-    crowded = det.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > frame_limit).select(*keys)
-    usual, large = det.join(crowded, keys, "left_anti"), det.join(crowded, keys, "left_semi")
-
-    rest = [c for c in det.columns if c not in keys]
-    boxes = F.sort_array(F.collect_list(F.struct((-F.col("conf")).alias("__rank"), *RANK, F.struct(*rest).alias("row"))))
-    frames = usual.groupBy(*keys).agg(F.transform(boxes, lambda b: b["row"]).alias("rows"))
-    none = F.slice("rows", 1, 0)
-    kept = F.aggregate(
-        "rows", none,
-        lambda acc, b: F.when(
-            F.exists(acc, lambda k: _suppresses(b, k, iou, center_px)), acc
-        ).otherwise(F.concat(acc, F.array(b))),
-    )
-    small = frames.select(*keys, F.inline(kept)).select(*det.columns)
-
-    axes = [("x1", "x2", 0.0, 64.0), ("y1", "y2", 0.0, 64.0)]
-    parts = independent_parts(large, keys, axes, "__part")
-    order = [F.col("conf").desc(), *[F.col(c) for c in RANK]]
-    streamed = fold_sorted(
-        parts, [*keys, "__part"], order, ["x1", "y1", "x2", "y2", "cls"], "__keep boolean",
-        lambda: _box_step(iou, center_px),
+    order = [confidence().desc(), *[F.col(c) for c in RANK]]
+    folded = fold_sorted(
+        det, [VIDEO, "frame"], order, ["x1", "y1", "x2", "y2", "cls"], "__keep boolean", lambda: _box_step(iou, center_px)
     )
-    return small.unionByName(streamed.filter("__keep").select(*det.columns))
+    return folded.filter("__keep").select(*det.columns)
 
 
 # --- clusters ----------------------------------------------------------------
@@ -367,7 +345,6 @@ def representative_obs(
     mode: str,
     center: tuple[float, float] | None = None,
     keys: Sequence[str] = (VIDEO, "entity_id"),
-    group_limit: int = 4096,
 ) -> DataFrame:
     """One observation per entity: ``first, last, max_prob, centered, mixed`` or ``medoid``.
 
@@ -377,7 +354,7 @@ def representative_obs(
     row = F.struct(*[c for c in obs.columns if c not in keys])
     early = F.struct(F.col("ts"), F.col("det_id"))
     if mode == "medoid":
-        return _medoid(obs, keys, group_limit)
+        return _medoid(obs, keys)
     if mode == "first":
         pick = F.min_by(row, early)
     elif mode == "last":
@@ -399,32 +376,20 @@ def representative_obs(
     return obs.groupBy(*keys).agg(pick.alias("s")).select(*keys, "s.*")
 
 
-def _medoid(obs: DataFrame, keys: list[str], group_limit: int) -> DataFrame:
+def _medoid(obs: DataFrame, keys: list[str], block: int = 256) -> DataFrame:
     """Observation with the least mean distance to the others of its entity, first on a tie.
 
-    Small entities are folded as one array. Larger ones are compared block against
-    block: each block of positions meets every row of the entity once, so no task
-    holds an entity and no pair is emitted.
+    Positions are compared block against row: each block of positions meets every row of its
+    entity once, so no task holds an entity and no pair is emitted. Blocks are summed in no fixed
+    order, so means count as equal when nine digits agree.
     """
-    point = F.struct("ts", "det_id", "north", "east")
     sizes = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    small_keys = sizes.filter(F.col("__n") <= group_limit).select(*keys)
-    large_keys = sizes.filter(F.col("__n") > group_limit)
-    small = obs.join(small_keys, keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("p"))
-    span = lambda a, b: F.sqrt(F.pow(a["north"] - b["north"], F.lit(2.0)) + F.pow(a["east"] - b["east"], F.lit(2.0)))
-    mean = lambda a: F.aggregate("p", F.lit(0.0), lambda s, b: s + span(a, b)) / F.size("p")
-    scored = small.select(*keys, F.inline(F.transform(
-        "p", lambda a: F.struct(mean(a).alias("d"), a["ts"].alias("ts"), a["det_id"].alias("det_id"))
-    )))
-    blocks = 256
-    large = obs.join(large_keys, keys)
-    tagged = large.withColumn("__block", F.pmod(F.hash("det_id"), F.floor(F.col("__n") / blocks).cast("int") + 1))
+    sized = obs.join(sizes, keys)
+    tagged = sized.withColumn("__block", F.pmod(F.xxhash64("det_id"), F.floor(F.col("__n") / block).cast("int") + 1))
     packs = tagged.groupBy(*keys, "__block").agg(F.collect_list(F.struct("north", "east")).alias("p"))
-    far = large.join(packs.drop("__block"), keys)
+    far = sized.select(*keys, "ts", "det_id", "north", "east", "__n").join(packs.drop("__block"), keys)
     here = lambda b: F.sqrt(F.pow(F.col("north") - b["north"], F.lit(2.0)) + F.pow(F.col("east") - b["east"], F.lit(2.0)))
     sums = far.select(*keys, "ts", "det_id", "__n", F.aggregate("p", F.lit(0.0), lambda s, b: s + here(b)).alias("part"))
-    large_scored = sums.groupBy(*keys, "ts", "det_id").agg((F.sum("part") / F.first("__n")).alias("d"))
-    best = scored.unionByName(large_scored.select(*scored.columns)).groupBy(*keys).agg(
-        F.min(F.struct(F.round("d", 9).alias("d"), "ts", "det_id")).alias("b")
-    )
+    scored = sums.groupBy(*keys, "ts", "det_id").agg((F.sum("part") / F.first("__n")).alias("d"))
+    best = scored.groupBy(*keys).agg(F.min(F.struct(F.round("d", 9).alias("d"), "ts", "det_id")).alias("b"))
     return obs.join(best.select(*keys, F.col("b.det_id").alias("det_id")), [*keys, "det_id"])

@@ -74,8 +74,20 @@ def _(t):
 
 @query("suppress_overlaps_streamed", "det_id:i", SUPPRESS)
 def _(t):
-    """The same rule by the route for crowded frames."""
-    return Tr.suppress_overlaps(_crowded(t), frame_limit=2)
+    """The same rule over crowded frames, dealt in another order beforehand."""
+    return Tr.suppress_overlaps(_crowded(t).repartition(7, "det_id"))
+
+
+def _half_known(det):
+    """Every third confidence is missing, every seventh not a number."""
+    i = F.col("det_id")
+    return det.withColumn("conf", F.when(i % 3 == 0, None).when(i % 7 == 0, float("nan")).otherwise(F.col("conf")))
+
+
+@query("suppress_overlaps_null_conf", "det_id:i",
+       SUPPRESS.replace("ORDER BY conf DESC", "ORDER BY CASE WHEN det_id % 3 = 0 OR det_id % 7 = 0 THEN 0 ELSE conf END DESC"))
+def _(t):
+    return Tr.suppress_overlaps(_half_known(_crowded(t)))
 
 
 GROUND = """SELECT det_id, video_id, frame, dlat, dlon, conf, cls, name, track_id, x1, y1, x2, y2,
@@ -304,6 +316,13 @@ def _(t):
     return Tr.dedupe_frame(_with_ids(t))
 
 
+@query("dedupe_frame_null_conf", "det_id:i entity_id:i",
+       f"""SELECT det_id, entity_id FROM ({IDS}) QUALIFY row_number() OVER (PARTITION BY video_id, frame, entity_id
+           ORDER BY CASE WHEN det_id % 3 = 0 OR det_id % 7 = 0 THEN 0 ELSE conf END DESC, x1, y1, det_id) = 1""")
+def _(t):
+    return Tr.dedupe_frame(_half_known(_with_ids(t)))
+
+
 VALID = "SELECT video_id, track_id, count(*) AS frames, avg(conf) AS mean_conf FROM detections GROUP BY ALL HAVING count(*) >= 14 AND avg(conf) >= 0.5"
 
 
@@ -450,7 +469,7 @@ def _(t):
 @query("representative_medoid_blocks", "video_id:s entity_id:i det_id:i", MEDOID)
 def _(t):
     """The same by the route for large entities."""
-    return Tr.representative_obs(_observations(t), "medoid", group_limit=5)
+    return Tr.representative_obs(_observations(t).repartition(7, "det_id"), "medoid")
 
 
 @query("chain_timestamps", "video_id:s frame:i ts:d",

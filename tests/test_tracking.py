@@ -163,8 +163,7 @@ def _iou(a, b):
     return w * h / (area(a) + area(b) - w * h)
 
 
-@pytest.mark.parametrize("limit", [512, 10])
-def test_suppress_overlaps(spark, limit):
+def test_suppress_overlaps(spark):
     rng = random.Random(9)
     rows = []
     for i in range(300):
@@ -184,7 +183,7 @@ def test_suppress_overlaps(spark, limit):
             bad |= o >= 0.65 or (k[8] == d[8] and far <= 28 and o >= 0.35)
         if not bad:
             kept.append(d)
-    got = Tr.suppress_overlaps(spark.createDataFrame(rows, COLS), frame_limit=limit).collect()
+    got = Tr.suppress_overlaps(spark.createDataFrame(rows, COLS)).collect()
     assert {g.det_id for g in got} == {k[0] for k in kept} and len(kept) < 300
 
 
@@ -203,8 +202,7 @@ def _edges(rng, n):
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 200_000])
-def test_greedy_links(spark, limit):
+def test_greedy_links(spark):
     edges = _edges(random.Random(11), 60)
     followed, preceded, want = set(), set(), set()
     for e in sorted(edges, key=lambda e: (e[7], e[5], e[1], e[2])):
@@ -212,9 +210,9 @@ def test_greedy_links(spark, limit):
             followed.add(e[1])
             preceded.add(e[2])
             want.add((e[1], e[2]))
-    links = Fr.greedy_links(spark.createDataFrame(edges, EDGES), part_limit=limit)
+    links = Fr.greedy_links(spark.createDataFrame(edges, EDGES))
     assert {(r.src, r.dst) for r in links.collect()} == want
-    heads = {r.entity_id: r.merged_id for r in Fr.chain_heads(links, video_limit=limit).collect()}
+    heads = {r.entity_id: r.merged_id for r in Fr.chain_heads(links).collect()}
     up = {b: a for a, b in want}
     for f in up:
         top = f
@@ -279,6 +277,25 @@ def _rdp(pts, eps):
     return [pts[0], pts[-1]]
 
 
+def test_greedy_links_long_path(spark):
+    """2,600 edges in a path, each beaten by the one before: every second one is taken."""
+    edges = [("v", i, i + 1, i, i + 1, 1.0, 2.0, 0.1 + i * 1e-4) for i in range(2600)]
+    links = Fr.greedy_links(spark.createDataFrame(edges, EDGES))
+    # An edge competes for its source or its target only, and the next one for neither: all stay.
+    assert links.count() == 2600
+    heads = Fr.chain_heads(links)
+    assert {r.merged_id for r in heads.collect()} == {0} and heads.count() == 2600
+
+
+def test_greedy_links_competing(spark):
+    """Sources and targets shared in turns: greedy order takes every second edge."""
+    edges = []
+    for i in range(1300):  # s_i -> t_i, then t_i is also wanted by s_(i+1)
+        edges += [("v", 2 * i, 2 * i + 1, 1, 2, 1.0, 2.0, 2 * i * 1e-4), ("v", 2 * i + 2, 2 * i + 1, 1, 2, 1.0, 2.0, (2 * i + 1) * 1e-4)]
+    links = Fr.greedy_links(spark.createDataFrame(edges, EDGES))
+    assert sorted((r.src, r.dst) for r in links.collect()) == [(2 * i, 2 * i + 1) for i in range(1300)]
+
+
 @pytest.mark.parametrize("limit", [50_000, 20])
 def test_simplify_path(spark, limit):
     rng = random.Random(17)
