@@ -97,20 +97,20 @@ def distinct_tiles(scenes: DataFrame) -> DataFrame:
     return named.select("tile").filter(F.col("tile").isNotNull()).distinct()
 
 
-def resolve_assets(scenes: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """One row per scene and band with the object key, without scheme and bucket."""
+def resolve_assets(scenes: DataFrame, bands: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One row per scene and band with the object key, without scheme and bucket, and the
+    scenes and bands that have no such asset."""
     wanted = [b for b in bands if b not in GENERATED_BANDS]
     unknown = [b for b in wanted if b not in BAND_ASSETS]
     if unknown:
         raise ValueError(f"unknown bands {unknown}")
     pairs = [F.struct(F.lit(b).alias("band"), F.lit(BAND_ASSETS[b]).alias("asset_key")) for b in wanted]
     href = F.try_element_at("assets", F.col("asset_key"))["href"]
-    return (
-        scenes.select("*", F.inline(F.array(*pairs)))
-        .withColumn("href", href)
-        .filter(F.col("href").isNotNull())
-        .withColumn("object_key", F.regexp_replace("href", r"^[A-Za-z0-9]+://[^/]+/", ""))
+    asked = scenes.select("*", F.inline(F.array(*pairs))).withColumn("href", href)
+    found = asked.filter(F.col("href").isNotNull()).withColumn(
+        "object_key", F.regexp_replace("href", r"^[A-Za-z0-9]+://[^/]+/", "")
     )
+    return found, asked.filter(F.col("href").isNull()).drop("href")
 
 
 def required_assets(scenes: DataFrame, indices: Sequence[str]) -> DataFrame:

@@ -4,35 +4,52 @@ A plain window over a hot key sends all its rows to a single task. Here rows
 are first cut into order-consistent buckets: the window runs inside
 ``(keys, bucket)``, and only one summary row per bucket is ordered per key.
 The bucket must not decrease along the first order column; when none is given,
-splitters come from a quantile sketch of that column. Sketch error only moves
-rows between buckets, results stay exact. Keys must not be NULL: the way back to the
-rows is a plain equi-join, which reuses the window's partitioning.
+splitters come from a quantile sketch of that column, four times as many as the session
+has shuffle partitions. Sketch error only moves rows between buckets, results stay exact.
+Keys and bucket travel as one struct: rows with NULL keys meet their own group, and the way
+back to the rows is a plain equi-join, which reuses the window's partitioning.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.window import WindowSpec
 
 BUCKET = "__bucket"
+KEY = "__key"
 
 
-def bucket_by_splits(df: DataFrame, col: str, parts: int = 64) -> DataFrame:
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets for one key: more than partitions, so that a key alone still fills the cluster."""
+    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucket_by_splits(df: DataFrame, col: str, parts: int | None = None) -> DataFrame:
     """Add ``__bucket``: how many of ``parts - 1`` splitters lie at or below ``col``."""
+    parts = parts or bucket_count(df.sparkSession)
     probs = [i / parts for i in range(1, parts)]
     number = F.col(col).cast("double")
-    splits = df.agg(F.percentile_approx(number, probs, 2000).alias("__splits")).scalar()
+    splits = df.agg(F.percentile_approx(number, probs, max(2000, 32 * parts)).alias("__splits")).scalar()
     # A scalar subquery of parts - 1 numbers: its size does not depend on the data.
     below = F.filter(F.coalesce("__splits", F.array().cast("array<double>")), lambda s: s <= number)
     return df.withColumn("__splits", splits).withColumn(BUCKET, F.size(below)).drop("__splits")
 
 
-def _bucketed(df: DataFrame, order: Sequence[str], bucket: Column | None) -> DataFrame:
+def _bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None) -> DataFrame:
+    """Rows with ``__key``: their keys and bucket."""
     if bucket is None:
-        return bucket_by_splits(df, order[0])
-    # Rows without an order value come first, so their bucket lies below all others.
-    return df.withColumn(BUCKET, F.coalesce(bucket.cast("long"), F.lit(-(1 << 62))))
+        df = bucket_by_splits(df, order[0])
+    else:
+        # Rows without an order value come first, so their bucket lies below all others.
+        df = df.withColumn(BUCKET, F.coalesce(bucket.cast("long"), F.lit(-(1 << 62))))
+    return df.withColumn(KEY, F.struct(*keys, BUCKET)).drop(BUCKET)
+
+
+def _across(keys: Sequence[str]) -> WindowSpec:
+    """The buckets of a key in order."""
+    return W.partitionBy(*[F.col(f"{KEY}.`{k}`") for k in keys]).orderBy(f"{KEY}.{BUCKET}")
 
 
 def _order(cols: Sequence[str | Column]) -> list[Column]:
@@ -48,17 +65,13 @@ def row_numbers(
 ) -> DataFrame:
     """1-based row number per key, exact, computed in two levels."""
     keys = list(keys)
-    b = _bucketed(df, order, bucket)
-    counts = b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*keys, BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inner = W.partitionBy(*keys, BUCKET).orderBy(*_order(order))
+    b = _bucketed(df, keys, order, bucket)
+    counts = b.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"))
+    before = _across(keys).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(KEY, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inner = W.partitionBy(KEY).orderBy(*_order(order))
     numbered = b.withColumn("__place", F.row_number().over(inner))
-    return (
-        numbered.join(starts, [*keys, BUCKET])
-        .withColumn(out, F.col("__start") + F.col("__place"))
-        .drop("__start", "__place", BUCKET)
-    )
+    return numbered.join(starts, KEY).withColumn(out, F.col("__start") + F.col("__place")).drop("__start", "__place", KEY)
 
 
 def running_sum(
@@ -71,16 +84,16 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive cumulative sum of ``value`` in order."""
     keys = list(keys)
-    b = _bucketed(df, order, bucket).withColumn("__v", value)
-    sums = b.groupBy(*keys, BUCKET).agg(F.sum("__v").alias("__n"))
-    before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(*keys, BUCKET, F.sum("__n").over(before).alias("__start"))
-    inner = W.partitionBy(*keys, BUCKET).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, 0)
+    b = _bucketed(df, keys, order, bucket).withColumn("__v", value)
+    sums = b.groupBy(KEY).agg(F.sum("__v").alias("__n"))
+    before = _across(keys).rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(KEY, F.sum("__n").over(before).alias("__start"))
+    inner = W.partitionBy(KEY).orderBy(*_order(order)).rowsBetween(W.unboundedPreceding, 0)
     summed = b.withColumn("__cum", F.sum("__v").over(inner))
     return (
-        summed.join(starts, [*keys, BUCKET])
+        summed.join(starts, KEY)
         .withColumn(out, F.coalesce(F.col("__start"), F.lit(0)) + F.col("__cum"))
-        .drop("__start", "__cum", "__v", BUCKET)
+        .drop("__start", "__cum", "__v", KEY)
     )
 
 
@@ -96,33 +109,33 @@ def fill(
     """Nearest non-null value at or before each row (``before``) and at or after it
     (``after``), all in one pass; ``inclusive=False`` leaves the row itself out."""
     keys, before, after = list(keys), dict(before or {}), dict(after or {})
-    b = _bucketed(df, order, bucket)
+    b = _bucketed(df, keys, order, bucket)
     for n, v in (before | after).items():
         b = b.withColumn(f"__v_{n}", v)
     edge = 0 if inclusive else 1
     at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     here = lambda n: F.when(F.col(f"__v_{n}").isNotNull(), at)
-    summary = b.groupBy(*keys, BUCKET).agg(
+    summary = b.groupBy(KEY).agg(
         *[F.max_by(f"__v_{n}", here(n)).alias(f"__e_{n}") for n in before],
         *[F.min_by(f"__v_{n}", here(n)).alias(f"__e_{n}") for n in after],
     )
-    across = W.partitionBy(*keys).orderBy(BUCKET)
+    across = _across(keys)
     past, future = across.rowsBetween(W.unboundedPreceding, -1), across.rowsBetween(1, W.unboundedFollowing)
     summary = summary.select(
-        *keys, BUCKET,
+        KEY,
         *[F.last(f"__e_{n}", True).over(past).alias(f"__c_{n}") for n in before],
         *[F.first(f"__e_{n}", True).over(future).alias(f"__c_{n}") for n in after],
     )
-    up = W.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(W.unboundedPreceding, -edge)
+    up = W.partitionBy(KEY).orderBy(*order).rowsBetween(W.unboundedPreceding, -edge)
     # Reading the order backwards keeps the frame growing one row at a time.
-    down = W.partitionBy(*keys, BUCKET).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(
+    down = W.partitionBy(KEY).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(
         W.unboundedPreceding, -edge
     )
     for names, w in ((before, up), (after, down)):
         for n in names:
             b = b.withColumn(f"__i_{n}", F.last(f"__v_{n}", True).over(w))
-    res = b.join(summary, [*keys, BUCKET])
+    res = b.join(summary, KEY)
     names = [*before, *after]
     for n in names:
         res = res.withColumn(n, F.coalesce(f"__i_{n}", f"__c_{n}"))
-    return res.drop(BUCKET, *[f"__{p}_{n}" for p in "vic" for n in names])
+    return res.drop(KEY, *[f"__{p}_{n}" for p in "vic" for n in names])

@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from canopy.operators.ordered import bucket_count
+
 
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
-    parts: int = 32,
+    parts: int | None = None,
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs``.
 
@@ -21,12 +23,13 @@ def exact_quantiles(
     Interpolation is linear between closest ranks.
     """
     keys = list(keys)
+    parts = parts or bucket_count(df.sparkSession)
     v = F.col(value).cast("double")
     kept = df.select(*keys, v.alias("__v")).filter(v.isNotNull())
     counts = kept.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     cuts = [i / parts for i in range(1, parts)]
     totals = kept.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__total"), F.percentile_approx("__v", cuts, 1000).alias("__cuts")
+        F.count(F.lit(1)).alias("__total"), F.percentile_approx("__v", cuts, max(1000, 32 * parts)).alias("__cuts")
     )
     if keys:
         placed = counts.join(totals, keys)

@@ -186,7 +186,8 @@ def centroid_area(regions: DataFrame) -> DataFrame:
 
 def combine_regions(regions: DataFrame, by: str, order: str) -> tuple[DataFrame, DataFrame]:
     """Rings of one group renumbered as parts of one region with the first member's
-    properties; groups of mixed CRS come back as the second result.
+    properties; groups of mixed CRS and regions without the property ``by`` come back as the
+    second result.
 
     Rings stay one row each, so a large group is never gathered into one row.
     """
@@ -212,8 +213,12 @@ def combine_regions(regions: DataFrame, by: str, order: str) -> tuple[DataFrame,
             F.col("__props").alias("props"), F.col("region_id").alias("member_id"),
         )
     )
-    rejected = tagged.join(info.filter(~good).select("__g", "n_epsg", "not_polygon"), "__g").withColumnRenamed("__g", by)
-    return combined, rejected
+    rejected = tagged.join(info.filter(~good).select("__g", "n_epsg", "not_polygon"), "__g")
+    # A NULL group joins nothing above.
+    without = tagged.filter(F.col("__g").isNull()).select(
+        "*", F.lit(None).cast("long").alias("n_epsg"), F.lit(None).cast("int").alias("not_polygon")
+    )
+    return combined, rejected.unionByName(without).withColumnRenamed("__g", by)
 
 
 def _hull(xy: np.ndarray) -> np.ndarray:

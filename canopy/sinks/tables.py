@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from canopy.functions.geometry import lonlat_to_tile, tile_bounds
 from canopy.schemas import CLUSTERS_OUT, DETECTIONS_OUT, TRACKS_OUT
 
 
+def _present(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """The partitions of a written table; None where there is no table yet."""
+    try:
+        return spark.read.parquet(path).select(*keys).distinct()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def write_pixels(df: DataFrame, path: str, partition_by: Sequence[str] = ("index", "year"), overwrite: bool = False) -> None:
-    """Parquet by index and year. Existing results stay unless ``overwrite``, which then
-    replaces only the partitions present in ``df``."""
-    rows = df.repartition(*partition_by, F.floor(F.col("row") / 1024)) if "row" in df.columns else df
-    writer = rows.write.partitionBy(*partition_by)
+    """Parquet by index and year. Of results that exist already only the partitions of
+    ``df`` that are new are added; ``overwrite`` replaces those that are present, and no others.
+
+    Files of a partition follow blocks of the grid, and the tile where there is one.
+    """
+    keys = list(partition_by)
+    blocks = [F.floor(F.col(c) / 1024) for c in ("row", "col") if c in df.columns]
+    rows = df
+    if not overwrite and (present := _present(df.sparkSession, path, keys)) is not None:
+        rows = rows.alias("n").join(
+            present.alias("p"), functools.reduce(lambda a, b: a & b, [F.col(f"n.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]), "left_anti"
+        )
+    if blocks:
+        rows = rows.repartition(*keys, *[F.col("tile")] * ("tile" in df.columns), *blocks)
+    writer = rows.write.partitionBy(*keys)
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
-        writer.mode("ignore").parquet(path)
+        writer.mode("append").parquet(path)
 
 
 def _in_columns(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ("video_id",)) -> DataFrame:

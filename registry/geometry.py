@@ -125,6 +125,15 @@ def _(t):
     return R.combine_regions(r, "group", "order")[1]
 
 
+@query("combine_regions_without_group", "region_id:s without:i",
+       "SELECT region_id, CAST(n % 5 = 0 AS INT) AS without FROM regions WHERE n % 5 = 0 OR n % 4 = 3")
+def _(t):
+    gone = F.map_filter("props", lambda k, v: (k != "group") | (F.col("props")["order"].cast("int") % 5 != 0))
+    mixed = F.when((F.col("props")["group"] == "3") & (F.col("props")["order"].cast("int") % 8 == 7), 3346).otherwise(F.col("epsg"))
+    r = t.regions.withColumn("epsg", mixed).withColumn("order", F.col("props")["order"].cast("int")).withColumn("props", gone)
+    return R.combine_regions(r, "group", "order")[1].withColumn("without", F.col("group").isNull())
+
+
 @query("footprint", "cube_id:s vertex:i x:d y:d")
 def _(t):
     from canopy.functions.spectral import is_valid

@@ -63,7 +63,12 @@ def _(t):
        """SELECT item_no, b AS band, scene_id || '/' || k || '.jp2' AS object_key
           FROM scenes, (VALUES ('B04','B04_10m'), ('B08','B08_10m'), ('SCL','SCL_20m')) v(b, k)""")
 def _(t):
-    return C.resolve_assets(t.scenes, ["B04", "B08", "SCL", "B11", "zenith"])
+    return C.resolve_assets(t.scenes, ["B04", "B08", "SCL", "B11", "zenith"])[0]
+
+
+@query("resolve_assets_rejects", "item_no:i band:s", "SELECT item_no, 'B11' AS band FROM scenes")
+def _(t):
+    return C.resolve_assets(t.scenes, ["B04", "B08", "SCL", "B11", "zenith"])[1]
 
 
 @query("required_assets", "scene_id:s band:s",

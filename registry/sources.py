@@ -281,6 +281,20 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query("write_pixels_new_years", "index:s year:i row:i col:i mean:d",
+       """SELECT "index", "year", "row", col, CASE WHEN "year" % 2 = 0 THEN m WHEN m IS NOT NULL THEN 0 END AS mean
+          FROM (SELECT "index", "year", "row", col, avg(value) AS m FROM indices GROUP BY ALL)""")
+def _(t):
+    """Results of new years join those that are there, which stay as they are."""
+    from canopy.operators.raster import pixel_stats
+
+    path = scratch_path(t.spark, "pixels")
+    stats = pixel_stats(t.indices)
+    K.write_pixels(stats.filter(F.col("year") % 2 == 0), path)
+    K.write_pixels(stats.withColumn("mean", F.when(F.col("mean").isNotNull(), 0.0)), path)
+    return t.spark.read.parquet(path)
+
+
 @query("write_detections_csv", "video_id:s frame:i conf:d name:s track_id:i status:s",
        """SELECT video_id, frame, conf, name, track_id, CASE WHEN conf >= 0.5 THEN 'confirmed' ELSE 'rejected' END AS status FROM detections""")
 def _(t):

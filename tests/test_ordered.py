@@ -55,6 +55,31 @@ def test_fill(skewed, inclusive, width):
             assert got[k, r[1]] == (before, after)
 
 
+def test_null_keys(spark):
+    """Rows without a key are a group of their own in all three operators."""
+    rows = [(None, i, float(i) if i % 3 else None) for i in range(6)] + [("a", i, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    for bucket in (None, F.floor(F.col("t") / 2)):
+        assert sorted((str(r.k), r.t, r.rn) for r in row_numbers(df, ["k"], ["t"], "rn", bucket).collect()) == sorted(
+            (str(k), t, t + 1) for k, t, _ in rows
+        )
+        sums = {(r.k, r.t): r.s for r in running_sum(df, ["k"], ["t"], F.lit(1), "s", bucket).collect()}
+        assert sums == {(k, t): t + 1 for k, t, _ in rows}
+        back = {(r.k, r.t): r.b for r in fill(df, ["k"], ["t"], {"b": F.col("v")}, bucket=bucket).collect()}
+        assert back[None, 3] == 2.0 and back[None, 0] is None and len(back) == 9
+
+
+def test_buckets_follow_partitions(spark):
+    from canopy.operators.ordered import bucket_count
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    try:
+        assert bucket_count(spark) == 2000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_quantiles(skewed):
     df, rows = skewed
     got = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"q1": 0.25, "m": 0.5, "p": 0.983}).collect()}
