@@ -176,6 +176,21 @@ def anomaly(
     return indices.join(stats, list(by)).withColumn("anomaly", z)
 
 
+def anomalies(
+    indices: DataFrame, by: Sequence[str] = ("year", "index", "row", "col"), least_std: float = 1e-12
+) -> DataFrame:
+    """``mean``, ``std``, ``n`` and ``anomaly`` beside each value, from one scan of the rows.
+
+    A window holds one pixel's dates. A spread up to ``least_std`` is what sums in another order
+    leave where all values are equal; it counts as 0 and the anomaly is NULL.
+    """
+    w = W.partitionBy(*by)
+    spread = F.stddev_pop("value").over(w)
+    out = indices.withColumn("mean", F.avg("value").over(w)).withColumn("std", F.when(spread > least_std, spread).otherwise(spread * 0))
+    out = out.withColumn("n", F.count("value").over(w))
+    return out.withColumn("anomaly", F.try_divide(F.col("value") - F.col("mean"), F.col("std")))
+
+
 def yearly_change(stats: DataFrame) -> DataFrame:
     """Difference of each pixel's mean to the year before it in the data."""
     w = W.partitionBy("index", "row", "col").orderBy("year")  # at most one row per year

@@ -49,5 +49,4 @@ def roi_health(
     """Yearly statistics per pixel of the selected land cover, and each date's anomaly."""
     chosen = indices if year is None else indices.filter(F.col("year") == year)
     inside = R.roi_filter(chosen, landcover, classes, mode="drop")
-    stats = R.pixel_stats(inside)
-    return stats, R.anomaly(inside, stats)
+    return R.pixel_stats(inside), R.anomalies(inside)

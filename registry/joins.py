@@ -38,9 +38,9 @@ def _(t):
 
 @query("upsample", "tile:s band:s row:i col:i value:d scene_order:i",
        """SELECT tile, band, "row" * 2 + dr AS "row", col * 2 + dc AS col, value, scene_order
-          FROM observations, range(2) a(dr), range(2) b(dc) WHERE band = 'b11'""")
+          FROM observations, range(2) a(dr), range(2) b(dc)""")
 def _(t):
-    return R.upsample(t.observations.filter("band = 'b11'"), 2)
+    return R.upsample(t.observations, 2)
 
 
 @query("stack_bands", "tile:s acq_date:t row:i col:i b04:d b08:d scl:d",
@@ -51,14 +51,17 @@ def _(t):
 
 
 @query("crop_to_smallest", "band:s row:i col:i scene_order:i",
-       """WITH o AS (SELECT band, "row", col, scene_order FROM observations
-                     WHERE (band = 'b04' AND "row" < 30) OR (band = 'b08' AND col < 45)),
+       """WITH o AS (SELECT band, "row" + CASE band WHEN 'b04' THEN 7 WHEN 'scl' THEN 2 ELSE 0 END AS "row",
+                            col + CASE band WHEN 'b08' THEN 5 WHEN 'scl' THEN 1 ELSE 0 END AS col, scene_order FROM observations),
                s AS (SELECT band, max("row") + 1 AS h, max(col) + 1 AS w FROM o GROUP BY band),
                m AS (SELECT min(h) AS mh, min(w) AS mw FROM s)
           SELECT o.band, "row" - (h - mh) AS "row", col - (w - mw) AS col, scene_order
           FROM o JOIN s ON o.band = s.band, m WHERE "row" >= h - mh AND col >= w - mw""")
 def _(t):
-    o = t.observations.filter("(band = 'b04' AND row < 30) OR (band = 'b08' AND col < 45)")
+    """All bands, three of them on larger grids."""
+    band = F.col("band")
+    o = t.observations.withColumn("row", F.col("row") + F.when(band == "b04", 7).when(band == "scl", 2).otherwise(0))
+    o = o.withColumn("col", F.col("col") + F.when(band == "b08", 5).when(band == "scl", 1).otherwise(0))
     return R.crop_to_smallest(o, [])
 
 

@@ -44,9 +44,13 @@ def _(t):
 
 
 @query("roi_health_anomaly", "index:s scene_order:i row:i col:i anomaly:d",
-       f"""SELECT "index", scene_order, "row", col, (value - mean) / std AS anomaly FROM ({ROI}) JOIN ({ROI_STATS}) USING ("year", "index", "row", col) WHERE std > 1e-12""")
+       """WITH roi AS MATERIALIZED (SELECT "year", "index", scene_order, "row", col, value FROM indices
+               SEMI JOIN (SELECT "row", col FROM landcover WHERE clc BETWEEN 20 AND 29) AS l USING ("row", col) WHERE "year" = 1998)
+          SELECT "index", scene_order, "row", col,
+                 CASE WHEN stddev_pop(value) OVER w > 1e-12 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w END AS anomaly
+          FROM roi WINDOW w AS (PARTITION BY "year", "index", "row", col)""")
 def _(t):
-    return satellite.roi_health(t.indices, t.landcover, 1998, range(20, 30))[1].filter("std > 1e-12")
+    return satellite.roi_health(t.indices, t.landcover, 1998, range(20, 30))[1]
 
 
 @query("xyz_image_normalized", "cube_id:s row:i col:i x:d y:d z:d",

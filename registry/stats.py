@@ -47,14 +47,15 @@ def _(t):
     return R.clear_fraction(t.pixels, by=["tile"])
 
 
-@query("clear_fraction_region", "clear_fraction:d cloud_fraction:d n:i",
-       f"""WITH b AS (SELECT "row", col, max({SCORE}) AS s FROM pixels
-                      WHERE ("row", col) IN (SELECT ("row", col) FROM region_cells WHERE region_id = 'r5') GROUP BY ALL)
-           SELECT avg(CASE WHEN s = 3 THEN 1 ELSE 0 END) AS clear_fraction, avg(CASE WHEN s = 2 THEN 1 ELSE 0 END) AS cloud_fraction, count(*) AS n FROM b""")
+@query("clear_fraction_region", "region_id:s clear_fraction:d cloud_fraction:d n:i",
+       f"""WITH b AS (SELECT region_id, "row", col, max({SCORE}) AS s FROM pixels JOIN region_cells USING ("row", col) GROUP BY ALL)
+           SELECT region_id, avg(CASE WHEN s = 3 THEN 1 ELSE 0 END) AS clear_fraction, avg(CASE WHEN s = 2 THEN 1 ELSE 0 END) AS cloud_fraction,
+                  count(*) AS n FROM b GROUP BY region_id""")
 def _(t):
     from canopy.operators.regions import region_cells
 
-    return R.clear_fraction(t.pixels, region_cells(t.regions.filter("region_id = 'r5'")))
+    inside = t.pixels.join(region_cells(t.regions).select("region_id", "row", "col"), ["row", "col"])
+    return R.clear_fraction(inside, by=["region_id"])
 
 
 STATS = """SELECT "year", "index", "row", col, avg(value) AS mean, stddev_pop(value) AS std, count(value) AS n FROM indices GROUP BY ALL"""
@@ -126,14 +127,17 @@ def _(t):
 
 
 @query("block_windows", "i:i j:i total:d n:i",
-       """WITH p AS (SELECT "row", col, max(b04) AS v FROM pixels WHERE "row" < 38 AND col < 47 GROUP BY ALL),
-               w AS (SELECT i, j, i * 5 AS r0, i * 5 + 7 AS r1, j * 6 AS c0, j * 6 + 8 AS c1 FROM range(7) a(i), range(7) b(j)
-                     UNION ALL SELECT i, 7, 35, 1000, 42, 1000 FROM range(7) a(i)
-                     UNION ALL SELECT 7, j, 35, 1000, j * 6, j * 6 + 8 FROM range(7) b(j))
+       """WITH p AS (SELECT "row", col, max(b04) AS v FROM pixels GROUP BY ALL),
+               z AS (SELECT (max("row") + 1) // 5 AS ni, (max(col) + 1) // 6 AS nj FROM p),
+               a AS (SELECT unnest(range(ni)) AS i FROM z), b AS (SELECT unnest(range(nj)) AS j FROM z),
+               w AS (SELECT i, j, i * 5 AS r0, i * 5 + 7 AS r1, j * 6 AS c0, j * 6 + 8 AS c1 FROM a, b
+                     UNION ALL SELECT i, nj, ni * 5, 1 << 30, nj * 6, 1 << 30 FROM a, z
+                     UNION ALL SELECT ni, j, ni * 5, 1 << 30, j * 6, j * 6 + 8 FROM b, z)
           SELECT i, j, sum(v) AS total, count(*) AS n FROM w JOIN p ON "row" >= r0 AND "row" < r1 AND col >= c0 AND col < c1 GROUP BY i, j""")
 def _(t):
-    p = t.pixels.filter("row < 38 AND col < 47").groupBy("row", "col").agg(F.max("b04").alias("v"))
-    return St.block_apply(p, (7, 8), (5, 6), 38, 47, [F.sum("v").alias("total"), F.count(F.lit(1)).alias("n")])
+    p = t.pixels.groupBy("row", "col").agg(F.max("b04").alias("v"))
+    height, length = t.pixels.agg(F.max("row") + 1, F.max("col") + 1).first()
+    return St.block_apply(p, (7, 8), (5, 6), height, length, [F.sum("v").alias("total"), F.count(F.lit(1)).alias("n")])
 
 
 BANDSTATS = {

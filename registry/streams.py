@@ -52,16 +52,20 @@ def _run(stream, out: str, mark: str, mode: str) -> None:
     q.awaitTermination()
 
 
+CLOSING = 100_000
 HALVES = ["frame < 12", "frame >= 12 AND frame < 30", "frame >= 30"]
 
 
 @query("stream_track_stats", "start:ts video_id:s track_id:i frames:i mean_conf:d",
-       """WITH m AS (SELECT max(frame) AS top FROM detections)
-          SELECT make_timestamp(1970, 1, 1, 0, 0, 0) + to_seconds(1000000 + frame // 10 * 10) AS start, video_id, track_id, count(*) AS frames, avg(conf) AS mean_conf
-          FROM detections, m WHERE frame // 10 * 10 + 10 <= top GROUP BY ALL""")
+       """SELECT make_timestamp(1970, 1, 1, 0, 0, 0) + to_seconds(1000000 + frame // 10 * 10) AS start, video_id, track_id, count(*) AS frames, avg(conf) AS mean_conf
+          FROM detections GROUP BY ALL""")
 def _(t):
-    d = _stamped(t.detections.select("video_id", "frame", "track_id", "conf"))
-    stream = _as_stream(t, d, "track-stream", HALVES)
+    """All windows: a last event, far beyond the others, lets the watermark pass them; its own stays open."""
+    d = t.detections.select("video_id", "frame", "track_id", "conf")
+    end = d.agg(F.max("video_id").alias("video_id"), (F.max("frame") + CLOSING).alias("frame"), F.max("track_id").alias("track_id"), F.max("conf").alias("conf"))
+    d = _stamped(d.unionByName(end))
+    last = t.detections.agg(F.max("frame")).first()[0]
+    stream = _as_stream(t, d, "track-stream", ["frame < 12", "frame >= 12 AND frame < 30", f"frame >= 30 AND frame <= {last}", f"frame > {last}"])
     return _finish(t, S.stream_track_stats(stream, "10 seconds", "0 seconds"), "track-stats")
 
 
