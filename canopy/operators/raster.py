@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from canopy.schemas import S2_BANDS
 
 CELL = ["row", "col"]
+ZONE = "epsg"
+
+
+def cell_of(*frames: DataFrame) -> list[str]:
+    """What names a place in all of the frames: row and column, and the zone where all have one.
+
+    Rows and columns of two zones are different places; a frame without a zone has one grid.
+    """
+    return [ZONE] * all(ZONE in f.columns for f in frames) + CELL
 
 
 def upsample(obs: DataFrame, factor: int) -> DataFrame:
@@ -74,10 +83,11 @@ def roi_filter(
     values: Sequence[str] = ("value",),
 ) -> DataFrame:
     """Keep the values of selected land-cover classes; others become 0 or are dropped."""
-    chosen = landcover.filter(F.col("clc").isin(*classes)).select(*CELL).distinct()
+    cell = cell_of(pixels, landcover)
+    chosen = landcover.filter(F.col("clc").isin(*classes)).select(*cell).distinct()
     if mode == "drop":
-        return pixels.join(chosen, CELL, "left_semi")
-    marked = pixels.join(chosen.withColumn("__in", F.lit(True)), CELL, "left")
+        return pixels.join(chosen, cell, "left_semi")
+    marked = pixels.join(chosen.withColumn("__in", F.lit(True)), cell, "left")
     for v in values:
         marked = marked.withColumn(v, F.when(F.col("__in"), F.col(v)).otherwise(0))
     return marked.drop("__in")
@@ -111,7 +121,7 @@ def regrid_nearest(
 
 def mosaic(obs: DataFrame, by_date: bool = True, order: str = "scene_order") -> DataFrame:
     """Scenes merged per date and band (or over all dates); 0 is nodata, the last scene wins."""
-    keys = (["acq_date"] if by_date else []) + ["band", "row", "col"]
+    keys = (["acq_date"] if by_date else []) + ["band", *cell_of(obs)]
     return obs.filter(F.col("value") != 0).groupBy(*keys).agg(F.max_by("value", order).alias("value"))
 
 
@@ -145,8 +155,9 @@ def best_pixel_composite(
 def clear_fraction(pixels: DataFrame, cells: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Share of pixels whose best score over time is clear, cloudy, or the best present."""
     if cells is not None:
-        pixels = pixels.join(cells.select(*CELL).distinct(), CELL, "left_semi")
-    best = pixels.groupBy(*by, *CELL).agg(F.max(scl_score()).alias("score"))
+        cell = cell_of(pixels, cells)
+        pixels = pixels.join(cells.select(*cell).distinct(), cell, "left_semi")
+    best = pixels.groupBy(*dict.fromkeys([*by, *cell_of(pixels)])).agg(F.max(scl_score()).alias("score"))
     is_score = lambda s: F.avg(F.when(F.col("score") == s, 1.0).otherwise(0.0))
     shares = best.groupBy(*by).agg(
         is_score(3).alias("clear_fraction"), is_score(2).alias("cloud_fraction"),
@@ -160,31 +171,31 @@ def clear_fraction(pixels: DataFrame, cells: DataFrame | None = None, by: Sequen
     return shares.withColumn("best_class_fraction", top).drop("__none")
 
 
-def pixel_stats(indices: DataFrame, by: Sequence[str] = ("year", "index", "row", "col")) -> DataFrame:
+def pixel_stats(indices: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """Mean and population standard deviation over dates, NaN left out."""
     v = F.when(~F.isnan("value"), F.col("value"))
-    return indices.groupBy(*by).agg(
+    return indices.groupBy(*(by or ["year", "index", *cell_of(indices)])).agg(
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count(v).alias("n")
     )
 
 
 def anomaly(
-    indices: DataFrame, stats: DataFrame, by: Sequence[str] = ("year", "index", "row", "col")
+    indices: DataFrame, stats: DataFrame, by: Sequence[str] | None = None
 ) -> DataFrame:
     """``(value - mean) / std`` per pixel and date; NULL where std is 0."""
     z = F.try_divide(F.col("value") - F.col("mean"), F.col("std"))
-    return indices.join(stats, list(by)).withColumn("anomaly", z)
+    return indices.join(stats, list(by or ["year", "index", *cell_of(indices, stats)])).withColumn("anomaly", z)
 
 
 def anomalies(
-    indices: DataFrame, by: Sequence[str] = ("year", "index", "row", "col"), least_std: float = 1e-12
+    indices: DataFrame, by: Sequence[str] | None = None, least_std: float = 1e-12
 ) -> DataFrame:
     """``mean``, ``std``, ``n`` and ``anomaly`` beside each value, from one scan of the rows.
 
     A window holds one pixel's dates. A spread up to ``least_std`` is what sums in another order
     leave where all values are equal; it counts as 0 and the anomaly is NULL.
     """
-    w = W.partitionBy(*by)
+    w = W.partitionBy(*(by or ["year", "index", *cell_of(indices)]))
     spread = F.stddev_pop("value").over(w)
     out = indices.withColumn("mean", F.avg("value").over(w)).withColumn("std", F.when(spread > least_std, spread).otherwise(spread * 0))
     out = out.withColumn("n", F.count("value").over(w))
@@ -193,7 +204,7 @@ def anomalies(
 
 def yearly_change(stats: DataFrame) -> DataFrame:
     """Difference of each pixel's mean to the year before it in the data."""
-    w = W.partitionBy("index", "row", "col").orderBy("year")  # at most one row per year
+    w = W.partitionBy("index", *cell_of(stats)).orderBy("year")  # at most one row per year
     return (
         stats.withColumn("previous_year", F.lag("year").over(w))
         .withColumn("previous_mean", F.lag("mean").over(w))
@@ -214,5 +225,6 @@ def sample_points(
     placed = points.withColumn("col", F.floor((e * dx - b * dy) / det).cast("int")).withColumn(
         "row", F.floor((a * dy - d * dx) / det).cast("int")
     )
-    got = placed.join(pixels.select(*CELL, value), CELL, "left")
+    cell = cell_of(placed, pixels)
+    got = placed.join(pixels.select(*cell, value), cell, "left")
     return got.withColumn(value, F.coalesce(F.col(value), F.lit(nodata if nodata is not None else 0)))

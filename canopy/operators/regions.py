@@ -77,8 +77,11 @@ def region_cells(regions: DataFrame, cell: float = 1.0, all_touched: bool = Fals
 def clip_to_region(
     pixels: DataFrame, regions: DataFrame, all_touched: bool = False, cell: float = 1.0
 ) -> DataFrame:
-    """Pixels inside each region, tagged with its id."""
-    return pixels.join(region_cells(regions, cell, all_touched), CELL)
+    """Pixels inside each region, tagged with its id; of the region's zone where pixels have one."""
+    inside = region_cells(regions, cell, all_touched)
+    if "epsg" not in pixels.columns:
+        return pixels.join(inside, CELL)
+    return pixels.join(inside.join(regions.select("region_id", "epsg").distinct(), "region_id"), ["epsg", *CELL])
 
 
 def rasterize_regions(regions: DataFrame, field: str, order: str, cell: float = 1.0) -> DataFrame:

@@ -35,9 +35,10 @@ def s2_composite(
     bands = sorted({b.lower() for i in indices for b in INDEX_BANDS[i]} | {"scl"})
     kept = obs.filter(F.col("band").isin(*bands) & (F.col("value") != 0)).join(wanted, ["tile", "acq_date"], "left_semi")
     if cells is not None:
-        kept = kept.join(cells.select("row", "col").distinct(), ["row", "col"], "left_semi")
-    stacked = R.stack_bands(kept, bands, keys=["acq_date", "row", "col"])
-    best = R.best_pixel_composite(stacked, keys=["row", "col"], bands=bands)
+        cell = R.cell_of(kept, cells)
+        kept = kept.join(cells.select(*cell).distinct(), cell, "left_semi")
+    stacked = R.stack_bands(kept, bands, keys=["acq_date", *R.cell_of(kept)])
+    best = R.best_pixel_composite(stacked, keys=R.cell_of(kept), bands=bands)
     if "LAI" in indices:
         best = V.with_lai(best, scaled=scaled)
     return best.select("*", *[_FORMULA[i](scaled).alias(i.lower()) for i in indices if i in _FORMULA])

@@ -182,3 +182,52 @@ def _(t):
         "cube_id", F.floor(F.col("row") / 3).cast("int").alias("patch_row"), F.floor(F.col("col") / 5).cast("int").alias("patch_col")
     ).agg(F.min("class").alias("label"))
     return label_map(t.spectra, labels, 3, 5)
+
+
+# --- two zones that share rows and columns ------------------------------------
+
+ZONE = """CASE WHEN CAST(substr(tile, 2) AS INT) % 2 = 0 THEN 32634 ELSE 32635 END"""
+ZONED_COVER = """(SELECT 32634 AS epsg, "row", col, clc FROM landcover UNION ALL SELECT 32635, "row", col, (clc + 25) % 50 FROM landcover)"""
+
+
+def _zoned(df):
+    return df.withColumn("epsg", F.when(F.substring("tile", 2, 5).cast("int") % 2 == 0, 32634).otherwise(32635))
+
+
+def _zoned_cover(t):
+    other = t.landcover.withColumn("epsg", F.lit(32635)).withColumn("clc", (F.col("clc") + 25) % 50)
+    return t.landcover.unionByName(other)
+
+
+@query("roi_filter_zones", "scene_order:i index:s value:d",
+       f"""SELECT i.scene_order, i."index", CASE WHEN c.clc BETWEEN 20 AND 29 THEN i.value ELSE 0 END AS value
+           FROM (SELECT *, {ZONE} AS epsg FROM indices) i LEFT JOIN {ZONED_COVER} c USING (epsg, "row", col)""")
+def _(t):
+    return R.roi_filter(_zoned(t.indices), _zoned_cover(t), range(20, 30))
+
+
+@query("mosaic_zones", "epsg:i acq_date:t band:s row:i col:i value:d",
+       f"""SELECT epsg, acq_date, band, "row", col, max_by(value, scene_order) AS value
+           FROM (SELECT *, {ZONE} AS epsg FROM observations) WHERE value <> 0 GROUP BY ALL""")
+def _(t):
+    return R.mosaic(_zoned(t.observations))
+
+
+@query("roi_health_zones", "epsg:i year:i index:s row:i col:i mean:d n:i",
+       f"""SELECT epsg, "year", "index", "row", col, avg(value) AS mean, count(value) AS n
+           FROM (SELECT *, {ZONE} AS epsg FROM indices) SEMI JOIN (SELECT * FROM {ZONED_COVER} WHERE clc BETWEEN 20 AND 29) AS c USING (epsg, "row", col)
+           GROUP BY ALL""")
+def _(t):
+    from canopy.plans.satellite import roi_health
+
+    return roi_health(_zoned(t.indices), _zoned_cover(t), None, range(20, 30))[0]
+
+
+@query("clip_to_region_zones", "region_id:s scene_order:i",
+       f"""SELECT region_id, scene_order FROM (SELECT *, {ZONE} AS epsg FROM pixels) p
+           JOIN region_cells c ON c."row" = p."row" AND c.col = p.col WHERE epsg = CASE WHEN CAST(substr(region_id, 2) AS INT) % 3 = 0 THEN 32635 ELSE 32634 END""")
+def _(t):
+    from canopy.operators.regions import clip_to_region
+
+    n = F.substring("region_id", 2, 9).cast("int")
+    return clip_to_region(_zoned(t.pixels), t.regions.withColumn("epsg", F.when(n % 3 == 0, 32635).otherwise(32634)))
