@@ -103,7 +103,7 @@ def segments(sizes: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFram
     and inside them, so that a source of any size spreads over many tasks.
     """
     rows = sizes.count()
-    buckets = max(1, rows >> 15)
+    buckets = max(1, rows >> 12)
     dealt = sizes.withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)))
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
