@@ -75,17 +75,22 @@ def savgol_matrix(n: int, window: int, polyorder: int, deriv: int = 0, delta: fl
 
 
 def savgol(col: Column | str, n: int, window: int = 15, polyorder: int = 3, deriv: int = 0, delta: float = 1.0) -> Column:
-    """Savitzky-Golay filter along arrays of length ``n``; one matrix product per batch."""
+    """Savitzky-Golay filter along arrays of length ``n``; one matrix product per batch.
+
+    A NULL array stays NULL; one of another length fails.
+    """
     m = savgol_matrix(n, window, polyorder, deriv, delta).T
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            if not len(s):
-                yield pd.Series([], dtype=object)
-                continue
-            smooth = np.stack(s.to_numpy()) @ m
-            yield pd.Series(list(smooth), index=s.index, dtype=object)
+            out: list = [None] * len(s)
+            for at, values in _by_length(s):
+                if values.shape[1] != n:
+                    raise ValueError(f"an array has {values.shape[1]} values, {n} are expected")
+                for i, row in zip(at, values @ m):
+                    out[i] = row
+            yield pd.Series(out, index=s.index, dtype=object)
 
     return run(col)
 

@@ -18,7 +18,8 @@ def score_pixels(
     """Apply a per-pixel model in batches; ``load_model`` runs once per Python worker task.
 
     The model maps a 2-D array (pixels x bands) to one row of output per pixel.
-    A fitted ``pyspark.ml`` model is used with its own ``transform`` instead.
+    A pixel without a spectrum gets no score. A fitted ``pyspark.ml`` model is used with its own
+    ``transform`` instead.
     """
     if hasattr(load_model, "transform"):
         from pyspark.ml.functions import array_to_vector
@@ -35,9 +36,14 @@ def score_pixels(
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
-                scores = np.asarray(model(np.stack(part[spectrum].to_numpy())))
+                known = part[spectrum].notna().to_numpy()
+                scores: list = [None] * len(part)
+                if known.any():
+                    given = np.asarray(model(np.stack(part[spectrum][known].to_numpy())))
+                    for i, row in zip(np.flatnonzero(known), given):
+                        scores[i] = row
                 done = part[[f.name for f in keep]].copy()
-                done[name] = list(scores) if scores.ndim > 1 else scores
+                done[name] = pd.Series(scores, index=part.index, dtype=object)
                 yield done
 
     return spectra.mapInPandas(run, T.StructType(keep + [out.fields[0]]))

@@ -23,6 +23,16 @@ def offset_metres(lat: float, lon: float, ref_lat: float, ref_lon: float) -> tup
     return (lon - ref_lon) * per_lon, (lat - ref_lat) * METERS_PER_DEGREE
 
 
+# Fixed values of the identity rules, which ids depend on.
+LEAST_TRACK_REACH_M = 12.0
+LEAST_FROZEN_REACH_M = 25.0
+FOREIGN_SHARE = 0.45
+LEAST_REACH_M = 6.0
+DRONE_SHARE = 0.9
+DRONE_STRETCH = 1.15
+SAME_CLUSTER_SHARE = 0.85
+
+
 @dataclass(frozen=True)
 class ClusterRules:
     radius_m: float = 5.0
@@ -33,11 +43,11 @@ class ClusterRules:
 
     @property
     def track_reach(self) -> float:
-        return max(2 * self.radius_m, 12.0)
+        return max(2 * self.radius_m, LEAST_TRACK_REACH_M)
 
     @property
     def frozen_reach(self) -> float:
-        return min(self.reassoc_m, max(3 * self.radius_m, 25.0))
+        return min(self.reassoc_m, max(3 * self.radius_m, LEAST_FROZEN_REACH_M))
 
     @property
     def reach(self) -> float:
@@ -116,7 +126,7 @@ class ClusterBook:
         chosen = nearest(r.track_reach, lambda d, c: track in c.tracks) if track is not None else None
         move = True
         if chosen is None:
-            chosen = nearest(r.radius_m, lambda d, c: not (foreign(c) and d > 0.45 * r.radius_m))
+            chosen = nearest(r.radius_m, lambda d, c: not (foreign(c) and d > FOREIGN_SHARE * r.radius_m))
         if chosen is None:
             chosen = nearest(r.frozen_reach, lambda d, c: frozen(c) and not foreign(c))
             move = chosen is None
@@ -175,15 +185,15 @@ class EntityBook:
             return None
         reach = r.radius_m
         if r.fps > 0 and r.max_speed_mps > 0:
-            travelled = max(1, frame - e.last_frame) / r.fps * r.max_speed_mps + 6.0
-            reach = min(reach, max(6.0, travelled))
+            travelled = max(1, frame - e.last_frame) / r.fps * r.max_speed_mps + LEAST_REACH_M
+            reach = min(reach, max(LEAST_REACH_M, travelled))
         distance = metres_between(lat, lon, e.lat, e.lon)
         if _known(dlat) and _known(dlon) and _known(e.drone_lat):
             flown = metres_between(dlat, dlon, e.drone_lat, e.drone_lon)
-            reach = min(r.radius_m, reach + 0.9 * flown)
+            reach = min(r.radius_m, reach + DRONE_SHARE * flown)
             ex, ny = offset_metres(lat, lon, dlat, dlon)
             px, py = offset_metres(e.lat, e.lon, e.drone_lat, e.drone_lon)
-            distance = min(distance, 1.15 * math.hypot(ex - px, ny - py))
+            distance = min(distance, DRONE_STRETCH * math.hypot(ex - px, ny - py))
         return distance if distance <= reach else None
 
     def resolve(self, frame: int, track, cluster, lat, lon, dlat, dlon) -> int:
@@ -202,7 +212,7 @@ class EntityBook:
                 if d is None:
                     continue
                 if cluster is not None and e.cluster == cluster:
-                    d *= 0.85
+                    d *= SAME_CLUSTER_SHARE
                 if d < best:
                     best, number = d, e.number
         if number is None:

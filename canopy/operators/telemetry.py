@@ -62,11 +62,11 @@ def allowed_classes(df: DataFrame, ids: Sequence[int]) -> DataFrame:
 
 
 def first_per_frame(telemetry: DataFrame, order: str | None = None) -> DataFrame:
-    """One telemetry row per frame, the first in ``order``."""
+    """One telemetry row per frame, the first in ``order``; rows without an order value come last."""
     rest = [c for c in telemetry.columns if c not in ("video_id", "frame")]
-    by = order or "ts"
+    by = F.col(order or "ts")
     return (
-        telemetry.groupBy("video_id", "frame").agg(F.min_by(F.struct(*rest), by).alias("s"))
+        telemetry.groupBy("video_id", "frame").agg(F.min_by(F.struct(*rest), F.struct(by.isNull(), by)).alias("s"))
         .select("video_id", "frame", "s.*")
     )
 

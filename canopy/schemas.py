@@ -1,4 +1,4 @@
-"""Table shapes of the data model; sources enforce them."""
+"""Table shapes that sources give, and the column order of reports."""
 
 from pyspark.sql import types as T
 
@@ -12,51 +12,19 @@ def _struct(*pairs) -> T.StructType:
 S2_BANDS = ["b02", "b03", "b04", "b05", "b06", "b07", "b08", "b8a", "b11", "b12"]
 
 SPECTRA = _struct(("cube_id", _s), ("row", _i), ("col", _i), ("spectrum", T.ArrayType(_d)))
-BANDS = _struct(("sensor", _s), ("band", _i), ("wavelength_nm", _d))
-CUBES = _struct(
-    ("cube_id", _s), ("width", _i), ("height", _i), ("n_bands", _i), ("dtype", _s),
-    ("interleave", _s), ("epsg", _i), ("transform", T.ArrayType(_d)),
-)
-OBSERVATIONS = _struct(
-    ("tile", _s), ("acq_date", T.DateType()), ("band", _s), ("row", _i), ("col", _i),
-    ("value", _d), ("scene_order", _l),
-)
-PIXELS = _struct(
-    ("tile", _s), ("acq_date", T.DateType()), ("row", _i), ("col", _i),
-    *[(b, _d) for b in S2_BANDS], ("scl", _i), ("zenith", _d), ("azimuth", _d),
-)
-INDICES = _struct(
-    ("tile", _s), ("acq_date", T.DateType()), ("year", _i), ("index", _s), ("row", _i),
-    ("col", _i), ("value", _d),
-)
-LANDCOVER = _struct(("epsg", _i), ("row", _i), ("col", _i), ("clc", _i))
 BBOX = _struct(("minx", _d), ("miny", _d), ("maxx", _d), ("maxy", _d))
 SCENES = _struct(
     ("scene_id", _s), ("collection", _s), ("datetime", T.TimestampType()), ("cloud_cover", _d),
     ("instrument_mode", _s), ("orbit_state", _s), ("bbox", BBOX),
     ("assets", T.MapType(_s, _struct(("href", _s)))),
 )
-POINT = _struct(("x", _d), ("y", _d))
-REGIONS = _struct(
-    ("region_id", _s), ("epsg", _i), ("part", _i), ("ring", _i), ("xy", T.ArrayType(POINT)),
-    ("props", T.MapType(_s, _s)),
-)
 TELEMETRY = _struct(
     ("video_id", _s), ("frame", _i), ("ts", _d), ("lat", _d), ("lon", _d), ("alt", _d),
     ("rel_alt", _d), ("abs_alt", _d), ("focal_len", _d), ("dzoom_ratio", _d), ("gb_yaw", _d),
     ("gb_pitch", _d), ("gb_roll", _d), ("utc", _s),
 )
-DETECTIONS = _struct(
-    ("det_id", _l), ("video_id", _s), ("frame", _i), ("x1", _d), ("y1", _d), ("x2", _d),
-    ("y2", _d), ("conf", _d), ("cls", _i), ("name", _s), ("track_id", _i),
-)
-SUN_ANGLES = _struct(
-    ("tile", _s), ("acq_date", T.DateType()), ("kind", _s), ("grid_row", _i), ("grid_col", _i),
-    ("value", _d),
-)
-RADIOMETER = _struct(("file", _s), ("line", _i), ("wavelength", _d), ("values", T.ArrayType(_d)))
 
-# Column order of the written reports.
+# Column order of the written reports.
 DETECTIONS_OUT = [
     "frame", "cls", "name", "entity_id", "cls_original", "name_original", "conf", "x1", "y1",
     "x2", "y2", "lat", "lon", "alt", "rel_alt", "abs_alt", "utc", "track_id",

@@ -70,9 +70,9 @@ class ClusterStream(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         video = key[0]
         # A micro-batch bounds what one key brings here.
-        batch = pd.concat(list(rows)).sort_values(
-            ["frame", "conf", "x1", "y1", "det_id"], ascending=[True, False, True, True, True]
-        )
+        batch = pd.concat(list(rows))
+        batch["conf"] = batch["conf"].astype(float).fillna(0.0)
+        batch = batch.sort_values(["frame", "conf", "x1", "y1", "det_id"], ascending=[True, False, True, True, True])
         book, origin = self._load()
         touched: dict[int, Cluster] = {}
         closed: list[Cluster] = []
@@ -127,8 +127,8 @@ def stream_clusters(
 ) -> DataFrame:
     """Cluster summaries from a stream of located detections with an event time ``ts``
     that is the frame's time (``start + frame / fps`` seconds). Rows of a video must come in
-    frame order between micro-batches; within one they are put in order."""
-    detections.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    frame order between micro-batches; within one they are put in order. The session must keep
+    its state in ``STATE_STORE`` (``spark.sql.streaming.stateStore.providerClass``)."""
     return (
         detections.withWatermark("ts", lateness).groupBy("video_id")
         .transformWithStateInPandas(ClusterStream(rules, fps, start), SUMMARY, outputMode="Update", timeMode="EventTime")
@@ -138,9 +138,14 @@ def stream_clusters(
 def stream_attach_telemetry(
     detections: DataFrame, telemetry: DataFrame, lateness: str = "10 seconds", bound: str = "10 seconds"
 ) -> DataFrame:
-    """Detections left-joined to the telemetry of their frame, both streams with an event time."""
+    """Detections left-joined to the telemetry of their frame, both streams with an event time.
+
+    A frame has one telemetry row, the first to come, as in the batch operator; detections
+    without one are given out when the watermark has passed them.
+    """
     d = detections.withWatermark("ts", lateness).alias("d")
     renamed = telemetry.select(*[F.col(c).alias(f"t_{c}") for c in telemetry.columns]).withWatermark("t_ts", lateness)
+    renamed = renamed.dropDuplicatesWithinWatermark(["t_video_id", "t_frame"])
     on = (
         (F.col("d.video_id") == F.col("t_video_id")) & (F.col("d.frame") == F.col("t_frame"))
         & (F.col("t_ts") >= F.col("d.ts") - F.expr(f"INTERVAL {bound}"))

@@ -78,6 +78,22 @@ def _(t):
     return _finish(t, S.stream_attach_telemetry(ds, gs, "100 seconds", "2 seconds"), "attached")
 
 
+@query("stream_attach_telemetry_gaps", "det_id:i frame:i t_lat:d",
+       """SELECT det_id, frame, CASE WHEN frame % 3 > 0 THEN t.lat END AS t_lat FROM detections JOIN telemetry t USING (video_id, frame)""")
+def _(t):
+    """Frames without telemetry and frames with it twice; last events let the watermark pass all others."""
+    d = t.detections.select("video_id", "frame", "det_id", "conf")
+    g = t.telemetry.select("video_id", "frame", "lat").filter("frame % 3 > 0")
+    far = lambda df: df.unionByName(df.agg(*[(F.max(c) + CLOSING if c == "frame" else F.max(c)).alias(c) for c in df.columns]))
+    known = t.telemetry.select("video_id", "frame")
+    d = far(d.join(known, ["video_id", "frame"], "left_semi"))
+    g = far(g.unionByName(g))
+    parts = [*HALVES[:2], f"frame >= 30 AND frame < {CLOSING}", f"frame >= {CLOSING}"]
+    ds, gs = _as_stream(t, _stamped(d), "det-stream", parts), _as_stream(t, _stamped(g), "geo-stream", parts)
+    got = _finish(t, S.stream_attach_telemetry(ds, gs, "100 seconds", "2 seconds"), "attached-gaps")
+    return got.filter(f"frame < {CLOSING}")
+
+
 @query("stream_index_stats", "year:i index:s row:i col:i mean:d std:d n:i",
        """SELECT "year", "index", "row", col, avg(value) AS mean, stddev_pop(value) AS std, count(value) AS n FROM indices GROUP BY ALL""")
 def _(t):
@@ -93,6 +109,7 @@ def _(t):
              arg_max(cluster_lat, cluster_hits) AS lat, arg_max(cluster_lon, cluster_hits) AS lon, list_sort(list_distinct(list(track_id))) AS track_ids
            FROM ({clusters_sql(10)}) JOIN (SELECT det_id, video_id, frame, conf, track_id FROM detections) USING (det_id) GROUP BY video_id, cluster_id""")
 def _(t):
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STATE_STORE)
     d = _stamped(_located(t).select("video_id", "frame", "det_id", "x1", "y1", "conf", "track_id", "lat", "lon"))
     stream = _as_stream(t, d, "cluster-stream", HALVES)
     got = _finish(t, S.stream_clusters(stream, ClusterRules(max_idle_frames=10), FPS, start=START), "clusters", mode="update")

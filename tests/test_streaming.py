@@ -20,6 +20,7 @@ def _stream(spark, df, path, cuts):
 
 def test_clusters(spark, tmp_path):
     """Last state per cluster equals the batch summary; a closed cluster is emitted as closed once."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STATE_STORE)
     rules = ClusterRules(2.0, 15, 1, 4, 30.0)
     det = spark.createDataFrame(_scene(21), COLS)
     batch = Tr.spatial_clusters(det, 2.0, 15, 1, 4, 30.0)
