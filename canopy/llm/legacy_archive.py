@@ -19,11 +19,12 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from canopy.llm.common import sliced
 from canopy.session import scratch_path
 
 REVISIT_BYTES = 1000
@@ -153,7 +154,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
 
         number = TaskContext.get().partitionId()
         version, name, begun = 1 + number % 2, f"legacy-{number:06d}.arc", False
-        for batch in batches:
+        for batch in sliced(batches, 256):
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
             records = [
                 arc_record(version, name, f"{url}#page={'' if page is None else page}", date, html.encode())
@@ -172,6 +173,18 @@ def _archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Path and bytes of one archive after another."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+
+
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 256) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 def read_arc_files(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """``archive, place, page_id, url, date, content_type, digest, bytes, payload`` of a folder's records.
 
@@ -184,18 +197,17 @@ def read_arc_files(spark: SparkSession, path: str, payloads: bool = True) -> Dat
     schema = pa.schema(list(kinds.items()))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                name = batch.column(0)[i].as_py().rsplit("/", 1)[-1]
-                rows = []
-                for fields, offset, payload in read_arc(gzip.decompress(batch.column(1)[i].as_py())):
+        def rows() -> Iterator[tuple]:
+            for path_, content in _contents(batches):
+                name = path_.rsplit("/", 1)[-1]
+                for fields, offset, payload in read_arc(gzip.decompress(content)):
                     url, _, page = fields["URL"].rpartition("#page=")
-                    rows.append((
+                    yield (
                         name, offset, int(page) if page else None, url, fields["Archive-date"], fields["Content-type"],
                         hashlib.sha1(payload).hexdigest(), len(payload), payload if payloads else None,
-                    ))
-                columns = zip(*rows) if rows else [()] * len(schema)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                    )
+
+        yield from _in_batches(rows(), schema)
 
     return _archives(spark, path).mapInArrow(
         parsed,
@@ -226,7 +238,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = REV
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = False
-        for batch in batches:
+        for batch in sliced(batches, 256):
             out = []
             for row in batch.to_pylist():
                 if not begun:
@@ -280,19 +292,21 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
     number = lambda x: int(x) if x else None
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows = []
-                with gzip.GzipFile(fileobj=io.BytesIO(batch.column(1)[i].as_py())) as stream:
+        def rows() -> Iterator[tuple]:
+            for _, content in _contents(batches):
+                with gzip.GzipFile(fileobj=io.BytesIO(content)) as stream:
                     for h, block in read_warc(stream):
                         if h["WARC-Type"] == "warcinfo":
                             continue
                         digest = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                         if h["WARC-Type"] == "response" and hashlib.sha1(block).hexdigest() != digest:
                             raise ValueError(f"the payload of {h['WARC-Record-ID']} does not have its digest")
-                        rows.append((number(h["X-Page"]), int(h["X-Payload-Length"]), digest, h["WARC-Type"], number(h.get("X-Refers-To-Page")), h["WARC-Record-ID"], h["WARC-Target-URI"], h["WARC-Date"]))
-                columns = zip(*rows) if rows else [()] * len(schema)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                        yield (
+                            number(h["X-Page"]), int(h["X-Payload-Length"]), digest, h["WARC-Type"],
+                            number(h.get("X-Refers-To-Page")), h["WARC-Record-ID"], h["WARC-Target-URI"], h["WARC-Date"],
+                        )
+
+        yield from _in_batches(rows(), schema)
 
     return _archives(spark, path).mapInArrow(
         parsed,
