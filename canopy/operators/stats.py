@@ -74,6 +74,27 @@ def global_minmax(
     return df.drop("__bounds")
 
 
+def minmax_groups(
+    df: DataFrame, groups: Sequence[tuple[Sequence[str], float | None]], by: Sequence[str]
+) -> DataFrame:
+    """Number columns scaled to 0..1, each group ``(columns, forced minimum)`` by bounds of its own; NaN counts as 0.
+
+    One aggregate gives the bounds of all groups, so the rows are read twice whatever their number.
+    """
+    aggs = []
+    for i, (cols, forced) in enumerate(groups):
+        known = [F.when(F.isnan(c), 0.0).otherwise(F.col(c)) for c in cols]
+        low = F.lit(float(forced)) if forced is not None else F.min(F.least(*known) if len(cols) > 1 else known[0])
+        high = F.max(F.greatest(*known) if len(cols) > 1 else known[0])
+        aggs += [low.alias(f"__lo{i}"), high.alias(f"__hi{i}")]
+    out = df.join(df.groupBy(*by).agg(*aggs), list(by))
+    for i, (cols, _) in enumerate(groups):
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        for c in cols:
+            out = out.withColumn(c, F.try_divide(F.when(F.isnan(c), 0.0).otherwise(F.col(c)) - lo, hi - lo))
+    return out.drop(*[f"__{b}{i}" for i in range(len(groups)) for b in ("lo", "hi")])
+
+
 def global_minmax_inverse(
     df: DataFrame, cols: Sequence[str], lo: float, hi: float, feature_range: tuple[float, float] = (0, 1)
 ) -> DataFrame:

@@ -17,7 +17,7 @@ def drone_products(spectra: DataFrame, axis: Sequence[float], variants: Sequence
     """Colour and NDVI products per pixel of every cube, scaled per cube.
 
     Rectified variants (``rect_``) are NULL where the pixel is empty. Bounds come
-    from per-cube aggregates; the spectra are read once per product column in use.
+    from two per-cube aggregates, the second over NDVI, which needs the first: four scans in all.
     """
     unknown = set(variants) - set(VARIANTS)
     if unknown:
@@ -28,11 +28,10 @@ def drone_products(spectra: DataFrame, axis: Sequence[float], variants: Sequence
         *keys, C.spectrum_to_rgb(axis).alias("c"), b(670).alias("red"), b(800).alias("nir"), S.is_valid().alias("valid")
     )
     base = base.select(*keys, "valid", "red", "nir", "c.*")
-    colored = St.global_minmax(base, ["r", "g", "b"], forced_min=0, by=["cube_id"])
-    scaled = St.global_minmax(colored, ["red", "nir"], by=["cube_id"])
+    scaled = St.minmax_groups(base, [(["r", "g", "b"], 0), (["red", "nir"], None)], ["cube_id"])
     raw = F.try_divide(F.col("nir") - F.col("red"), F.col("nir") + F.col("red"))
     ndvi = scaled.withColumn("ndvi", F.greatest(F.coalesce(raw, F.lit(0.0)), F.lit(0.0)))
-    unit = St.global_minmax(ndvi.withColumn("unit", F.col("ndvi")), ["unit"], by=["cube_id"])
+    unit = St.minmax_groups(ndvi.withColumn("unit", F.col("ndvi")), [(["unit"], None)], ["cube_id"])
     painted = unit.withColumn("p", C.colorize(F.col("unit"), NDVI_COLORS, NDVI_STOPS))
     out = []
     for v in variants:
@@ -54,9 +53,7 @@ def xyz_image(
     """X, Y, Z per pixel; ``normalize`` stretches each channel of a cube to 0..1 on its own."""
     xyz = spectra.select("cube_id", "row", "col", C.spectrum_to_xyz(axis, y_gain=y_gain).alias("c"))
     out = xyz.select("cube_id", "row", "col", "c.*")
-    for channel in ("x", "y", "z") if normalize else ():
-        out = St.global_minmax(out, [channel], by=["cube_id"])
-    return out
+    return St.minmax_groups(out, [([c], None) for c in "xyz"], ["cube_id"]) if normalize else out
 
 
 def rgb_image(spectra: DataFrame, axis: Sequence[float], normalize: bool = False, y_gain: float = 1.0) -> DataFrame:
