@@ -11,6 +11,26 @@ from canopy.constants import BAND_ASSETS, GENERATED_BANDS, INDEX_BANDS
 TILE_PATTERN = r"(?:^|_)(T[^_]{5})(?:_|$)"
 
 
+def meets_polygon(polygon: Sequence[tuple[float, float]], minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Whether boxes and one given polygon share a point: an edge reaches a box, or a box lies inside."""
+    ring = [(float(x), float(y)) for x, y in polygon]
+    if len(ring) < 3:
+        raise ValueError("a polygon has three corners at least")
+    reached, crossings = F.lit(False), F.lit(0)
+    for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]):
+        dx, dy = x2 - x1, y2 - y1
+        near = (maxx >= min(x1, x2)) & (minx <= max(x1, x2)) & (maxy >= min(y1, y2)) & (miny <= max(y1, y2))
+        # The side of the edge's line on which the box's outermost corners lie.
+        side = lambda x, y: dx * (y - y1) - dy * (x - x1)
+        low = side(maxx if dy > 0 else minx, miny if dx > 0 else maxy)
+        high = side(minx if dy > 0 else maxx, maxy if dx > 0 else miny)
+        reached |= near & (low <= 0) & (high >= 0)
+        if dy:
+            ahead = (miny < max(y1, y2)) & (miny >= min(y1, y2)) & (minx < x1 + (miny - y1) * (dx / dy))
+            crossings = crossings + ahead.cast("int")
+    return reached | (crossings % 2 == 1)
+
+
 def search_scenes(
     scenes: DataFrame,
     collection: str,
@@ -23,13 +43,15 @@ def search_scenes(
     cloud_inclusive: bool = False,
     polarisations: Sequence[str] = (),
     ordered: bool = True,
+    polygon: Sequence[tuple[float, float]] | None = None,
 ) -> DataFrame:
-    """Scenes of a collection by date range, bounding box and sensor properties.
+    """Scenes of a collection by date range, area (box or polygon) and sensor properties.
 
-    Date or area must be given. ``cloud_inclusive`` and ``polarisations`` are the
+    Date or area must be given. An ``end`` that is a day takes the whole day. A scene meets a
+    polygon where its own box does. ``cloud_inclusive`` and ``polarisations`` are the
     rules of the second catalogue service (``<=``; every polarisation present).
     """
-    if start is None and end is None and bbox is None:
+    if start is None and end is None and bbox is None and polygon is None:
         raise ValueError("give a date range or an area")
     if start is not None and end is not None and start > end:
         raise ValueError("start lies after end")
@@ -37,11 +59,15 @@ def search_scenes(
     if start is not None:
         keep &= F.col("datetime") >= F.lit(start).cast("timestamp")
     if end is not None:
-        keep &= F.col("datetime") <= F.lit(end).cast("timestamp")
+        last = F.lit(end).cast("timestamp")
+        day = len(end) == len("2000-01-01")
+        keep &= (F.col("datetime") < last + F.expr("INTERVAL 1 DAY")) if day else (F.col("datetime") <= last)
     if bbox is not None:
         minx, miny, maxx, maxy = bbox
         keep &= (F.col("bbox.minx") <= maxx) & (F.col("bbox.maxx") >= minx)
         keep &= (F.col("bbox.miny") <= maxy) & (F.col("bbox.maxy") >= miny)
+    if polygon is not None:
+        keep &= meets_polygon(polygon, *[F.col(f"bbox.{c}") for c in ("minx", "miny", "maxx", "maxy")])
     if max_cloud is not None:
         cloud = F.col("cloud_cover")
         keep &= (cloud <= max_cloud) if cloud_inclusive else (cloud < max_cloud)

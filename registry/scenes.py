@@ -1,5 +1,7 @@
 """Scene catalogue."""
 
+from pyspark.sql import functions as F
+
 from canopy.operators import catalog as C
 from registry.core import query
 
@@ -12,6 +14,21 @@ def _(t):
     return C.search_scenes(t.scenes, "sentinel-2-l2a", "1996-04-01", "1998-09-01", (23.5, 53.5, 25.5, 55.5), 40)
 
 
+@query("search_scenes_polygon", "item_no:i",
+       """WITH e(x1, y1, x2, y2) AS (VALUES (21.5, 53.2, 28.4, 54.1), (28.4, 54.1, 23.3, 56.9), (23.3, 56.9, 21.5, 53.2)),
+               s AS (SELECT item_no, minx, miny, minx + 1 AS maxx, miny + 1 AS maxy FROM scenes),
+               c AS (SELECT s.*, e.*, (x2 - x1) * (miny - y1) - (y2 - y1) * (minx - x1) AS a, (x2 - x1) * (miny - y1) - (y2 - y1) * (maxx - x1) AS b,
+                            (x2 - x1) * (maxy - y1) - (y2 - y1) * (minx - x1) AS c, (x2 - x1) * (maxy - y1) - (y2 - y1) * (maxx - x1) AS d FROM s, e)
+          SELECT item_no FROM c GROUP BY item_no
+          HAVING bool_or(maxx >= least(x1, x2) AND minx <= greatest(x1, x2) AND maxy >= least(y1, y2) AND miny <= greatest(y1, y2)
+                         AND least(a, b, c, d) <= 0 AND greatest(a, b, c, d) >= 0)
+              OR bool_and(a >= 0) OR bool_and(a <= 0)""")
+def _(t):
+    """A triangle: boxes that its edges reach, and boxes inside it."""
+    s = t.scenes.withColumn("collection", F.lit("any"))
+    return C.search_scenes(s, "any", polygon=[(21.5, 53.2), (28.4, 54.1), (23.3, 56.9)])
+
+
 @query("search_scenes_radar", "scene_id:s datetime:ts orbit_state:s item_no:i",
        """SELECT scene_id, datetime, orbit_state, item_no FROM scenes
           WHERE collection = 'sentinel-1-grd' AND datetime >= TIMESTAMP '1996-01-01'
