@@ -28,9 +28,8 @@ from canopy.llm.common import sliced
 from canopy.session import scratch_path
 
 REVISIT_BYTES = 1000
-#: Bytes of payload aimed at in a legacy archive, and of legacy archives (compressed) in a WARC
-#: archive. A single larger record makes an archive of its own size.
-ARCHIVE_BYTES = 16 << 20
+#: Records of a legacy archive, and bytes of legacy archives (compressed) aimed at in a WARC archive.
+ARCHIVE_RECORDS = 1024
 CONVERTED_BYTES = 4 << 20
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:legacy-archive")
 #: Field names of the header lines of both versions.
@@ -133,43 +132,46 @@ def _pages(df: DataFrame) -> DataFrame:
     )
 
 
-def _save(records: DataFrame, path: str, end: str) -> None:
-    """One gzipped archive for each partition. The text sink writes bytes as they are, and ``end`` after each."""
-    records.select(F.col("record").cast("string")).write.text(path, compression="gzip", lineSep=end)
+def _save(records: DataFrame, path: str, end: str, most: int = 0) -> None:
+    """One gzipped archive for each partition, or for each ``most`` rows of it.
+
+    The text sink writes bytes as they are, and ``end`` after each row.
+    """
+    writer = records.select(F.col("record").cast("string")).write.option("maxRecordsPerFile", most)
+    writer.text(path, compression="gzip", lineSep=end)
 
 
 def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
     """Legacy archives of ``pages (page_id, url, html)`` in folder ``path``, both versions by turns.
 
-    The number of archives follows the bytes of all pages. The page id travels in the URL's
-    fragment, as the format has no field for it. Null HTML is an empty payload; null URLs and ids
-    are kept as such.
+    Pages are written where they are read. A version block goes before every ``ARCHIVE_RECORDS``
+    records, and a file ends there, so each file is an archive. The page id travels in the URL's
+    fragment, as the format has no field for it. Null HTML is an empty payload; null URLs are
+    empty, null ids left out.
     """
-    pages = _pages(pages)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    archives = max(1, -(-total // ARCHIVE_BYTES))
+    most = ARCHIVE_RECORDS
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId()
-        version, name, begun = 1 + number % 2, f"legacy-{number:06d}.arc", False
+        part, written, version, name = TaskContext.get().partitionId(), 0, 1, ""
         for batch in sliced(batches, 256):
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            records = [
-                arc_record(version, name, f"{url}#page={'' if page is None else page}", date, html.encode())
-                for page, url, html in rows
-            ]
-            if not begun and records:
-                records.insert(0, arc_version_block(version, name, date))
-                begun = True
+            records = []
+            for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if written % most == 0:
+                    turn = written // most
+                    version, name = 1 + (part + turn) % 2, f"legacy-{part:06d}-{turn:04d}.arc"
+                    records.append(arc_version_block(version, name, date))
+                written += 1
+                fragment = f"#page={'' if page is None else page}"
+                records.append(arc_record(version, name, url + fragment, date, html.encode()))
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
 
-    _save(pages.repartition(archives, "page_id", "url").mapInArrow(packed, "record binary"), path, "\n")
+    _save(_pages(pages).mapInArrow(packed, "record binary"), path, "\n", most + 1)
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
-    """``path, content`` of the archives, each one read whole: their size is bounded when written."""
+    """``path, content`` of the archives, each one read whole: their records are bounded when written."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 

@@ -62,7 +62,7 @@ def brute(rows):
 
 
 def test_odd_pages(spark, monkeypatch):
-    monkeypatch.setattr(A, "ARCHIVE_BYTES", 4000)
+    monkeypatch.setattr(A, "ARCHIVE_RECORDS", 7)
     monkeypatch.setattr(A, "CONVERTED_BYTES", 500)
     big = "<p>é\r\n\r\nWARC/1.1\r\n" * 100
     rows = [(i, f"http://h/{i}", big) for i in range(40)] + [
