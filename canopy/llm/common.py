@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from canopy.session import scratch_path
 
@@ -46,3 +46,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def raw(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; nulls are empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def drawn(df: DataFrame, key: Column, n: int, most: int) -> DataFrame:
+    """About ``most`` of the ``n`` rows of ``df``, or all if there are no more; the same on every run.
+
+    Rows stay whose key hashes into a share of the range, a tenth wider than ``most`` asks for, so
+    tasks send only what is drawn. The limit above it is met by repeated rows alone.
+    """
+    if n <= most:
+        return df
+    space = 1 << 30
+    return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(space)) < int(space * 1.1 * most / n) + 1).limit(2 * most)

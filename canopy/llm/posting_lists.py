@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from canopy.llm.common import written
+from canopy.llm.common import drawn, written
 
 
 @dataclass(frozen=True)
 class Lists:
-    """``sample`` vectors fit the index; ``most`` bounds the centroids that every task holds."""
+    """About ``sample`` vectors fit the index; ``most`` bounds the centroids that every task holds."""
 
     sample: int = 20_000
     size: int = 512
@@ -171,8 +171,8 @@ def fit(rows: DataFrame, lists: Lists = Lists()) -> Index | None:
     rows = rows.where(F.size("vector") == dim)
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     largest = rows.agg(F.max(norm)).first()[0]
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(lists.sample).select("vector").toArrow()
-    x = _matrix(drawn.column(0).combine_chunks(), dim)
+    sample = drawn(rows, F.col("vec_id"), n, lists.sample).select("vec_id", "vector").toArrow().sort_by("vec_id")
+    x = _matrix(sample.column(1).combine_chunks(), dim)
     index = Index(lists, float(largest), dim, 1.0, None)
     lifted = index.lifted(x)
     rng = np.random.default_rng(lists.seed)

@@ -5,8 +5,8 @@ beginnings, and over the log-odds of all categories before it in the chain. For
 earlier categories' probabilities come from models that have not seen the row (out of fold), so a
 later model learns how far an earlier one can be trusted on new text.
 
-The models are fitted on a bounded sample of labelled rows (``Chain.sample``, the rows whose ids
-have the least hashes); features are counted and chosen over that sample on Spark, and the
+The models are fitted on a bounded sample of labelled rows (about ``Chain.sample``, picked by a
+hash of their ids); features are counted and chosen over that sample on Spark, and the
 chosen columns of it, a few megabytes, are fitted in numpy. Every document is scored.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from canopy.llm.common import id_text, sliced, written
+from canopy.llm.common import drawn, id_text, sliced, written
 
 #: What parts words: everything in ASCII but letters and digits.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -139,9 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, chain: Chain = Chain()) -> Fitted:
     names = chain.categories
     flags = [F.max(F.col(f"`{c}`").cast("int")).alias(c) for c in names]
     known = labels.select(F.col("doc_id").cast("long"), *names).dropna().groupBy("doc_id").agg(*flags)
+    sample = drawn(known, F.col("doc_id"), known.count(), chain.sample)
     # Bounded: the sample's ids and labels.
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(chain.sample)
-    texts = id_text(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", *names)
+    texts = id_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", *names)
     prefixes = chain.prefixes
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
