@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+)
 from pyspark.sql.types import StructType
 
 from canopy.schemas import SPECTRA
@@ -87,17 +91,26 @@ class EnviReader(DataSourceReader):
         self.rows = int(options.get("rows_per_split", 64))
         self.extension = options.get("extension", ".dat")
 
+        self.cubes: set[str] | None = None
+        self.first, self.last = 0, 1 << 31
+
     def partitions(self) -> list[RowRange]:
-        """Only headers are read here."""
+        """Only headers are read here, several at a time."""
         system, _ = _open(self.path)
-        parts = []
-        for head in _headers(self.path):
+
+        def header(head: str) -> Header:
             with system.open_input_file(head) as f:
-                header = Header.parse(f.read().decode("utf-8", "ignore"))
-            data = cube_paths(head, self.extension)[1]
-            cube = data.rpartition("/")[2].rpartition(".")[0]
-            for at in range(0, header.height, self.rows):
-                parts.append(RowRange(data, header, cube, at, min(at + self.rows, header.height)))
+                return Header.parse(f.read().decode("utf-8", "ignore"))
+
+        named = [(head, cube_paths(head, self.extension)[1]) for head in _headers(self.path)]
+        named = [(head, data, data.rpartition("/")[2].rpartition(".")[0]) for head, data in named]
+        named = [x for x in named if self.cubes is None or x[2] in self.cubes]
+        with ThreadPoolExecutor(16) as pool:
+            heads = list(pool.map(header, [x[0] for x in named]))
+        parts = []
+        for (_, data, cube), h in zip(named, heads):
+            last = min(h.height, self.last)
+            parts += [RowRange(data, h, cube, at, min(at + self.rows, last)) for at in range(self.first, last, self.rows)]
         return parts
 
     def read(self, part: RowRange):
@@ -106,12 +119,15 @@ class EnviReader(DataSourceReader):
         system, _ = _open(self.path)
         item = np.dtype(h.dtype).itemsize
         with system.open_input_file(part.path) as f:
+            lines = part.last - part.first
+            if h.interleave == "bsq":  # the rows of a split lie together within a band
+                bands = np.empty((h.bands, lines, h.width), h.dtype)
+                for b in range(h.bands):
+                    f.seek(h.offset + (b * h.height + part.first) * h.width * item)
+                    bands[b] = np.frombuffer(f.read(lines * h.width * item), h.dtype).reshape(lines, h.width)
             for row in range(part.first, part.last):
                 if h.interleave == "bsq":
-                    line = np.empty((h.width, h.bands))
-                    for b in range(h.bands):
-                        f.seek(h.offset + (b * h.height + row) * h.width * item)
-                        line[:, b] = np.frombuffer(f.read(h.width * item), h.dtype)
+                    line = bands[:, row - part.first].T
                 else:
                     f.seek(h.offset + row * h.row_bytes())
                     flat = np.frombuffer(f.read(h.row_bytes()), h.dtype)
@@ -127,6 +143,24 @@ class EnviReader(DataSourceReader):
                 )
 
 
+class PruningReader(EnviReader):
+    """For sessions that hand filters to Python sources; others refuse a reader that takes them."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Cubes and rows that are not wanted are not read; Spark still checks every filter."""
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("cube_id",) and isinstance(f, (EqualTo, In)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.cubes = wanted if self.cubes is None else self.cubes & wanted
+            elif column == ("row",):
+                if isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)):
+                    self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThanOrEqual, LessThan)):
+                    self.last = min(self.last, f.value + (not isinstance(f, LessThan)))
+            yield f
+
+
 class EnviDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -136,15 +170,19 @@ class EnviDataSource(DataSource):
         return SPECTRA
 
     def reader(self, schema: StructType) -> EnviReader:
-        return EnviReader(dict(self.options))
+        options = dict(self.options)
+        return (PruningReader if options.get("prune") == "true" else EnviReader)(options)
 
 
 def read_envi(spark: SparkSession, path: str, rows_per_split: int = 64, extension: str = ".dat") -> DataFrame:
-    """Spectra of one cube (``.hdr`` or data path) or of every cube under a folder."""
+    """Spectra of one cube (``.hdr`` or data path) or of every cube under a folder.
+
+    With ``spark.sql.python.filterPushdown.enabled``, filters on cube and row reach the reader.
+    """
     spark.dataSource.register(EnviDataSource)
-    return (
-        spark.read.format("envi").option("rows_per_split", rows_per_split).option("extension", extension).load(path)
-    )
+    prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("envi").option("rows_per_split", rows_per_split).option("extension", extension)
+    return reader.option("prune", prune).load(path)
 
 
 def read_wavelengths(spark: SparkSession, path: str) -> DataFrame:

@@ -22,6 +22,18 @@ def test_envi(spark, tmp_path, interleave, axes, code, dtype):
     assert [r.wavelength_nm for r in envi.read_wavelengths(spark, str(tmp_path)).orderBy("band").collect()] == [400, 500, 600, 700, 800]
 
 
+def test_envi_push_down(tmp_path):
+    """Only wanted cubes and rows become partitions."""
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    for cube in "abc":
+        (tmp_path / f"{cube}.hdr").write_text("samples = 2\nlines = 10\nbands = 1\ndata type = 4\ninterleave = bsq\n")
+    reader = envi.PruningReader({"path": str(tmp_path), "rows_per_split": "4"})
+    asked = [In(("cube_id",), ("a", "c")), GreaterThanOrEqual(("row",), 3), LessThan(("row",), 9), EqualTo(("col",), 1)]
+    assert list(reader.pushFilters(asked)) == asked
+    assert [(p.cube_id, p.first, p.last) for p in reader.partitions()] == [("a", 3, 7), ("a", 7, 9), ("c", 3, 7), ("c", 7, 9)]
+
+
 def test_envi_paths():
     assert envi.cube_paths("/x/c.hdr") == ("/x/c.hdr", "/x/c.dat")
     assert envi.cube_paths("/x/c.dat") == ("/x/c.hdr", "/x/c.dat")
