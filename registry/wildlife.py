@@ -294,6 +294,23 @@ def _(t):
     return Tr.smooth_class(t.detections, "track_id", 0.5, class_names=CLASS_NAMES)
 
 
+# The same per entity, where a class must have been seen three times to lead.
+ENTITY_VOTES = (
+    VOTES.replace("FROM detections)", "FROM (SELECT * REPLACE (track_id * 3 + det_id % 2 AS track_id) FROM detections))")
+    .replace("999999] AS seen", "999999] AS seen, [0::BIGINT, 0, 0, 0, 0] AS hits")
+    .replace("AS stable, score, seen", "AS stable, score, seen, hits")
+    .replace("ELSE s.seen[c + 1] END) AS seen", """ELSE s.seen[c + 1] END) AS seen,
+                   list_transform([0, 1, 2, 3, 4], lambda c: s.hits[c + 1] + CASE WHEN c = d.cls THEN 1 ELSE 0 END) AS hits""")
+    .replace("WHEN lead <> stable AND", "WHEN lead <> stable AND hits[lead + 1] >= 3 AND")
+)
+
+
+@query("smooth_class_entity", "det_id:i cls:i cls_original:n", ENTITY_VOTES)
+def _(t):
+    d = t.detections.withColumn("entity_id", (F.col("track_id") * 3 + F.col("det_id") % 2).cast("long"))
+    return Tr.smooth_class(d, "entity_id", 0.5, min_hits=3, class_names=CLASS_NAMES)
+
+
 def _with_ids(t):
     """Detections with entity and cluster ids given by arithmetic, for the operators after matching."""
     e = F.col("det_id")
