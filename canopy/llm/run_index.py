@@ -91,6 +91,24 @@ def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_text(df, id_col, text_col).withColumn("print", F.xxhash64("text"))
 
 
+def _merged(owner: np.ndarray, anchor: np.ndarray, context: np.ndarray, span: np.ndarray) -> tuple:
+    """Equal contexts of one text as one record: its first span, and the others as a list.
+
+    A text of one repeated line has as many records as bytes, all alike; so they leave it as one.
+    """
+    more: list[list[int] | None] = [None] * len(owner)
+    mixed = context.view(np.uint64) ^ (owner.astype(np.uint64) * _M1)
+    if len(np.unique(mixed)) == len(mixed):
+        return owner, anchor, context, span, more
+    order = np.lexsort((span, context, anchor, owner))
+    owner, anchor, context, span = owner[order], anchor[order], context[order], span[order]
+    same = (owner[1:] == owner[:-1]) & (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    last = np.append(first[1:], len(owner))
+    more = [span[a + 1 : b].tolist() if b > a + 1 else None for a, b in zip(first.tolist(), last.tolist())]
+    return owner[first], anchor[first], context[first], span[first], more
+
+
 def _recorded(docs: DataFrame, length: int) -> DataFrame:
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -99,14 +117,15 @@ def _recorded(docs: DataFrame, length: int) -> DataFrame:
             if not len(owner):
                 continue
             anchor, context, first, n = (np.concatenate(x) for x in zip(*found))
+            owner, anchor, context, span, more = _merged(owner, anchor, context, first << SPAN_BITS | n)
             rows = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor), pa.array(context),
-                 pa.array(first << SPAN_BITS | n)],
-                ["doc_id", "print", "anchor", "context", "span"],
+                 pa.array(span), pa.array(more, pa.list_(pa.int64()))],
+                ["doc_id", "print", "anchor", "context", "span", "more"],
             )
 
-    schema = "doc_id long, print long, anchor long, context long, span long"
+    schema = "doc_id long, print long, anchor long, context long, span long, more array<long>"
     return docs.select("doc_id", "print", "text").mapInArrow(told, schema)
 
 
@@ -122,9 +141,9 @@ def _classified(found: DataFrame) -> DataFrame:
         F.coalesce(F.lead("context").over(ordered) == F.col("context"), F.lit(False)).alias("before"),
     )
     seen = seen.withColumn("several", F.min("context").over(by) != F.max("context").over(by))
-    seen = seen.where("again or before or several")
-    return seen.select(
-        "doc_id", "print", "anchor", "span", F.expr("again or before").alias("whole"), F.expr("several and not again").alias("fetch")
+    whole = F.col("again") | F.col("before") | F.col("more").isNotNull()
+    return seen.where(whole | F.col("several")).select(
+        "doc_id", "print", "anchor", "span", "more", whole.alias("whole"), F.expr("several and not again").alias("fetch")
     )
 
 
@@ -345,7 +364,8 @@ def repeated_ranges(df: DataFrame, length: int = LENGTH, block: int = BLOCK, id_
     found = written(_indexed(_contexts(docs, classes, length), length, block), "repeat-marks")
     edges = found.where("bytes is null").select("doc_id", "print", "start", "n")
     crowd = _counted(found.where("bytes is not null"), length)
-    inside = classes.where("whole").select(
+    spans = F.explode(F.concat(F.array("span"), F.coalesce("more", F.array().cast("array<long>"))))
+    inside = classes.where("whole").select("doc_id", "print", spans.alias("span")).select(
         "doc_id", "print", F.shiftright("span", SPAN_BITS).alias("start"), F.expr(f"span & {(1 << SPAN_BITS) - 1}").alias("n")
     )
     marks = inside.unionByName(edges).unionByName(crowd)
