@@ -82,7 +82,7 @@ class Tables:
         assets = F.map_from_arrays(
             F.array(*[F.lit(k) for k in keys]),
             F.array(*[
-                F.struct(F.concat(F.lit("s3://scenes/"), F.col("scene_id"), F.lit(f"/{k}.jp2")).alias("href"))
+                F.struct(F.concat(F.lit("store://scenes/"), F.col("scene_id"), F.lit(f"/{k}.jp2")).alias("href"))
                 for k in keys
             ]),
         )

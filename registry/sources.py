@@ -183,7 +183,7 @@ def _(t):
 
 
 @query("read_stac_items", "scene_id:s datetime:ts cloud_cover:d instrument_mode:s orbit_state:s minx:d maxy:d href:s",
-       """SELECT scene_id, datetime, cloud_cover, instrument_mode, orbit_state, minx, maxy, 's3://scenes/' || scene_id || '/B08_10m.jp2' AS href FROM scenes""")
+       """SELECT scene_id, datetime, cloud_cover, instrument_mode, orbit_state, minx, maxy, 'store://scenes/' || scene_id || '/B08_10m.jp2' AS href FROM scenes""")
 def _(t):
     path = scratch_path(t.spark, "stac")
     s = t.scenes
