@@ -69,3 +69,24 @@ def test_given_table(spark):
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
     got, want = found(df, lists=P.Lists(size=50)), brute(ids, x, 20, 20)
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_fitted_on_a_sample(spark):
+    """A sixth of the rows fit the index, all are indexed."""
+    r = np.random.default_rng(4)
+    centers = r.normal(size=(30, 12)) * 3
+    x = centers[r.integers(0, 30, 3000)] + r.normal(size=(3000, 12))
+    ids = np.arange(3000)
+    got = found(frame(spark, ids, x), lists=P.Lists(sample=500, size=100), every=50, k=10)
+    want = brute(ids, x, 50, 10)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_drawn(spark):
+    from canopy.llm.common import drawn
+
+    df = spark.range(10_000)
+    assert drawn(df, P.F.col("id"), 10_000, 20_000).count() == 10_000
+    some = drawn(df, P.F.col("id"), 10_000, 1_000)
+    assert 1_000 <= some.count() <= 1_250
+    assert {r.id for r in some.collect()} == {r.id for r in drawn(df.repartition(3), P.F.col("id"), 10_000, 1_000).collect()}
