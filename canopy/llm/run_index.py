@@ -209,8 +209,12 @@ class RunIndex:
         rank = suffix_ranks(text)
         suffix = np.empty(self.n, dtype=np.int64)
         suffix[rank] = np.arange(self.n)
-        bwt = text[suffix - 1]  # the suffix at 0 is preceded by the last byte
-        edges = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
+        bwt = text[suffix - 1]
+        # No byte is before the suffix at 0, which is a run of its own: where the last byte stands
+        # for it, it may lie inside a run, and neither it nor its neighbours would be sampled.
+        cut = bwt[1:] != bwt[:-1]
+        cut[max(rank[0] - 1, 0) : rank[0] + 1] = True
+        edges = np.flatnonzero(cut) + 1
         heads = np.concatenate([[0], edges])
         ends = np.concatenate([edges, [self.n]]) - 1
         self.runs = bwt[heads], ends - heads + 1

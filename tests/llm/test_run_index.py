@@ -72,6 +72,33 @@ def test_repeated_starts():
         assert got == [{i for i in range(len(x) - 39) if times[x[i : i + 40]] > 1} for x in contexts]
 
 
+@pytest.mark.parametrize("n", [2, 100, 127, 128, 129, 130, 257])
+@pytest.mark.parametrize("at", [1, -1, "middle"])
+def test_first_context(n, at):
+    """The first context has no byte before it, whichever byte the block ends with."""
+    r = random.Random(n)
+    make = lambda k: bytes(r.choice(b"abcdefgh") for _ in range(k))
+    shared = make(60)
+    contexts = [make(80) for _ in range(n)]
+    for i in (0, n // 2 if at == "middle" else at):
+        contexts[i] = shared + make(30)
+    times = Counter(x[i : i + 40] for x in contexts for i in range(len(x) - 39))
+    got = [{i for a, k in runs for i in range(a, a + k)} for runs in X.repeated_starts(contexts, 40)]
+    assert got == [{i for i in range(len(x) - 39) if times[x[i : i + 40]] > 1} for x in contexts]
+
+
+def test_equal_byte_before():
+    """The block's last byte is also the one before another context with the first one's beginning."""
+    r = random.Random(8)
+    make = lambda k: bytes(r.choice(b"abcdefgh") for _ in range(k))
+    for n, other in ((129, 1), (257, 1), (257, 129), (256, 128), (300, 44)):
+        shared = make(60)
+        contexts = [make(50) for _ in range(n)]
+        contexts[0], contexts[other] = shared + b"X" + make(20), shared + b"Y" + make(25)
+        got = X.repeated_starts(contexts, 40)
+        assert got[0] == got[other] == [(0, 21)]
+
+
 @pytest.mark.parametrize("block", [X.BLOCK, 2000, 600])
 def test_against_all_windows(spark, block):
     """Small blocks crowd nearly every anchor, so that windows are counted by hash."""
