@@ -8,7 +8,8 @@ that are nearly as near (unless those lie closer to a list it has already). Cent
 over a graph of their neighbours, held in memory. A query reads the lists whose centroid is at
 most ``ratio`` times as far as its nearest one; the ratio is set on the sample, such that it
 reaches ``recall`` of the true neighbours there. Lists longer than ``shard`` are dealt to several
-shards, all of which are read, so nothing is left out of a list.
+shards, all of which are read, so nothing is left out of a list. A query whose lists give fewer
+neighbours than asked for goes on to the next nearest lists that hold enough, at last to all.
 """
 
 from __future__ import annotations
@@ -190,8 +191,23 @@ def fit(rows: DataFrame, lists: Lists = Lists()) -> Index | None:
     return index
 
 
-def _dealt(rows: DataFrame, index: Index, kind: int) -> DataFrame:
-    """Rows to their lists: postings (kind 0) to their homes, queries (kind 1) to those in reach."""
+def _nearest_holding(x: np.ndarray, points: np.ndarray, held: np.ndarray, room: int) -> list[np.ndarray]:
+    """For each row the nearest points that together hold ``room``, or all that hold anything."""
+    some = np.flatnonzero(held)
+    out = []
+    for at in range(0, len(x), 256):
+        d = (points[some] ** 2).sum(1) - 2 * x[at : at + 256] @ points[some].T
+        order = some[np.argsort(d, axis=1, kind="stable")]
+        n = (np.cumsum(held[order], axis=1) < room).sum(1) + 1
+        out += [row[:m] for row, m in zip(order, n.tolist())]
+    return out
+
+
+def _dealt(rows: DataFrame, index: Index, kind: int, held: np.ndarray | None = None, room: int = 0) -> DataFrame:
+    """Rows to their lists: postings (kind 0) to their homes, queries (kind 1) to those in reach.
+
+    With ``held``, the postings of each list, queries go to the nearest lists that hold ``room`` of them.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(index)  # at most ``most`` centroids and their graph
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +216,9 @@ def _dealt(rows: DataFrame, index: Index, kind: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = _matrix(part.column(1), own.dim)
-                if kind:
+                if held is not None:
+                    found = _nearest_holding(own.plain(x), own.centroids.points, held, room)
+                elif kind:
                     found = [c for c, _ in own.centroids.search(own.plain(x), own.ratio)]
                 else:
                     found = own.centroids.homes(own.lifted(x), own.lists)
@@ -251,14 +269,15 @@ def search(df: DataFrame, every: int = 20, k: int = 20, lists: Lists = Lists(),
     dim = index.dim
     rows = rows.where(F.size("vector") == dim)
     postings = written(_dealt(rows, index, 0), "ann-postings")
-    counts = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(lists.shard)).cast("int").alias("shards"))
-    counts = F.broadcast(counts)  # one row for each centroid
+    sizes = [(x.list, x.n) for x in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row for each centroid
+    filled = np.zeros(len(index.centroids.points), dtype=np.int64)
+    filled[[x for x, _ in sizes]] = [n for _, n in sizes]
+    counts = spark.createDataFrame([(x, -(-n // lists.shard)) for x, n in sizes], "list int, shards int")
+    counts = F.broadcast(counts)
     held = postings.join(counts, "list").select(
         "list", F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "vector"
     )
-    asked = _dealt(rows.where(F.col("vec_id") % every == 0), index, 1).join(counts, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "vec_id", "vector"
-    )
+    queries = rows.where(F.col("vec_id") % every == 0)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -316,7 +335,34 @@ def search(df: DataFrame, every: int = 20, k: int = 20, lists: Lists = Lists(),
             yield from given()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = held.unionByName(asked).repartition(parts, "list", "shard").sortWithinPartitions("list", "shard", "kind")
-    found = both.mapInArrow(nearest, out).dropDuplicates(["query_id", "vec_id"])
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        asked = dealt.join(counts, "list").select(
+            "list", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "vec_id", "vector"
+        )
+        both = held.unionByName(asked).repartition(parts, "list", "shard").sortWithinPartitions("list", "shard", "kind")
+        return both.mapInArrow(nearest, out)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.dropDuplicates(["query_id", "vec_id"])
+        best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best = written(ranked(compared(_dealt(queries, index, 1))), "ann-best")
+    room, whole, others = lists.copies * (k + 1), int(filled.sum()), None
+    while True:
+        got = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("got"))
+        least = k if others is None else others
+        short = queries.join(got, F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("got", F.lit(0)) < least)
+        short = written(short.select("vec_id", "vector"), "ann-short")
+        if short.isEmpty():
+            return best
+        if others is None:  # no query can find more than all ids but its own
+            others = min(k, rows.select("vec_id").distinct().limit(k + 1).count() - 1)
+            if others < k:
+                continue
+        more = compared(_dealt(short, index, 1, filled, room))
+        best = written(ranked(best.drop("rank").unionByName(more)), "ann-best")
+        if room >= whole:
+            return best
+        room *= 8  # ids that occur again and again may fill the nearest lists

@@ -49,6 +49,41 @@ def test_hot_copies_and_ties(spark):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
 
 
+def isolated(seed):
+    """Tight clusters of many vectors, and one of twelve vectors far from all, which fills a list of its own."""
+    r = np.random.default_rng(seed)
+    centers = np.eye(12)[:10]
+    x = centers[np.arange(3000) % 10] + r.normal(size=(3000, 12)) * 0.01
+    x[:12] = np.eye(12)[10] + r.normal(size=(12, 12)) * 0.01
+    return np.arange(3000), x
+
+
+@pytest.mark.parametrize("lists", [P.Lists(size=8), P.Lists(size=8, copies=1, shard=4)])
+def test_isolated_queries(spark, lists):
+    """Queries in small lists go on to others, until they have as many neighbours as asked for."""
+    ids, x = isolated(6)
+    got = found(frame(spark, ids, x), lists=lists)
+    assert got.keys() == {i for i in range(0, 3000, 20)}
+    assert all(len(v) == 20 and len({i for i, _ in v}) == 20 and q not in dict(v) for q, v in got.items())
+    assert {i for i, _ in got[0][:11]} == set(range(1, 12))
+    assert all(s == pytest.approx(x[q] @ x[i], abs=1e-12) for q, v in got.items() for i, s in v)
+
+
+def test_repeated_ids_fill_lists(spark):
+    """One id many times is one neighbour; the search goes on beyond the lists it fills."""
+    r = np.random.default_rng(7)
+    x = np.concatenate([np.eye(6)[np.zeros(500, dtype=int)], np.eye(6)[1 + np.arange(100) % 5]]) + r.normal(size=(600, 6)) * 0.01
+    ids = np.concatenate([np.where(np.arange(500) == 0, 0, 1), 2 + np.arange(100)])
+    got = found(frame(spark, ids, x), lists=P.Lists(size=16, copies=1), every=200, k=30)
+    assert got.keys() == {0} and len(got[0]) == 30
+
+
+def test_nearest_holding():
+    points, held = np.array([[0.0], [1.0], [3.0], [9.0]]), np.array([2, 0, 3, 4])
+    got = [c.tolist() for room in (1, 2, 3, 6, 100) for c in P._nearest_holding(np.array([[0.4], [8.0]]), points, held, room)]
+    assert got == [[0], [3], [0], [3], [0, 2], [3], [0, 2, 3], [3, 2], [0, 2, 3], [3, 2, 0]]
+
+
 def test_odd_rows(spark):
     rows = [
         (0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [None, 1.0], 1), (5, [float("nan"), 1.0], 1),
