@@ -1,7 +1,9 @@
+import base64
 import random
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from canopy.llm import quality_rules as Q
@@ -53,6 +55,30 @@ def test_bands():
     assert judge(sound + "\n" + noise)[8] > 0.3 and not judge(sound + "\n" + noise)[6]
 
 
+@pytest.mark.parametrize("n", [500, 700, 1000, 1200, 1600, 1700, 2000, 3000, 4090, 5000, 9000, 20000, 70000])
+def test_noise_of_any_length(n):
+    """Wrapped base64 from 500 bytes on, random words where clean text is well below them."""
+    judge = Q.Judge(Q.Bands())
+    r = random.Random(n)
+    words = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(4, 9))) for _ in range(n))[:n]
+    for _ in range(20):
+        coded = base64.encodebytes(r.randbytes(n)).decode()[:n]
+        assert Q._outside(n, judge(coded)[7], judge.bands) and not judge(coded)[6]
+        assert n < 1536 or not judge(words("abcdefghijklmnopqrstuvwxyz0123456789"))[6]
+        assert n < 4096 or not judge(words("abcdefghijklmnopqrstuvwxyz"))[6]
+
+
+def test_clean_text_of_any_length(spark):
+    """The beginnings of clean texts in every language are below the upper limits."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    judge = Q.Judge(Q.Bands())
+    limit = lambda n: next(b for least, _, b in reversed(Q.BANDS) if n >= least)
+    rows = docs.join(labels.where("quality = 1"), "doc_id").select("lang", "text").collect()
+    assert len({x.lang for x in rows}) > 1
+    for n in sorted({least for least, _, _ in Q.BANDS[1:]} | {500, 1000, 1700, 2500, 4090, 5000}):
+        assert all(judge.ratio(x.text.encode()[:n]) <= limit(n) for x in rows if len(x.text.encode()) >= n)
+
+
 def test_clean_labels_are_kept(spark):
     from tests.conftest import DATA
 
