@@ -1,7 +1,7 @@
 """Mixing sources to target weights, by blocks of fixed length.
 
 The words of a source, its documents in a pseudorandom order, are packed into blocks of ``block``
-words. A mix of ``share`` times all words is made of slots, one block each. Each output shard
+words, or shorter ones where that would make fewer than ``least_blocks``. A mix of ``share`` times all words is made of slots, one block each. Each output shard
 draws how many of its slots go to each source from a multinomial distribution. The slots of a
 source are numbered through over the shards; slot ``g`` takes block ``perm(g mod n)`` of its
 source's ``n``, with another pseudorandom permutation of the indices (a Feistel network) for each
@@ -33,6 +33,7 @@ class Mix:
     share: float = 1.5
     most: float = 2.0
     block: int = 64
+    least_blocks: int = 32
     shard_slots: int = 4096
     #: Shards grow beyond ``shard_slots`` rather than become more than this.
     most_shards: int = 65536
@@ -60,7 +61,7 @@ def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, row: Colu
 
 
 def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """``source, sid, source_size, target, blocks, slots`` for every source of ``sizes (source, size)``.
+    """``source, sid, source_size, target, length, blocks, slots`` for every source of ``sizes (source, size)``.
 
     Targets are ``share`` of all sizes by weight; none exceeds ``most`` times its source's size,
     and the excess is reshared by weight until none is above.
@@ -91,9 +92,10 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
             break
         level, capped = (wanted - (held or 0.0)) / weight, n
     target = F.least(F.col("cap"), F.lit(level) * F.col("weight"))
-    blocks = F.ceil(F.col("source_size") / F.lit(mix.block)).cast("long")
+    length = F.greatest(F.lit(1), F.least(F.lit(mix.block), F.floor(F.col("source_size") / F.lit(mix.least_blocks)))).cast("long")
+    blocks = F.ceil(F.col("source_size") / length).cast("long")
     slots = F.when(F.col("source_size") > 0, F.round(target * blocks / F.col("source_size")).cast("long")).otherwise(F.lit(0))
-    return numbered.select("source", "sid", "source_size", target.alias("target"), blocks.alias("blocks"), slots.alias("slots"))
+    return numbered.select("source", "sid", "source_size", target.alias("target"), length.alias("length"), blocks.alias("blocks"), slots.alias("slots"))
 
 
 def segments(sizes: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -109,16 +111,16 @@ def segments(sizes: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFram
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("b")
     starts = starts.join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select(
-        F.col("b.source").alias("source"), "bucket", "start", "sid"
+        F.col("b.source").alias("source"), "bucket", "start", "sid", "length"
     )
     inner = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).where("size > 0")
     placed = placed.alias("p").join(
         starts.alias("q"), F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.bucket") == F.col("q.bucket"))
-    ).select("row", "sid", "size", (F.col("start") + F.col("inside")).alias("at"))
-    b = F.lit(mix.block)
+    ).select("row", "sid", "size", "length", (F.col("start") + F.col("inside")).alias("at"))
+    b = F.col("length")
     first, last = F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b)
-    cut = placed.select("row", "sid", "size", "at", F.explode(F.sequence(first, last)).alias("block"))
+    cut = placed.select("row", "sid", "size", "length", "at", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest("at", F.col("block") * b)
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b)
     return cut.select("row", "sid", "block", (begin - F.col("at")).alias("word"), (end - begin).alias("words"))

@@ -71,6 +71,21 @@ def test_odd_rows(spark):
     assert [(x.size, x.target, x.taken) for x in X.mix_report(empty).collect()] == [(0, 0.0, 0)] * 2
 
 
+def test_small_sources(spark):
+    """Sources of few words take their targets too: to within a block, which is a small share of them."""
+    n = [1, 5, 30, 63, 64, 65, 100, 190, 500, 5000]
+    df = spark.createDataFrame([(i, " ".join(["w"] * k), f"s{i:02}") for i, k in enumerate(n)], "doc_id long, text string, source string")
+    mix = X.Mix(share=0.0818, weights=(1.0,))
+    told = X.mix_report(df, mix).collect()
+    assert any(0 < x.target < 0.5 * x.size for x in told) and any(0.5 * x.size < x.target < 1.9 * x.size for x in told)
+    for x in told:
+        assert abs(x.taken - x.target) <= 1 + x.size / 32 and x.taken <= 2 * x.size
+    texts = {x.doc_id: 0 for x in told}
+    for x in X.mixed_documents(df, mix).collect():
+        texts[x.doc_id] += size(x.text)
+    assert texts == {x.doc_id: x.taken for x in told}
+
+
 def test_segments_and_slots(spark):
     """Blocks are full but for a source's last; every slot's block exists, at most twice in all."""
     df = spark.read.parquet(f"{DATA}/documents.parquet")
