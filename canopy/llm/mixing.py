@@ -2,7 +2,8 @@
 
 The words of a source, its documents in a pseudorandom order, are packed into blocks of ``block``
 words, or shorter ones where that would make fewer than ``least_blocks``. A mix of ``share`` times all words is made of slots, one block each. Each output shard
-draws how many of its slots go to each source from a multinomial distribution. The slots of a
+draws how many of its slots go to each source from a multinomial distribution, first over hash
+groups of sources and then inside each, so no task holds all sources. The slots of a
 source are numbered through over the shards; slot ``g`` takes block ``perm(g mod n)`` of its
 source's ``n``, with another pseudorandom permutation of the indices (a Feistel network) for each
 turn ``g div n``. Blocks are joined by index.
@@ -14,6 +15,7 @@ target to within half a block, and no block is taken more often than ``ceil(targ
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,8 +39,8 @@ class Mix:
     shard_slots: int = 4096
     #: Shards grow beyond ``shard_slots`` rather than become more than this.
     most_shards: int = 65536
-    #: The targets of all sources are sent to every task that draws, 24 bytes each.
-    most_sources: int = 2_000_000
+    #: Sources are drawn in groups of about this many, or of the root of their number if that is more.
+    group: int = 4096
     seed: int = 1
 
 
@@ -159,14 +161,21 @@ def slots(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     spark = sources.sparkSession
     wanted = sources.where("slots > 0").select("sid", "slots", "blocks")
     many = wanted.count()
-    if many > mix.most_sources:
-        raise ValueError(f"{many} sources; their targets are sent to all tasks, which is bounded by {mix.most_sources}")
-    known = sorted(tuple(r) for r in wanted.collect())
-    sids, each = np.array([k[0] for k in known], dtype=np.int64), np.array([k[1] for k in known], dtype=np.int64)
+    groups = -(-many // max(mix.group, math.isqrt(many)))
+    group = F.pmod(F.xxhash64("sid"), F.lit(max(groups, 1))).cast("int")
+    # A group's sources are one row: about ``group`` or the root of all, by a hash of distinct numbers.
+    members = wanted.groupBy(group.alias("group")).agg(
+        F.sum("slots").alias("n"), F.sort_array(F.collect_list(F.struct("sid", "slots"))).alias("members")
+    )
+    members = written(members, "mix-groups")
+    known = sorted(tuple(r) for r in members.select("group", "n").collect())  # at most the root of all sources
+    numbers, each = np.array([k[0] for k in known], dtype=np.int32), np.array([k[1] for k in known], dtype=np.int64)
     total = int(each.sum()) if known else 0
     size = max(mix.shard_slots, -(-total // mix.most_shards))
     shards = -(-total // size)
-    sent = spark.sparkContext.broadcast((sids, each / max(total, 1)))
+    sent = spark.sparkContext.broadcast((numbers, each / max(total, 1)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = -(-parts // max(groups, 1))  # few groups spread their shards over several tasks
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, share = sent.value
@@ -176,11 +185,36 @@ def slots(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
                 drawn = np.random.Generator(np.random.PCG64([mix.seed, shard])).multinomial(n, share)
                 own = np.flatnonzero(drawn)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), shard)), pa.array(numbers[own]), pa.array(drawn[own].astype(np.int64))],
+                    [pa.array(numbers[own]), pa.array(np.full(len(own), shard)), pa.array(drawn[own].astype(np.int64))],
+                    ["group", "shard", "n"],
+                )
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group's sources come before the shards that drew it; each shard's draws are dealt to them."""
+        sids = share = None
+        for batch in batches:
+            groups_, drawn_by, counts = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            for i, (number, shard, n) in enumerate(zip(groups_, drawn_by, counts)):
+                if shard < 0:
+                    own = batch.column(4)[i].as_py()
+                    sids = np.array([x["sid"] for x in own], dtype=np.int64)
+                    share = np.array([x["slots"] for x in own], dtype=np.int64) / n
+                    continue
+                drawn = np.random.Generator(np.random.PCG64([mix.seed, shard, number + 1])).multinomial(n, share)
+                own = np.flatnonzero(drawn)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), shard)), pa.array(sids[own]), pa.array(drawn[own].astype(np.int64))],
                     ["shard", "sid", "n"],
                 )
 
-    drawn = spark.range(shards).mapInArrow(draw, "shard long, sid long, n long")
+    asked = spark.range(shards).mapInArrow(draw, "group int, shard long, n long")
+    asked = asked.select("group", F.pmod("shard", F.lit(salts)).cast("int").alias("salt"), "shard", "n")
+    heads = members.select(
+        "group", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("long").alias("shard"), "n", "members"
+    )
+    both = heads.unionByName(asked, allowMissingColumns=True).repartition(parts, "group", "salt")
+    drawn = both.sortWithinPartitions("group", "salt", "shard").mapInArrow(inside, "shard long, sid long, n long")
+    drawn = written(drawn, "mix-drawn")
     # At most most_shards rows for each source.
     before = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     numbered = drawn.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))

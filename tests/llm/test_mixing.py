@@ -86,6 +86,19 @@ def test_small_sources(spark):
     assert texts == {x.doc_id: x.taken for x in told}
 
 
+@pytest.mark.parametrize("group", [4096, 7])
+def test_slots_by_groups(spark, group):
+    """Any number of sources: drawn by groups, each has its slots once, over all shards in their sizes."""
+    sources = spark.range(1000).selectExpr("id AS sid", "1 + id % 9 AS slots", "1 + id % 5 AS blocks")
+    rows = X.slots(sources, X.Mix(group=group, shard_slots=100)).collect()
+    got, shards = defaultdict(list), defaultdict(int)
+    for x in rows:
+        got[x.sid].append(x.slot)
+        shards[x.shard] += 1
+    assert {i: list(range(1 + i % 9)) for i in range(1000)} == {i: sorted(x) for i, x in got.items()}
+    assert len(shards) == 50 and max(shards.values()) < 200 and min(shards.values()) > 40
+
+
 def test_segments_and_slots(spark):
     """Blocks are full but for a source's last; every slot's block exists, at most twice in all."""
     df = spark.read.parquet(f"{DATA}/documents.parquet")
