@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,6 +15,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Lower case for A-Z only; other letters stay as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Lower case as above, and every byte that parts words as a space.
+LOWER_SPACED = bytes(32 if 9 <= c <= 13 else c for c in LOWER)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,3 +61,36 @@ def drawn(df: DataFrame, key: Column, n: int, most: int) -> DataFrame:
         return df
     space = 1 << 30
     return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(space)) < int(space * 1.1 * most / n) + 1).limit(2 * most)
+
+
+def text_groups(batches: Iterator[pa.RecordBatch], room_for: int = 1 << 22) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts (columns 0 and 1), at most ``room_for`` bytes of text at a time; a longer text alone."""
+    ids, texts, room = [], [], room_for
+    for batch in sliced(batches):
+        for key, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
+            if texts and len(text) > room:
+                yield ids, texts
+                ids, texts, room = [], [], room_for
+            ids.append(key)
+            texts.append(text)
+            room -= len(text)
+    if texts:
+        yield ids, texts
+
+
+def joined_words(texts: list[bytes], table: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All words joined by one space, and for each its start, its end and the index of its text.
+
+    ``table`` translates bytes first; what it makes a space parts words.
+    """
+    joined = (b" " + b" ".join(texts) + b" ").translate(table)
+    byte = np.frombuffer(joined, dtype=np.uint8)
+    word = byte != 32
+    turn = np.flatnonzero(word[1:] != word[:-1]) + 1
+    first, after = turn[::2], turn[1::2]
+    begins = np.cumsum([1, *(len(t) + 1 for t in texts[:-1])])
+    text = np.searchsorted(begins, first, side="right") - 1
+    size = after - first
+    ends = np.cumsum(size + 1) - 1
+    word[first - 1] = True
+    return byte[word].tobytes()[1:], ends - size, ends, text

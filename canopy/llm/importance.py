@@ -21,12 +21,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from canopy.llm.common import LOWER, id_text, raw, sliced, written
+from canopy.llm.common import LOWER, id_text, joined_words, text_groups, written
 
 #: Words are ASCII letters and digits and everything beyond ASCII; other bytes part them.
 WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 AT_ONCE = 1 << 18
-GROUP = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -83,39 +82,9 @@ def intern(
     return slot, owner
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts, about four megabytes at a time; a longer text alone."""
-    ids, texts, room = [], [], GROUP
-    for batch in sliced(batches):
-        for key, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-            if texts and len(text) > room:
-                yield ids, texts
-                ids, texts, room = [], [], GROUP
-            ids.append(key)
-            texts.append(text)
-            room -= len(text)
-    if texts:
-        yield ids, texts
-
-
-def _words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """All words joined by one space, and for each its start, its end and the index of its text."""
-    joined = (b" " + b" ".join(texts) + b" ").translate(WORDS)
-    byte = np.frombuffer(joined, dtype=np.uint8)
-    word = byte != 32
-    turn = np.flatnonzero(word[1:] != word[:-1]) + 1
-    first, after = turn[::2], turn[1::2]
-    begins = np.cumsum([1, *(len(t) + 1 for t in texts[:-1])])
-    text = np.searchsorted(begins, first, side="right") - 1
-    size = after - first
-    ends = np.cumsum(size + 1) - 1
-    word[first - 1] = True
-    return byte[word].tobytes()[1:], ends - size, ends, text
-
-
 def _occurrences(texts: list[bytes], n: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of 1 to ``n`` words: the bytes they lie in, their starts and ends, and their texts."""
-    data, starts, ends, text = _words(texts)
+    data, starts, ends, text = joined_words(texts, WORDS)
     for k in range(n):
         for at in range(0, max(len(starts) - k, 0), AT_ONCE):
             to = min(at + AT_ONCE, len(starts) - k)
@@ -141,7 +110,7 @@ def bucket_counts(df: DataFrame, p: Resampling = Resampling(), id_col: str = "do
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(p.buckets, dtype=np.int64)
-        for _, texts in _groups(batches):
+        for _, texts in text_groups(batches):
             for data, starts, ends, _ in _occurrences(texts, p.n):
                 _, bucket, n = _bucketed(data, starts, ends, p.buckets)
                 np.add.at(total, bucket, n)
@@ -168,14 +137,14 @@ def weigh(df: DataFrame, gain: np.ndarray, p: Resampling = Resampling(), id_col:
     """``doc_id, n_words, n_features, weight, score`` (long), one row for each row of ``df``."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _groups(batches):
+        for ids, texts in text_groups(batches):
             n, total = np.zeros((2, len(ids)), dtype=np.int64)
             for data, starts, ends, text in _occurrences(texts, p.n):
                 slot, bucket, _ = _bucketed(data, starts, ends, p.buckets)
                 first = np.flatnonzero(np.diff(text, prepend=-1))
                 n[text[first]] += np.diff(first, append=len(text))
                 total[text[first]] += np.add.reduceat(gain[bucket[slot]], first)
-            words = np.bincount(_words(texts)[3], minlength=len(ids))
+            words = np.bincount(joined_words(texts, WORDS)[3], minlength=len(ids))
             weight = np.where(n > 0, total // np.maximum(n, 1), 0)
             drawn = weight + np.array([noise(i, p.seed) for i in ids], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(

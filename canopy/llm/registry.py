@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from canopy.llm import (
-    bpe, centroids, importance, legacy_archive, lm_scoring, mixing, posting_lists, quality_rules, run_index, secret_scan, simhash,
-    toxicity,
+    bpe, centroids, importance, jaccard_join, legacy_archive, lm_scoring, mixing, posting_lists, quality_rules, run_index,
+    secret_scan, simhash, toxicity,
 )
 from canopy.llm.common import read
 
@@ -61,6 +61,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity_chain": op10_toxicity_chain,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 ORACLES: dict[str, str] = {
@@ -144,6 +149,19 @@ ORACLES: dict[str, str] = {
                        count(*) FILTER (n >= 20) OVER () AS able FROM scored)
         SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN n >= 20 AND place <= 10 * able // 100 THEN place END AS rank
         FROM placed""",
+    "op12_ngram_jaccard_join": """
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT row, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+                           lambda i: array_to_string(w[i : i + 4], ' '))) AS t FROM d WHERE len(w) > 0),
+        n AS MATERIALIZED (SELECT row, count(*) AS n FROM s GROUP BY row),
+        both AS (SELECT a.row AS a, b.row AS b, count(*) AS c FROM s a JOIN s b USING (t) WHERE a.row <> b.row GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM both JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        reach AS (SELECT row AS a, row AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        least AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.row = b GROUP BY a)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+        FROM d LEFT JOIN n USING (row) JOIN least ON a = d.row""",
     "op13_centroid_clustering": f"""
         WITH v AS MATERIALIZED (
             SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c

@@ -15,7 +15,7 @@ from tests.llm.cases import by_key
 
 def test_names():
     names = list(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(registry.ORACLES) <= set(registry.QUERIES)
 
