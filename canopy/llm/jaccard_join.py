@@ -7,23 +7,22 @@ few. A set's prefix is extended until its tokens, less ``k - 1`` for each sub-cl
 a linked set may lack: then two linked sets share a whole combination of some sub-class. Sub-classes
 depend on a band of sizes; a set files combinations for every band a partner may have.
 
-Sets that share a signature are candidates. Few of them are paired. In a crowded signature all are
-first paired with one hub (the member with the smallest share of rare tokens); what still lies in
-several components is compared block by block on parity bitmaps, whose differing bits never exceed
-the sets' difference. Candidates that pass are verified on whole sets. Sets of equal tokens are one
-vertex throughout.
+Sets that share a signature are candidates. Few of them are paired. In a crowded signature one set
+is the hub (the one with the smallest share of rare tokens), and each set is first paired with the
+hubs of three of its signatures; signatures whose sets still lie in several components are then
+compared block by block on parity bitmaps, whose differing bits never exceed the sets' difference.
+Candidates that pass are verified on whole sets. Sets of equal tokens are one vertex throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from canopy.llm.common import LOWER_SPACED, id_text, joined_words, text_groups, written
 from canopy.llm.components import components
@@ -34,7 +33,9 @@ MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 WINDOW = 1 << 18
 BITS = 1024
 KEY = ["k1", "k2"]
-RECORD = np.dtype([("sig", "<u4"), ("k1", "<i8"), ("k2", "<i8"), ("own", "u1")])
+#: What a rare token sends: its signature's low bits, its set's ``k1``, and the set's size in steps.
+RECORD = np.dtype([("sig", "<u4"), ("k1", "<i8"), ("step", "<u2")])
+STEPS = 1024
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ class Join:
     percent: int = 80
     levels: tuple[tuple[int, int], ...] = ((32, 2), (4096, 3))
     table: int = 1 << 20
-    crowd: int = 32
+    crowd: int = 8
     bucket: int = 1 << 20
 
     def least(self, n: int) -> int:
@@ -147,17 +148,22 @@ def _batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Whether the tokens of each of ``m`` hash values are odd in number; ``m`` is a power of two, twice the set or more."""
+    m = max(BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def documents_of(texts: DataFrame, p: Join) -> DataFrame:
-    """``doc_id, k1, k2, n, bits``: the set of every row; ``bits`` has the parity of tokens by hash, null without tokens."""
+    """``doc_id, k1, k2, n, bits``: the set of every row, its key, size and parities (null without tokens)."""
     schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for doc_id, key, tokens in _each(batches, p):
-            odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-            bits = np.packbits(odd.astype(np.uint8)).tobytes() if len(tokens) else None
-            rows.append((doc_id, *key, len(tokens), bits))
-            if len(rows) == 4096:
+            rows.append((doc_id, *key, len(tokens), parity(tokens) if len(tokens) else None))
+            if len(rows) == 1024:
                 yield _batch(dict(zip(schema.names, zip(*rows))), schema)
                 rows = []
         if rows:
@@ -310,73 +316,83 @@ def signatures(tokens: np.ndarray, k: np.ndarray, p: Join) -> tuple[np.ndarray,
     return single, np.concatenate(found)
 
 
-def filed(texts: DataFrame, p: Join, bits: int, tokens: np.ndarray, ks: np.ndarray) -> DataFrame:
-    """``bucket, pack`` for single tokens, packed; ``sig, k1, k2, own`` for combinations, a row each."""
-    deal = pa.schema([("bucket", pa.int32()), ("pack", pa.binary()), ("sig", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("own", pa.int32())])
-    held_once = texts.sparkSession.sparkContext.broadcast((tokens, ks))  # at most p.table tokens
+def _signed(
+    batches: Iterator[pa.RecordBatch], p: Join, bits: int, often: np.ndarray, size: np.ndarray
+) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]]:
+    """``key, k, single, many`` of each set: its tokens' classes and its signatures of either kind."""
+    for key, tokens in _distinct(batches, p):
+        short = tokens >> np.uint64(32 - bits)
+        at = np.minimum(np.searchsorted(often, short), max(len(often) - 1, 0))
+        k = np.where(often[at] == short, size[at], 1) if len(often) else np.ones(len(short), dtype=np.int64)
+        yield key, k, *signatures(tokens, k, p)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, size = held_once.value
 
-        def singles(held: list[tuple]) -> pa.RecordBatch:
-            n = [len(s) for s, _, _ in held]
-            sig = np.concatenate([s for s, _, _ in held])
+def _step(n: int) -> int:
+    return min(int(STEPS * np.log2(n)), 65535)
+
+
+def _apart(p: Join) -> int:
+    """How many steps the sizes of linked sets lie apart at most."""
+    return int(STEPS * np.log2(100 / p.percent)) + 1
+
+
+def single_rows(texts: DataFrame, p: Join, bits: int, held_once) -> DataFrame:
+    """``bucket, pack``: what rare tokens send, packed; ``held_once`` has at most ``p.table`` tokens."""
+    deal = pa.schema([("bucket", pa.int32()), ("pack", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            sig = np.concatenate([x for x, _, _ in held])
             rec = np.empty(len(sig), dtype=RECORD)
-            for name, values in (("k1", [k[0] for _, k, _ in held]), ("k2", [k[1] for _, k, _ in held]), ("own", [o for _, _, o in held])):
-                rec[name] = np.repeat(values, n)
+            n = [len(x) for x, _, _ in held]
+            rec["k1"], rec["step"] = np.repeat([x for _, x, _ in held], n), np.repeat([x for _, _, x in held], n)
             order = np.argsort(sig, kind="stable")
             sig, rec = sig[order], rec[order]
             rec["sig"] = _low(sig, bits)
             rows = [(b, rec[part].tobytes()) for b, part in _dealt(sig, bits)]
-            nothing = [None] * len(rows)
-            return _batch(dict(zip(deal.names, (*zip(*rows), nothing, nothing, nothing, nothing))), deal)
-
-        def rows_of(held: list[tuple]) -> pa.RecordBatch:
-            sig = np.concatenate([s for s, _, _ in held])
-            n = [len(s) for s, _, _ in held]
-            nothing = [None] * len(sig)
-            columns = [sig.view(np.int64), *(np.repeat(v, n) for v in ([k[0] for _, k, _ in held], [k[1] for _, k, _ in held], [o for _, _, o in held]))]
-            return _batch(dict(zip(deal.names, (nothing, nothing, *columns))), deal)
-
-        ones, more, n_ones, n_more = [], [], 0, 0
-        for key, own_tokens in _distinct(batches, p):
-            short = own_tokens >> np.uint64(32 - bits)
-            at = np.minimum(np.searchsorted(often, short), max(len(often) - 1, 0))
-            k = np.where(often[at] == short, size[at], 1) if len(often) else np.ones(len(short), dtype=np.int64)
-            single, many = signatures(own_tokens, k, p)
-            own = int((k == 1).sum() * 255 // len(k))
+            return _batch(dict(zip(deal.names, zip(*rows))), deal)
+
+        held, total = [], 0
+        for key, k, single, _ in _signed(batches, p, bits, *held_once.value):
             if len(single):
-                ones.append((single, key, own))
-                n_ones += len(single)
-            if len(many):
-                more.append((np.unique(many), key, own))
-                n_more += len(many)
-            if n_ones >= 1 << 19:
-                yield singles(ones)
-                ones, n_ones = [], 0
-            if n_more >= 1 << 14:
-                yield rows_of(more)
-                more, n_more = [], 0
-        if ones:
-            yield singles(ones)
-        if more:
-            yield rows_of(more)
+                held.append((single, key[0], _step(len(k))))
+                total += len(single)
+            if total >= 1 << 19:
+                yield flush()
+                held, total = [], 0
+        if held:
+            yield flush()
 
-    return texts.mapInArrow(send, "bucket int, pack binary, sig long, k1 long, k2 long, own int")
+    return texts.mapInArrow(send, "bucket int, pack binary")
 
 
-def _length_fits(a: Column | np.ndarray, b: Column | np.ndarray, p: Join):
-    return (100 * a >= p.percent * b) & (100 * b >= p.percent * a)
+def combination_rows(texts: DataFrame, p: Join, bits: int, held_once) -> DataFrame:
+    """``sig, k1, step, own``: combinations of frequent tokens; ``own`` is the set's share of rare ones in 255ths."""
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            n = [len(h[0]) for h in held]
+            sig = np.concatenate([h[0] for h in held]).view(np.int64)
+            rest = (np.repeat(np.array([h[i] for h in held], dtype=kind), n) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(sig), *map(pa.array, rest)], ["sig", "k1", "step", "own"])
+
+        held, total = [], 0
+        for key, k, _, many in _signed(batches, p, bits, *held_once.value):
+            if len(many):
+                held.append((np.unique(many), key[0], _step(len(k)), int((k == 1).sum() * 255 // len(k))))
+                total += len(held[-1][0])
+            if total >= 1 << 14:
+                yield flush()
+                held, total = [], 0
+        if held:
+            yield flush()
 
-def _size(k2: str | Column) -> Column:
-    """The size that the second half of a key holds."""
-    return (F.col(k2) if isinstance(k2, str) else k2).bitwiseAND(F.lit(0xFFFFFFFF))
+    return texts.mapInArrow(send, "sig long, k1 long, step int, own int")
 
 
 def single_pairs(packed: DataFrame, p: Join, bits: int) -> DataFrame:
-    """``sig, a1, a2, b1, b2, own``: pairs of sets that share a rare token (``sig`` null), members of crowded ones (``b`` null)."""
-    schema = pa.schema([("sig", pa.int64()), *((c, pa.int64()) for c in ("a1", "a2", "b1", "b2")), ("own", pa.int32())])
+    """``sig, a, b`` (``k1`` of sets): pairs that share a rare token (``sig`` null), members of crowded ones (``b`` null)."""
+    schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def meet(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         rec = np.frombuffer(blobs[0], RECORD)
@@ -387,54 +403,57 @@ def single_pairs(packed: DataFrame, p: Join, bits: int) -> DataFrame:
         size = np.diff(np.append(edge, len(rec)))
         crowded = np.repeat(size > p.crowd, size)
         few, many = rec[~crowded], rec[crowded]
-        found = []
+        found = [np.empty((0, 2), dtype=np.int64)]
         for d in range(1, p.crowd):
             a, b = few[:-d], few[d:]
             same = a["sig"] == b["sig"]
             if not same.any():
                 break
-            a, b = a[same], b[same]
-            fits = _length_fits(a["k2"] & 0xFFFFFFFF, b["k2"] & 0xFFFFFFFF, p)
-            found.append(np.stack([x[fits] for x in (a["k1"], a["k2"], b["k1"], b["k2"])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 4), dtype=np.int64)
+            same &= np.abs(a["step"].astype(int) - b["step"]) <= _apart(p)
+            found.append(np.stack([a["k1"][same], b["k1"][same]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
         if len(pairs):
-            nothing = [None] * len(pairs)
-            yield _batch(dict(zip(schema.names, (nothing, *pairs.T, nothing))), schema)
+            yield _batch({"sig": [None] * len(pairs), "a": pairs[:, 0], "b": pairs[:, 1]}, schema)
         if len(many):
-            nothing = [None] * len(many)
             sig = (np.int64(bucket) << 32) + many["sig"].astype(np.int64)
-            yield _batch(dict(zip(schema.names, (sig, many["k1"], many["k2"], nothing, nothing, many["own"].astype(np.int32)))), schema)
+            yield _batch({"sig": sig, "a": many["k1"], "b": [None] * len(many)}, schema)
 
-    return _by_bucket(packed, ["pack"], meet, "sig long, a1 long, a2 long, b1 long, b2 long, own int")
+    return _by_bucket(packed, ["pack"], meet, "sig long, a long, b long")
 
 
 # --- candidates and links ----------------------------------------------------
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of rows of bitmaps given as 64-bit words."""
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+def _folded(bits: bytes, words: int) -> np.ndarray:
+    """The parities of fewer hash values: halves fall on one another."""
+    x = np.frombuffer(bits, dtype=np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
-def _words_of(bits: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(-1, BITS // 64)
+def _may_link(apart: np.ndarray | int, nx: np.ndarray | int, ny: np.ndarray | int, p: Join):
+    """Whether sets with so many differing parities can link: they differ in as many tokens at least."""
+    return apart * (100 + p.percent) <= (nx + ny) * (100 - p.percent)
 
 
-def _may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, p: Join) -> np.ndarray:
-    return _apart(x, y) * (100 + p.percent) <= (nx + ny) * (100 - p.percent)
+def _fit(x: bytes, y: bytes, nx: int, ny: int, p: Join) -> bool:
+    if 100 * nx < p.percent * ny or 100 * ny < p.percent * nx:
+        return False
+    words = min(len(x), len(y)) // 8
+    return bool(_may_link(int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(dtype=np.int64)), nx, ny, p))
 
 
 def near(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
-    """``a, b`` (vertex numbers, a < b) of the pairs of keys that the bitmaps leave."""
-    end = lambda c: sets.select(*[F.col(k).alias(f"{c}{i + 1}") for i, k in enumerate(KEY)], F.col("v").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
-    both = pairs.join(end("a"), ["a1", "a2"]).join(end("b"), ["b1", "b2"]).select("a", "b", "na", "nb", "bitsa", "bitsb")
+    """``a, b`` (vertices, a < b) of the pairs of ``k1`` that sizes and bitmaps leave."""
+    end = lambda c: sets.select(F.col("k1").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("v", "n", "bits")])
+    both = pairs.join(end("a"), "a").join(end("b"), "b").where("va != vb").select("va", "vb", "na", "nb", "bitsa", "bitsb")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-                good = _may_link(_words_of(batch.column(4).to_pylist()), _words_of(batch.column(5).to_pylist()), na, nb, p) & (a != b)
-                low, high = np.minimum(a[good], b[good]), np.maximum(a[good], b[good])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            good = [i for i in range(len(a)) if _fit(x[i], y[i], na[i], nb[i], p)]
+            low, high = [min(a[i], b[i]) for i in good], [max(a[i], b[i]) for i in good]
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
     return both.mapInArrow(keep, "a long, b long").distinct()
 
@@ -452,8 +471,8 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, p: Join) -> Da
 
     whole = texts.join(ids, texts.doc_id.eqNullSafe(ids.id), "left_semi").mapInArrow(tokens_of, "k1 long, k2 long, tokens binary")
     # An id with several texts may bring a set twice.
+    # Both ends of pairs read one exchange.
     whole = whole.join(needed.select("v", *KEY), KEY).groupBy("v").agg(F.first("tokens").alias("tokens"))
-    whole = written(whole, "jaccard-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -487,16 +506,18 @@ def crowd_pairs(crowd: DataFrame, roots: DataFrame, p: Join, block: int = 256) -
     def fields(cell: pa.ListScalar) -> tuple:
         m = cell.values
         v, root, n = (m.field(i).to_numpy() for i in range(3))
-        return v, root, n, _words_of(m.field(3).to_pylist())
+        bits = m.field(3).to_pylist()
+        return v, root, n, bits, np.stack([_folded(x, BITS // 64) for x in bits])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column(2), batch.column(3)):
-                (va, ra, na, ba), (vb, rb, nb, bb) = fields(x), fields(y)
+                (va, ra, na, wa, ba), (vb, rb, nb, wb, bb) = fields(x), fields(y)
                 found = []
                 for i in range(len(va)):
-                    other = np.flatnonzero((rb != ra[i]) & _length_fits(na[i], nb, p))
-                    other = other[_may_link(ba[i], bb[other], na[i], nb[other], p)]
+                    other = np.flatnonzero((rb != ra[i]) & (100 * nb >= p.percent * na[i]) & (100 * na[i] >= p.percent * nb))
+                    other = other[_may_link(np.bitwise_count(ba[i] ^ bb[other]).sum(1, dtype=np.int64), na[i], nb[other], p)]
+                    other = other[[_fit(wa[i], wb[j], int(na[i]), int(nb[j]), p) for j in other]]
                     found.append(np.stack([np.minimum(va[i], vb[other]), np.maximum(va[i], vb[other])]))
                 a, b = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -504,26 +525,26 @@ def crowd_pairs(crowd: DataFrame, roots: DataFrame, p: Join, block: int = 256) -
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _candidates(rows: DataFrame, p: Join, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of keys ``a1, a2, b1, b2``, and the members ``sig, k1, k2`` of crowded signatures."""
-    met = written(single_pairs(rows.where("sig IS NULL").select("bucket", "pack"), p, bits), "jaccard-singles")
-    pairs = met.where("sig IS NULL").select("a1", "a2", "b1", "b2")
-    combos = rows.where("sig IS NOT NULL").select("sig", *KEY, "own")
+def _candidates(texts: DataFrame, p: Join, bits: int, held_once) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` of ``k1``, and the members ``sig, k1`` of crowded signatures."""
+    met = written(single_pairs(single_rows(texts, p, bits, held_once), p, bits), "jaccard-singles")
+    pairs = met.where("sig IS NULL").select("a", "b")
+    combos = written(combination_rows(texts, p, bits, held_once), "jaccard-combinations")
     sizes = combos.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    combos = written(combos.join(sizes, "sig"), "jaccard-combos")
-    few = combos.where(F.col("size") <= p.crowd).groupBy("sig").agg(F.collect_set(F.struct(*KEY)).alias("m")).where("size(m) > 1")
-    a, b = F.col("a"), F.col("b")
-    small = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where(a < b)
-    small = small.select(a.k1.alias("a1"), a.k2.alias("a2"), b.k1.alias("b1"), b.k2.alias("b2")).where(_length_fits(_size("a2"), _size("b2"), p))
-    # Rare tokens and combinations are hashed alike; their signatures meet by chance only, which adds candidates.
-    crowd = combos.where(F.col("size") > p.crowd).select("sig", *KEY, "own").unionByName(
-        met.where("sig IS NOT NULL").select("sig", F.col("a1").alias("k1"), F.col("a2").alias("k2"), "own")
+    combos = written(combos.join(sizes, "sig"), "jaccard-shared")
+    few = combos.where(F.col("size") <= p.crowd).groupBy("sig").agg(F.collect_set(F.struct("k1", "step")).alias("m")).where("size(m) > 1")
+    small = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
+    small = small.where((F.col("x.k1") < F.col("y.k1")) & (F.abs(F.col("x.step") - F.col("y.step")) <= _apart(p)))
+    # Signatures of either kind meet by chance only, which adds candidates.
+    crowd = combos.where(F.col("size") > p.crowd).select("sig", "k1", "own").unionByName(
+        met.where("sig IS NOT NULL").select("sig", F.col("a").alias("k1"), F.lit(255).alias("own"))
     ).distinct()
     crowd = written(crowd, "jaccard-crowd")
-    hubs = crowd.groupBy("sig").agg(F.min(F.struct("own", *KEY)).alias("h")).select("sig", F.col("h.k1").alias("b1"), F.col("h.k2").alias("b2"))
-    stars = crowd.join(hubs, "sig").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "b1", "b2")
-    stars = stars.where(_length_fits(_size("a2"), _size("b2"), p) & ~((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))))
-    return pairs.unionByName(small).unionByName(stars).distinct(), crowd.select("sig", *KEY)
+    hubs = crowd.groupBy("sig").agg(F.min(F.struct("own", "k1")).alias("h")).select("sig", F.col("h.k1").alias("b"))
+    some = F.array_distinct(F.array(F.min("sig"), F.max("sig"), F.min_by("sig", F.xxhash64("sig"))))
+    stars = crowd.groupBy("k1").agg(some.alias("s")).select(F.col("k1").alias("a"), F.explode("s").alias("sig")).join(hubs, "sig")
+    pairs = pairs.unionByName(small.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b"))).unionByName(stars.select("a", "b"))
+    return pairs.where("a != b").distinct(), crowd.select("sig", "k1").distinct()
 
 
 def jaccard_components(df: DataFrame, p: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -539,6 +560,7 @@ def jaccard_components(df: DataFrame, p: Join = Join(), id_col: str = "doc_id",
     several vertices. An empty table gives an empty one. Texts are taken whole, whatever their
     length. Other columns are left out, so their names cannot clash.
     """
+    spark = df.sparkSession
     texts = id_text(df, id_col, text_col)
     docs = written(documents_of(texts, p), "jaccard-documents")
     with_set = docs.where("n > 0")
@@ -547,11 +569,11 @@ def jaccard_components(df: DataFrame, p: Join = Join(), id_col: str = "doc_id",
     total = docs.agg(F.sum("n").alias("n")).first().n or 0
     bits = min(24, max(8, (total // p.bucket).bit_length()))
     tokens, ks = frequent(written(token_counts(texts, p, bits), "jaccard-counts"), p)
-    rows = written(filed(texts, p, bits, tokens, ks), "jaccard-filed")
-    pairs, crowd = _candidates(rows, p, bits)
+    held_once = spark.sparkContext.broadcast((tokens, ks))  # at most p.table tokens
+    pairs, crowd = _candidates(texts, p, bits, held_once)
     links = written(verified(near(pairs, sets, p), sets, texts, p), "jaccard-links")
     roots = components(links, "jaccard-links")
-    rest = crowd_pairs(crowd.join(sets, KEY).select("sig", "v", "n", "bits"), roots, p)
+    rest = crowd_pairs(crowd.join(sets, "k1").select("sig", "v", "n", "bits"), roots, p)
     more = written(verified(rest, sets, texts, p), "jaccard-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more), "jaccard-links")

@@ -156,8 +156,8 @@ ORACLES: dict[str, str] = {
         s AS MATERIALIZED (SELECT DISTINCT row, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
                            lambda i: array_to_string(w[i : i + 4], ' '))) AS t FROM d WHERE len(w) > 0),
         n AS MATERIALIZED (SELECT row, count(*) AS n FROM s GROUP BY row),
-        both AS (SELECT a.row AS a, b.row AS b, count(*) AS c FROM s a JOIN s b USING (t) WHERE a.row <> b.row GROUP BY ALL),
-        links AS MATERIALIZED (SELECT a, b FROM both JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        met AS (SELECT a.row AS a, b.row AS b, count(*) AS c FROM s a JOIN s b USING (t) WHERE a.row <> b.row GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM met JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
         reach AS (SELECT row AS a, row AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
         least AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.row = b GROUP BY a)
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id

@@ -138,15 +138,16 @@ def test_hashes_do_not_depend_on_place(monkeypatch):
 
 
 def test_bitmaps_never_exclude_links():
+    """Their differing bits, at any size, are at most the tokens in which sets differ."""
     rng = np.random.default_rng(2)
     p = jj.Join()
     for n in (10, 100, 3000):
         a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        for cut in (0, n // 20, n // 9):
+        for cut in (0, n // 20, n // 9, n // 2):
             b = np.concatenate([a[cut:], rng.integers(0, 1 << 63, cut // 2, dtype=np.uint64)])
-            odd_bits = lambda s: np.packbits((np.bincount((s & np.uint64(jj.BITS - 1)).astype(int), minlength=jj.BITS) & 1).astype(np.uint8)).tobytes()
-            x, y = jj._words_of([odd_bits(a)]), jj._words_of([odd_bits(b)])
-            assert jj._apart(x, y)[0] <= cut + cut // 2
-            both = n - cut
-            if 100 * both >= p.percent * (len(a) + len(b) - both):
-                assert jj._may_link(x, y, np.array([len(a)]), np.array([len(b)]), p)[0]
+            x, y = jj.parity(a), jj.parity(b)
+            for words in (16, min(len(x), len(y)) // 8):
+                assert np.bitwise_count(jj._folded(x, words) ^ jj._folded(y, words)).sum(dtype=int) <= cut + cut // 2
+            linked = 100 * (n - cut) >= p.percent * (len(a) + len(b) - n + cut)
+            assert jj._fit(x, y, len(a), len(b), p) or not linked
+            assert linked or cut < n // 2 or not jj._fit(x, y, len(a), len(b), p)
