@@ -240,13 +240,14 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each query, a vector once, ties to the smaller id."""
-    order = np.lexsort((vec, -score, query))
+    """Places of the k best of each query, an id once by its best score, ties to the smaller id."""
+    order = np.lexsort((-score, vec, query))
     if not len(order):
         return order
     a, b = query[order], vec[order]
-    again = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])  # copies of one vector score alike
+    again = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
     order = order[~again]
+    order = order[np.lexsort((vec[order], -score[order], query[order]))]
     a = query[order]
     first = np.maximum.accumulate(np.where(np.concatenate([[True], a[1:] != a[:-1]]), np.arange(len(a)), 0))
     return order[np.arange(len(a)) - first < k]
@@ -256,7 +257,7 @@ def search(df: DataFrame, every: int = 20, k: int = 20, lists: Lists = Lists(),
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id is divisible by ``every``.
 
     Nearness is the inner product in double precision; a row is no neighbour of its own id, and
-    an id that occurs twice is found once. Ties go to the smaller id. Null, zero, null-holding or
+    an id that occurs again is found once, by the nearest of its vectors. Ties go to the smaller id. Null, zero, null-holding or
     non-finite vectors, null ids and vectors of another than the most frequent length take no
     part; fewer than ``k`` candidates give fewer rows; an empty table gives none.
     """
@@ -293,9 +294,12 @@ def search(df: DataFrame, every: int = 20, k: int = 20, lists: Lists = Lists(),
             kept.clear()
 
         def compare(ids: np.ndarray, x: np.ndarray, asked_ids: np.ndarray, y: np.ndarray) -> None:
+            """``ids`` ascend; rows of one id count once, so however many there are they push no other out."""
             s = y @ x.T
             s[asked_ids[:, None] == ids[None, :]] = -np.inf
-            top = np.partition(s, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
+            first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+            by_id = s if len(first) == len(ids) else np.maximum.reduceat(s, first, axis=1)
+            top = np.partition(by_id, max(len(first) - k, 0), axis=1)[:, max(len(first) - k, 0)]
             room = 1e-9 * (1 + np.abs(top))
             q, c = np.nonzero((s >= (top - room)[:, None]) & np.isfinite(s))
             score = _exact(y[q], x[c])
@@ -324,6 +328,8 @@ def search(df: DataFrame, every: int = 20, k: int = 20, lists: Lists = Lists(),
                     if not own:
                         break
                     ids, x = np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own])
+                    order = np.argsort(ids, kind="stable")
+                    ids, x = ids[order], x[order]
                 for at in range(0, len(some), 256):
                     compare(ids, x, some[at : at + 256], y[at : at + 256])
             if sum(len(p[0]) for p in kept) > 1_000_000:
@@ -344,7 +350,7 @@ def search(df: DataFrame, every: int = 20, k: int = 20, lists: Lists = Lists(),
         return both.mapInArrow(nearest, out)
 
     def ranked(found: DataFrame) -> DataFrame:
-        found = found.dropDuplicates(["query_id", "vec_id"])
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

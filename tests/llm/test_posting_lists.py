@@ -78,6 +78,25 @@ def test_repeated_ids_fill_lists(spark):
     assert got.keys() == {0} and len(got[0]) == 30
 
 
+def test_repeated_ids_push_no_other_out(spark):
+    """Many rows of one id in one list, with one vector or several, beside forty others: twenty neighbours."""
+    r = np.random.default_rng(8)
+    ids = np.concatenate([np.full(60, 1), 2 + np.arange(40), [200, 201], np.full(30, 0)])
+    x = r.normal(size=(len(ids), 8)) * 0.1 + 1
+    x[:60] = x[0] * 5
+    x[40:60] += r.normal(size=(20, 8))
+    got = found(frame(spark, ids, x), every=200, k=20)
+    score = x @ x.T
+    for q in (0, 200):
+        best = {}
+        for i in np.flatnonzero(ids == q):
+            for j in np.flatnonzero(ids != q):
+                best[int(ids[j])] = max(best.get(int(ids[j]), -np.inf), score[i, j])
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]
+        assert [i for i, _ in got[q]] == [i for i, _ in want]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=1e-12)
+
+
 def test_nearest_holding():
     points, held = np.array([[0.0], [1.0], [3.0], [9.0]]), np.array([2, 0, 3, 4])
     got = [c.tolist() for room in (1, 2, 3, 6, 100) for c in P._nearest_holding(np.array([[0.4], [8.0]]), points, held, room)]
