@@ -8,15 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from canopy.session import cut_lineage
-
 
 def plain(values: pd.Series) -> list:
     """A batch column as Python values, missing ones as None."""
     return [None if v is None or v != v else v for v in values.tolist()]
 
 
-def _stretches(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple[int, int, tuple]]:
+def stretches(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple[int, int, tuple]]:
     """Runs of equal keys in a sorted batch."""
     fresh = np.zeros(len(pdf), dtype=bool)
     fresh[0] = True
@@ -52,7 +50,7 @@ def fold_sorted(
                 continue
             cols = [plain(pdf[c]) for c in inputs]
             rows: list[tuple] = []
-            for a, b, key in _stretches(pdf, keys):
+            for a, b, key in stretches(pdf, keys):
                 if key != current:
                     current, step = key, start()
                 rows.extend(step(*r) for r in zip(*[c[a:b] for c in cols]))
@@ -83,7 +81,7 @@ def map_groups(
             if not len(pdf):
                 continue
             done = []
-            for a, b, key in _stretches(pdf, keys):
+            for a, b, key in stretches(pdf, keys):
                 if key != current and held:
                     done.append(fn(current, pd.concat(held) if len(held) > 1 else held[0]))
                     held = []
@@ -105,37 +103,36 @@ def independent_parts(
     An axis ``(low, high, gap, cell)`` says that rows whose intervals lie more than
     ``gap`` apart, and everything beyond, do not see each other. Rows reduce to
     ``cell``-wide cells first; cuts are looked for among cells, axis after axis, and
-    carried back by one join. ``cell`` only sets how fine cuts can be found.
+    carried back by one join. ``cell`` only sets how fine cuts can be found. An axis may
+    come again: what others have cut apart may have gaps of its own.
+
+    ``df`` is read twice, for cells and for rows; nothing runs before the result is used.
     """
     keys = list(keys)
-    cells = [f"__c{i}" for i in range(len(axes))]
-    tagged = df
-    for c, (low, _, _, width) in zip(cells, axes):
+    names = {axis: f"__c{i}" for i, axis in enumerate(dict.fromkeys(axes))}
+    cells = list(names.values())
+    tagged = df.withColumn("__key", F.struct(*keys))  # null keys meet in it
+    for (low, _, _, width), c in names.items():
         cell = F.floor(F.col(low) / F.lit(float(width))).cast("long")
         # A missing position must not drop its row in the join below.
         tagged = tagged.withColumn(c, F.coalesce(cell, F.lit(-(1 << 62))))
     bounds = [
-        f(F.col(col)).alias(f"{n}{i}")
-        for i, (low, high, _, _) in enumerate(axes)
+        f(F.col(col)).alias(f"{n}{c}")
+        for (low, high, _, _), c in names.items()
         for f, col, n in ((F.min, low, "__lo"), (F.max, high, "__hi"))
     ]
-    # Each axis reads the cells twice; written once, they are not built again and again.
-    table = cut_lineage(tagged.groupBy(*keys, *cells).agg(*bounds))
+    table = tagged.groupBy("__key", *cells).agg(*bounds)
     parts: list[str] = []
-    for i, (_, _, gap, _) in enumerate(axes):
-        scope = [*keys, *parts]
-        w = W.partitionBy(*scope).orderBy(cells[i])
-        reach = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
-        lanes = (
-            table.groupBy(*scope, cells[i]).agg(F.min(f"__lo{i}").alias("lo"), F.max(f"__hi{i}").alias("hi"))
-            .withColumn("cut", F.when(F.col("lo") - reach > F.lit(float(gap)), 1).otherwise(0))
-            .withColumn(f"__p{i}", F.sum("cut").over(w).cast("int"))
-            .drop("lo", "hi", "cut")
-        )
-        table = table.join(lanes, [*scope, cells[i]])
-        if i + 1 < len(axes):
-            table = cut_lineage(table)
+    for i, axis in enumerate(axes):
+        c, gap = names[axis], axis[2]
+        w = W.partitionBy("__key", *parts).orderBy(c)
+        reach = F.max(f"__hi{c}").over(w.rangeBetween(W.unboundedPreceding, -1))
+        start = F.min(f"__lo{c}").over(w.rangeBetween(0, 0))
+        # Rows of one cell are cut as one: its first counts.
+        fresh = F.coalesce(F.lag(c).over(w) != F.col(c), F.lit(True))
+        table = table.withColumn("__cut", F.when(fresh & (start - reach > F.lit(float(gap))), 1).otherwise(0))
+        table = table.withColumn(f"__p{i}", F.sum("__cut").over(w.rangeBetween(W.unboundedPreceding, 0)).cast("int"))
         parts.append(f"__p{i}")
     label = F.concat_ws(".", *[F.col(p).cast("string") for p in parts])
-    labels = table.select(*keys, *cells, label.alias(out))
-    return tagged.join(labels, [*keys, *cells]).drop(*cells)
+    labels = table.select("__key", *cells, label.alias(out))
+    return tagged.join(labels, ["__key", *cells]).drop("__key", *cells)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from canopy.functions import geometry as G
 from canopy.operators.folds import fold_sorted, independent_parts, map_groups
-from canopy.session import cut_lineage
+from canopy.session import shared
 
 VIDEO = "video_id"
 
@@ -41,7 +41,7 @@ def fragment_candidates(
     Joined on video, a frame bucket and a ground cell as wide as the largest allowed
     distance, so only neighbours in time and place ever meet.
     """
-    ends = cut_lineage(ends)  # one row per fragment, met from four sides below
+    ends = shared(ends)  # one row per fragment, met from four sides below
     rate = fps if fps > 0 else 1.0
     reach = base_radius_m + max_speed_mps * max_gap_frames / rate
     meters = lambda p: F.struct(
@@ -122,22 +122,35 @@ def greedy_links(candidates: DataFrame) -> DataFrame:
     return folded.filter("__won").select(VIDEO, "src", "dst", "end_frame")
 
 
-def chain_heads(links: DataFrame) -> DataFrame:
+def _chain_step():
+    heads: dict[int, int] = {}
+
+    def step(src, dst) -> tuple[int]:
+        head = heads.pop(src, src)  # a fragment has one link out of it at most
+        heads[dst] = head
+        return (head,)
+
+    return step
+
+
+def chain_heads(links: DataFrame, frames: int = 1 << 16) -> DataFrame:
     """``entity_id -> merged_id``, the earliest fragment of its chain, for linked fragments.
 
-    Each round, every fragment points twice as far back, so rounds follow the logarithm of the
-    longest chain. A fragment has one link into it at most, and time runs along links, so no
-    chain closes.
+    Time runs along links, so a pass in order of time knows a link's chain from its source. Links
+    are followed inside stretches of ``frames`` first, on all tasks; what remains of a stretch is
+    one link for each chain in it, from the chain's head there to its last fragment, and only
+    these are followed through the video. Building the frame runs no job.
     """
-    up = cut_lineage(links.select(VIDEO, F.col("dst").alias("node"), F.col("src").alias("parent")))
-    while True:
-        grand = up.select(VIDEO, F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        stepped = cut_lineage(up.join(grand, [VIDEO, "parent"], "left").select(
-            VIDEO, "node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")
-        ))
-        up = stepped.drop("moved")
-        if stepped.filter("moved").isEmpty():
-            return up.select(VIDEO, F.col("node").alias("entity_id"), F.col("parent").alias("merged_id"))
+    order = [F.col("end_frame"), F.col("src")]
+    cut = links.withColumn("__at", F.floor(F.col("end_frame") / frames))
+    inner = shared(fold_sorted(cut, [VIDEO, "__at"], order, ["src", "dst"], "__head long", _chain_step))
+    last = F.max_by(F.struct("dst", "end_frame"), F.struct("end_frame", "src")).alias("e")
+    chains = inner.groupBy(VIDEO, "__at", "__head").agg(last, F.min("end_frame").alias("__from"))
+    chains = chains.select(VIDEO, "__at", "__head", F.col("__head").alias("src"), F.col("e.dst").alias("dst"), "__from")
+    outer = fold_sorted(chains, [VIDEO], [F.col("__at"), F.col("__from"), F.col("src")], ["src", "dst"], "merged_id long", _chain_step)
+    found = outer.select(F.struct(VIDEO, "__at", "__head").alias("__chain"), "merged_id")
+    inner = inner.withColumn("__chain", F.struct(VIDEO, "__at", "__head"))
+    return inner.join(found, "__chain").select(VIDEO, F.col("dst").alias("entity_id"), "merged_id")
 
 
 def _compat_merges(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import asdict, dataclass, field
 
@@ -103,6 +104,10 @@ class ClusterBook:
         self.rules = rules
         self.live = list(clusters or [])
         self.next_number = next_number
+        self.inherited, self.tied = 1, False
+
+    def lasting(self, frame: int) -> list[Cluster]:
+        return [c for c in self.live if frame - c.last_frame <= self.rules.max_idle_frames]
 
     def retire(self, frame: int) -> list[Cluster]:
         """Take out the clusters that can no longer match at ``frame``."""
@@ -118,7 +123,10 @@ class ClusterBook:
         near = [(c.distance(x, y), c) for c in self.live]
 
         def nearest(limit: float, allowed) -> Cluster | None:
-            best = min(((d, c) for d, c in near if d <= limit and allowed(d, c)), key=lambda p: p[0], default=None)
+            fit = [(d, c) for d, c in near if d <= limit and allowed(d, c)]
+            best = min(fit, key=lambda p: p[0], default=None)
+            if best and best[1].number < self.inherited:
+                self.tied |= any(d == best[0] and c is not best[1] and c.number < self.inherited for d, c in fit)
             return best[1] if best else None
 
         foreign = lambda c: track is not None and bool(c.tracks) and track not in c.tracks
@@ -169,6 +177,39 @@ class EntityBook:
         self.next_number = next_number
         self.frame: int | None = None
         self.used: set[int] = set()
+        self.inherited, self.tied = 1, False
+
+    @classmethod
+    def restored(cls, rules: EntityRules, state: str | None) -> EntityBook:
+        """An empty book, or one that ``save`` gave."""
+        book = cls(rules)
+        if state is not None:
+            told = json.loads(state)
+            book.next_number = told["next"]
+            book.entities = {e[0]: Sighting(*e) for e in told["entities"]}
+            book.by_track = {t: (n, f) for t, n, f in told["tracks"]}
+        return book
+
+    def save(self, frame: int) -> str:
+        gap = self.rules.gap_frames
+        kept = [e for e in self.entities.values() if frame - e.last_frame <= gap]
+        tracks = [(t, n, f) for t, (n, f) in self.by_track.items() if frame - f <= gap]
+        fields = [(e.number, e.last_frame, e.cluster, e.lat, e.lon, e.drone_lat, e.drone_lon) for e in kept]
+        return json.dumps({"next": self.next_number, "entities": fields, "tracks": tracks})
+
+    def live(self, frame: int) -> list[tuple[int, list]]:
+        gap = self.rules.gap_frames
+        tracks: dict[int, list] = {}
+        for t, (n, f) in self.by_track.items():
+            if frame - f <= gap:
+                tracks.setdefault(n, []).append((t, f))
+        return [
+            (e.number, [e.last_frame, e.cluster, e.lat, e.lon, e.drone_lat, e.drone_lon, sorted(tracks.get(e.number, []))])
+            for e in self.entities.values() if frame - e.last_frame <= gap
+        ]
+
+    def step(self, *row) -> tuple[int]:
+        return (self.resolve(*row),)
 
     def _turn(self, frame: int) -> None:
         if frame == self.frame:
@@ -215,6 +256,8 @@ class EntityBook:
                     d *= SAME_CLUSTER_SHARE
                 if d < best:
                     best, number = d, e.number
+                elif d == best and max(e.number, number) < self.inherited:
+                    self.tied = True
         if number is None:
             number = self.next_number
             self.next_number += 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import replace
@@ -12,13 +13,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from canopy.constants import METERS_PER_DEGREE
 from canopy.functions import detection as D, geometry as G
 from canopy.functions.projection import reproject
+from canopy.operators.chunks import fold_in_chunks
 from canopy.operators.folds import fold_sorted, independent_parts
-from canopy.operators.matching import ClassVote, ClusterBook, ClusterRules, EntityBook, EntityRules, MotionBook
+from canopy.operators.matching import ClassVote, Cluster, ClusterBook, ClusterRules, EntityBook, EntityRules, MotionBook
 from canopy.operators.ordered import fill, row_numbers
 from canopy.operators.telemetry import heading
 from canopy.session import cut_lineage
 
 VIDEO = "video_id"
+# A chunk of one ordered pass is so many times what it reads before itself.
+CHUNK = 8
+# What names a cluster or entity within a video until it has its number.
+ENTRY = ["__part", "__run", "__local"]
 # Order of detections within a frame: most confident first, position and id break ties.
 RANK = ["x1", "y1", "det_id"]
 
@@ -81,18 +87,30 @@ def suppress_overlaps(det: DataFrame, iou: float = 0.65, center_px: float = 28.0
 
 # --- clusters ----------------------------------------------------------------
 
-def _cluster_step(rules: ClusterRules):
-    book = None
+class _ClusterSteps:
+    """A cluster book as a fold: limits come with the rows, as a video has its own."""
 
-    def step(frame, x, y, conf, track, freeze, reassoc) -> tuple:
-        nonlocal book
-        if book is None:
-            book = ClusterBook(replace(rules, freeze_after=freeze, reassoc_m=reassoc))
+    def __init__(self, rules: ClusterRules, state: str | None):
+        told = json.loads(state) if state else {"next": 1, "live": []}
+        self.rules, self.book = rules, ClusterBook(rules, [Cluster(**c) for c in told["live"]], told["next"])
+
+    next_number = property(lambda self: self.book.next_number)
+    inherited = property(lambda self: self.book.inherited, lambda self, v: setattr(self.book, "inherited", v))
+    tied = property(lambda self: self.book.tied, lambda self, v: setattr(self.book, "tied", v))
+
+    def step(self, frame, x, y, conf, track, freeze, reassoc) -> tuple:
+        book = self.book
+        if book.rules.freeze_after != freeze or book.rules.reassoc_m != reassoc:
+            book.rules = replace(self.rules, freeze_after=freeze, reassoc_m=reassoc)
         book.retire(frame)
         c = book.place(frame, x, y, conf, track)
         return c.number, c.hits, c.x, c.y
 
-    return step
+    def live(self, frame: int) -> list[tuple[int, list]]:
+        return [(c.number, [c.last_frame, c.hits, c.weight, c.wx, c.wy, sorted(c.tracks)]) for c in self.book.lasting(frame)]
+
+    def save(self, frame: int) -> str:
+        return json.dumps({"next": self.book.next_number, "live": [c.to_state() for c in self.book.lasting(frame)]})
 
 
 def _number_firsts(
@@ -104,6 +122,12 @@ def _number_firsts(
     return row_numbers(firsts, keys, ["frame", "neg_conf", *RANK], out, cell).select(*keys, *group, out)
 
 
+def with_number(rows: DataFrame, ids: DataFrame, group: Sequence[str] = tuple(ENTRY)) -> DataFrame:
+    """``rows`` with the number of their group; null videos have theirs."""
+    own = ids.withColumn("__key", F.struct(VIDEO)).drop(VIDEO)
+    return rows.withColumn("__key", F.struct(VIDEO)).join(own, ["__key", *group]).drop("__key")
+
+
 def spatial_clusters(
     det: DataFrame,
     radius_m: float = 5.0,
@@ -118,8 +142,9 @@ def spatial_clusters(
     ``freeze_after`` and ``reassoc_m`` may name columns that hold them per video.
 
     Stretches that are idle for longer than the limit, or farther apart than any
-    matching radius, cannot share a cluster. They are cut apart first, so one long
-    video spreads over many tasks; each part then streams through the matcher.
+    matching radius, cannot share a cluster. They are cut apart first, in time, in place, and
+    once more in the time of each place; a part without pauses is folded in chunks. So one
+    long video spreads over many tasks.
     """
     rules = ClusterRules(radius_m, max_idle_frames, min_hits, reassoc_m=math.inf if isinstance(reassoc_m, str) else reassoc_m)
     limit = lambda v, kind: F.col(v).cast(kind) if isinstance(v, str) else F.lit(v).cast(kind)
@@ -127,30 +152,28 @@ def spatial_clusters(
     has = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     placed, missing = det.filter(has), det.filter(~has)
     origin = placed.groupBy(VIDEO).agg(F.min_by(F.struct("lat", "lon"), _first_key()).alias("__o"))
-    origin = origin.select(VIDEO, F.col("__o.lat").alias("__olat"), F.col("__o.lon").alias("__olon"))
+    origin = origin.select(F.struct(VIDEO).alias("__key"), F.col("__o.lat").alias("__olat"), F.col("__o.lon").alias("__olon"))
     local = G.to_local_m("lat", "lon", "__olat", "__olon")
     metric = (
-        placed.join(origin, VIDEO).withColumn("__m", local)
+        placed.withColumn("__key", F.struct(VIDEO)).join(origin, "__key").drop("__key").withColumn("__m", local)
         .withColumn("__x", F.col("__m.east")).withColumn("__y", F.col("__m.north")).drop("__m")
-        .withColumn("__freeze", limit(freeze_after, "long")).withColumn("__reassoc", limit(reassoc_m, "double"))
+        .withColumn("__conf", confidence()).withColumn("__freeze", limit(freeze_after, "long")).withColumn("__reassoc", limit(reassoc_m, "double"))
     )
     axes = [
         ("frame", "frame", float(max_idle_frames), float(max(max_idle_frames, 1))),
         ("__x", "__x", rules.reach, rules.reach),
         ("__y", "__y", rules.reach, rules.reach),
     ]
-    parts = independent_parts(metric, [VIDEO], axes, "__part")
-    fields = "__local long, cluster_hits long, __cx double, __cy double"
-    folded = cut_lineage(
-        fold_sorted(
-            parts, [VIDEO, "__part"], frame_order(), ["frame", "__x", "__y", "conf", "track_id", "__freeze", "__reassoc"], fields,
-            lambda: _cluster_step(rules),
-        )
-    )
-    ids = _number_firsts(folded, [VIDEO], ["__part", "__local"], "cluster_id", max_idle_frames)
+    parts = independent_parts(metric, [VIDEO], [*axes, axes[0]], "__part")
+    warm = 2 * max(max_idle_frames, 1)
+    folded = cut_lineage(fold_in_chunks(
+        parts, [VIDEO, "__part"], frame_order(), ["frame", "__x", "__y", "__conf", "track_id", "__freeze", "__reassoc"],
+        "cluster_hits long, __cx double, __cy double", lambda state: _ClusterSteps(rules, state), CHUNK * warm, warm,
+    ))
+    ids = _number_firsts(folded, [VIDEO], ENTRY, "cluster_id", max_idle_frames)
     per_lon = METERS_PER_DEGREE * F.cos(F.radians("__olat"))
     done = (
-        folded.join(ids, [VIDEO, "__part", "__local"])
+        with_number(folded, ids)
         .withColumn("cluster_confirmed", F.col("cluster_hits") >= min_hits)
         .withColumn("cluster_lat", F.col("__olat") + F.col("__cy") / METERS_PER_DEGREE)
         .withColumn("cluster_lon", F.col("__olon") + F.try_divide(F.col("__cx"), per_lon))
@@ -165,11 +188,6 @@ def spatial_clusters(
 
 # --- entities ----------------------------------------------------------------
 
-def _entity_step(rules: EntityRules):
-    book = EntityBook(rules)
-    return lambda *row: (book.resolve(*row),)
-
-
 def resolve_entities(
     det: DataFrame,
     gap_frames: int = 300,
@@ -180,21 +198,19 @@ def resolve_entities(
     """Detections with a stable ``entity_id`` per video, numbered by first sighting.
 
     Nothing is remembered past ``gap_frames``, so longer pauses cut a video into
-    parts that are resolved in parallel.
+    parts that are resolved in parallel, and a part without pauses is resolved in chunks.
     """
     rules = EntityRules(gap_frames, radius_m, fps, max_speed_mps)
     given = det if "cluster_id" in det.columns else det.withColumn("cluster_id", F.lit(None).cast("long"))
     axes = [("frame", "frame", float(gap_frames), float(max(gap_frames, 1)))]
     parts = independent_parts(given, [VIDEO], axes, "__part")
-    folded = cut_lineage(
-        fold_sorted(
-            parts, [VIDEO, "__part"], frame_order(),
-            ["frame", "track_id", "cluster_id", "lat", "lon", "lat_drone", "lon_drone"], "__local long",
-            lambda: _entity_step(rules),
-        )
-    )
-    ids = _number_firsts(folded, [VIDEO], ["__part", "__local"], "entity_id", gap_frames)
-    return folded.join(ids, [VIDEO, "__part", "__local"]).select(*given.columns, "entity_id")
+    warm = 2 * max(gap_frames, 1)
+    folded = cut_lineage(fold_in_chunks(
+        parts, [VIDEO, "__part"], frame_order(), ["frame", "track_id", "cluster_id", "lat", "lon", "lat_drone", "lon_drone"], "",
+        lambda state: EntityBook.restored(rules, state), CHUNK * warm, warm,
+    ))
+    ids = _number_firsts(folded, [VIDEO], ENTRY, "entity_id", gap_frames)
+    return with_number(folded, ids).select(*given.columns, "entity_id")
 
 
 def dedupe_frame(det: DataFrame) -> DataFrame:
@@ -334,7 +350,7 @@ def count_unique_by_motion(
     )
     ids = _number_firsts(folded, [VIDEO], ["__part", "__local"], "entity_id", 64)
     return (
-        folded.join(ids, [VIDEO, "__part", "__local"])
+        with_number(folded, ids, ["__part", "__local"])
         .withColumn("north", F.col("__north")).withColumn("east", F.col("__east"))
         .select(*det.columns, "ts", "north", "east", "entity_id")
     )

@@ -7,9 +7,11 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_shared: list[DataFrame] = []
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, name: str = "canopy") -> SparkSession:
@@ -63,3 +65,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """The same rows, computed once when some query first needs them, and no job before.
+
+    They are kept on the executors' disks with their lineage: what a lost executor held is computed
+    again. ``release`` lets go of them.
+    """
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    _shared.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Let go of all that ``shared`` keeps; frames built on it compute it again if they are used."""
+    while _shared:
+        _shared.pop().unpersist()
