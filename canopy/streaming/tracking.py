@@ -24,8 +24,10 @@ SUMMARY = (
 class ClusterStream(StatefulProcessor):
     """The batch matcher's rules on a stream keyed by video.
 
-    Live clusters are the state. A cluster that can no longer match is emitted once
-    as closed and dropped; touched ones are emitted as they stand.
+    Rows wait in state until the watermark has passed their frame, so frames are matched whole and
+    in order however they come. Live clusters are the other state. A cluster that can no longer
+    match is emitted once as closed and dropped; touched ones are emitted as they stand. A video
+    has one timer, for the next frame that becomes whole or the next cluster that closes.
     """
 
     def __init__(self, rules: ClusterRules, fps: float, start: float):
@@ -38,7 +40,13 @@ class ClusterStream(StatefulProcessor):
             "first_frame long, last_frame long, hits long, weight double, wx double, wy double, sum_conf double, "
             "max_conf double, tracks array<long>",
         )
+        # Rows of a frame, field by field; a missing track is an empty string.
+        self.waiting = handle.getMapState(
+            "waiting", "frame long",
+            "conf array<double>, x1 array<double>, y1 array<double>, det_id array<long>, lat array<double>, lon array<double>, track array<string>",
+        )
         self.meta = handle.getValueState("meta", "lat double, lon double, next_number long")
+        self.timer = handle.getValueState("timer", "at long")
 
     def _load(self) -> tuple[ClusterBook, tuple[float, float] | None]:
         clusters = [
@@ -64,34 +72,54 @@ class ClusterStream(StatefulProcessor):
             names = [p.strip().split(" ")[0] for p in SUMMARY.split(", ")]
             yield pd.DataFrame(rows, columns=names)
 
-    def _expiry_ms(self, frame: int) -> int:
-        return int((self.start + (frame + self.rules.max_idle_frames + 1) / self.fps) * 1000)
+    def _frame_ms(self, frame: int) -> int:
+        """The first watermark at which no row of the frame can come any more."""
+        return math.ceil((self.start + frame / self.fps) * 1000 - 1e-6)
+
+    def _wait(self, pdf: pd.DataFrame) -> None:
+        """Put rows with a position into their frames."""
+        located = pdf[pdf["lat"].notna() & pdf["lon"].notna()]
+        for frame, rows in located.groupby("frame"):
+            key = (int(frame),)
+            held = [list(c) for c in self.waiting.getValue(key)] if self.waiting.containsKey(key) else [[] for _ in range(7)]
+            new = [
+                rows["conf"].astype(float).fillna(0.0).tolist(), rows["x1"].tolist(), rows["y1"].tolist(), [int(i) for i in rows["det_id"]],
+                rows["lat"].tolist(), rows["lon"].tolist(), ["" if t is None else str(int(t)) for t in plain(rows["track_id"])],
+            ]
+            self.waiting.updateValue(key, tuple(h + n for h, n in zip(held, new)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        video = key[0]
-        # A micro-batch bounds what one key brings here.
-        batch = pd.concat(list(rows))
-        batch["conf"] = batch["conf"].astype(float).fillna(0.0)
-        batch = batch.sort_values(["frame", "conf", "x1", "y1", "det_id"], ascending=[True, False, True, True, True])
+        for pdf in rows:
+            self._wait(pdf)
+        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()  # it has fired
+        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, video: str, watermark: int) -> Iterator[pd.DataFrame]:
+        """Match the frames that are whole, close what has been left behind, and set the timer."""
+        whole = math.floor((watermark / 1000 - self.start) * self.fps + 1e-6)
+        frames = sorted(int(k[0]) for k in self.waiting.keys())
         book, origin = self._load()
         touched: dict[int, Cluster] = {}
         closed: list[Cluster] = []
-        cols = [plain(batch[c]) for c in ("frame", "lat", "lon", "conf", "track_id")]
-        for frame, lat, lon, conf, track in zip(*cols):
-            if lat is None or lon is None:
-                continue
-            if origin is None:
-                origin = (lat, lon)
-            x = (lon - origin[1]) * METERS_PER_DEGREE * math.cos(math.radians(origin[0]))
-            y = (lat - origin[0]) * METERS_PER_DEGREE
+        for frame in [f for f in frames if f <= whole]:
             closed += book.retire(frame)
-            c = book.place(int(frame), x, y, conf, None if track is None else int(track))
-            touched[c.number] = c
-        if origin is None:
-            return
+            # Most confident first, as in a batch.
+            for conf, x1, y1, _, lat, lon, track in sorted(zip(*self.waiting.getValue((frame,))), key=lambda r: (-r[0], *r[1:4])):
+                if origin is None:
+                    origin = (lat, lon)
+                x = (lon - origin[1]) * METERS_PER_DEGREE * math.cos(math.radians(origin[0]))
+                y = (lat - origin[0]) * METERS_PER_DEGREE
+                c = book.place(frame, x, y, conf, int(track) if track else None)
+                touched[c.number] = c
+            self.waiting.removeKey((frame,))
+        closed += book.retire(whole)
         gone = {c.number for c in closed}
         for n in gone:
-            self.live.removeKey((n,))
+            if self.live.containsKey((n,)):
+                self.live.removeKey((n,))
         for n, c in touched.items():
             if n not in gone:
                 s = c.to_state()
@@ -99,23 +127,25 @@ class ClusterStream(StatefulProcessor):
                     (n,),
                     (s["first_frame"], s["last_frame"], s["hits"], s["weight"], s["wx"], s["wy"], s["sum_conf"], s["max_conf"], s["tracks"]),
                 )
-        self.meta.update((origin[0], origin[1], book.next_number))
-        if book.live:
-            self.handle.registerTimer(self._expiry_ms(max(c.last_frame for c in book.live)))
+        if origin is not None:
+            self.meta.update((origin[0], origin[1], book.next_number))
+        self._set_timer([f for f in frames if f > whole][:1] + [c.last_frame + self.rules.max_idle_frames + 1 for c in book.live])
         yield from self._emit(
             [self._row(video, c, origin, True) for c in closed]
             + [self._row(video, c, origin, False) for n, c in touched.items() if n not in gone]
         )
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Close what the watermark has left behind."""
-        book, origin = self._load()
-        frame = math.floor((timerValues.getCurrentWatermarkInMs() / 1000 - self.start) * self.fps)
-        closed = book.retire(frame)
-        for c in closed:
-            self.live.removeKey((c.number,))
-        if origin is not None:
-            yield from self._emit([self._row(key[0], c, origin, True) for c in closed])
+    def _set_timer(self, frames: list[int]) -> None:
+        at = self._frame_ms(min(frames)) if frames else None
+        old = int(self.timer.get()[0]) if self.timer.exists() else None
+        if at == old:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+            self.timer.clear()
+        if at is not None:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def close(self) -> None:
         pass
@@ -126,8 +156,11 @@ def stream_clusters(
     start: float = 0.0,
 ) -> DataFrame:
     """Cluster summaries from a stream of located detections with an event time ``ts``
-    that is the frame's time (``start + frame / fps`` seconds). Rows of a video must come in
-    frame order between micro-batches; within one they are put in order. The session must keep
+    that is the frame's time (``start + frame / fps`` seconds).
+
+    Rows may come in any order within ``lateness``; a frame is matched when the watermark has
+    passed it, so the last ``lateness`` of a stream waits for what comes next. The result is that
+    of the batch operator on the rows that were not later than that. The session must keep
     its state in ``STATE_STORE`` (``spark.sql.streaming.stateStore.providerClass``)."""
     return (
         detections.withWatermark("ts", lateness).groupBy("video_id")

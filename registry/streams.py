@@ -109,9 +109,12 @@ def _(t):
              arg_max(cluster_lat, cluster_hits) AS lat, arg_max(cluster_lon, cluster_hits) AS lon, list_sort(list_distinct(list(track_id))) AS track_ids
            FROM ({clusters_sql(10)}) JOIN (SELECT det_id, video_id, frame, conf, track_id FROM detections) USING (det_id) GROUP BY video_id, cluster_id""")
 def _(t):
+    """All rows: a far last one, of no video, lets the watermark pass them."""
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STATE_STORE)
-    d = _stamped(_located(t).select("video_id", "frame", "det_id", "x1", "y1", "conf", "track_id", "lat", "lon"))
-    stream = _as_stream(t, d, "cluster-stream", HALVES)
+    d = _located(t).select("video_id", "frame", "det_id", "x1", "y1", "conf", "track_id", "lat", "lon")
+    end = d.limit(1).withColumn("video_id", F.lit("")).withColumn("frame", F.lit(CLOSING).cast(d.schema["frame"].dataType))
+    stream = _as_stream(t, _stamped(d.unionByName(end)), "cluster-stream", [*HALVES[:2], f"frame >= 30 AND frame < {CLOSING}", f"frame >= {CLOSING}"])
     got = _finish(t, S.stream_clusters(stream, ClusterRules(max_idle_frames=10), FPS, start=START), "clusters", mode="update")
+    got = got.where("video_id != ''")
     last = F.max_by(F.struct(*[c for c in got.columns if c not in ("video_id", "cluster_id")]), F.struct("last_frame", "frames"))
     return got.groupBy("video_id", "cluster_id").agg(last.alias("s")).select("video_id", "cluster_id", "s.*")

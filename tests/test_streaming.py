@@ -18,18 +18,22 @@ def _stream(spark, df, path, cuts):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_clusters(spark, tmp_path):
-    """Last state per cluster equals the batch summary; a closed cluster is emitted as closed once."""
+def _clusters_of(spark, path, det, pieces, rules, lateness):
+    """All that the stream tells of the clusters of ``pieces``, one micro-batch each, and then a far row of another video."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.STATE_STORE)
-    rules = ClusterRules(2.0, 15, 1, 4, 30.0)
-    det = spark.createDataFrame(_scene(21), COLS)
-    batch = Tr.spatial_clusters(det, 2.0, 15, 1, 4, 30.0)
-    want = {r.cluster_id: r for r in Tr.cluster_summary(batch).collect()}
-    stamped = det.withColumn("ts", F.timestamp_seconds(START + F.col("frame") / 10.0))
-    stream = S.stream_clusters(_stream(spark, stamped, f"{tmp_path}/in", [0, 100, 200, 500, 901]), rules, 10.0, "1 second", START)
-    save = lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/n={n}")
-    stream.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out").collect()
+    end = det.limit(1).withColumn("video_id", F.lit("end")).withColumn("frame", F.lit(100_000))
+    for p in [*pieces, end]:
+        p.withColumn("ts", F.timestamp_seconds(START + F.col("frame") / 10.0)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    schema = det.withColumn("ts", F.current_timestamp()).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    save = lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out/n={n}")
+    out = S.stream_clusters(stream, rules, 10.0, lateness, START)
+    out.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out").where("video_id = 'v'").collect()
+
+
+def _same_as_batch(rows, det, limits):
+    want = {r.cluster_id: r for r in Tr.cluster_summary(Tr.spatial_clusters(det, *limits)).collect()}
     last = {}
     for r in sorted(rows, key=lambda r: (r.n, r.last_frame, r.closed)):
         last[r.cluster_id] = r
@@ -39,9 +43,26 @@ def test_clusters(spark, tmp_path):
         assert (g.frames, g.first_frame, g.last_frame, g.track_ids) == (w.frames, w.first_frame, w.last_frame, w.track_ids)
         assert abs(g.lat - w.lat) < 1e-12 and abs(g.lon - w.lon) < 1e-12 and abs(g.mean_conf - w.mean_conf) < 1e-12
     closed = [r.cluster_id for r in rows if r.closed]
-    assert len(closed) == len(set(closed)) and closed
-    # Nothing touches a cluster after it was closed.
-    assert all(last[c].closed for c in closed)
+    # Each is closed once, and nothing touches it after.
+    assert sorted(closed) == sorted(want) and all(last[c].closed for c in closed)
+
+
+def test_clusters(spark, tmp_path):
+    """Last state per cluster equals the batch summary; every cluster is closed once the watermark has passed it."""
+    det = spark.createDataFrame(_scene(21), COLS)
+    pieces = [det.filter((F.col("frame") >= a) & (F.col("frame") < b)) for a, b in ((0, 100), (100, 200), (200, 500), (500, 901))]
+    rows = _clusters_of(spark, tmp_path, det, pieces, ClusterRules(2.0, 15, 1, 4, 30.0), "1 second")
+    _same_as_batch(rows, det, (2.0, 15, 1, 4, 30.0))
+
+
+def test_clusters_of_shuffled_rows(spark, tmp_path):
+    """Rows in any order within the lateness, early frames in later micro-batches: the same as the batch."""
+    det = spark.createDataFrame(_scene(22), COLS)
+    # A row comes up to 20 seconds of frames after its own time.
+    come = F.col("frame") + F.pmod(F.xxhash64("det_id"), F.lit(200))
+    pieces = [det.where((come >= a) & (come < a + 120)) for a in range(0, 1200, 120)]
+    rows = _clusters_of(spark, tmp_path, det, pieces, ClusterRules(2.0, 15, 1, 4, 30.0), "40 seconds")
+    _same_as_batch(rows, det, (2.0, 15, 1, 4, 30.0))
 
 
 def test_attach_telemetry(spark, tmp_path):
