@@ -10,11 +10,12 @@ from canopy.operators.ordered import running_sum
 from canopy.schemas import TELEMETRY
 from canopy.sources.text import numbered_lines, read_lines
 
+# Fixed values of the subtitle formats: a clock time, a number, and what stands between words.
+CLOCK = r"\d{2}:\d{2}:\d{2}[.,]\d{3}"
+NUMBER = r"[+-]?\d+(?:\.\d+)?"
+SEPARATORS = r"[,;\s]+"
 # A block is words, some of which are ``name: number`` or ``name = number`` readings.
-DECIMAL = "[-+]?[0-9]+[.][0-9]+"
-READING = "([a-z][a-z_]*)\\s*[:=]\\s*([-+]?[0-9]+(?:[.][0-9]+)?)"
-TWO_DECIMALS = f"({DECIMAL})[,;\\s]+({DECIMAL})"
-CLOCK = "[0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]{3}"
+READING = rf"([a-z][a-z_]*)\s*[:=]\s*({NUMBER})"
 # Names of readings in the subtitle formats, by the column they fill. A reading
 # counts for a name that its own name ends with.
 NAMES = {
@@ -50,6 +51,18 @@ def _reading(found: Column, names: tuple[str, ...]) -> Column:
     return F.get(own, 0)["number"]
 
 
+def _position(text: Column) -> Column:
+    """The first two words next to each other of which one ends and the other begins with a decimal number, as a struct."""
+    words = F.split(text, SEPARATORS)
+    number = lambda w, at: F.regexp_extract(w, at.format(NUMBER), 1)
+    decimal = lambda v: F.when(v.contains("."), v)
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    here = F.transform(F.slice(words, F.lit(1), rest), lambda w: decimal(number(w, "({})$")))
+    there = F.transform(F.slice(words, F.lit(2), rest), lambda w: decimal(number(w, "^({})")))
+    both = F.zip_with(here, there, lambda a, b: F.struct(a.try_cast("double").alias("lat"), b.try_cast("double").alias("lon")))
+    return F.get(F.filter(both, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull()), 0)
+
+
 def _start(text: Column) -> Column:
     """The clock time before the first arrow that stands between two clock times."""
     ends = F.split(text, "\\s*-->\\s*")
@@ -86,12 +99,9 @@ def parse_subtitle_blocks(blocks: DataFrame) -> DataFrame:
     accepted blocks without one.
     """
     text = F.col("text")
-    pair = lambda i: F.regexp_extract(text, TWO_DECIMALS, i).try_cast("double")
-    raw = blocks.select(
-        "file", "block", _start(text).alias("utc"), pair(1).alias("pair_lat"), pair(2).alias("pair_lon"), _readings(text).alias("found")
-    )
+    raw = blocks.select("file", "block", _start(text).alias("utc"), _position(text).alias("pair"), _readings(text).alias("found"))
     raw = raw.select(
-        "file", "block", "utc", "pair_lat", "pair_lon", *[_reading(F.col("found"), names).alias(c) for c, names in NAMES.items()]
+        "file", "block", "utc", F.col("pair.lat").alias("pair_lat"), F.col("pair.lon").alias("pair_lon"), *[_reading(F.col("found"), names).alias(c) for c, names in NAMES.items()]
     ).withColumn("counted", F.greatest(F.floor("counted").cast("int") - 1, F.when(F.col("counted").isNotNull(), 0)))
     named = F.col("named_lat").isNotNull() & F.col("named_lon").isNotNull()
     raw = raw.withColumn("lat", F.when(named, F.col("named_lat")).otherwise(F.col("pair_lat"))).withColumn(

@@ -154,3 +154,15 @@ def test_stac_array(spark, tmp_path):
     rows = geojson.read_stac_items(spark, str(tmp_path)).orderBy("scene_id").collect()
     assert [r.scene_id for r in rows] == ["S1", "S2"]
     assert rows[0].cloud_cover == 12.5 and rows[0].bbox.maxy == 4.0 and rows[0].assets["B04_10m"].href == "s3://b/k.jp2"
+
+
+def test_subtitle_positions_without_names(spark):
+    """Two decimals next to each other, whatever stands around them."""
+    cases = {
+        "GPS (54.5, 24.25, 100)": (54.5, 24.25), "54.5,24.25": (54.5, 24.25), "at -1.5; +2.5 m": (-1.5, 2.5),
+        "12 54.5 24.25": (54.5, 24.25), "v1.2.3 4.5": (2.3, 4.5), "[lat: 54.5] [lon: 24.25]": None, "54 24": None, "54.5": None,
+        "": None, "7.5 x 54.5\t24.25": (54.5, 24.25), "1 2.5 3 4.5 5.5": (4.5, 5.5),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    got = {r.text: None if r.p is None else (r.p.lat, r.p.lon) for r in df.select("text", subtitles._position(F.col("text")).alias("p")).collect()}
+    assert got == cases
