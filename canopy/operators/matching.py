@@ -303,6 +303,16 @@ class MotionBook:
     def __init__(self, speed: float = 12.0, limit: float = 30.0, a: float = 70.0):
         self.speed, self.limit, self.a = speed, limit, a
         self.last: list[tuple[float, float, float]] = []  # north, east, time per entity
+        # Entities by the cell of their last place; nobody comes from beyond the next cell.
+        self.cells: dict[tuple[int, int], set[int]] = {}
+
+    def _cell(self, north: float, east: float) -> tuple[int, int]:
+        width = max(self.limit, 1e-9)
+        return math.floor(north / width), math.floor(east / width)
+
+    def _near(self, north: float, east: float) -> list[int]:
+        a, b = self._cell(north, east)
+        return sorted(i for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) for i in self.cells.get((x, y), ()))
 
     def reach(self, seconds: float) -> float:
         n = math.ceil(seconds)
@@ -316,14 +326,22 @@ class MotionBook:
     def place(self, north: float, east: float, t: float) -> tuple[int, bool]:
         """0-based entity and whether it is new."""
         best = None
-        for i, (n, e, seen) in enumerate(self.last):
+        for i in self._near(north, east):
+            n, e, seen = self.last[i]
             if seen == t:
                 continue
             d = math.hypot(n - north, e - east)
             if best is None or d < best[0]:
                 best = (d, i, seen)
         if best is not None and self.reach(t - best[2]) > best[0]:
-            self.last[best[1]] = (north, east, t)
-            return best[1], False
-        self.last.append((north, east, t))
-        return len(self.last) - 1, True
+            old = self._cell(*self.last[best[1]][:2])
+            self.cells[old].discard(best[1])
+            if not self.cells[old]:
+                del self.cells[old]
+            i, new = best[1], False
+            self.last[i] = (north, east, t)
+        else:
+            i, new = len(self.last), True
+            self.last.append((north, east, t))
+        self.cells.setdefault(self._cell(north, east), set()).add(i)
+        return i, new

@@ -26,6 +26,13 @@ def bucket_count(spark: SparkSession) -> int:
     return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def how_many_below(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the ascending ``cuts``, at most ``most``, lie at or below ``value``: a search by halves."""
+    steps = F.array(*[F.lit(1 << i) for i in range(most.bit_length() - 1, -1, -1)])
+    fits = lambda at, step: (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) <= value)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
 def bucket_by_splits(df: DataFrame, col: str, parts: int | None = None) -> DataFrame:
     """Add ``__bucket``: how many of ``parts - 1`` splitters lie at or below ``col``."""
     parts = parts or bucket_count(df.sparkSession)
@@ -33,8 +40,8 @@ def bucket_by_splits(df: DataFrame, col: str, parts: int | None = None) -> DataF
     number = F.col(col).cast("double")
     splits = df.agg(F.percentile_approx(number, probs, max(2000, 32 * parts)).alias("__splits")).scalar()
     # A scalar subquery of parts - 1 numbers: its size does not depend on the data.
-    below = F.filter(F.coalesce("__splits", F.array().cast("array<double>")), lambda s: s <= number)
-    return df.withColumn("__splits", splits).withColumn(BUCKET, F.size(below)).drop("__splits")
+    below = how_many_below(F.coalesce("__splits", F.array().cast("array<double>")), number, parts)
+    return df.withColumn("__splits", splits).withColumn(BUCKET, below).drop("__splits")
 
 
 def _bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None) -> DataFrame:

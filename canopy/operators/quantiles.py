@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from canopy.operators.ordered import bucket_count
+from canopy.operators.ordered import bucket_count, how_many_below
 
 
 def exact_quantiles(
@@ -36,7 +36,7 @@ def exact_quantiles(
     else:
         one = totals.select(F.struct("__total", "__cuts").alias("s")).scalar()
         placed = counts.withColumn("__total", one["__total"]).withColumn("__cuts", one["__cuts"])
-    placed = placed.withColumn("__b", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts")
+    placed = placed.withColumn("__b", how_many_below(F.col("__cuts"), F.col("__v"), parts)).drop("__cuts")
     buckets = placed.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"), F.first("__total").alias("__total"))
     upto = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     buckets = buckets.withColumn("__start", F.coalesce(F.sum("__bn").over(upto), F.lit(0)))

@@ -90,7 +90,7 @@ def test_index_stats(spark, tmp_path):
     stream = _stream(spark, df, f"{tmp_path}/in", [0, 90, 200, 300])
     I.stream_index_stats(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     want = {(r.year, r.row): r for r in R.pixel_stats(df).collect()}
-    I.compact(spark, f"{tmp_path}/out", f"{tmp_path}/small/batch_id=0")
+    I.compact(spark, f"{tmp_path}/out", f"{tmp_path}/small")
     for path in ("out", "small"):
         got = {(r.year, r.row): r for r in I.index_stats(spark, f"{tmp_path}/{path}").collect()}
         assert set(got) == set(want)
@@ -98,6 +98,20 @@ def test_index_stats(spark, tmp_path):
             assert got[k].n == w.n and abs(got[k].mean - w["mean"]) < 1e-9 and abs(got[k]["std"] - w["std"]) < 1e-9
 
 
+def test_index_stats_in_levels(spark, tmp_path):
+    """Eleven batches, three to a level: each batch is read once, from few folders, also when a batch is repeated."""
+    rng = random.Random(3)
+    rows = [(2020, "ndvi", rng.randrange(3), 0, 100.0 + rng.random(), i) for i in range(220)]
+    df = spark.createDataFrame(rows, "year int, index string, row int, col int, value double, frame int")
+    stream = _stream(spark, df, f"{tmp_path}/in", range(0, 221, 20))
+    I.stream_index_stats(stream, f"{tmp_path}/out", f"{tmp_path}/cp", fan=3).awaitTermination()
+    assert I.partial_folders(spark, f"{tmp_path}/out", 3) == [(0, 9), (0, 10), (2, 0)]
+    want = {r.row: r for r in R.pixel_stats(df).collect()}
+    for r in I.index_stats(spark, f"{tmp_path}/out", fan=3).collect():
+        w = want[r.row]
+        assert r.n == w.n and abs(r.mean - w["mean"]) < 1e-9 and abs(r["std"] - w["std"]) < 1e-9
+
+
 def test_track_stats(spark, tmp_path):
     df = spark.createDataFrame([("v", f, f % 2, 0.5 + (f % 2) / 4) for f in range(40)], "video_id string, frame int, track_id int, conf double")
     df = df.withColumn("ts", F.timestamp_seconds(START + F.col("frame")))

@@ -245,6 +245,24 @@ def test_motion_book():
     assert MotionBook(12).reach(2) == pytest.approx(12 * (1 + 70 / 71)) and MotionBook(12).reach(50) == 30
 
 
+def test_motion_book_by_cells():
+    """The nearest by cells is the nearest of all, ties and negative places included."""
+    rng = random.Random(12)
+    book, last = MotionBook(4.0, 6.0), []
+    for t in range(300):
+        for _ in range(rng.randrange(4)):
+            north, east = rng.randrange(-20, 20), rng.randrange(-20, 20)
+            free = [(math.hypot(n - north, e - east), i, s) for i, (n, e, s) in enumerate(last) if s != t]
+            best = min(free, key=lambda p: p[0], default=None)
+            if best and book.reach(t - best[2]) > best[0]:
+                want = (best[1], False)
+                last[best[1]] = (north, east, t)
+            else:
+                want = (len(last), True)
+                last.append((north, east, t))
+            assert book.place(north, east, t) == want
+
+
 def test_count_unique_by_motion_cuts_nothing_apart(spark):
     """Places far apart are counted in parallel; the count equals one book over everything."""
     rng = random.Random(13)
