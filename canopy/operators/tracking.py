@@ -15,9 +15,10 @@ from canopy.functions import detection as D, geometry as G
 from canopy.functions.projection import reproject
 from canopy.operators.chunks import fold_in_chunks
 from canopy.operators.folds import fold_sorted, independent_parts
-from canopy.operators.matching import ClassVote, Cluster, ClusterBook, ClusterRules, EntityBook, EntityRules, MotionBook
+from canopy.operators.matching import Cluster, ClusterBook, ClusterRules, EntityBook, EntityRules, MotionBook
 from canopy.operators.ordered import fill, row_numbers
 from canopy.operators.telemetry import heading
+from canopy.operators.votes import scan_votes
 from canopy.session import cut_lineage
 
 VIDEO = "video_id"
@@ -226,22 +227,19 @@ def dedupe_frame(det: DataFrame) -> DataFrame:
 
 # --- classes -----------------------------------------------------------------
 
-def _vote_step(margin: float, min_hits: int):
-    vote = ClassVote(margin, min_hits)
-    return lambda cls, conf: (vote.add(int(cls or 0), conf or 0.0),)
-
-
 def smooth_class(
     det: DataFrame, key: str, margin: float = 1.5, min_hits: int = 1, class_names=None
 ) -> DataFrame:
     """Class by running evidence per ``key``; the raw class is kept in ``cls_original`` where it differs.
 
     ``key`` is a column such as ``track_id`` (tracker level) or ``entity_id`` with
-    ``min_hits=3``. The state is a few numbers per class, so a long key streams.
+    ``min_hits=3``. A long key is scanned in pieces on all tasks. A missing class counts as 0,
+    a missing or negative confidence as no evidence.
     """
     known = det.filter(F.col(key).isNotNull())
-    folded = fold_sorted(
-        known, [VIDEO, key], frame_order(), ["cls", "conf"], "__stable int", lambda: _vote_step(margin, min_hits)
+    folded = scan_votes(
+        known, [VIDEO, key], frame_order(), F.floor(F.col("frame") / 1024), F.coalesce(F.col("cls").cast("int"), F.lit(0)),
+        F.greatest(confidence(), F.lit(0.0)), max(0.0, margin), min_hits, "__stable",
     )
     out = folded.unionByName(det.filter(F.col(key).isNull()).withColumn("__stable", F.col("cls").cast("int")))
     changed = F.col("__stable") != F.col("cls")
