@@ -26,6 +26,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from canopy.llm.common import WORD_CLASS, raw, sliced, written
 
+#: Most slots made from one row.
+PIECE = 1 << 16
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -226,23 +229,26 @@ def slots(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
         F.pmod(F.xxhash64("sid", "start"), F.lit(max(shards, 1))).alias("shard"), "sid", "blocks", "start",
         (F.col("start") + 1).alias("stop"),
     )
+    # One source's ranges leave the window in one partition; cut and dealt, they fill every task.
+    cuts = F.explode(F.expr(f"sequence(start, stop - 1, {PIECE})"))
+    pieces = ranges.unionByName(extra).withColumn("start", cuts)
+    pieces = pieces.withColumn("stop", F.least(F.col("start") + PIECE, "stop")).repartition(parts, "sid", "start")
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, sid, blocks, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
-                for a in range(start, stop, 1 << 16):
-                    g = np.arange(a, min(stop, a + (1 << 16)))
-                    turn = g // blocks
-                    image = np.empty(len(g), dtype=np.int64)
-                    for t in np.unique(turn):
-                        image[turn == t] = permuted(g[turn == t] % blocks, blocks, sid, int(t), mix.seed)
-                    same = lambda x: pa.array(np.full(len(g), x, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [same(shard), same(sid), pa.array(g), pa.array(turn), pa.array(image)],
-                        ["shard", "sid", "slot", "turn", "block"],
-                    )
-
-    return ranges.unionByName(extra).mapInArrow(filled, "shard long, sid long, slot long, turn long, block long")
+                g = np.arange(start, stop)
+                turn = g // blocks
+                image = np.empty(len(g), dtype=np.int64)
+                for t in np.unique(turn):
+                    image[turn == t] = permuted(g[turn == t] % blocks, blocks, sid, int(t), mix.seed)
+                same = lambda x: pa.array(np.full(len(g), x, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [same(shard), same(sid), pa.array(g), pa.array(turn), pa.array(image)],
+                    ["shard", "sid", "slot", "turn", "block"],
+                )
+
+    return pieces.mapInArrow(filled, "shard long, sid long, slot long, turn long, block long")
 
 
 def mix_report(

@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from canopy.llm import mixing as X
 from canopy.llm.common import written
@@ -140,3 +141,16 @@ def test_documents_of_the_mix(spark, table):
         told[x.doc_id] += x.taken
     assert {k: n for k, n in told.items() if n} == dict(taken)
     assert X.mixed_documents(nothing(spark)).count() == 0
+
+
+def test_one_source_fills_every_task(spark):
+    """All slots of one source: no partition holds more than twice its share, and none is lost."""
+    sources = spark.createDataFrame(
+        [("a", 0, 6_000_000, 9_000_000.0, 64, 93_750, 140_625)],
+        "source string, sid long, source_size long, target double, length long, blocks long, slots long",
+    )
+    made = X.slots(sources)
+    by_part = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_part) == made.select("slot").distinct().count() == 140_625
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(by_part) == parts and max(by_part) <= 2 * 140_625 / parts
