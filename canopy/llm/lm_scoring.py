@@ -1,26 +1,28 @@
 """Scores of a log-bilinear neural language model, trained with noise-contrastive estimation.
 
-The model knows the ``words`` most frequent training words, the end of a text, and one class for
-all other words. From the vectors ``r`` of the two words before, the next word's score is
+Every training word with ``least`` or more counts has vectors of its own, so the vocabulary grows
+with the corpus; rarer words share the vectors of ``shared`` groups by a hash. From the vectors
+``r`` of the two words before, the next word's score is
 
-    s(w | u, v) = (c1 * r_u + c2 * r_v) . q_w + b_w
+    s(w | u, v) = h . q_w + b_w,   h = c1 * r_u + c2 * r_v
 
-Training tells true words from words drawn from the unigram distribution, so it needs no
-normaliser. Every partition of the training texts trains a copy of the model on all its tokens;
-the copies are averaged by Spark, weighted by tokens, and a second round starts from the average.
+Words lie in classes of about equal sums of root counts, and classes have vectors and biases too.
+Training tells true words (and classes) from ones drawn from the unigram distribution, so it needs
+no normaliser. Tasks train copies of the model on all their tokens; Spark averages the copies, each
+word weighted by how often a copy met it, and a second round starts from the average.
 
-Scoring is exactly normalised. As a score is a sum over the two places, ``exp`` of it is a product
-of ``A[u, w] = exp(c1 r_u . q_w + b_w)`` and ``B[v, w] = exp(c2 r_v . q_w)``, and the normalisers
-of all contexts are one matrix product ``A B^T``. A token then costs three look-ups. A word of
-the class shares its probability by smoothed counts, like the base score; counts cover all
-training texts.
+Scoring is exactly normalised, in two levels of batched matrix products: over the classes, and over
+the words of the true one. A word of a group shares its probability by smoothed counts, like the
+base score; counts cover all training texts.
 
-Tasks hold the counts of the ``known`` most frequent words. The rarer words of a document are
-joined with their counts.
+Tasks hold the counts and vectors of the ``known`` most frequent words. The rarer words of a
+document are joined with their counts.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,15 +40,24 @@ END = b" end"
 
 @dataclass(frozen=True)
 class Lbl:
-    """``known`` bounds the counts sent to every task, ``longest`` the bytes of a word among them."""
+    """``known`` bounds the counts sent to every task, ``longest`` the bytes of a word among them.
 
-    words: int = 2047
+    Of the known words, those with ``least`` counts have own vectors, ``words`` of them at most.
+    """
+
+    least: int = 3
+    words: int = 1 << 17
     known: int = 1 << 17
     longest: int = 64
+    shared: int = 64
+    classes: int = 256
+    #: Tokens that one copy of the model is trained on, if there are so many.
+    stretch: int = 1 << 24
     dim: int = 16
     noise: int = 32
     batch: int = 512
-    rate: float = 0.3
+    rate: float = 0.07
+    past: float = 1e-6
     rounds: int = 2
     parts: int = 5
     held_part: int = 1
@@ -89,33 +100,85 @@ def count_words(docs: DataFrame) -> DataFrame:
 # --- the model ------------------------------------------------------------------------------------
 
 
+def _with_bias(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.column_stack([q, b]))
+
+
+def _log_softmax(h: np.ndarray, q: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Natural logs of the picked entries' shares, a few rows at a time; a one in ``h`` meets the biases in ``q``."""
+    out = np.empty(len(h))
+    step = max(1, (1 << 16) // len(q))
+    room, columns = np.empty((min(step, len(h)), len(q)), dtype=np.float32), np.ascontiguousarray(q.T)
+    for at in range(0, len(h), step):
+        some = h[at : at + step]
+        s = np.matmul(some, columns, out=room[: len(some)])
+        own = s[np.arange(len(s)), pick[at : at + step]].astype(np.float64)
+        with np.errstate(over="ignore"):
+            total = np.exp(s, out=s).sum(1)
+        wide = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))  # beyond single precision
+        if len(wide):
+            again = some[wide] @ columns
+            top = again.max(1)
+            own[wide] -= top
+            total[wide] = np.exp(again - top[:, None]).sum(1)
+        out[at : at + step] = own - np.log(total)
+    return out
+
+
 @dataclass
 class Model:
-    """Vectors and biases; index 0 is the end of a text, the last one the class of other words."""
+    """Vectors and biases of words, entry 0 being the end of a text, and of their classes."""
 
     r: np.ndarray
     q: np.ndarray
     b: np.ndarray
     c: np.ndarray  # two rows: weights of the word before, and of the one before that
+    qc: np.ndarray
+    bc: np.ndarray
     log_share: np.ndarray  # unigram log probabilities
+    order: np.ndarray  # words class by class
+    bounds: np.ndarray  # where classes begin in ``order``, and its length
 
-    @property
-    def other(self) -> int:
-        return len(self.b) - 1
+    @cached_property
+    def class_of(self) -> np.ndarray:
+        out = np.empty(len(self.order), dtype=np.int64)
+        out[self.order] = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        return out
+
+    @cached_property
+    def class_log_share(self) -> np.ndarray:
+        return np.log(np.add.reduceat(np.exp(self.log_share[self.order]), self.bounds[:-1]))
 
     @cached_property
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores by the word before and by the one before that, and every context's log normaliser."""
-        first = (self.r * self.c[0]) @ self.q.T + self.b
-        second = (self.r * self.c[1]) @ self.q.T
-        top, side = first.max(1, keepdims=True), second.max(1, keepdims=True)
-        normal = np.exp(first - top) @ np.exp(second - side).T
-        return first, second, np.log(normal) + top + side.T
-
-    def log_probabilities(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Vectors and biases of words, class by class, and of classes; each word's place in its class."""
+        place = np.empty(len(self.order), dtype=np.int64)
+        place[self.order] = np.arange(len(self.order)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
+        return _with_bias(self.q[self.order], self.b[self.order]), _with_bias(self.qc, self.bc), place
+
+    def copy(self) -> Model:
+        own = (x.copy() for x in (self.r, self.q, self.b, self.c, self.qc, self.bc))
+        return Model(*own, self.log_share, self.order, self.bounds)
+
+    def log_probabilities(self, w: np.ndarray, u: np.ndarray, v: np.ndarray, rows: int = 1 << 17) -> np.ndarray:
         """Natural logs of ``P(w | u, v)``; over all ``w`` they sum to one."""
-        first, second, normal = self.tables
-        return first[u, w].astype(np.float64) + second[v, w] - normal[u, v]
+        parts = [self._some(w[a : a + rows], u[a : a + rows], v[a : a + rows]) for a in range(0, len(w), rows)]
+        return np.concatenate(parts) if parts else np.empty(0)
+
+    def _some(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        words, classes, place = self.tables
+        h = np.ones((len(w), words.shape[1]), dtype=np.float32)
+        h[:, :-1] = (self.r * self.c[0])[u] + (self.r * self.c[1])[v]
+        own, place = self.class_of[w], place[w]
+        out = _log_softmax(h, classes, own)
+        by = np.argsort(own, kind="stable")
+        ends = np.cumsum(np.bincount(own, minlength=len(self.bc)))
+        for k in np.unique(own).tolist():
+            lo, hi = self.bounds[k], self.bounds[k + 1]
+            if hi - lo > 1:
+                some = by[ends[k - 1] if k else 0 : ends[k]]
+                out[some] += _log_softmax(h[some], words[lo:hi], place[some])
+        return out
 
 
 def start_model(counts: np.ndarray, lbl: Lbl) -> Model:
@@ -123,8 +186,18 @@ def start_model(counts: np.ndarray, lbl: Lbl) -> Model:
     rng = np.random.default_rng(lbl.seed)
     counts = np.maximum(counts, 0.5).astype(np.float64)
     share = np.log(counts / counts.sum())
-    r, q = (rng.normal(0, 0.1, (len(counts), lbl.dim)).astype(np.float32) for _ in range(2))
-    return Model(r, q, share.astype(np.float32), np.ones((2, lbl.dim), dtype=np.float32), share)
+    order = np.argsort(-counts, kind="stable")
+    root = np.sqrt(counts[order])
+    into = ((np.cumsum(root) - root) / root.sum() * min(lbl.classes, math.isqrt(len(root)) + 1)).astype(np.int64)
+    bounds = np.append(np.flatnonzero(np.diff(into, prepend=-1)), len(counts))
+    small = lambda n: rng.normal(0, 0.1, (n, lbl.dim)).astype(np.float32)
+    k = len(bounds) - 1
+    own = Model(
+        small(len(counts)), small(len(counts)), share.astype(np.float32), np.ones((2, lbl.dim), dtype=np.float32),
+        small(k), np.zeros(k, dtype=np.float32), share, order, bounds,
+    )
+    own.bc = own.class_log_share.astype(np.float32)
+    return own
 
 
 def before(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,122 +215,173 @@ class Trainer:
     """Noise-contrastive steps in place, with Adagrad on rows.
 
     A batch shares its noise words, so their scores are one matrix product. With ``k`` of them
-    drawn from ``p_n``, a word is true with probability ``sigmoid(s - log(k p_n))``.
+    drawn from ``p_n``, a word is true with probability ``sigmoid(s - log(k p_n))``; classes
+    likewise, with noise classes.
     """
 
     def __init__(self, model: Model, lbl: Lbl, seed: int) -> None:
         self.model, self.lbl = model, lbl
         self.rng = np.random.default_rng(seed)
-        self.past = {k: np.full(len(t), 1e-2, dtype=np.float32) for k, t in (("r", model.r), ("q", model.q), ("c", model.c), ("b", model.b))}
-        share = np.exp(model.log_share)
-        self.drawn_from = np.cumsum(share / share.sum())
-        self.prior = (model.log_share + np.log(lbl.noise)).astype(np.float32)
+        self.past = {k: np.full(len(getattr(model, k)), lbl.past, dtype=np.float32) for k in ("r", "q", "b", "c", "qc", "bc")}
+        kinds = (model.log_share, model.class_log_share)
+        self.drawn_from = [np.cumsum(np.exp(x)) / np.exp(x).sum() for x in kinds]
+        self.prior = [(x + np.log(lbl.noise)).astype(np.float32) for x in kinds]
 
-    def _move(self, name: str, rows: np.ndarray, change: np.ndarray) -> None:
+    def _move(self, rows: np.ndarray, **changes: np.ndarray) -> None:
         """One Adagrad step for rows that may repeat; their changes are added up first."""
-        table, past = getattr(self.model, name), self.past[name]
-        small = rows.astype(np.uint16) if len(table) <= 1 << 16 else rows
-        order = np.argsort(small, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0]))
-        own = rows[order[first]]
-        total = np.add.reduceat(change[order], first, axis=0) / np.float32(self.lbl.batch)
-        past[own] += (total * total).mean(1) if total.ndim > 1 else total * total
-        step = np.float32(self.lbl.rate) / np.sqrt(past[own])
-        table[own] -= (step[:, None] if total.ndim > 1 else step) * total
+        order = np.argsort(rows.astype(np.uint16) if len(self.model.b) <= 1 << 16 else rows, kind="stable")
+        ranked = rows.take(order)
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        own = ranked.take(first)
+        for name, change in changes.items():
+            table, past = getattr(self.model, name), self.past[name]
+            total = np.add.reduceat(change.take(order, axis=0), first, axis=0)
+            total /= np.float32(self.lbl.batch)
+            square = np.einsum("ij,ij->i", total, total) / np.float32(total.shape[1]) if total.ndim > 1 else total * total
+            square += past.take(own)
+            past[own] = square
+            step = np.float32(self.lbl.rate) / np.sqrt(square)
+            total *= step[:, None] if total.ndim > 1 else step
+            table[own] = table.take(own, axis=0) - total
+
+    def _told(self, level: int, q: str, b: str, true: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Moves the vectors of true and noise entries; the change of ``h``."""
+        vectors, bias, prior = getattr(self.model, q), getattr(self.model, b), self.prior[level]
+        noise = np.searchsorted(self.drawn_from[level], self.rng.random(self.lbl.noise))
+        noise = np.minimum(noise, len(bias) - 1)
+        qt, qn = vectors.take(true, axis=0), vectors[noise]
+        # A sigmoid less one for true entries, a sigmoid for noise.
+        up = -1 / (1 + np.exp(np.einsum("ij,ij->i", h, qt) + bias.take(true) - prior.take(true)))
+        down = h @ qn.T
+        down += bias[noise] - prior[noise]
+        np.negative(down, out=down)
+        with np.errstate(over="ignore"):  # infinite: no chance
+            np.exp(down, out=down)
+        down += 1
+        np.reciprocal(down, out=down)
+        change = {q: np.concatenate([up[:, None] * h, down.T @ h]), b: np.concatenate([up, down.sum(0)])}
+        self._move(np.concatenate([true, noise]), **change)
+        return up[:, None] * qt + down @ qn
 
     def steps(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
         """One pass over tokens ``w`` after ``u`` after ``v``."""
         m, lbl = self.model, self.lbl
-        sigmoid = lambda x: 1 / (1 + np.exp(-x))
-        every = np.arange(2)
+        classes, past = m.class_of, self.past["c"]
         for at in range(0, len(w), lbl.batch):
             a, b, c = w[at : at + lbl.batch], u[at : at + lbl.batch], v[at : at + lbl.batch]
-            noise = np.minimum(np.searchsorted(self.drawn_from, self.rng.random(lbl.noise)), m.other)
-            ru, rv, qw, qn = m.r[b], m.r[c], m.q[a], m.q[noise]
+            ru, rv = m.r.take(b, axis=0), m.r.take(c, axis=0)
             h = ru * m.c[0] + rv * m.c[1]
-            true = sigmoid(np.einsum("ij,ij->i", h, qw) + m.b[a] - self.prior[a]) - 1
-            false = sigmoid(h @ qn.T + (m.b[noise] - self.prior[noise]))
-            dh = true[:, None] * qw + false @ qn
+            dh = self._told(0, "q", "b", a, h) + self._told(1, "qc", "bc", classes[a], h)
             dc = np.stack([(dh * ru).sum(0), (dh * rv).sum(0)])
-            self._move("q", np.concatenate([a, noise]), np.concatenate([true[:, None] * h, false.T @ h]))
-            self._move("b", np.concatenate([a, noise]), np.concatenate([true, false.sum(0)]))
-            self._move("r", np.concatenate([b, c]), np.concatenate([dh * m.c[0], dh * m.c[1]]))
-            self._move("c", every, dc)
+            self._move(np.concatenate([b, c]), r=np.concatenate([dh * m.c[0], dh * m.c[1]]))
+            dc /= np.float32(lbl.batch)
+            past += (dc * dc).mean(1)
+            m.c -= np.float32(lbl.rate) / np.sqrt(past)[:, None] * dc
 
 
 # --- Spark ----------------------------------------------------------------------------------------
 
 
+def _group(word: bytes, lbl: Lbl) -> int:
+    return zlib.crc32(word) % lbl.shared
+
+
 @dataclass
 class Scorer:
-    """Everything a task needs: bounded by ``known`` words and the model."""
+    """Everything a task needs: bounded by ``known`` words and the model.
+
+    A number below ``len(counts)`` is a known word, a later one a group of words that are not known.
+    """
 
     lbl: Lbl
     numbers: dict[bytes, int]
     counts: np.ndarray  # of the known words
     total: int
     distinct: int
+    entry: np.ndarray  # the model's entry of each number
+    room: np.ndarray  # smoothed tokens of each group
     model: Model
 
     @property
     def base_room(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    @property
-    def class_room(self) -> float:
-        """Smoothed tokens of the class of other words."""
-        own = min(self.model.other, len(self.counts))
-        return self.total - float(self.counts[:own].sum()) + 0.5 * (max(self.distinct - own, 0) + 1)
-
     def indices(self, words: list[bytes]) -> np.ndarray:
-        get, rare = self.numbers.get, len(self.counts)
-        return np.fromiter((get(w, rare) for w in words), dtype=np.int64, count=len(words))
+        get = self.numbers.get
+        out = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = len(self.counts) + _group(words[i], self.lbl)
+        return out
+
+    def in_group(self) -> np.ndarray:
+        """What a word adds to the log10 probability of its entry; its count is still to come if not known."""
+        out = -np.log10(np.append(np.ones(len(self.entry) - len(self.room)), self.room))
+        group = self.entry[: len(self.counts)] - (len(self.model.b) - len(self.room))
+        shared = np.flatnonzero(group >= 0)
+        out[shared] = np.log10((self.counts[shared] + 0.5) / self.room[group[shared]])
+        return out
 
 
 def _averaged(texts: DataFrame, scorer: Scorer, lbl: Lbl, number: int) -> Model:
-    """The average of the models that the partitions of ``texts`` train, weighted by their tokens."""
+    """The average of the models that tasks train on ``texts``, each row weighted by how often it was met.
+
+    A task sends only the rows it met; rows that none has met stay. ``row`` counts words, then
+    classes, and at last the weights of the two places.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(scorer)
     width = 2 * lbl.dim + 1
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, seen, held, size = sent.value, 0, [], 0
-        m = own.model
-        m = Model(m.r.copy(), m.q.copy(), m.b.copy(), m.c.copy(), m.log_share)
+        own, held, size = sent.value, [], 0
+        m = own.model.copy()
+        met = np.zeros(len(m.b) + len(m.bc) + 1)
         trainer = Trainer(m, lbl, lbl.seed + 7919 * number + TaskContext.get().partitionId())
+
+        def learn() -> None:
+            w, u, v = before(held)
+            trainer.steps(w, u, v)
+            for x in (w, u, v):
+                met[: len(m.b)] += np.bincount(x, minlength=len(m.b))
+            met[len(m.b) : -1] += np.bincount(m.class_of[w], minlength=len(m.bc))
+            met[-1] += len(w)
+
         for batch in batches:
             for text in raw(batch.column(0)):
-                held.append(np.minimum(own.indices(tokens(text)), m.other))
+                held.append(own.entry[own.indices(tokens(text))])
                 size += len(held[-1])
                 if size >= 1 << 18:
-                    trainer.steps(*before(held))
-                    seen, held, size = seen + size, [], 0
+                    learn()
+                    held, size = [], 0
         if held:
-            trainer.steps(*before(held))
-            seen += size
-        if seen:
-            rows = np.column_stack([m.r, m.q, m.b])
-            last = np.concatenate([m.c.ravel(), [0.0]])[None, :]
-            rows = np.concatenate([rows, last]).astype(np.float64) * seen
-            values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), width).cast(pa.list_(pa.float64()))
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, float(seen))), values], ["row", "n", "x"]
-            )
-
-    copies = texts.mapInArrow(train, "row int, n double, x array<double>")
-    sums = copies.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(width)])
-    rows = sorted(tuple(r) for r in sums.collect())  # one for each word of the model
-    if not rows:
-        return scorer.model
-    x = np.array([r[2:] for r in rows]) / np.array([r[1] for r in rows])[:, None]
-    d = lbl.dim
-    words, last = x[:-1].astype(np.float32), x[-1].astype(np.float32)
-    return Model(
-        np.ascontiguousarray(words[:, :d]), np.ascontiguousarray(words[:, d : 2 * d]), np.ascontiguousarray(words[:, -1]),
-        last[: 2 * d].reshape(2, d), scorer.model.log_share,
+            learn()
+        rows = np.zeros((len(met), width), dtype=np.float32)
+        rows[: len(m.b)] = np.column_stack([m.r, m.q, m.b])
+        rows[len(m.b) : -1, lbl.dim :] = np.column_stack([m.qc, m.bc])
+        rows[-1, :-1] = m.c.ravel()
+        own_rows = np.flatnonzero(met)
+        for at in range(0, len(own_rows), 4096):
+            part = own_rows[at : at + 4096]
+            values = pa.FixedSizeListArray.from_arrays(pa.array(rows[part].ravel()), width).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(met[part]), values], ["row", "n", "x"])
+
+    copies = texts.mapInArrow(train, "row int, n double, x array<float>")
+    sums = copies.groupBy("row").agg(
+        F.sum("n").alias("n"), *[F.sum(F.col("x")[i] * F.col("n")).alias(f"x{i}") for i in range(width)]
     )
+    table = sums.toArrow()  # one row for each word and class of the model
+    row = table.column("row").to_numpy()
+    x = np.column_stack([table.column(f"x{i}").to_numpy() for i in range(width)]) / table.column("n").to_numpy()[:, None]
+    out, d = scorer.model.copy(), lbl.dim
+    n = len(out.b)
+    word, kind, last = row < n, (row >= n) & (row < n + len(out.bc)), row == n + len(out.bc)
+    at = row[word]
+    out.r[at], out.q[at], out.b[at] = x[word, :d], x[word, d : 2 * d], x[word, -1]
+    out.qc[row[kind] - n], out.bc[row[kind] - n] = x[kind, d : 2 * d], x[kind, -1]
+    if last.any():
+        out.c[:] = x[last, : 2 * d].reshape(2, d)
+    return out
 
 
 def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -286,12 +410,23 @@ def fit(docs: DataFrame, counts: DataFrame, lbl: Lbl) -> Scorer:
     known = [(END, ends.c if ends else 0), *top]
     numbers = {w: i for i, (w, _) in enumerate(known)}
     own = np.array([c for _, c in known], dtype=np.int64)
-    size = min(lbl.words, len(own))
-    shares = np.append(own[:size], total - own[:size].sum())
-    scorer = Scorer(lbl, numbers, own, total, distinct, start_model(shares, lbl))
+    vectors = 1 + min(lbl.words, sum(c >= lbl.least for _, c in top))
+    sums = counts.where(F.col("word") != F.lit(END)).groupBy((F.crc32("word") % lbl.shared).alias("group")).agg(
+        F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")
+    )
+    tokens_, words_ = np.zeros(lbl.shared), np.zeros(lbl.shared)
+    for r in sums.collect():  # one row a group
+        tokens_[r.group], words_[r.group] = r.c, r.n
+    groups = np.array([_group(w, lbl) for w, _ in known], dtype=np.int64)
+    np.subtract.at(tokens_, groups[1:vectors], own[1:vectors])
+    np.subtract.at(words_, groups[1:vectors], 1)
+    entry = np.concatenate([np.arange(vectors), vectors + groups[vectors:], vectors + np.arange(lbl.shared)])
+    room = tokens_ + 0.5 * (words_ + 1)
+    scorer = Scorer(lbl, numbers, own, total, distinct, entry, room, start_model(np.append(own[:vectors], tokens_), lbl))
+    copies = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // (lbl.rounds * lbl.stretch)))
     for number in range(lbl.rounds):
         part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(lbl.rounds)) == number).select("text")
-        scorer.model = _averaged(part, scorer, lbl, number)
+        scorer.model = _averaged(part.coalesce(copies), scorer, lbl, number)
     return scorer
 
 
@@ -301,12 +436,10 @@ def _known_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        rare, other = len(own.counts), own.model.other
-        base_of = np.append(np.log10((own.counts + 0.5) / own.base_room), 0.0)
-        in_class = np.log10((own.counts + 0.5) / own.class_room)
-        in_class[:other] = 0.0
-        in_class = np.append(in_class, 0.0)
-        seen = np.append(own.counts > 0, False)
+        rare, in_group = len(own.counts), own.in_group()
+        later = np.zeros(len(own.room))  # counts of words that are not known are joined
+        base_of = np.append(np.log10((own.counts + 0.5) / own.base_room), later)
+        seen = np.append(own.counts > 0, later > 0)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -314,9 +447,9 @@ def _known_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
                 lists = [own.indices(x) for x in texts]
                 every = np.concatenate(lists)
                 starts = np.cumsum([0, *map(len, lists)])[:-1]  # a text has its end at least
-                w, u, v = before([np.minimum(x, other) for x in lists])
-                score = own.model.log_probabilities(w, u, v) / np.log(10) + in_class[every]
-                left = [[x[i] for i in np.flatnonzero(y == rare).tolist()] for x, y in zip(texts, lists)]
+                w, u, v = before([own.entry[x] for x in lists])
+                score = own.model.log_probabilities(w, u, v) / np.log(10) + in_group[every]
+                left = [[x[i] for i in np.flatnonzero(y >= rare).tolist()] for x, y in zip(texts, lists)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(list(map(len, lists)), pa.int64()),
                      pa.array(np.add.reduceat(seen[every].astype(np.int64), starts)),
@@ -346,7 +479,7 @@ def score_documents(df: DataFrame, lbl: Lbl = Lbl(), id_col: str = "doc_id", tex
     rare = known.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row").agg(
         F.count("c").alias("more_known"),
         F.sum(F.log10(c / F.lit(float(scorer.base_room)))).alias("more_base"),
-        F.sum(F.log10(c / F.lit(float(scorer.class_room)))).alias("more_score"),
+        F.sum(F.log10(c)).alias("more_score"),
     )
     return known.drop("rare").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens",

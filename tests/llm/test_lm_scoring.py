@@ -95,3 +95,59 @@ def test_contrast_learns():
 def test_before():
     w, u, v = M.before([np.array([3, 4, 5]), np.array([6]), np.array([7, 8])])
     assert (w.tolist(), u.tolist(), v.tolist()) == ([3, 4, 5, 6, 7, 8], [0, 3, 4, 0, 0, 7], [0, 0, 3, 0, 0, 0])
+
+
+def test_normalised_in_two_levels():
+    """Three classes of several words: probabilities over all words still sum to one."""
+    r = np.random.default_rng(5)
+    lbl = M.Lbl(dim=4, noise=8, batch=64, classes=3)
+    own = M.start_model(r.integers(1, 90, 40), lbl)
+    assert 1 < len(own.bc) <= 3 and sorted(own.order.tolist()) == list(range(40))
+    M.Trainer(own, lbl, 1).steps(*M.before([r.integers(0, 40, 3000)]))
+    u, v = np.repeat(np.arange(40), 40), np.tile(np.arange(40), 40)
+    total = sum(np.exp(own.log_probabilities(np.full(1600, w), u, v)) for w in range(40))
+    assert total == pytest.approx(np.ones(1600), abs=1e-4)
+
+
+def test_wide_scores_stay_finite():
+    own = M.start_model(np.arange(1, 30), M.Lbl(classes=3))
+    own.q[3], own.r[:] = 500.0, 1.0
+    at = np.arange(29)
+    assert np.isfinite(own.log_probabilities(at, at, at)).all()
+
+
+@pytest.mark.parametrize("lbl", [M.Lbl(), M.Lbl(known=3000, longest=10, words=500)])
+def test_score_is_the_fitted_model(spark, lbl):
+    """Scores over Spark equal a dense softmax of the fitted vectors, word by word; the vocabulary follows the counts."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = M._split(df, lbl, "doc_id", "text")
+    train = docs.where("not held_out")
+    counts = M.written(M.count_words(train), "lm-test")
+    fitted = M.fit(train, counts, lbl)
+    rows = [(x.doc_id, x.text) for x in df.collect()]
+    c = Counter(w for i, t in rows if not held(i) for w in words(t))
+    c = Counter({w.encode(): n for w, n in c.items()})
+    m, groups = fitted.model, lbl.shared
+    own = {w: fitted.entry[i] for w, i in fitted.numbers.items() if fitted.entry[i] < len(m.b) - groups}
+    if lbl == M.Lbl():
+        assert set(own) - {M.END} == {w for w, n in c.items() if n >= lbl.least and w != M.END}
+    room, entry = Counter(), lambda w: own.get(w, len(m.b) - groups + zlib.crc32(w) % groups)
+    for w, n in c.items():
+        if w not in own:
+            room[entry(w)] += n + 0.5
+
+    def log10_p(w, u, v):
+        h = m.r[u] * m.c[0] + m.r[v] * m.c[1]
+        soft = lambda s: s - s.max() - np.log(np.exp(s - s.max()).sum())
+        k = m.class_of[entry(w)]
+        inside = np.flatnonzero(m.class_of == k)
+        p = soft(m.qc @ h + m.bc)[k] + soft(m.q[inside] @ h + m.b[inside])[inside.tolist().index(entry(w))]
+        return p / math.log(10) + (0 if w in own else math.log10((c[w] + 0.5) / (room[entry(w)] + 0.5)))
+
+    some = sorted(rows)[:40]
+    known = M._known_scores(docs, fitted).where(M.F.col("doc_id").isin([i for i, _ in some])).collect()
+    got = {x.doc_id: x.score + sum(math.log10(c[bytes(w)] + 0.5) for w in x.rare) for x in known}
+    for i, t in some:
+        e = [w.encode() for w in words(t)]
+        before = [0, 0, *map(entry, e)]
+        assert got[i] == pytest.approx(sum(log10_p(w, before[j + 1], before[j]) for j, w in enumerate(e)), rel=1e-4)
