@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from canopy.functions import geometry as G
-from canopy.operators.folds import fold_sorted, independent_parts, map_groups
+from canopy.operators.folds import fold_sorted, independent_parts
 from canopy.session import shared
 
 VIDEO = "video_id"
@@ -153,38 +152,69 @@ def chain_heads(links: DataFrame, frames: int = 1 << 16) -> DataFrame:
     return inner.join(found, "__chain").select(VIDEO, F.col("dst").alias("entity_id"), "merged_id")
 
 
-def _compat_merges(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Marks kept on chain representatives instead of fragments, as the reference does."""
+def _compat_step():
+    """Marks kept on chain representatives instead of fragments, as the reference does; links high to low."""
     above: dict[int, int] = {}
+    followed, preceded = set(), set()
 
     def top(n: int) -> int:
-        while above.get(n, n) != n:
+        while n in above:
             n = above[n]
         return n
 
-    followed, preceded = set(), set()
-    for src, dst in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+    def step(src, dst) -> tuple:
         a, b = top(src), top(dst)
         if a == b or a in followed or b in preceded:
-            continue
+            return (None, None)
         low, high = sorted((a, b))
         above[high] = low
         followed.add(low)
         preceded.add(high)
-    return pd.DataFrame({VIDEO: key[0], "entity_id": list(above), "merged_id": [top(n) for n in above]})
+        return (high, low)
+
+    return step
+
+
+def _root_step():
+    roots: dict[int, int] = {}
+
+    def step(low, high) -> tuple[int]:
+        roots[high] = roots.get(low, low)  # a lower number's own link came before
+        return (roots[high],)
+
+    return step
+
+
+def compat_heads(candidates: DataFrame) -> DataFrame:
+    """``entity_id -> merged_id`` by the order-dependent chain rule.
+
+    Edges act on one another through fragments they share, however long a fragment lives. So an
+    edge spans the frames that all edges of its two fragments span, and pauses between spans cut
+    the edges into parts; each part is one ordered pass, and no video is held as a frame.
+    """
+    candidates = shared(candidates)
+    end = lambda entity, at: F.struct(F.struct(VIDEO, F.col(entity).alias("entity")).alias("e"), F.col(at).alias("at"))
+    ends = candidates.select(F.inline(F.array(end("src", "end_frame"), end("dst", "start_frame"))))
+    life = ends.groupBy("e").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    edges = candidates
+    for c in ("src", "dst"):
+        side = life.select(F.col("e").alias("__e"), F.col("low").alias(f"__low_{c}"), F.col("high").alias(f"__high_{c}"))
+        edges = edges.withColumn("__e", F.struct(VIDEO, F.col(c).alias("entity"))).join(side, "__e").drop("__e")
+    edges = edges.withColumn("__low", F.least("__low_src", "__low_dst")).withColumn("__high", F.greatest("__high_src", "__high_dst"))
+    parts = independent_parts(edges, [VIDEO], [("__low", "__high", 0.0, 256.0)], "__part")
+    order = [F.col(c) for c in ("score", "distance_m", "src", "dst")]
+    folded = fold_sorted(parts, [VIDEO, "__part"], order, ["src", "dst"], "entity_id long, __onto long", _compat_step)
+    links = folded.filter("entity_id IS NOT NULL").select(VIDEO, "__part", "entity_id", "__onto")
+    found = fold_sorted(links, [VIDEO, "__part"], [F.col("entity_id")], ["__onto", "entity_id"], "merged_id long", _root_step)
+    return found.select(VIDEO, "entity_id", "merged_id")
 
 
 def merge_fragments(det: DataFrame, candidates: DataFrame, compat: bool = False) -> DataFrame:
     """All detections relabelled to the earliest fragment of their chain, also in ``track_id``.
 
-    ``compat`` reproduces the order-dependent chain rule of the reference per video.
+    ``compat`` reproduces the order-dependent chain rule of the reference.
     """
-    if compat:
-        order = [F.col(c) for c in ("score", "distance_m", "src", "dst")]
-        schema = T.StructType.fromDDL(f"{VIDEO} string, entity_id long, merged_id long")
-        heads = map_groups(candidates, [VIDEO], order, schema, _compat_merges)
-    else:
-        heads = chain_heads(greedy_links(candidates))
+    heads = compat_heads(candidates) if compat else chain_heads(greedy_links(candidates))
     merged = det.join(heads, [VIDEO, "entity_id"], "left")
     merged = merged.withColumn("entity_id", F.coalesce("merged_id", "entity_id")).drop("merged_id")
     return merged.withColumn("track_id", F.col("entity_id")).select(*dict.fromkeys([*det.columns, "track_id"]))
