@@ -1,69 +1,92 @@
-"""Exact interpolated quantiles per key without gathering a key's values."""
+"""Exact interpolated quantiles per key by narrowing brackets, without gathering a key's values."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from canopy.operators.ordered import bucket_count, how_many_below
+KEY = "__key"
+ACCURACY = 10_000  # of the sketch: ranks are within a share of 1 / ACCURACY
+SHARE = 2 / ACCURACY  # what a bracket reaches on both sides of its quantile
+BINS = 1024  # equal steps of a bracket
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    parts: int | None = None,
-) -> DataFrame:
-    """One row per key with a column per entry of ``probs``.
+def _beside(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of ``table``, which has one row a key (one row at all without keys)."""
+    if by:
+        return df.join(table, by)
+    one = table.select(F.struct("*").alias("s")).scalar()
+    return df.withColumns({c: one[c] for c in table.columns})
 
-    Values are counted per distinct value first; a bounded sketch then cuts each
-    key into rank buckets, and only the buckets holding a wanted rank are ordered.
-    Interpolation is linear between closest ranks.
-    """
-    keys = list(keys)
-    parts = parts or bucket_count(df.sparkSession)
-    v = F.col(value).cast("double")
-    kept = df.select(*keys, v.alias("__v")).filter(v.isNotNull())
-    counts = kept.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    cuts = [i / parts for i in range(1, parts)]
-    totals = kept.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__total"), F.percentile_approx("__v", cuts, max(1000, 32 * parts)).alias("__cuts")
-    )
-    if keys:
-        placed = counts.join(totals, keys)
-    else:
-        one = totals.select(F.struct("__total", "__cuts").alias("s")).scalar()
-        placed = counts.withColumn("__total", one["__total"]).withColumn("__cuts", one["__cuts"])
-    placed = placed.withColumn("__b", how_many_below(F.col("__cuts"), F.col("__v"), parts)).drop("__cuts")
-    buckets = placed.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"), F.first("__total").alias("__total"))
-    upto = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    buckets = buckets.withColumn("__start", F.coalesce(F.sum("__bn").over(upto), F.lit(0)))
-    names = list(probs)
 
-    def rank(p: float):
-        return F.lit(float(p)) * (F.col("__total") - 1)
+def _bin(v: Column, low: Column, high: Column) -> Column:
+    """Step of a bracket that holds ``v``; one step where its ends are equal or not finite."""
+    width = high - low
+    even = (width > 0) & (width < F.lit(float("inf")))
+    return F.when(even, F.floor((v - low) / width * (BINS - 1))).otherwise(0)
+
 
-    wanted = F.array(*[f(rank(probs[n])).cast("long") for n in names for f in (F.floor, F.ceil)])
-    buckets = buckets.withColumn("__want", wanted)
-    hit = F.exists(
-        "__want",
-        lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__bn")),
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """One row per key with a column per entry of ``probs``, linear between closest ranks.
+
+    Four counting passes, each over less than the one before: a sketch gives every quantile a
+    bracket; rows below and inside the brackets are counted; those inside are counted by steps of
+    the bracket; and only the values of the steps with a wanted rank are put in order. A bracket
+    that turns out to miss its ranks is replaced by the whole line, so results do not depend on
+    the sketch. Null values are left out, keys without values have no row, null keys are keys.
+    """
+    keys, names = list(keys), list(probs)
+    by = [KEY] if keys else []
+    v = F.col(value).cast("double").alias("v")
+    kept = df.select(*[F.struct(*keys).alias(KEY)] * len(by), v).where(F.col("v").isNotNull())
+    counts = kept.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
+    ends = [x for p in probs.values() for x in (max(0.0, p - SHARE), min(1.0, p + SHARE))]
+    sketch = kept.groupBy(*by).agg(F.percentile_approx("v", ends, ACCURACY).alias("ends"))
+    guess = sketch.select(*by, *[F.col("ends")[j].alias(f"{'lh'[j % 2]}{j // 2}") for j in range(len(ends))])
+
+    v, n = F.col("v"), F.col("n")
+    which = range(len(names))
+    inside = [v.between(F.col(f"l{i}"), F.col(f"h{i}")) for i in which]
+    sums = _beside(counts, guess, by).groupBy(*by).agg(
+        F.sum(n).alias("all"),
+        *[F.sum(F.when(v < F.col(f"l{i}"), n).otherwise(0)).alias(f"b{i}") for i in which],
+        *[F.sum(F.when(inside[i], n).otherwise(0)).alias(f"i{i}") for i in which],
+        *[F.any_value(f"{c}{i}").alias(f"{c}{i}") for i in which for c in "lh"],
     )
-    buckets = buckets.filter(hit).select(*keys, "__b", "__start", "__want")
-    inside = W.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        placed.join(buckets, [*keys, "__b"])
-        .withColumn("__to", F.col("__start") + F.sum("__n").over(inside))
-        .withColumn("__from", F.col("__to") - F.col("__n"))
+    told = [*by]
+    for i, p in zip(which, probs.values()):
+        at, below = F.lit(float(p)) * (F.col("all") - 1), F.col(f"b{i}")
+        holds = (below <= F.floor(at)) & (F.ceil(at) < below + F.col(f"i{i}"))
+        told += [
+            at.alias(f"p{i}"), F.when(holds, below).otherwise(0).alias(f"b{i}"),
+            F.when(holds, F.col(f"l{i}")).otherwise(F.lit(float("-inf"))).alias(f"l{i}"),
+            F.when(holds, F.col(f"h{i}")).otherwise(F.lit(float("nan"))).alias(f"h{i}"),  # NaN is above all numbers
+        ]
+    wide = _beside(counts, sums.select(*told), by).where(" or ".join(f"v between l{i} and h{i}" for i in which))
+    each = F.inline(F.array(*[
+        F.struct(F.lit(i).alias("which"), *[F.col(f"{c}{i}").alias(a) for c, a in zip("plhb", ("at", "low", "high", "below"))])
+        for i in which
+    ]))
+    values = wide.select(*by, "v", "n", each).where("v between low and high")
+    values = values.select(*by, "v", "n", "which", "at", "below", _bin(v, F.col("low"), F.col("high")).alias("bin"))
+
+    # At most BINS rows for each key and quantile.
+    steps = values.groupBy(*by, "which", "bin").agg(
+        F.sum("n").alias("m"), F.any_value("at").alias("at"), F.any_value("below").alias("below")
     )
-    aggs = []
-    for n in names:
-        pos = rank(probs[n])
-        lo, hi = F.floor(pos), F.ceil(pos)
-        at = lambda r: F.max(F.when((F.col("__from") <= r) & (r < F.col("__to")), F.col("__v")))
-        low, high = at(lo), at(hi)
-        frac = F.max(pos - lo)
-        aggs.append((low + (high - low) * frac).alias(n))
-    return ranked.groupBy(*keys).agg(*aggs)
+    earlier = W.partitionBy(*by, "which").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    steps = steps.withColumn("start", F.col("below") + F.coalesce(F.sum("m").over(earlier), F.lit(0)))
+    holds = lambda r: (F.col("start") <= r) & (r < F.col("start") + F.col("m"))
+    hit = steps.where(holds(F.floor("at")) | holds(F.ceil("at"))).select(*by, "which", "bin", "start")
+    upto = W.partitionBy(*by, "which", "bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = values.join(hit, [*by, "which", "bin"]).withColumn("to", F.col("start") + F.sum("n").over(upto))
+
+    def quantile(i: int) -> Column:
+        own, at = F.col("which") == i, F.col("at")
+        on = lambda r: F.max(F.when(own & (F.col("to") - n <= r) & (r < F.col("to")), v))
+        low, high = on(F.floor(at)), on(F.ceil(at))
+        return low + (high - low) * F.max(F.when(own, at - F.floor(at)))
+
+    out = ranked.groupBy(*by).agg(*[quantile(i).alias(name) for i, name in enumerate(names)])
+    return out.select(*[f"{KEY}.*"] * len(by), *names)

@@ -16,6 +16,7 @@ from canopy.functions.projection import reproject
 from canopy.operators.chunks import fold_in_chunks
 from canopy.operators.folds import fold_sorted, independent_parts
 from canopy.operators.matching import Cluster, ClusterBook, ClusterRules, EntityBook, EntityRules, MotionBook
+from canopy.operators.medoid import medoid
 from canopy.operators.ordered import fill, row_numbers
 from canopy.operators.telemetry import heading
 from canopy.operators.votes import scan_votes
@@ -368,7 +369,7 @@ def representative_obs(
     row = F.struct(*[c for c in obs.columns if c not in keys])
     early = F.struct(F.col("ts"), F.col("det_id"))
     if mode == "medoid":
-        return _medoid(obs, keys)
+        return medoid(obs, keys)
     if mode == "first":
         pick = F.min_by(row, early)
     elif mode == "last":
@@ -388,22 +389,3 @@ def representative_obs(
             raise ValueError(mode)
         pick = F.min_by(row, F.struct((-score).alias("s"), early.alias("e")))
     return obs.groupBy(*keys).agg(pick.alias("s")).select(*keys, "s.*")
-
-
-def _medoid(obs: DataFrame, keys: list[str], block: int = 256) -> DataFrame:
-    """Observation with the least mean distance to the others of its entity, first on a tie.
-
-    Positions are compared block against row: each block of positions meets every row of its
-    entity once, so no task holds an entity and no pair is emitted. Blocks are summed in no fixed
-    order, so means count as equal when nine digits agree.
-    """
-    sizes = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    sized = obs.join(sizes, keys)
-    tagged = sized.withColumn("__block", F.pmod(F.xxhash64("det_id"), F.floor(F.col("__n") / block).cast("int") + 1))
-    packs = tagged.groupBy(*keys, "__block").agg(F.collect_list(F.struct("north", "east")).alias("p"))
-    far = sized.select(*keys, "ts", "det_id", "north", "east", "__n").join(packs.drop("__block"), keys)
-    here = lambda b: F.sqrt(F.pow(F.col("north") - b["north"], F.lit(2.0)) + F.pow(F.col("east") - b["east"], F.lit(2.0)))
-    sums = far.select(*keys, "ts", "det_id", "__n", F.aggregate("p", F.lit(0.0), lambda s, b: s + here(b)).alias("part"))
-    scored = sums.groupBy(*keys, "ts", "det_id").agg((F.sum("part") / F.first("__n")).alias("d"))
-    best = scored.groupBy(*keys).agg(F.min(F.struct(F.round("d", 9).alias("d"), "ts", "det_id")).alias("b"))
-    return obs.join(best.select(*keys, F.col("b.det_id").alias("det_id")), [*keys, "det_id"])

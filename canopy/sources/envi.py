@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -90,7 +90,8 @@ class EnviReader(DataSourceReader):
         self.path = options["path"]
         self.rows = int(options.get("rows_per_split", 64))
         self.extension = options.get("extension", ".dat")
-
+        listed = options.get("bands", "")
+        self.bands = [int(b) for b in listed.split(",")] if listed else None
         self.cubes: set[str] | None = None
         self.first, self.last = 0, 1 << 31
 
@@ -116,24 +117,33 @@ class EnviReader(DataSourceReader):
     def read(self, part: RowRange):
         """Arrow batches of one line of pixels each."""
         h = part.header
+        wanted = list(range(h.bands)) if self.bands is None else self.bands
+        if not all(0 <= b < h.bands for b in wanted):
+            raise ValueError(f"{part.path} has {h.bands} bands, asked for {wanted}")
         system, _ = _open(self.path)
         item = np.dtype(h.dtype).itemsize
         with system.open_input_file(part.path) as f:
             lines = part.last - part.first
+
+            def values_at(place: int, n: int) -> np.ndarray:
+                f.seek(h.offset + place * item)
+                return np.frombuffer(f.read(n * item), h.dtype)
+
             if h.interleave == "bsq":  # the rows of a split lie together within a band
-                bands = np.empty((h.bands, lines, h.width), h.dtype)
-                for b in range(h.bands):
-                    f.seek(h.offset + (b * h.height + part.first) * h.width * item)
-                    bands[b] = np.frombuffer(f.read(lines * h.width * item), h.dtype).reshape(lines, h.width)
+                bands = np.empty((len(wanted), lines, h.width), h.dtype)
+                for i, b in enumerate(wanted):
+                    bands[i] = values_at((b * h.height + part.first) * h.width, lines * h.width).reshape(lines, h.width)
             for row in range(part.first, part.last):
                 if h.interleave == "bsq":
                     line = bands[:, row - part.first].T
+                elif h.interleave == "bip":  # bands of a pixel lie side by side, so all are read
+                    line = values_at(row * h.width * h.bands, h.width * h.bands).reshape(h.width, h.bands)[:, wanted]
+                elif self.bands is None:
+                    line = values_at(row * h.width * h.bands, h.width * h.bands).reshape(h.bands, h.width).T
                 else:
-                    f.seek(h.offset + row * h.row_bytes())
-                    flat = np.frombuffer(f.read(h.row_bytes()), h.dtype)
-                    line = flat.reshape(h.width, h.bands) if h.interleave == "bip" else flat.reshape(h.bands, h.width).T
+                    line = np.column_stack([values_at((row * h.bands + b) * h.width, h.width) for b in wanted])
                 values = pa.array(np.ascontiguousarray(line, dtype=float).ravel())
-                ends = pa.array(np.arange(0, h.width * h.bands + 1, h.bands, dtype="int32"))
+                ends = pa.array(np.arange(0, h.width * len(wanted) + 1, len(wanted), dtype="int32"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part.cube_id] * h.width), pa.array(np.full(h.width, row, "int32")),
@@ -174,14 +184,21 @@ class EnviDataSource(DataSource):
         return (PruningReader if options.get("prune") == "true" else EnviReader)(options)
 
 
-def read_envi(spark: SparkSession, path: str, rows_per_split: int = 64, extension: str = ".dat") -> DataFrame:
+def read_envi(
+    spark: SparkSession, path: str, rows_per_split: int = 64, extension: str = ".dat", bands: Sequence[int] | None = None
+) -> DataFrame:
     """Spectra of one cube (``.hdr`` or data path) or of every cube under a folder.
 
-    With ``spark.sql.python.filterPushdown.enabled``, filters on cube and row reach the reader.
+    ``bands`` (from 0) makes spectra of these bands alone, in that order; of cubes stored by band or
+    by line only their bytes are read. A cube that lacks one of them is an error. With ``spark.sql.python.filterPushdown.enabled``, filters on cube and row reach the reader.
     """
     spark.dataSource.register(EnviDataSource)
     prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     reader = spark.read.format("envi").option("rows_per_split", rows_per_split).option("extension", extension)
+    if bands is not None:
+        if not bands:
+            raise ValueError("no bands asked for")
+        reader = reader.option("bands", ",".join(map(str, bands)))
     return reader.option("prune", prune).load(path)
 
 

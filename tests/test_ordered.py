@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from canopy.operators import quantiles
 from canopy.operators.folds import fold_sorted, independent_parts
 from canopy.operators.ordered import fill, row_numbers, running_sum
 from canopy.operators.quantiles import exact_quantiles
@@ -90,6 +91,32 @@ def test_quantiles(skewed):
     assert one == pytest.approx(np.quantile([r[2] for r in rows], 0.37))
 
 
+@pytest.mark.parametrize("share", [quantiles.SHARE, 0.0])
+def test_quantiles_of_odd_values(spark, monkeypatch, share):
+    """Ties, infinite values, one value, null keys; brackets that miss their ranks."""
+    monkeypatch.setattr(quantiles, "SHARE", share)
+    rng = np.random.default_rng(2)
+    groups = {
+        "ties": np.repeat([1.0, 2.0, 50.0], [500, 1, 499]), "one": np.array([3.0]), "wide": rng.lognormal(0, 9, 4001),
+        "ends": np.concatenate([[-np.inf] * 3, rng.normal(size=994), [np.inf] * 3]), None: rng.integers(0, 9, 300).astype(float),
+        "many": np.arange(30000.0),
+    }
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("ties", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = {"a": 0.0, "b": 0.137, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        ordered = np.sort(v)
+        for name, p in probs.items():
+            at = p * (len(v) - 1)
+            low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            if np.isfinite(low):
+                assert got[k][name] == pytest.approx(low + (high - low) * (at - np.floor(at)), rel=1e-12)
+    whole = exact_quantiles(df.where("k = 'many'"), [], "v", probs).collect()
+    assert len(whole) == 1 and whole[0].c == 14999.5
+
+
 def test_independent_parts(spark):
     """Rows in different parts are farther apart than the gap on some axis; ids do not depend on cell width."""
     rng = random.Random(5)

@@ -22,6 +22,25 @@ def test_envi(spark, tmp_path, interleave, axes, code, dtype):
     assert [r.wavelength_nm for r in envi.read_wavelengths(spark, str(tmp_path)).orderBy("band").collect()] == [400, 500, 600, 700, 800]
 
 
+@pytest.mark.parametrize("interleave,axes", [("bsq", (2, 0, 1)), ("bil", (0, 2, 1)), ("bip", (0, 1, 2))])
+def test_envi_bands(spark, tmp_path, interleave, axes):
+    """Only wanted bands come back, in the order asked for; of a cube by band nothing else is read."""
+    cube = np.arange(4 * 3 * 5).reshape(4, 3, 5).astype("<f4")
+    data = np.ascontiguousarray(cube.transpose(axes)).tobytes()
+    head = f"samples = 3\nlines = 4\nbands = 5\ndata type = 4\ninterleave = {interleave}\n"
+    (tmp_path / "a.hdr").write_text(head)
+    (tmp_path / "a.dat").write_bytes(data)
+    for bands in ([2], [3, 0], [4, 4, 1]):
+        got = {(r.row, r.col): r.spectrum for r in envi.read_envi(spark, str(tmp_path), rows_per_split=3, bands=bands).collect()}
+        assert got == {(y, x): cube[y, x, bands].tolist() for y in range(4) for x in range(3)}
+    if interleave == "bsq":
+        (tmp_path / "a.dat").write_bytes(data[: 2 * 4 * 3 * 4])
+        got = envi.read_envi(spark, str(tmp_path), bands=[1]).collect()
+        assert {(r.row, r.col): r.spectrum[0] for r in got} == {(y, x): cube[y, x, 1] for y in range(4) for x in range(3)}
+    with pytest.raises(Exception, match="asked for"):
+        envi.read_envi(spark, str(tmp_path), bands=[5]).collect()
+
+
 def test_envi_push_down(tmp_path):
     """Only wanted cubes and rows become partitions."""
     from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
