@@ -281,18 +281,20 @@ def mixed_documents(
 
     The text holds the stretches of words that the turn takes, each as it stands in the document
     and joined by line ends; a turn that takes every word of a text gives it unchanged. Rows
-    without words can't be taken, and so go. A column ``n_chars`` is set to the new length.
+    without words (null or empty texts too) can't be taken, and so go. A column ``n_chars`` is set
+    to the new length; other columns come back as they are, whatever their names; an empty table
+    gives an empty one.
     """
-    numbered = written(df.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    sizes = written(_sizes(numbered, id_col, text_col, source_col, F.col("__row")), "mix-sizes")
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    numbered = written(df.select(F.monotonically_increasing_id().alias("row"), whole.alias("doc")), "mix-documents")
+    plain = numbered.select("row", *[F.col(f"doc.`{c}`").alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))])
+    sizes = written(_sizes(plain, "id", "text", "source", F.col("row")), "mix-sizes")
     sources = written(targets(sizes, mix), "mix-targets")
     chosen = slots(sources, mix).select("sid", "block", "turn")
     taken = segments(sizes, sources, mix).join(chosen, ["sid", "block"])
     # A group is a row's own segments; a row is taken ceil(target / size) times at most.
-    taken = taken.groupBy(F.col("row").alias("__row"), "turn").agg(
-        F.sort_array(F.collect_list(F.struct("word", "words"))).alias("__parts")
-    )
-    joined = numbered.join(taken.select("__row", "__parts"), "__row").select(*[f"`{c}`" for c in df.columns], "__parts")
+    taken = taken.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("parts"))
+    joined = numbered.join(taken.select("row", "parts"), "row").select("doc", "parts")
     names, index = df.columns, df.columns.index(text_col)
     word = re.compile(WORD_CLASS)
 
@@ -310,12 +312,12 @@ def mixed_documents(
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [cut(x, y) for x, y in zip(batch.column(index).to_pylist(), batch.column(len(names)).to_pylist())]
-            columns = batch.columns[:-1]
-            columns[index] = pa.array(found, batch.schema.field(index).type)
+            columns = batch.column(0).flatten()
+            found = [cut(x, y) for x, y in zip(columns[index].to_pylist(), batch.column(1).to_pylist())]
+            columns[index] = pa.array(found, columns[index].type)
             if "n_chars" in names:
                 at = names.index("n_chars")
-                columns[at] = pa.array(map(len, found), pa.int64()).cast(batch.schema.field(at).type)
+                columns[at] = pa.array(map(len, found), pa.int64()).cast(columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(texts, df.schema)

@@ -195,18 +195,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: one of each component, that with the smallest id."""
-    columns = df.columns
-    index = columns.index(text_col)
+    """The rows of ``df`` that stay: one of each component, that with the smallest id.
+
+    Rows are written once with their fingerprint. Columns come back as they are, whatever their
+    names. A null text counts as empty; of a component with null ids only, one row stays; of
+    rows alike in id and fingerprint, one; an empty table gives an empty one.
+    """
+    index = df.columns.index(text_col)
+    one = StructType([StructField("row", df.schema), StructField("doc_id", LongType()), StructField("fp", LongType())])
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            prints = b"".join(map(fingerprint, raw(batch.column(index))))
+            prints = b"".join(map(fingerprint, raw(batch.column(0).field(index).cast(pa.string()))))
             signed = pa.array(np.frombuffer(prints, dtype=">i8").astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, signed], [*columns, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, signed], ["row", "doc_id", "fp"])
 
-    kept = groups(written(fingerprints(df, id_col, text_col), "simhash-prints"))
-    kept = kept.where("fp = keep_fp").select(F.col("keep_id").alias("__id"), F.col("fp").alias("__keep"))
-    rows = df.mapInArrow(hashed, StructType([*df.schema.fields, StructField("__fp", LongType())]))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__keep"))
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__fp"]).select(*[f"`{c}`" for c in columns])
+    rows = written(packed.mapInArrow(hashed, one), "simhash-rows")
+    kept = groups(rows.select("doc_id", "fp")).where("fp = keep_fp").select("keep_id", "keep_fp")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp"))
+    return rows.join(kept, stays, "left_semi").dropDuplicates(["doc_id", "fp"]).select("row.*")

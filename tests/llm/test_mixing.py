@@ -154,3 +154,16 @@ def test_one_source_fills_every_task(spark):
     assert sum(by_part) == made.select("slot").distinct().count() == 140_625
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert len(by_part) == parts and max(by_part) <= 2 * 140_625 / parts
+
+
+def test_clashing_columns(spark):
+    """Columns named like helpers come back as they are."""
+    names = ["__row", "__parts", "row", "parts", "doc", "turn", "id", "size", "key"]
+    df = odd(spark).drop("row").select("*", *[F.concat(F.lit(f"{n} of "), F.coalesce("text", F.lit(""))).alias(n) for n in names])
+    mixed = X.mixed_documents(df)
+    assert mixed.columns == df.columns
+    texts = {x.text for x in df.collect()}
+    rows = mixed.collect()
+    assert rows
+    for x in rows:
+        assert all(x[n].startswith(f"{n} of ") and x[n].removeprefix(f"{n} of ") in texts for n in names)

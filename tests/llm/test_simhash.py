@@ -5,6 +5,8 @@ import pyarrow as pa
 import xxhash
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from canopy.llm import components as K, simhash as S
 from tests.llm.cases import nothing, odd
 
@@ -152,3 +154,14 @@ def test_one_of_each_group_stays(spark):
     parts = brute_roots({signed(brute_print(x.text or "")) for x in df.collect()})
     assert len(rows) == len(set(parts.values()))
     assert sum(x.text == df.where("doc_id = 5").first().text for x in rows) == 1
+
+
+def test_clashing_columns(spark):
+    names = ["__fp", "__id", "__keep", "fp", "keep_id", "keep_fp"]
+    df = odd(spark).drop("fp").select("*", *[F.concat(F.lit(f"{n} of "), F.coalesce("text", F.lit(""))).alias(n) for n in names])
+    kept = S.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    assert len(rows) == S.drop_near_duplicates(odd(spark)).count()
+    assert all(x[n] == f"{n} of {x.text or ''}" for x in rows for n in names)
+    assert S.drop_near_duplicates(nothing(spark)).count() == 0
