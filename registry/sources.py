@@ -61,6 +61,20 @@ def _(t):
     return explode_spectrum(cubes.filter(total("spectrum") != 0))
 
 
+@query("read_envi_bands", "cube_id:s row:i col:i band:i value:d",
+       """WITH b AS (SELECT *, CAST(min("row") OVER (PARTITION BY cube_id, "row" // 10) AS BIGINT) AS top FROM long_spectra),
+          filled AS (SELECT cube_id, "row", col FROM long_spectra WHERE band IN (1, 7) GROUP BY ALL HAVING sum(value) <> 0)
+          SELECT cube_id || '_' || CAST(top AS VARCHAR) AS cube_id, "row" - top AS "row", col, CASE band WHEN 7 THEN 0 ELSE 1 END AS band, value
+          FROM b SEMI JOIN filled USING (cube_id, "row", col) WHERE band IN (1, 7)""")
+def _(t):
+    """Bands 7 and 1 alone, in that order."""
+    from canopy.operators.spectra import explode_spectrum
+    from canopy.functions.spectral import total
+
+    cubes = envi.read_envi(t.spark, _write_cubes(t), rows_per_split=4, bands=[7, 1])
+    return explode_spectrum(cubes.filter(total("spectrum") != 0))
+
+
 @query("read_wavelengths", "band:i wavelength_nm:d", "SELECT band, round(wavelength_nm, 2) AS wavelength_nm FROM wl WHERE EXISTS (SELECT 1 FROM spectra)")
 def _(t):
     return envi.read_wavelengths(t.spark, _write_cubes(t)).select("band", "wavelength_nm").distinct()

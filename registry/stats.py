@@ -223,6 +223,19 @@ def _(t):
     )
 
 
+@query("fit_calibration_quadratic_coefficients", "band:i a:d b:d c:d",
+       f"""WITH p AS (SELECT band, raw AS x, reflectance AS y FROM ({PLATES} UNION ALL {DARK})),
+          u AS (SELECT band, y, x - avg(x) OVER w AS u, avg(x) OVER w AS m, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY band)),
+          s AS (SELECT *, sum(u * u * u) OVER w / sum(u * u) OVER w AS k, sum(u * u) OVER w / n AS q FROM u WINDOW w AS (PARTITION BY band)),
+          f AS (SELECT band, m, k, q, avg(y) AS y0, sum(u * y) / sum(u * u) AS b1,
+                  sum((u * u - k * u - q) * y) / sum((u * u - k * u - q) * (u * u - k * u - q)) AS a FROM s GROUP BY band, m, k, q)
+          SELECT band, a, b1 - a * k - 2 * a * m AS b, y0 - b1 * m + a * (m * m + k * m - q) AS c FROM f""")
+def _(t):
+    """Against polynomials that are orthogonal over the plates, which need no determinants."""
+    fit = St.fit_calibration(_plates(t), degree=2)
+    return fit.select("band", *[F.get("coeffs", i).alias(n) for i, n in enumerate("abc")])
+
+
 @query("apply_calibration", "cube_id:s row:i col:i band:i value:d",
        f"""SELECT cube_id, "row", col, band, value * a + b AS value FROM long_spectra JOIN ({FIT}) USING (band)""")
 def _(t):
