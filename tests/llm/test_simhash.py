@@ -4,7 +4,6 @@ import re
 import pyarrow as pa
 import xxhash
 from hypothesis import given, settings, strategies as st
-
 from pyspark.sql import functions as F
 
 from canopy.llm import components as K, simhash as S
