@@ -99,6 +99,31 @@ def test_equal_byte_before():
         assert got[0] == got[other] == [(0, 21)]
 
 
+def test_begins_within_a_character(spark):
+    """The last byte of a character and what follows, where another context begins with what follows."""
+    r = random.Random(9)
+    tail = bytes(r.choice(b"abcdefgh") for _ in range(39))
+    contexts = [bytes([0x80 + i]) + tail for i in range(64)]
+    contexts = [c for x in contexts for c in (x, tail + bytes([x[0] - 0x60]))]
+    assert not any(X.repeated_starts(contexts, 40))
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    rows, same = [], [text(230) for _ in range(30)]
+    for i, x in enumerate(same):
+        rows += [(3 * i, x + text(50)), (3 * i + 1, text(40) + chr(0x4000 + i) + x + text(60)), (3 * i + 2, chr(0xC0 + i) + x)]
+    assert report(spark.createDataFrame(rows, "doc_id long, text string"), 200) == by_key(brute(rows, 200))
+
+
+def test_after_alike_ends():
+    """Contexts that begin alike, after ends whose last bytes are alike."""
+    r = random.Random(10)
+    make = lambda k: bytes(r.choice(b"abcdefgh") for _ in range(k))
+    contexts, shared = [make(60) for _ in range(1000)], make(50)
+    for i in range(1, 1000, 3):
+        contexts[i] = shared + bytes([i % 100]) + make(20)
+    got = X.repeated_starts(contexts, 40)
+    assert [x[:1] for x in got[1::3]] == [[(0, x[0][1])] for x in got[1::3]] and all(x[0][1] >= 11 for x in got[1::3])
+
+
 @pytest.mark.parametrize("block", [X.BLOCK, 2000, 600])
 def test_against_all_windows(spark, block):
     """Small blocks crowd nearly every anchor, so that windows are counted by hash."""
