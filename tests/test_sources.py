@@ -185,3 +185,30 @@ def test_subtitle_positions_without_names(spark):
     df = spark.createDataFrame([(t,) for t in cases], "text string")
     got = {r.text: None if r.p is None else (r.p.lat, r.p.lon) for r in df.select("text", subtitles._position(F.col("text")).alias("p")).collect()}
     assert got == cases
+
+
+def test_named_lines(spark, tmp_path):
+    """Many small files kept in few large ones give the lines that the files would, in order."""
+    rows = spark.createDataFrame([(v, f, f"{f}\nline of {v}\n" if f != 3 else None) for v in range(40) for f in range(5)], "v int, f int, value string")
+    named = rows.withColumn("value", text.name_lines(F.concat(F.lit("v="), "v", F.lit("/x.srt")), F.col("value")))
+    named.repartition(3, "v").sortWithinPartitions("v", "f").select("value").write.text(str(tmp_path / "large"))
+    assert len(list((tmp_path / "large").glob("part-*"))) <= 3
+    rows.repartition(3, "v").sortWithinPartitions("v", "f").select("v", F.col("value")).write.partitionBy("v").text(str(tmp_path / "small"))
+    got = text.numbered_lines(text.read_named_lines(spark, str(tmp_path / "large")))
+    want = text.numbered_lines(text.read_lines(spark, str(tmp_path / "small")))
+    video = F.regexp_extract("file", "v=([0-9]+)/", 1)
+    both = [sorted(map(tuple, x.select(video, "line_no", "line").collect())) for x in (got, want)]
+    assert both[0] == both[1] and len(both[0]) == 40 * 13
+
+
+def test_subtitles_parsed_once(spark):
+    """Blocks are parsed once, though what was parsed is filtered and read twice."""
+    import io
+    from contextlib import redirect_stdout
+
+    blocks = spark.createDataFrame([("a", 0, "1 00:00:01,000 --> 00:00:02,000 [latitude: 54.5] [longitude: 24.5]")], "file string, block long, text string")
+    parsed = subtitles.parse_subtitle_blocks(blocks)
+    with redirect_stdout(io.StringIO()) as plan:
+        parsed.explain()
+    assert "regexp_extract_all" not in plan.getvalue()
+    assert [(r.file, r.frame, r.lat, r.lon) for r in parsed.collect()] == [("a", 0, 54.5, 24.5)]
