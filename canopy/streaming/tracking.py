@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -20,6 +22,16 @@ SUMMARY = (
     "max_conf double, lat double, lon double, track_ids array<long>, closed boolean"
 )
 
+# Fields of the state: live clusters, and rows that wait for their frame.
+LIVE = {
+    "number": "long", "first_frame": "long", "last_frame": "long", "hits": "long", "weight": "double", "wx": "double", "wy": "double",
+    "sum_conf": "double", "max_conf": "double", "tracks": "array<long>",
+}
+WAITING = {
+    "frame": "long", "conf": "double", "x1": "double", "y1": "double", "det_id": "long", "lat": "double", "lon": "double", "track": "string",
+}
+SPAN = 256  # frames whose rows wait together
+
 
 class ClusterStream(StatefulProcessor):
     """The batch matcher's rules on a stream keyed by video.
@@ -35,23 +47,19 @@ class ClusterStream(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.live = handle.getMapState(
-            "live", "number long",
-            "first_frame long, last_frame long, hits long, weight double, wx double, wy double, sum_conf double, "
-            "max_conf double, tracks array<long>",
-        )
-        # Rows of a frame, field by field; a missing track is an empty string.
-        self.waiting = handle.getMapState(
-            "waiting", "frame long",
-            "conf array<double>, x1 array<double>, y1 array<double>, det_id array<long>, lat array<double>, lon array<double>, track array<string>",
-        )
+        # A call for each row or cluster would cost more than the matching: live clusters are one
+        # value field by field, rows one for ``SPAN`` frames.
+        self.live = handle.getValueState("live", ", ".join(f"{f} array<{k}>" for f, k in LIVE.items()))
+        # Rows field by field; a missing track is an empty string.
+        self.waiting = handle.getMapState("waiting", "span long", ", ".join(f"{f} array<{k}>" for f, k in WAITING.items()))
         self.meta = handle.getValueState("meta", "lat double, lon double, next_number long")
         self.timer = handle.getValueState("timer", "at long")
 
     def _load(self) -> tuple[ClusterBook, tuple[float, float] | None]:
+        held = zip(*self.live.get()) if self.live.exists() else ()
         clusters = [
-            Cluster(k[0], int(v[0]), int(v[1]), int(v[2]), v[3], v[4], v[5], v[6], v[7], [int(t) for t in v[8]])
-            for k, v in self.live.iterator()
+            Cluster(int(n), int(first), int(last), int(hits), weight, wx, wy, sum_conf, max_conf, [int(t) for t in tracks])
+            for n, first, last, hits, weight, wx, wy, sum_conf, max_conf, tracks in held
         ]
         # The order of creation decides ties, as in the batch matcher.
         clusters.sort(key=lambda c: c.number)
@@ -76,21 +84,25 @@ class ClusterStream(StatefulProcessor):
         """The first watermark at which no row of the frame can come any more."""
         return math.ceil((self.start + frame / self.fps) * 1000 - 1e-6)
 
-    def _wait(self, pdf: pd.DataFrame) -> None:
-        """Put rows with a position into their frames."""
-        located = pdf[pdf["lat"].notna() & pdf["lon"].notna()]
-        for frame, rows in located.groupby("frame"):
-            key = (int(frame),)
-            held = [list(c) for c in self.waiting.getValue(key)] if self.waiting.containsKey(key) else [[] for _ in range(7)]
-            new = [
-                rows["conf"].astype(float).fillna(0.0).tolist(), rows["x1"].tolist(), rows["y1"].tolist(), [int(i) for i in rows["det_id"]],
-                rows["lat"].tolist(), rows["lon"].tolist(), ["" if t is None else str(int(t)) for t in plain(rows["track_id"])],
-            ]
-            self.waiting.updateValue(key, tuple(h + n for h, n in zip(held, new)))
+    def _wait(self, rows: list[tuple]) -> None:
+        """Put rows into the spans of their frames."""
+        spans: dict[int, list[tuple]] = {}
+        for r in rows:
+            spans.setdefault(r[0] // SPAN, []).append(r)
+        for span, new in spans.items():
+            key = (span,)
+            held = self.waiting.getValue(key) if self.waiting.containsKey(key) else [()] * len(WAITING)
+            self.waiting.updateValue(key, tuple([*h, *n] for h, n in zip(held, zip(*new))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        located, number = [], lambda v: math.nan if v is None else float(v)
         for pdf in rows:
-            self._wait(pdf)
+            columns = [plain(pdf[c]) for c in ("frame", "conf", "x1", "y1", "det_id", "lat", "lon", "track_id")]
+            located += [
+                (int(frame), float(conf or 0.0), number(x1), number(y1), int(i), lat, lon, "" if track is None else str(int(track)))
+                for frame, conf, x1, y1, i, lat, lon, track in zip(*columns) if None not in (frame, lat, lon)
+            ]
+        self._wait(located)
         yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -100,36 +112,43 @@ class ClusterStream(StatefulProcessor):
     def _advance(self, video: str, watermark: int) -> Iterator[pd.DataFrame]:
         """Match the frames that are whole, close what has been left behind, and set the timer."""
         whole = math.floor((watermark / 1000 - self.start) * self.fps + 1e-6)
-        frames = sorted(int(k[0]) for k in self.waiting.keys())
         book, origin = self._load()
         touched: dict[int, Cluster] = {}
         closed: list[Cluster] = []
-        for frame in [f for f in frames if f <= whole]:
-            closed += book.retire(frame)
-            # Most confident first, as in a batch.
-            for conf, x1, y1, _, lat, lon, track in sorted(zip(*self.waiting.getValue((frame,))), key=lambda r: (-r[0], *r[1:4])):
-                if origin is None:
-                    origin = (lat, lon)
-                x = (lon - origin[1]) * METERS_PER_DEGREE * math.cos(math.radians(origin[0]))
-                y = (lat - origin[0]) * METERS_PER_DEGREE
-                c = book.place(frame, x, y, conf, int(track) if track else None)
-                touched[c.number] = c
-            self.waiting.removeKey((frame,))
+        later: list[int] = []
+        for span in sorted(int(k[0]) for k in self.waiting.keys()):
+            if span * SPAN > whole:
+                later.append(span * SPAN)
+                break
+            # By frame, and in a frame the most confident first, as in a batch.
+            rows = sorted(zip(*self.waiting.getValue((span,))), key=lambda r: (r[0], -r[1], *r[2:5]))
+            ready = [r for r in rows if r[0] <= whole]
+            for frame, frame_rows in groupby(ready, key=itemgetter(0)):
+                closed += book.retire(frame)
+                for _, conf, x1, y1, _, lat, lon, track in frame_rows:
+                    if origin is None:
+                        origin = (lat, lon)
+                    x = (lon - origin[1]) * METERS_PER_DEGREE * math.cos(math.radians(origin[0]))
+                    y = (lat - origin[0]) * METERS_PER_DEGREE
+                    c = book.place(frame, x, y, conf, int(track) if track else None)
+                    touched[c.number] = c
+            if len(ready) == len(rows):
+                self.waiting.removeKey((span,))
+            else:
+                later.append(rows[len(ready)][0])
+                if ready:
+                    self.waiting.updateValue((span,), tuple(list(c) for c in zip(*rows[len(ready):])))
         closed += book.retire(whole)
         gone = {c.number for c in closed}
-        for n in gone:
-            if self.live.containsKey((n,)):
-                self.live.removeKey((n,))
-        for n, c in touched.items():
-            if n not in gone:
-                s = c.to_state()
-                self.live.updateValue(
-                    (n,),
-                    (s["first_frame"], s["last_frame"], s["hits"], s["weight"], s["wx"], s["wy"], s["sum_conf"], s["max_conf"], s["tracks"]),
-                )
+        if touched or closed:
+            states = [c.to_state() for c in book.live]
+            if states:
+                self.live.update(tuple([s[f] for s in states] for f in LIVE))
+            else:
+                self.live.clear()
         if origin is not None:
             self.meta.update((origin[0], origin[1], book.next_number))
-        self._set_timer([f for f in frames if f > whole][:1] + [c.last_frame + self.rules.max_idle_frames + 1 for c in book.live])
+        self._set_timer(later[:1] + [c.last_frame + self.rules.max_idle_frames + 1 for c in book.live])
         yield from self._emit(
             [self._row(video, c, origin, True) for c in closed]
             + [self._row(video, c, origin, False) for n, c in touched.items() if n not in gone]

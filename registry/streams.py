@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from canopy.operators.matching import ClusterRules
-from canopy.session import scratch_path
+from canopy.session import cut_lineage, scratch_path
 from canopy.streaming import indices as I, tracking as S
 from registry.core import query
 from registry.wildlife import _located, clusters_sql
@@ -11,6 +11,8 @@ from registry.wildlife import _located, clusters_sql
 FPS = 1.0
 # Any whole number of windows after the epoch, where a watermark starts.
 START = 1_000_000
+ROWS_PER_FILE = 250_000
+ROWS_PER_STATE = 100_000
 
 
 def _stamped(df):
@@ -20,19 +22,25 @@ def _stamped(df):
 
 def _as_stream(t, df, label: str, parts: list):
     """Write the table in the given pieces, one after another, and read it as a stream."""
-    path = scratch_path(t.spark, label)
+    path, schema = scratch_path(t.spark, label), df.schema
+    df = cut_lineage(df)  # read once for each piece
+    t.streamed = max(getattr(t, "streamed", 0), df.count())
+    # A piece is one micro-batch, in more files as the table grows.
+    files = max(4, t.streamed // ROWS_PER_FILE)
     for p in parts:
-        df.filter(p).coalesce(4).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+        piece = df.filter(p)
+        (piece.coalesce(files) if files == 4 else piece.repartition(files)).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _finish(t, stream, label: str, mode: str = "append"):
     """Run to the end of the input and return what was written."""
     out, mark = scratch_path(t.spark, label), scratch_path(t.spark, f"{label}-state")
     schema = stream.schema
-    # The state of a query keeps the partition count it started with; few suit these tables.
+    # The state of a query keeps the partition count it started with; few suit small tables, and
+    # large ones need more, so that the state one task holds does not grow with them.
     usual = t.spark.conf.get("spark.sql.shuffle.partitions")
-    t.spark.conf.set("spark.sql.shuffle.partitions", "8")
+    t.spark.conf.set("spark.sql.shuffle.partitions", str(max(8, t.streamed // ROWS_PER_STATE)))
     try:
         _run(stream, out, mark, mode)
     finally:

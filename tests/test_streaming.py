@@ -121,3 +121,45 @@ def test_track_stats(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/o").collect()
     # The last window stays open until the watermark passes its end.
     assert len(rows) == 6 and all(r.frames == 5 and r.mean_conf == 0.5 + r.track_id / 4 for r in rows)
+
+
+class _Held:
+    """A state variable in memory that counts the calls made to it."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.map = calls, None, {}
+
+    def __getattribute__(self, name):
+        if name in ("calls", "value", "map"):
+            return object.__getattribute__(self, name)
+        self.calls.append(name)
+        return {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+            "clear": lambda: setattr(self, "value", None), "containsKey": lambda k: k in self.map, "getValue": self.map.get,
+            "updateValue": self.map.__setitem__, "removeKey": self.map.pop, "keys": lambda: iter(list(self.map)),
+            "iterator": lambda: iter(list(self.map.items())),
+        }[name]
+
+
+def test_state_calls_do_not_grow_with_rows():
+    """Each call crosses to the state's process: a batch makes a few, not some for each row and cluster."""
+    import types
+
+    import pandas as pd
+
+    def calls(rows):
+        made = []
+        held = lambda *_: _Held(made)
+        handle = types.SimpleNamespace(getMapState=held, getValueState=held, registerTimer=lambda at: None, deleteTimer=lambda at: None)
+        stream = S.ClusterStream(ClusterRules(2.0, 500), 1.0, 0.0)
+        stream.init(handle)
+        at = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+        n = range(rows)
+        frame = [i // 2 for i in n]
+        pdf = pd.DataFrame({"frame": frame, "conf": 0.5, "x1": 1.0, "y1": 1.0, "det_id": n, "lat": 54 + pd.Series(n) / 1000, "lon": 24.0, "track_id": 1})
+        list(stream.handleInputRows(("v",), iter([pdf]), at(0)))
+        out = pd.concat(stream.handleInputRows(("v",), iter([pdf.iloc[:0]]), at(1_000_000_000)))
+        assert out["frames"].sum() == rows
+        return len(made)
+
+    assert calls(400) <= calls(20) + 10
