@@ -21,8 +21,10 @@ def stretches(pdf: pd.DataFrame, keys: Sequence[str]) -> list[tuple[int, int, tu
     for k in keys:
         v = pdf[k].to_numpy()
         fresh[1:] |= v[1:] != v[:-1]
-    at = [*np.flatnonzero(fresh).tolist(), len(pdf)]
-    return [(a, b, tuple(pdf[k].iat[a] for k in keys)) for a, b in zip(at, at[1:])]
+    first = np.flatnonzero(fresh)
+    at = [*first.tolist(), len(pdf)]
+    names = zip(*[pdf[k].take(first).tolist() for k in keys]) if keys else [()] * len(first)
+    return list(zip(at, at[1:], names))
 
 
 def fold_sorted(

@@ -48,13 +48,29 @@ def _first_key(prefix: Sequence[str] = ()) -> Column:
 
 # --- boxes of one frame ------------------------------------------------------
 
+FEW = 64  # boxes held up to which plain numbers are faster than arrays
+
+
 def _box_step(iou_limit: float, center_px: float):
-    """Greedy suppression over a stream of boxes, most confident first; holds the boxes kept."""
-    room, count = np.empty((64, 5)), 0
+    """Greedy suppression over a stream of boxes, most confident first; holds the boxes kept.
 
-    def step(x1, y1, x2, y2, cls) -> tuple[bool]:
-        nonlocal room, count
-        r = np.array([x1, y1, x2, y2, cls], dtype=float)
+    Boxes of a frame are few as a rule and compared one by one, those of a crowded one as an array.
+    """
+    few: list[tuple] = []
+    room, count = None, 0
+
+    def meets(r, area, k, k_area) -> bool:
+        w, h = min(k[2], r[2]) - max(k[0], r[0]), min(k[3], r[3]) - max(k[1], r[1])
+        over = 0.0
+        if w > 0 and h > 0:
+            inter = w * h
+            union = k_area + area - inter
+            over = inter / union if inter > 0 and union > 0 else 0.0
+        if over >= iou_limit:
+            return True
+        return over >= 0.35 and k[4] == r[4] and bool(np.hypot((k[0] + k[2] - r[0] - r[2]) / 2, (k[1] + k[3] - r[1] - r[3]) / 2) <= center_px)
+
+    def meets_any(r) -> bool:
         kept = room[:count]
         w = np.clip(np.minimum(kept[:, 2], r[2]) - np.maximum(kept[:, 0], r[0]), 0, None)
         h = np.clip(np.minimum(kept[:, 3], r[3]) - np.maximum(kept[:, 1], r[1]), 0, None)
@@ -64,7 +80,25 @@ def _box_step(iou_limit: float, center_px: float):
         over = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
         apart = np.hypot((kept[:, 0] + kept[:, 2] - r[0] - r[2]) / 2, (kept[:, 1] + kept[:, 3] - r[1] - r[3]) / 2)
         close = (kept[:, 4] == r[4]) & (apart <= center_px) & (over >= 0.35)
-        if bool(((over >= iou_limit) | close).any()):
+        return bool(((over >= iou_limit) | close).any())
+
+    def step(x1, y1, x2, y2, cls) -> tuple[bool]:
+        nonlocal room, count
+        r = (x1, y1, x2, y2, cls)
+        sound = None not in r and all(v == v for v in r)
+        if room is None and sound and count < FEW:
+            area = max((x2 - x1) * (y2 - y1), 0.0)
+            if any(meets(r, area, k, k_area) for k, k_area in few):
+                return (False,)
+            few.append((r, area))
+            count += 1
+            return (True,)
+        if room is None:
+            room = np.empty((2 * FEW, 5))
+            for i, (k, _) in enumerate(few):
+                room[i] = k
+        r = np.array(r, dtype=float)
+        if meets_any(r):
             return (False,)
         if count == len(room):
             room = np.concatenate([room, np.empty_like(room)])

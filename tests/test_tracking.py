@@ -368,3 +368,27 @@ def test_wildlife(spark):
     assert len(rows) == 110 and {r.name for r in rows} == {"deer"} and {r.status for r in rows} == {"confirmed"}
     assert {r.frames for r in out["tracks"].collect()} == {60, 50}
     assert sum(r.frames for r in out["clusters"].collect()) == 110
+
+
+def test_few_boxes_without_arrays(monkeypatch):
+    """Frames of a few boxes make no arrays; with nulls or very many boxes all results are the same."""
+    import random
+
+    r = random.Random(31)
+    for n, odd in ((5, 0.0), (300, 0.0), (60, 0.1)):
+        boxes = []
+        for _ in range(n):
+            x, y = r.uniform(0, 40 * n**0.5), r.uniform(0, 40 * n**0.5)
+            box = [x, y, x + r.uniform(0, 60), y + r.uniform(0, 60), r.randint(0, 2)]
+            boxes.append([None if r.random() < odd else v for v in box])
+        few = Tr._box_step(0.5, 28.0)
+        got = [few(*b)[0] for b in boxes]
+        with monkeypatch.context() as m:
+            m.setattr(Tr, "FEW", 1)
+            arrays = Tr._box_step(0.5, 28.0)
+            assert got == [arrays(*b)[0] for b in boxes]
+    with monkeypatch.context() as m:
+        for name in ("array", "empty", "clip"):
+            m.setattr(Tr.np, name, None)
+        step = Tr._box_step(0.5, 28.0)
+        assert [step(*b)[0] for b in ([0, 0, 10, 10, 1], [1, 0, 11, 10, 1], [30, 0, 40, 10, 1])] == [True, False, True]
