@@ -59,10 +59,15 @@ class Join:
         return -(-self.percent * n // 100)
 
     def splits(self, band: int) -> int:
-        """Sub-classes of each frequent class for sizes from ``2**band``; 0: single tokens there."""
+        """Sub-classes of each frequent class for sizes from ``2**band``; 0: single tokens there.
+
+        About as many as the tokens that a linked set may lack. A prefix then meets one or two tokens
+        of each, and the pairs of a set stay fewer than its tokens where all of them are frequent.
+        Each may hold ``k - 1`` shared tokens without a shared combination, which bounds their number.
+        """
         small = -(-self.percent * (1 << band) // 100)
-        m = max(1, (1 << band) * (100 - self.percent) // 400)
-        return m if m * sum(k - 1 for _, k in self.levels) < self.least(small) else 0
+        m = max(1, (1 << band) * (100 - self.percent) // 100)
+        return min(m, (self.least(small) - 1) // sum(k - 1 for _, k in self.levels))
 
     def bands(self, n: int) -> range:
         low, high = -(-self.percent * n // 100), 100 * n // self.percent

@@ -151,3 +151,11 @@ def test_bitmaps_never_exclude_links():
             linked = 100 * (n - cut) >= p.percent * (len(a) + len(b) - n + cut)
             assert jj._fit(x, y, len(a), len(b), p) or not linked
             assert linked or cut < n // 2 or not jj._fit(x, y, len(a), len(b), p)
+
+
+@pytest.mark.parametrize("n", [300, 500, 2000, 5000])
+def test_combinations_stay_fewer_than_tokens(n):
+    """Where all tokens are frequent, as those of a growing corpus become, a set sends no square of its prefix."""
+    tokens = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+    single, many = jj.signatures(tokens, np.full(len(tokens), 2), jj.Join())
+    assert len(single) == 0 and len(many) < n
