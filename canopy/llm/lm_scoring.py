@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -109,12 +110,13 @@ def _log_softmax(h: np.ndarray, q: np.ndarray, pick: np.ndarray) -> np.ndarray:
     out = np.empty(len(h))
     step = max(1, (1 << 16) // len(q))
     room, columns = np.empty((min(step, len(h)), len(q)), dtype=np.float32), np.ascontiguousarray(q.T)
+    ones = np.ones(len(q), dtype=np.float32)
     for at in range(0, len(h), step):
         some = h[at : at + step]
         s = np.matmul(some, columns, out=room[: len(some)])
         own = s[np.arange(len(s)), pick[at : at + step]].astype(np.float64)
         with np.errstate(over="ignore"):
-            total = np.exp(s, out=s).sum(1)
+            total = np.exp(s, out=s) @ ones  # a product takes a third of the time of a sum
         wide = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))  # beyond single precision
         if len(wide):
             again = some[wide] @ columns
@@ -211,6 +213,13 @@ def before(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return w, u, v
 
 
+def _ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the ``rows`` (numbers from 0) comes in a stable order, and the rows in it: a sort of packed numbers beats that of places."""
+    bits = len(rows).bit_length()
+    packed = np.sort((rows.astype(np.int64) << bits) | np.arange(len(rows)))
+    return packed & ((1 << bits) - 1), packed >> bits
+
+
 class Trainer:
     """Noise-contrastive steps in place, with Adagrad on rows.
 
@@ -229,8 +238,7 @@ class Trainer:
 
     def _move(self, rows: np.ndarray, **changes: np.ndarray) -> None:
         """One Adagrad step for rows that may repeat; their changes are added up first."""
-        order = np.argsort(rows.astype(np.uint16) if len(self.model.b) <= 1 << 16 else rows, kind="stable")
-        ranked = rows.take(order)
+        order, ranked = _ranked(rows)
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         own = ranked.take(first)
         for name, change in changes.items():
@@ -308,7 +316,7 @@ class Scorer:
 
     def indices(self, words: list[bytes]) -> np.ndarray:
         get = self.numbers.get
-        out = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        out = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
         for i in np.flatnonzero(out < 0).tolist():
             out[i] = len(self.counts) + _group(words[i], self.lbl)
         return out

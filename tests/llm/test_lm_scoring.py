@@ -151,3 +151,11 @@ def test_score_is_the_fitted_model(spark, lbl):
         e = [w.encode() for w in words(t)]
         before = [0, 0, *map(entry, e)]
         assert got[i] == pytest.approx(sum(log10_p(w, before[j + 1], before[j]) for j, w in enumerate(e)), rel=1e-4)
+
+
+@pytest.mark.parametrize("n", [1, 2, 543, 1024])
+def test_rows_are_ranked_stably(n):
+    """Changes of one row are added up in the order in which they came."""
+    rows = np.random.default_rng(n).integers(0, 131_200, n) // 900 * 900
+    order, ranked = M._ranked(rows)
+    assert order.tolist() == np.argsort(rows, kind="stable").tolist() and ranked.tolist() == rows[order].tolist()
