@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from canopy.adapters import OBSERVED
 from canopy.operators import raster as R, regions as G, telemetry as T
 from registry.core import query
 
@@ -210,7 +211,7 @@ def _(t):
        f"""SELECT epsg, acq_date, band, "row", col, max_by(value, scene_order) AS value
            FROM (SELECT *, {ZONE} AS epsg FROM observations) WHERE value <> 0 GROUP BY ALL""")
 def _(t):
-    return R.mosaic(_zoned(t.observations))
+    return R.mosaic(_zoned(t.observations), bands=OBSERVED)
 
 
 @query("roi_health_zones", "epsg:i year:i index:s row:i col:i mean:d n:i",

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from canopy.adapters import OBSERVED
 from canopy.operators import raster as R, stats as St
 from canopy.operators.spectra import explode_spectrum
 from registry.core import query
@@ -10,13 +11,13 @@ from registry.core import query
 @query("mosaic", "acq_date:t band:s row:i col:i value:d",
        """SELECT acq_date, band, "row", col, max_by(value, scene_order) AS value FROM observations WHERE value <> 0 GROUP BY ALL""")
 def _(t):
-    return R.mosaic(t.observations)
+    return R.mosaic(t.observations, bands=OBSERVED)
 
 
 @query("mosaic_all_dates", "band:s row:i col:i value:d",
        """SELECT band, "row", col, max_by(value, scene_order) AS value FROM observations WHERE value <> 0 GROUP BY ALL""")
 def _(t):
-    return R.mosaic(t.observations, by_date=False)
+    return R.mosaic(t.observations, by_date=False, bands=OBSERVED)
 
 
 SCORE = "CASE WHEN scl BETWEEN 4 AND 6 THEN 3 WHEN scl > 0 THEN 2 ELSE 0 END"
