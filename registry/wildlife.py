@@ -486,7 +486,7 @@ def _(t):
 @query("representative_medoid_blocks", "video_id:s entity_id:i det_id:i", MEDOID)
 def _(t):
     """The same by the route for large entities."""
-    return Tr.representative_obs(_observations(t).repartition(7, "det_id"), "medoid")
+    return Tr.representative_obs(_observations(t).repartition("det_id"), "medoid")
 
 
 @query("chain_timestamps", "video_id:s frame:i ts:d",
