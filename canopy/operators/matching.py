@@ -310,10 +310,6 @@ class MotionBook:
         width = max(self.limit, 1e-9)
         return math.floor(north / width), math.floor(east / width)
 
-    def _near(self, north: float, east: float) -> list[int]:
-        a, b = self._cell(north, east)
-        return sorted(i for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) for i in self.cells.get((x, y), ()))
-
     def reach(self, seconds: float) -> float:
         n = math.ceil(seconds)
         total = 0.0
@@ -326,22 +322,28 @@ class MotionBook:
     def place(self, north: float, east: float, t: float) -> tuple[int, bool]:
         """0-based entity and whether it is new."""
         best = None
-        for i in self._near(north, east):
-            n, e, seen = self.last[i]
-            if seen == t:
-                continue
-            d = math.hypot(n - north, e - east)
-            if best is None or d < best[0]:
-                best = (d, i, seen)
+        a, b = here = self._cell(north, east)
+        last, cells = self.last, self.cells
+        for x in (a - 1, a, a + 1):
+            for y in (b - 1, b, b + 1):
+                for i in cells.get((x, y), ()):
+                    n, e, seen = last[i]
+                    if seen == t:
+                        continue
+                    d = math.hypot(n - north, e - east)
+                    # The one that was there first, if several are as near.
+                    if best is None or d < best[0] or d == best[0] and i < best[1]:
+                        best = (d, i, seen, (x, y))
         if best is not None and self.reach(t - best[2]) > best[0]:
-            old = self._cell(*self.last[best[1]][:2])
-            self.cells[old].discard(best[1])
-            if not self.cells[old]:
-                del self.cells[old]
-            i, new = best[1], False
-            self.last[i] = (north, east, t)
+            i, new, old = best[1], False, best[3]
+            last[i] = (north, east, t)
+            if old != here:
+                cells[old].discard(i)
+                if not cells[old]:
+                    del cells[old]
+                cells.setdefault(here, set()).add(i)
         else:
-            i, new = len(self.last), True
-            self.last.append((north, east, t))
-        self.cells.setdefault(self._cell(north, east), set()).add(i)
+            i, new = len(last), True
+            last.append((north, east, t))
+            cells.setdefault(here, set()).add(i)
         return i, new

@@ -1,8 +1,12 @@
 """Plans and settings that keep the work of one task from growing with the tables."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from canopy.operators import raster as R
+from canopy.operators.matching import MotionBook
 from registry import core, load
 from tests.conftest import DATA
 
@@ -55,3 +59,17 @@ def test_partitions_of_large_tables_stay_small_together(spark, monkeypatch):
     finally:
         spark.conf.set(core.TOGETHER, before)
         spark.conf.unset(core.INITIAL)
+
+
+def test_motion_book_takes_the_first_of_equally_near_entities():
+    """Against a scan of all entities, on a grid where many lie equally near; entities move through cells."""
+    r = random.Random(4)
+    for speed, limit in ((12.0, 30.0), (1.0, 5.0), (30.0, 3.0)):
+        book, last = MotionBook(speed, limit), []
+        for k in range(600):
+            north, east, t = float(r.randrange(-20, 20)), float(r.randrange(-20, 20)), k // 3 * 0.5
+            near = [(math.hypot(n - north, e - east), i) for i, (n, e, seen) in enumerate(last) if seen != t]
+            i = min(near)[1] if near and book.reach(t - last[min(near)[1]][2]) > min(near)[0] else len(last)
+            assert book.place(north, east, t) == (i, i == len(last))
+            last[i:i + 1] = [(north, east, t)]
+        assert {i for own in book.cells.values() for i in own} == set(range(len(last))) and all(book.cells.values())
