@@ -39,6 +39,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """From now on at most ``rows`` rows of a table are in one Arrow batch, as a session that asks for fewer has it.
+
+    An executor holds each batch outside its heap, in both directions and for every task, and Python holds it again.
+    """
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    asked = int(spark.conf.get(most))
+    if not 0 < asked <= rows:
+        spark.conf.set(most, str(rows))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what Python makes of a batch stays small beside it."""
     for batch in batches:
