@@ -177,6 +177,16 @@ def documents_of(texts: DataFrame, p: Join) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bits binary")
 
 
+def one_each(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The texts of each set's smallest id; those of copies are left out.
+
+    Else a token of a text with copies would count once for each task that has one, and look
+    frequent, and each of them would send its signatures. An id with several texts brings all.
+    """
+    ids = sets.select(F.col("first_id").alias("id")).distinct()
+    return written(texts.join(ids, texts.doc_id.eqNullSafe(ids.id), "left_semi"), "jaccard-texts")
+
+
 # --- frequent tokens ---------------------------------------------------------
 
 def _dealt(values: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -571,6 +581,7 @@ def jaccard_components(df: DataFrame, p: Join = Join(), id_col: str = "doc_id",
     with_set = docs.where("n > 0")
     sets = with_set.groupBy(*KEY).agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     sets = written(sets.withColumn("v", F.monotonically_increasing_id()), "jaccard-vertices")
+    texts = one_each(texts, sets)
     total = docs.agg(F.sum("n").alias("n")).first().n or 0
     bits = min(24, max(8, (total // p.bucket).bit_length()))
     tokens, ks = frequent(written(token_counts(texts, p, bits), "jaccard-counts"), p)

@@ -159,3 +159,15 @@ def test_combinations_stay_fewer_than_tokens(n):
     tokens = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
     single, many = jj.signatures(tokens, np.full(len(tokens), 2), jj.Join())
     assert len(single) == 0 and len(many) < n
+
+
+def test_copies_are_one_set(spark, monkeypatch):
+    """Copies in many tasks make no token frequent, so no combination of any is sent."""
+    sent, rows = [], jj.combination_rows
+    monkeypatch.setattr(jj, "combination_rows", lambda *a: sent.append(rows(*a)) or sent[-1])
+    text = " ".join(f"w{i}" for i in range(60))
+    rest = [(100, text + " more"), (101, None), (None, "a text of no id " * 3)]
+    df = spark.createDataFrame([(i, text) for i in range(64)] + rest, "doc_id long, text string").repartition(64)
+    got = {r.doc_id: r for r in jj.jaccard_components(df).collect()}
+    assert len(got) == 67 and {got[i].component_id for i in [*range(64), 100]} == {0} and got[101].component_id == 101
+    assert sent[0].count() == 0
