@@ -23,17 +23,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from canopy.llm.common import LOWER, id_text, raw, written
+from canopy.llm.common import LOWER, LOWER_SPACED, id_text, raw, sliced, written
 
 #: An id cannot hold a space, so this cannot be a word.
 END = b" end"
@@ -65,8 +64,23 @@ class Lbl:
     seed: int = 1
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.translate(LOWER).split(), END]
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, one after another, and how many each text has; ends are left out."""
+    joined = b" ".join(texts)
+    word = np.frombuffer(b" %b " % joined.translate(LOWER_SPACED), dtype=np.uint8) != 32
+    turn = np.flatnonzero(word[1:] != word[:-1])
+    first, ends = turn[::2], np.cumsum(turn[1::2] - turn[::2])
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    buffers = [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(joined.translate(LOWER, b" \t\n\v\f\r"))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), buffers), np.diff(np.searchsorted(first, begins))
+
+
+def as_bytes(words: pa.Array) -> list[bytes]:
+    """As ``to_pylist`` without a scalar for each word."""
+    _, at, data = words.buffers()
+    at = np.frombuffer(at, dtype=np.int64)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else []
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 def _split(df: DataFrame, lbl: Lbl, id_col: str, text_col: str) -> DataFrame:
@@ -79,20 +93,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     """``word, c``: over all rows of ``docs (text)``; partial counts leave a task, not words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def told() -> pa.RecordBatch:
-            rows = [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(rows, ["word", "c"])
-
-        for batch in batches:
-            for text in raw(batch.column(0)):
-                held.update(tokens(text))
-            if len(held) > 500_000:
-                yield told()
-        if held:
-            yield told()
+        held, room, texts = [], 1 << 26, 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            found = pa.chunked_array(held, pa.large_binary()).value_counts()
+            words, c = found.field(0).cast(pa.binary()), found.field(1)
+            rows = [pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.concat_arrays([c, pa.array([texts], c.type)])]
+            return sliced([pa.RecordBatch.from_arrays(rows, ["word", "c"])], 1 << 17)
+
+        for batch in sliced(batches, 1024):
+            words, sizes = words_of(raw(batch.column(0)))
+            held.append(words)
+            room -= words.nbytes
+            texts += len(sizes)
+            if room < 0:
+                yield from told()
+                held, room, texts = [], 1 << 26, 0
+        if texts:
+            yield from told()
 
     parts = docs.select("text").mapInArrow(counted, "word binary, c long")
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
@@ -151,11 +169,16 @@ class Model:
         return np.log(np.add.reduceat(np.exp(self.log_share[self.order]), self.bounds[:-1]))
 
     @cached_property
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors and biases of words, class by class, and of classes; each word's place in its class."""
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """What scoring gathers from.
+
+        Vectors and biases of words, class by class, and of classes; each word's place in its class;
+        what a word adds to the next one's context, and to that of the one after it.
+        """
         place = np.empty(len(self.order), dtype=np.int64)
         place[self.order] = np.arange(len(self.order)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
-        return _with_bias(self.q[self.order], self.b[self.order]), _with_bias(self.qc, self.bc), place
+        words = _with_bias(self.q[self.order], self.b[self.order])
+        return words, _with_bias(self.qc, self.bc), place, self.r * self.c[0], self.r * self.c[1]
 
     def copy(self) -> Model:
         own = (x.copy() for x in (self.r, self.q, self.b, self.c, self.qc, self.bc))
@@ -167,18 +190,19 @@ class Model:
         return np.concatenate(parts) if parts else np.empty(0)
 
     def _some(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        words, classes, place = self.tables
+        words, classes, place, one, two = self.tables
+        own = self.class_of.take(w)
+        by = np.argsort(own.astype(np.min_scalar_type(len(self.bc))), kind="stable")
+        own, place = own.take(by), place.take(w.take(by))
         h = np.ones((len(w), words.shape[1]), dtype=np.float32)
-        h[:, :-1] = (self.r * self.c[0])[u] + (self.r * self.c[1])[v]
-        own, place = self.class_of[w], place[w]
-        out = _log_softmax(h, classes, own)
-        by = np.argsort(own, kind="stable")
-        ends = np.cumsum(np.bincount(own, minlength=len(self.bc)))
-        for k in np.unique(own).tolist():
-            lo, hi = self.bounds[k], self.bounds[k + 1]
-            if hi - lo > 1:
-                some = by[ends[k - 1] if k else 0 : ends[k]]
-                out[some] += _log_softmax(h[some], words[lo:hi], place[some])
+        np.add(one.take(u.take(by), axis=0), two.take(v.take(by), axis=0), out=h[:, :-1])
+        found = _log_softmax(h, classes, own)
+        ends = np.cumsum(np.bincount(own, minlength=len(self.bc))).tolist()
+        for lo, hi, a, b in zip(self.bounds, self.bounds[1:], [0, *ends], ends):
+            if hi - lo > 1 and a < b:
+                found[a:b] += _log_softmax(h[a:b], words[lo:hi], place[a:b])
+        out = np.empty(len(w))
+        out[by] = found
         return out
 
 
@@ -266,9 +290,13 @@ class Trainer:
             np.exp(down, out=down)
         down += 1
         np.reciprocal(down, out=down)
-        change = {q: np.concatenate([up[:, None] * h, down.T @ h]), b: np.concatenate([up, down.sum(0)])}
-        self._move(np.concatenate([true, noise]), **change)
-        return up[:, None] * qt + down @ qn
+        change = np.empty((len(true) + len(noise), h.shape[1]), dtype=np.float32)
+        np.multiply(up[:, None], h, out=change[: len(true)])
+        np.matmul(down.T, h, out=change[len(true) :])
+        self._move(np.concatenate([true, noise]), **{q: change, b: np.concatenate([up, np.einsum("ij->j", down)])})
+        qt *= up[:, None]
+        qt += down @ qn
+        return qt
 
     def steps(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
         """One pass over tokens ``w`` after ``u`` after ``v``."""
@@ -277,10 +305,14 @@ class Trainer:
         for at in range(0, len(w), lbl.batch):
             a, b, c = w[at : at + lbl.batch], u[at : at + lbl.batch], v[at : at + lbl.batch]
             ru, rv = m.r.take(b, axis=0), m.r.take(c, axis=0)
-            h = ru * m.c[0] + rv * m.c[1]
-            dh = self._told(0, "q", "b", a, h) + self._told(1, "qc", "bc", classes[a], h)
-            dc = np.stack([(dh * ru).sum(0), (dh * rv).sum(0)])
-            self._move(np.concatenate([b, c]), r=np.concatenate([dh * m.c[0], dh * m.c[1]]))
+            weights = m.c.repeat(len(a), axis=0).reshape(2, *ru.shape)
+            h = ru * weights[0]
+            h += rv * weights[1]
+            dh = self._told(0, "q", "b", a, h)
+            dh += self._told(1, "qc", "bc", classes.take(a), h)
+            dc = np.stack([np.einsum("ij->j", dh * ru), np.einsum("ij->j", dh * rv)])
+            weights *= dh
+            self._move(np.concatenate([b, c]), r=weights.reshape(-1, dh.shape[1]))
             dc /= np.float32(lbl.batch)
             past += (dc * dc).mean(1)
             m.c -= np.float32(lbl.rate) / np.sqrt(past)[:, None] * dc
@@ -313,12 +345,22 @@ class Scorer:
     def base_room(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    def indices(self, words: list[bytes]) -> np.ndarray:
-        get = self.numbers.get
-        out = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            out[i] = len(self.counts) + _group(words[i], self.lbl)
-        return out
+    @cached_property
+    def known(self) -> pa.Array:
+        return pa.array(list(self.numbers), pa.large_binary())
+
+    def numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Numbers of all tokens, where texts end among them, and the words that are not known, in order."""
+        words, sizes = words_of(texts)
+        found = pc.index_in(words, value_set=self.known)
+        own, rare = found.fill_null(-1).to_numpy().astype(np.int64), words.filter(found.is_null())
+        own[own < 0] = [len(self.counts) + _group(x, self.lbl) for x in as_bytes(rare)]
+        ends = np.cumsum(sizes + 1)
+        out = np.zeros(len(words) + len(sizes), dtype=np.int64)  # an end's number is 0
+        is_word = np.ones(len(out), dtype=bool)
+        is_word[ends - 1] = False
+        out[is_word] = own
+        return out, ends, rare
 
     def in_group(self) -> np.ndarray:
         """What a word adds to the log10 probability of its entry; its count is still to come if not known."""
@@ -354,10 +396,11 @@ def _averaged(texts: DataFrame, scorer: Scorer, lbl: Lbl, number: int) -> Model:
             met[len(m.b) : -1] += np.bincount(m.class_of[w], minlength=len(m.bc))
             met[-1] += len(w)
 
-        for batch in batches:
-            for text in raw(batch.column(0)):
-                held.append(own.entry[own.indices(tokens(text))])
-                size += len(held[-1])
+        for batch in sliced(batches, 1024):
+            every, ends, _ = own.numbered(raw(batch.column(0)))
+            for text in np.split(own.entry.take(every), ends[:-1]):
+                held.append(text)
+                size += len(text)
                 if size >= 1 << 18:
                     learn()
                     held, size = [], 0
@@ -447,23 +490,19 @@ def _known_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
         later = np.zeros(len(own.room))  # counts of words that are not known are joined
         base_of = np.append(np.log10((own.counts + 0.5) / own.base_room), later)
         seen = np.append(own.counts > 0, later > 0)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = [tokens(x) for x in raw(part.column(2))]
-                lists = [own.indices(x) for x in texts]
-                every = np.concatenate(lists)
-                starts = np.cumsum([0, *map(len, lists)])[:-1]  # a text has its end at least
-                w, u, v = before([own.entry[x] for x in lists])
-                score = own.model.log_probabilities(w, u, v) / np.log(10) + in_group[every]
-                left = [[x[i] for i in np.flatnonzero(y >= rare).tolist()] for x, y in zip(texts, lists)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(list(map(len, lists)), pa.int64()),
-                     pa.array(np.add.reduceat(seen[every].astype(np.int64), starts)),
-                     pa.array(np.add.reduceat(base_of[every], starts)), pa.array(np.add.reduceat(score, starts)),
-                     pa.array(left, pa.list_(pa.binary()))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
+        for part in sliced(batches, 1024):
+            every, ends, left = own.numbered(raw(part.column(2)))
+            starts = np.append(0, ends[:-1])  # a text has its end at least
+            w, u, v = before(np.split(own.entry.take(every), starts[1:]))
+            score = own.model.log_probabilities(w, u, v) / np.log(10) + in_group.take(every)
+            lists = np.append(0, np.cumsum(np.add.reduceat((every >= rare).astype(np.int32), starts, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(ends - starts),
+                 pa.array(np.add.reduceat(seen.take(every).astype(np.int64), starts)),
+                 pa.array(np.add.reduceat(base_of.take(every), starts)), pa.array(np.add.reduceat(score, starts)),
+                 pa.ListArray.from_arrays(pa.array(lists, pa.int32()), left.cast(pa.binary()))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+            )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
     return docs.select("doc_id", "held_out", "text").mapInArrow(scored, schema)

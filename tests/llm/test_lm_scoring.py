@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -159,3 +160,47 @@ def test_rows_are_ranked_stably(n):
     rows = np.random.default_rng(n).integers(0, 131_200, n) // 900 * 900
     order, ranked = M._ranked(rows)
     assert order.tolist() == np.argsort(rows, kind="stable").tolist() and ranked.tolist() == rows[order].tolist()
+
+
+ODD = ["", " \t\n\x0b\x0c\r", "One", " one  TWO\x0bÀé\xa0x\u2003y ", "\x00 \x1c\x85 end END", "a" * 70, "one\nTwo\rthree one"]
+
+
+@pytest.mark.parametrize("texts", [[], [""], ODD, ODD[::-1]])
+def test_words_are_numbered_as_if_one_by_one(texts):
+    """Known words, groups of others, ends; the words that are not known in their order."""
+    lbl, known = M.Lbl(), [M.END, b"one", b"two", b"end"]
+    own = M.Scorer(lbl, {w: i for i, w in enumerate(known)}, np.arange(4), 0, 0, None, None, None)
+    every, ends, rare = own.numbered([t.encode() for t in texts])
+    plain = [[w.encode() for w in words(t)] for t in texts]
+    want = [known.index(w) if w in known else 4 + zlib.crc32(w) % lbl.shared for t in plain for w in t]
+    assert every.tolist() == want and ends.tolist() == np.cumsum([len(t) for t in plain]).tolist()
+    assert rare.to_pylist() == M.as_bytes(rare) == [w for t in plain for w in t if w not in known]
+
+
+def test_words_are_counted_as_if_one_by_one(spark):
+    rows = [(t,) for t in [*ODD, None] * 3]
+    got = M.count_words(spark.createDataFrame(rows, "text string")).collect()
+    assert {bytes(x.word): x.c for x in got} == Counter(w.encode() for t, in rows for w in words(t))
+
+
+def test_numbering_costs_less_than_a_look_up_for_each_token():
+    """Training and scoring number every token, so this is a large part of their CPU time."""
+    r = np.random.default_rng(4)
+    known = [M.END, *(b"w%d" % i for i in range(20_000))]
+    own = M.Scorer(M.Lbl(), {w: i for i, w in enumerate(known)}, np.arange(len(known)), 0, 0, None, None, None)
+    texts = [b" ".join(known[i] for i in r.zipf(1.2, 500) % 20_000 + 1) for _ in range(600)]
+
+    def took(f):
+        best = []
+        for _ in range(5):
+            at = time.thread_time()
+            f()
+            best.append(time.thread_time() - at)
+        return min(best)
+
+    def plain():
+        for t in texts:
+            np.fromiter(map(own.numbers.get, [*t.translate(M.LOWER).split(), M.END]), dtype=np.int64)
+
+    own.numbered(texts)
+    assert took(lambda: own.numbered(texts)) < took(plain)
