@@ -212,3 +212,21 @@ def test_subtitles_parsed_once(spark):
         parsed.explain()
     assert "regexp_extract_all" not in plan.getvalue()
     assert [(r.file, r.frame, r.lat, r.lon) for r in parsed.collect()] == [("a", 0, 54.5, 24.5)]
+
+
+def test_uncounted_blocks_are_numbered_through_a_video(spark, tmp_path):
+    """A video of many blocks keeps its frames, and a block without a time keeps its place."""
+    from canopy.adapters import Tables
+    from registry import load
+
+    ts = lambda i: f"2024-01-02 00:00:{i // 60 % 60:02d}.{i % 60:03d}" if i != 7 else None
+    rows = [(i, ts(i // 2), i % 2, "view", '{"k": 1}') for i in range(4200)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    cols = ["video_id", "frame", "utc", "lat", "lon", "rel_alt", "gb_yaw"]
+    got = load()[0]["parse_srt_uncounted"](spark, str(tmp_path)).select(*cols).collect()
+    want = Tables(spark, str(tmp_path)).telemetry.select(*cols).collect()
+    key = lambda r: (r[0], r[1])
+    near = lambda r: (*r[:3], round(r[3], 6), round(r[4], 6), *r[5:])
+    assert len(got) == 4200 and max(r.frame for r in got) == 2099 and any(r.utc is None for r in got)
+    assert [near(r) for r in sorted(got, key=key)] == [near(r) for r in sorted(want, key=key)]
