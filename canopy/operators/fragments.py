@@ -37,48 +37,54 @@ def fragment_candidates(
 ) -> DataFrame:
     """Pairs where one fragment may continue as another.
 
-    Joined on video, a frame bucket and a ground cell as wide as the largest allowed
-    distance, so only neighbours in time and place ever meet.
+    Joined on video, a stretch of frames and a ground cell, each twice as wide as fragments may lie
+    apart, so only neighbours in time and place ever meet. One side goes to the cells that its reach
+    touches, two along an axis at most, the other side to its own.
     """
     ends = shared(ends)  # one row per fragment, met from four sides below
     rate = fps if fps > 0 else 1.0
     reach = base_radius_m + max_speed_mps * max_gap_frames / rate
-    meters = lambda p: F.struct(
-        (F.col(f"{p}.lon") * 111_320.0).alias("east_deg"), (F.col(f"{p}.lat") * 111_320.0).alias("north")
-    )
     src = ends.select(
         VIDEO, F.col("entity_id").alias("src"), "end_frame", F.col("name").alias("src_name"),
         F.col("end_rel").alias("s_rel"), F.col("end_abs").alias("s_abs"),
-        F.floor(F.col("end_frame") / max_gap_frames).alias("__tb"),
-    ).withColumn("__tb", F.explode(F.array(F.col("__tb"), F.col("__tb") + 1)))
+    )
     dst = ends.select(
         VIDEO, F.col("entity_id").alias("dst"), "start_frame", F.col("name").alias("dst_name"),
         F.col("start_rel").alias("d_rel"), F.col("start_abs").alias("d_abs"),
-        F.floor(F.col("start_frame") / max_gap_frames).alias("__tb"),
     )
-    around = lambda c: F.explode(F.array(c - 1, c, c + 1))
-
-    def metric_pairs(s: DataFrame, d: DataFrame, sx, sy, dx, dy, distance) -> DataFrame:
-        sc = s.withColumn("__cx", around(F.floor(sx / reach))).withColumn("__cy", around(F.floor(sy / reach)))
-        dc = d.withColumn("__cx", F.floor(dx / reach)).withColumn("__cy", F.floor(dy / reach))
-        return sc.join(dc, [VIDEO, "__tb", "__cx", "__cy"]).withColumn("distance_m", distance)
-
-    both_rel = metric_pairs(
-        src.filter("s_rel IS NOT NULL"), dst.filter("d_rel IS NOT NULL"),
-        F.col("s_rel.east"), F.col("s_rel.north"), F.col("d_rel.east"), F.col("d_rel.north"),
-        F.sqrt(F.pow(F.col("s_rel.east") - F.col("d_rel.east"), F.lit(2.0))
-               + F.pow(F.col("s_rel.north") - F.col("d_rel.north"), F.lit(2.0))),
+    far = reach * (1 + 1e-9) + 1e-6  # not cut short by rounding
+    cell = lambda c, width: F.floor(c / F.lit(2.0 * width))
+    touched = lambda low, high, width: F.explode(F.sequence(cell(low, width), cell(high, width)))
+    around = lambda c, width: touched(c - F.lit(width), c + F.lit(width), width)
+    later = touched(F.col("end_frame"), F.col("end_frame") + max_gap_frames, max_gap_frames)
+    earlier = touched(F.col("start_frame") - max_gap_frames, F.col("start_frame"), max_gap_frames)
+
+    both_rel = (
+        src.filter("s_rel IS NOT NULL").withColumn("__tb", later)
+        .withColumn("__cx", around(F.col("s_rel.east"), far)).withColumn("__cy", around(F.col("s_rel.north"), far))
+        .join(
+            dst.filter("d_rel IS NOT NULL").withColumn("__tb", cell(F.col("start_frame"), max_gap_frames))
+            .withColumn("__cx", cell(F.col("d_rel.east"), far)).withColumn("__cy", cell(F.col("d_rel.north"), far)),
+            [VIDEO, "__tb", "__cx", "__cy"],
+        )
+        .withColumn("distance_m", F.sqrt(
+            F.pow(F.col("s_rel.east") - F.col("d_rel.east"), F.lit(2.0)) + F.pow(F.col("s_rel.north") - F.col("d_rel.north"), F.lit(2.0))
+        ))
     )
     # By absolute position when either side has no drone offset: latitude bands only,
-    # a metre of longitude changes with latitude.
-    gap_deg = reach / 111_000.0
+    # a metre of longitude changes with latitude. The side without one goes to the other's cells.
+    gap_deg = far / 111_000.0
     s_abs = src.filter("s_abs.lat IS NOT NULL AND s_abs.lon IS NOT NULL")
     d_abs = dst.filter("d_abs.lat IS NOT NULL AND d_abs.lon IS NOT NULL")
-    one_abs = (
-        s_abs.withColumn("__cy", around(F.floor(F.col("s_abs.lat") / gap_deg)))
-        .join(d_abs.withColumn("__cy", F.floor(F.col("d_abs.lat") / gap_deg)), [VIDEO, "__tb", "__cy"])
-        .filter("s_rel IS NULL OR d_rel IS NULL")
-        .withColumn("distance_m", G.haversine_m("s_abs.lat", "s_abs.lon", "d_abs.lat", "d_abs.lon"))
+    s_lat, d_lat = F.col("s_abs.lat"), F.col("d_abs.lat")
+    from_free = s_abs.filter("s_rel IS NULL").withColumn("__tb", later).withColumn("__cy", around(s_lat, gap_deg)).join(
+        d_abs.withColumn("__tb", cell(F.col("start_frame"), max_gap_frames)).withColumn("__cy", cell(d_lat, gap_deg)), [VIDEO, "__tb", "__cy"]
+    )
+    to_free = s_abs.filter("s_rel IS NOT NULL").withColumn("__tb", cell(F.col("end_frame"), max_gap_frames)).withColumn("__cy", cell(s_lat, gap_deg)).join(
+        d_abs.filter("d_rel IS NULL").withColumn("__tb", earlier).withColumn("__cy", around(d_lat, gap_deg)), [VIDEO, "__tb", "__cy"]
+    )
+    one_abs = from_free.unionByName(to_free).withColumn(
+        "distance_m", G.haversine_m("s_abs.lat", "s_abs.lon", "d_abs.lat", "d_abs.lon")
     )
     cols = [VIDEO, "src", "dst", "end_frame", "start_frame", "src_name", "dst_name", "distance_m"]
     pairs = both_rel.select(*cols).unionByName(one_abs.select(*cols))
@@ -114,6 +120,7 @@ def greedy_links(candidates: DataFrame) -> DataFrame:
     spans touch; pauses between spans cut the edges into parts. Each part is one ordered
     pass that holds the fragments linked so far.
     """
+    candidates = shared(candidates.select(VIDEO, "src", "dst", "end_frame", "start_frame", "distance_m", "score"))  # read twice
     axes = [("end_frame", "start_frame", 0.0, 256.0)]
     parts = independent_parts(candidates, [VIDEO], axes, "__part")
     order = [F.col(c) for c in ("score", "distance_m", "src", "dst")]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from canopy.adapters import CLASS_NAMES
 from canopy.functions import detection as D
 from canopy.operators import fragments as Fr, paths as P, telemetry as Te, tracking as Tr
+from canopy.session import shared
 from registry.core import query
 
 W, H = 640, 512
@@ -393,8 +394,14 @@ def _fragments(t):
     return _located(t).withColumn("entity_id", F.col("track_id").cast("long") * 1000 + F.expr("frame DIV 4"))
 
 
-def _candidates(t):
-    return Fr.fragment_candidates(Fr.fragment_ends(_fragments(t)), 5.0, 12, 4.0, 2.0)
+def _candidates(t, fragments=None):
+    return Fr.fragment_candidates(Fr.fragment_ends(_fragments(t) if fragments is None else fragments), 5.0, 12, 4.0, 2.0)
+
+
+def _merged(t, compat=False):
+    """Fragments are located once, for the search and for the relabelling, and kept without what neither reads."""
+    fragments = shared(_fragments(t).select("video_id", "frame", "det_id", "entity_id", "track_id", "name", "lat", "lon", "lat_drone", "lon_drone"))
+    return Fr.merge_fragments(fragments, _candidates(t, fragments), compat)
 
 
 @query("fragment_candidates", "video_id:s src:i dst:i distance_m:d allowed_m:d score:d", CAND)
@@ -418,12 +425,12 @@ MERGED = f"""
 
 @query("merge_fragments", "det_id:i entity_id:i track_id:i", MERGED)
 def _(t):
-    return Fr.merge_fragments(_fragments(t), _candidates(t))
+    return _merged(t)
 
 
 @query("merge_fragments_compat", "det_id:i entity_id:i track_id:i")
 def _(t):
-    return Fr.merge_fragments(_fragments(t), _candidates(t), compat=True)
+    return _merged(t, compat=True)
 
 
 @query("count_unique_by_motion", "det_id:i entity_id:i north:d east:d")
