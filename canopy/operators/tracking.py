@@ -20,7 +20,7 @@ from canopy.operators.medoid import medoid
 from canopy.operators.ordered import fill, row_numbers
 from canopy.operators.telemetry import heading
 from canopy.operators.votes import scan_votes
-from canopy.session import cut_lineage
+from canopy.session import cut_lineage, passing
 
 VIDEO = "video_id"
 # A chunk of one ordered pass is so many times what it reads before itself.
@@ -202,10 +202,11 @@ def spatial_clusters(
     ]
     parts = independent_parts(metric, [VIDEO], [*axes, axes[0]], "__part")
     warm = 2 * max(max_idle_frames, 1)
-    folded = cut_lineage(fold_in_chunks(
-        parts, [VIDEO, "__part"], frame_order(), ["frame", "__x", "__y", "__conf", "track_id", "__freeze", "__reassoc"],
-        "cluster_hits long, __cx double, __cy double", lambda state: _ClusterSteps(rules, state), CHUNK * warm, warm,
-    ))
+    with passing(det.sparkSession) as lasting:
+        folded = lasting(fold_in_chunks(
+            parts, [VIDEO, "__part"], frame_order(), ["frame", "__x", "__y", "__conf", "track_id", "__freeze", "__reassoc"],
+            "cluster_hits long, __cx double, __cy double", lambda state: _ClusterSteps(rules, state), CHUNK * warm, warm,
+        ))
     ids = _number_firsts(folded, [VIDEO], ENTRY, "cluster_id", max_idle_frames)
     per_lon = METERS_PER_DEGREE * F.cos(F.radians("__olat"))
     done = (
@@ -241,10 +242,11 @@ def resolve_entities(
     axes = [("frame", "frame", float(gap_frames), float(max(gap_frames, 1)))]
     parts = independent_parts(given, [VIDEO], axes, "__part")
     warm = 2 * max(gap_frames, 1)
-    folded = cut_lineage(fold_in_chunks(
-        parts, [VIDEO, "__part"], frame_order(), ["frame", "track_id", "cluster_id", "lat", "lon", "lat_drone", "lon_drone"], "",
-        lambda state: EntityBook.restored(rules, state), CHUNK * warm, warm,
-    ))
+    with passing(det.sparkSession) as lasting:
+        folded = lasting(fold_in_chunks(
+            parts, [VIDEO, "__part"], frame_order(), ["frame", "track_id", "cluster_id", "lat", "lon", "lat_drone", "lon_drone"], "",
+            lambda state: EntityBook.restored(rules, state), CHUNK * warm, warm,
+        ))
     ids = _number_firsts(folded, [VIDEO], ENTRY, "entity_id", gap_frames)
     return with_number(folded, ids).select(*given.columns, "entity_id")
 

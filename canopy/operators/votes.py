@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from canopy.operators.ordered import row_numbers
-from canopy.session import cut_lineage
+from canopy.session import cut_lineage, passing
 
 PIECE = 512
 
@@ -76,27 +76,28 @@ def scan_votes(
     numbered = numbered.withColumn("__piece", F.floor((F.col("__rn") - 1) / piece))
     row = F.struct("__rn", "__cls", F.col("__conf").alias("conf"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     by_number = lambda a, b: (a["__rn"] - b["__rn"]).cast("int")  # the rest of a row need not be comparable
-    pieces = cut_lineage(numbered.groupBy("__key", "__piece").agg(F.array_sort(F.collect_list(row), by_number).alias("rows")))
-    single = pieces.select("__key", "__piece", F.explode("rows").alias("r")).select("__key", "__piece", "r.__rn", "r.__cls", F.col("r.conf").alias("__conf"))
-
-    # Classes of a key as they were first seen; every class has a sum at every piece.
-    votes = single.groupBy("__key", "__piece", "__cls").agg(
-        F.sum("__conf").alias("s"), F.count(F.lit(1)).alias("h"), F.min("__rn").alias("first")
-    )
-    seen = votes.groupBy("__key", "__cls").agg(F.min("first").alias("first"))
-    classes = seen.groupBy("__key").agg(_sorted("first", "__cls").alias("classes"))
-    all_sums = (
-        votes.select("__key", "__piece").distinct().join(classes, "__key").select("__key", "__piece", F.posexplode("classes").alias("i", "__cls"))
-        .join(votes.drop("first"), ["__key", "__piece", "__cls"], "left")
-    )
-    before = W.partitionBy("__key", "i").orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
-    upto = lambda c, zero: F.coalesce(F.sum(F.coalesce(c, zero)).over(before), zero).alias(c)
-    starts = all_sums.select("__key", "__piece", "i", upto("s", F.lit(0.0)), upto("h", F.lit(0).cast("long")))
-    starts = starts.groupBy("__key", "__piece").agg(_sorted("i", "s").alias("s"), _sorted("i", "h").alias("h"))
-
-    indexed = F.transform("rows", lambda r: F.struct((F.array_position("classes", r["__cls"]) - 1).cast("int").alias("i"), r["conf"].alias("conf")))
-    told = pieces.join(starts, ["__key", "__piece"]).join(classes, "__key").withColumn("o", _outcomes(indexed, F.col("s"), F.col("h"), margin, min_hits))
-    told = cut_lineage(told.drop("s", "h").withColumn("__block", F.floor(F.col("__piece") / piece)))
+    with passing(df.sparkSession) as lasting:  # pieces go when what they tell is written
+        pieces = cut_lineage(numbered.groupBy("__key", "__piece").agg(F.array_sort(F.collect_list(row), by_number).alias("rows")))
+        single = pieces.select("__key", "__piece", F.explode("rows").alias("r")).select("__key", "__piece", "r.__rn", "r.__cls", F.col("r.conf").alias("__conf"))
+
+        # Classes of a key as they were first seen; every class has a sum at every piece.
+        votes = single.groupBy("__key", "__piece", "__cls").agg(
+            F.sum("__conf").alias("s"), F.count(F.lit(1)).alias("h"), F.min("__rn").alias("first")
+        )
+        seen = votes.groupBy("__key", "__cls").agg(F.min("first").alias("first"))
+        classes = seen.groupBy("__key").agg(_sorted("first", "__cls").alias("classes"))
+        all_sums = (
+            votes.select("__key", "__piece").distinct().join(classes, "__key").select("__key", "__piece", F.posexplode("classes").alias("i", "__cls"))
+            .join(votes.drop("first"), ["__key", "__piece", "__cls"], "left")
+        )
+        before = W.partitionBy("__key", "i").orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
+        upto = lambda c, zero: F.coalesce(F.sum(F.coalesce(c, zero)).over(before), zero).alias(c)
+        starts = all_sums.select("__key", "__piece", "i", upto("s", F.lit(0.0)), upto("h", F.lit(0).cast("long")))
+        starts = starts.groupBy("__key", "__piece").agg(_sorted("i", "s").alias("s"), _sorted("i", "h").alias("h"))
+
+        indexed = F.transform("rows", lambda r: F.struct((F.array_position("classes", r["__cls"]) - 1).cast("int").alias("i"), r["conf"].alias("conf")))
+        told = pieces.join(starts, ["__key", "__piece"]).join(classes, "__key").withColumn("o", _outcomes(indexed, F.col("s"), F.col("h"), margin, min_hits))
+        told = lasting(told.drop("s", "h").withColumn("__block", F.floor(F.col("__piece") / piece)))
 
     # The class shown before each piece: maps composed inside blocks, then blocks along the key from its first class.
     last = told.select("__key", "__block", "__piece", F.element_at("o", -1).alias("m"))
